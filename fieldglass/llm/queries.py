@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.exact_dedup import exact_groups
 from fieldglass.llm.mixing import mix_sources
+from fieldglass.llm.near_dedup import near_duplicates
+from fieldglass.llm.packing import pack
+from fieldglass.llm.token_shards import token_shards
 from fieldglass.llm.url_filter import judge_urls
 
 
@@ -16,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -28,11 +35,29 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def word_tokenizer() -> str:
+    """Where the box keeps the tokenizer file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2)
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(_table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1).drop("ids_head")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_packing": op7_packing,
         "op8_url_filter": op8_url_filter,
         "op9_mixing": op9_mixing,
+        "op10_token_shards": op10_token_shards,
     }
 
 
