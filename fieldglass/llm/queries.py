@@ -11,6 +11,7 @@ from fieldglass.llm.exact_dedup import exact_groups
 from fieldglass.llm.mixing import mix_sources
 from fieldglass.llm.near_dedup import near_duplicates
 from fieldglass.llm.packing import pack
+from fieldglass.llm.repeats import repeated_passages
 from fieldglass.llm.token_shards import token_shards
 from fieldglass.llm.url_filter import judge_urls
 
@@ -35,6 +36,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     """Where the box keeps the tokenizer file that the queries use; operators take any path."""
     import public_tokenizers
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_repeats": op6_repeats,
         "op7_packing": op7_packing,
         "op8_url_filter": op8_url_filter,
         "op9_mixing": op9_mixing,
