@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm.exact_dedup import exact_groups
+from fieldglass.llm.language_id import learn_and_identify
+from fieldglass.llm.media import text_media
 from fieldglass.llm.mixing import mix_sources
 from fieldglass.llm.near_dedup import near_duplicates
 from fieldglass.llm.packing import pack
@@ -24,6 +26,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_identify(_table(spark, sf_dir, "documents"), parts=4, part=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +68,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_media": op2_media,
+        "op3_language_id": op3_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_repeats": op6_repeats,
         "op7_packing": op7_packing,
