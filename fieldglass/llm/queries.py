@@ -15,6 +15,7 @@ from fieldglass.llm.near_dedup import near_duplicates
 from fieldglass.llm.packing import pack
 from fieldglass.llm.repeats import repeated_passages
 from fieldglass.llm.token_shards import token_shards
+from fieldglass.llm.toxicity import learn_and_score
 from fieldglass.llm.url_filter import judge_urls
 
 
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(_table(spark, sf_dir, "documents"), parts=4, part=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), parts=3, part=1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_media": op2_media,
         "op3_language_id": op3_language_id,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_repeats": op6_repeats,
         "op7_packing": op7_packing,
