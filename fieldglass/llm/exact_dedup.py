@@ -56,6 +56,12 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay; of repeated rows of the same id, all stay."""
-    kept = renamed(exact_groups(docs, id_col, text_col).filter("kept"), _kept_id=F.col("doc_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs, with all their columns, that stay; one of rows that agree in id and text."""
+    kept = renamed(exact_groups(docs, id_col, text_col).filter("kept"), _kept_id=F.col("doc_id"), _kept_sha=F.col("text_sha256"))
+    once = written(kept.groupBy("_kept_id", "_kept_sha").agg(F.count("*").alias("_times")), "kept")
+    keyed = docs.withColumn("_own_sha", F.sha2(squeezed(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha"))
+    rows = keyed.join(once, same, "left_semi")
+    if once.filter("_times > 1").limit(1).count():
+        rows = rows.dropDuplicates([id_col, "_own_sha"])
+    return rows.drop("_own_sha")

@@ -57,9 +57,9 @@ def mix_sources(
     source_col: str = "source",
     seed: int = 0,
     quality: Column | None = None,
-    keep: Sequence[str] = (),
+    rows_too: bool = False,
 ) -> DataFrame:
-    """One row for every input row: doc_id, size, source_size, target, taken (and the columns named in keep).
+    """One row for every input row: doc_id, size, source_size, target, copies, taken (and with rows_too, the whole row as row).
 
     Sources in code point order, null last, weigh `weights` in turn. Their targets share `share` of all words, none above
     `most` times its source's words. A document is taken floor(target / source_size) times (complete epochs); the rest of
@@ -72,8 +72,8 @@ def mix_sources(
     A source may hold any share of the rows: its keys are cut into buckets of about BUCKET_ROWS rows by a monotone map of
     the key, buckets are summed, and only the bucket in which the target falls is put in order.
     """
-    text = F.col(text_col)
-    sized = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), text.alias("_text"), word_count(text).alias("size"))
+    text, keep = F.col(text_col), ["row"] if rows_too else []
+    sized = docs.select(*([F.struct("*").alias("row")] if rows_too else []), F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), text.alias("_text"), word_count(text).alias("size"))
     weight = quality if quality is not None else letter_share(F.col("_text"), F.col("size"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))

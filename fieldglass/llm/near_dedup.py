@@ -176,6 +176,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their component's."""
+    """The rows of docs, with all their columns, whose id is their component's; rows of the same id stay or go together."""
     kept = renamed(near_duplicates(docs, id_col, text_col).filter("kept"), _kept_id=F.col("doc_id"))
     return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
