@@ -133,7 +133,7 @@ def canonical_id(formation_id: Column) -> Column:
 
 def matched_formations(df: DataFrame, slots: str, table: DataFrame | None = None) -> DataFrame:
     """df with formation_id, exact, missing and extra: the entry with just these slots, else the one that differs in fewest,
-    the least id of those. The catalogue, 84 rows, is folded into one constant; no slots at all match nothing."""
+    the least id of those. The catalogue, 83 rows, is folded into one constant; no slots at all match nothing."""
     entries = [(r["formation_id"], r["slots"]) for r in table.select("formation_id", "slots").collect()] if table is not None else [(i, s) for i, _, s in catalogue()]
     constant = F.array(*(F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, s)).alias("slots")) for i, s in entries))
     own = F.array_distinct(F.coalesce(F.col(slots), F.array().cast("array<string>")))

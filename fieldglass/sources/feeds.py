@@ -20,6 +20,8 @@ TEAM_IDS = {
     323: "Atl", 324: "Buf", 325: "Hou", 326: "Chi", 327: "Cin", 329: "Cle", 331: "Dal", 332: "Den", 334: "Det", 335: "GB", 336: "Ten", 338: "Ind", 339: "KC", 341: "LV", 343: "LAR", 345: "Mia",
     347: "Min", 348: "NE", 350: "NO", 351: "NYG", 352: "NYJ", 354: "Phi", 355: "Ari", 356: "Pit", 357: "LAC", 359: "SF", 361: "Sea", 362: "TB", 363: "Was", 364: "Car", 365: "Jax", 366: "Bal",
 }
+#: A registry of teams becomes a constant of the plan, so its size is checked.
+MOST_TEAMS = 1000
 OFFENSE_ROLES = ("player", "target", "snapper", "holder")
 
 PLAY = "struct<playId:double,driveId:int,period:int,time:string,down:string,distance:string,yardLine:string,startPossession:struct<teamId:int>,playType:struct<playTypeId:int,name:string>,playText:string,yards:int,direction:string,isReview:boolean,isContinuation:boolean,playersInvolved:" + N.INVOLVED + ">"
@@ -75,14 +77,12 @@ def numbered_from_array(position: Column, counts: Column, keys: list[str]) -> Co
     return F.when(counts, running)
 
 
-def feed_plays(all_events: DataFrame, teams: DataFrame | None = None, away: Column | None = None) -> DataFrame:
+def feed_plays(all_events: DataFrame, teams: DataFrame | None = None) -> DataFrame:
     """One row for each play of the statistics feed, numbered over plays from scrimmage."""
-    ids = F.create_map(*(F.lit(x) for pair in TEAM_IDS.items() for x in pair)) if teams is None else None
-    abbr = (lambda c: P.team_code(F.try_element_at(ids, c), P.FEED_ALIASES)) if teams is None else None
-    if abbr is None:
-        table = {r["team_id"]: r["abbreviation"] for r in teams.limit(1000).collect()}
-        known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-        abbr = lambda c: P.team_code(F.try_element_at(known, c), P.FEED_ALIASES)
+    table = TEAM_IDS if teams is None else {r["team_id"]: r["abbreviation"] for r in teams.limit(MOST_TEAMS + 1).collect()}
+    if len(table) > MOST_TEAMS:
+        raise ValueError(f"over {MOST_TEAMS} teams: this is no team registry")
+    abbr = lambda c: P.team_code(P.mapped(table, c), P.FEED_ALIASES)
     head = all_events.withColumns({"_home": abbr(N.side_team(F.col("e.teams"), "home")), "_away": abbr(N.side_team(F.col("e.teams"), "away"))})
     head = head.withColumn("season", P.season_of_date(N.start_date(F.col("e.startDate")), F.col("season"))).withColumn("game_key", P.game_key(F.col("season"), F.col("e.week"), F.col("_away"), F.col("_home")))
     rows = head.select("event_id", "season", F.col("e.week").alias("week"), "game_key", "_home", "_away", F.posexplode("e.pbp").alias("_i", "p"))

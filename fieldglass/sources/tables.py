@@ -113,8 +113,8 @@ def exported_lines(records: DataFrame, order: str) -> DataFrame:
 
 
 def write_lines(records: DataFrame, path: str, order: str) -> None:
-    """Range-sorted text parts: read in file order they are one sorted file, and no task has to hold them all."""
-    exported_lines(records.repartitionByRange(order) if records.rdd.getNumPartitions() > 1 else records, order).write.mode("overwrite").text(path)
+    """Text parts sorted by range: read in file order they are one sorted file, and no task has to hold them all."""
+    exported_lines(records, order).write.mode("overwrite").text(path)
 
 
 def training_lines(boxes: DataFrame, line: Column, split: Column, source: str) -> DataFrame:
