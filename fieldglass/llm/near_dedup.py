@@ -20,6 +20,8 @@ SIMILARITY = 75
 #: least similarity agrees in Binomial(64, 0.75): fewer than 31 with a probability of about 1e-5; at 0.85, 1e-11.
 COORDINATES = 64
 MATCHES = 31
+#: Nodes of a block of a cluster, and shingles whose incidence is multiplied at once.
+BLOCK, BLOCK_COLUMNS = 256, 4096
 
 _XOR, _TIMES = W.constants(COORDINATES, 11), W.constants(COORDINATES, 12)
 
@@ -96,6 +98,74 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(shared * 100 >= (F.size("s_a") + F.size("s_b") - shared) * SIMILARITY).select("a", "b")
 
 
+def _open(homed: DataFrame, total: int) -> DataFrame:
+    """The posting lists (post, node, home) that have nodes of several components, with the largest of those, main."""
+    per_home = homed.groupBy("post", "home").agg(F.count("*").alias("w"))
+    lists = per_home.groupBy("post").agg(F.max(F.struct("w", "home")).alias("top"), F.count("*").alias("homes"), F.sum("w").alias("w")).filter("homes > 1")
+    return lookup(homed, lists.select("post", F.col("top.home").alias("main"), "w"), "post", "w", total, "inner")
+
+
+def _shared_with_strangers(open_: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, known: how many of a node's shingles stand in other components too; only nodes that can still have a link.
+
+    An intersection with a node of another component has `known` elements at most, and a link's has SIMILARITY percent of n
+    at least. So texts that differ from all others in too many shingles of their own are ruled out one by one, not in pairs.
+    """
+    homes = open_.select("node", "home").distinct()
+    each = sets.join(homes, "node").select("node", "home", F.explode("shingles").alias("shingle"))
+    shared = written(each.groupBy("shingle").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low <> high").select("shingle"), "shared_shingles")
+    known = each.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("known"))
+    return known.join(nodes.select("node", "n"), "node").filter(F.col("known") * 100 >= F.col("n") * SIMILARITY)
+
+
+def _linked_in_block(table: pa.Table) -> pa.Table:
+    """Rows (cluster, low, high, node, home, block, shingles) of one pair of blocks -> edges (a, b) of a star for each component that
+    the links between nodes of different homes make. Intersections of all nodes at once are products of their incidence matrix."""
+    node, home, block = (table.column(c).to_numpy() for c in ("node", "home", "block"))
+    column = table.column("shingles").combine_chunks()
+    ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+    sizes = np.diff(ends)
+    _, number, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    order = np.cumsum(times > 1) - 1
+    row, kept = np.repeat(np.arange(len(node)), sizes), times[number] > 1
+    row, col = row[kept], order[number[kept]]
+    shared = np.zeros((len(node), len(node)), np.float64)
+    for k in range(0, int(col.max()) + 1 if len(col) else 0, BLOCK_COLUMNS):
+        some = (col >= k) & (col < k + BLOCK_COLUMNS)
+        part = np.zeros((len(node), BLOCK_COLUMNS), np.float32)
+        part[row[some], col[some] - k] = 1
+        shared += part @ part.T
+    near = 100 * shared >= SIMILARITY * (sizes[:, None] + sizes[None, :] - shared)
+    near &= home[:, None] != home[None, :]
+    if len(np.unique(block)) > 1:
+        near &= block[:, None] != block[None, :]
+    least = np.arange(len(node))
+    while True:
+        # Each node takes the least label around it; labels settle when no link joins two.
+        low = np.minimum(least, np.where(near, least[None, :], len(node)).min(axis=1, initial=len(node)))
+        if (low == least).all():
+            break
+        least = low[low]
+    found = np.flatnonzero(least != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[least[found]]), "b": pa.array(node[found])})
+
+
+def _links_within(left: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between components, enough of them to join what is linked.
+
+    Lists that have nodes in common make a cluster. Its nodes are dealt to blocks of about BLOCK, and each pair of blocks is
+    compared on full sets in one call; so a call's rows are bounded however large a cluster is, and no pair is a row.
+    """
+    heads = left.groupBy("post").agg(F.min("node").alias("a"), F.count("*").alias("w"))
+    edges = lookup(left.select("post", F.col("node").alias("b")), heads, "post", "w", total, "inner").select("a", "b")
+    members = left.select("node", "home").distinct().join(components(edges), "node")
+    clusters = members.groupBy("component").agg(F.count("*").alias("w"))
+    dealt = lookup(members, clusters.withColumn("blocks", F.ceil(F.col("w") / BLOCK)), "component", "w", total, "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = spread.select(F.col("component").alias("cluster"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "home", "block", "shingles")
+    return rows.groupBy("cluster", "low", "high").applyInArrow(_linked_in_block, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every input row: doc_id, n_shingles, component_id, kept, links.
 
@@ -105,9 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s - MATCHES + 1 of either's s (prefix). Collisions are counted on the signatures of the pairs that meet there, and
     pairs with MATCHES of them are confirmed on the full sets.
 
-    No posting list is expanded into all its pairs. First each node meets only the least node of its lists, the one it agrees
-    with most; that joins most groups. Then in each list the nodes outside its largest component meet those of other
-    components, which finds whatever link is still missing between components. `links` counts the links confirmed, not all that exist.
+    No posting list is expanded into all its pairs. First each node meets only the heads of its lists, the nodes whose posts
+    are most common, and of those the one it agrees with most; that joins most groups. Then lists that still have nodes of
+    several components are compared in blocks, which finds whatever link is missing between components; nodes that have
+    too few shingles in common with other components to be linked are ruled out before, by counts. `links` counts the
+    links confirmed, not all that exist.
 
     component_id is the least non-null id reachable; kept is doc_id = component_id. Rows without words are linked with
     nothing; their component_id is their own id, as with rows of a null id that are linked with no other. Repeated ids
@@ -124,13 +196,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     value = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)
     posted = nodes.select("node", F.posexplode("sig")).select("node", value.alias("post"))
     shared = written(posted.groupBy("post").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    rare_first = posted.join(shared, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
-    prefix = written(rare_first.select("node", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))).alias("p")).select("node", "p.post", "p.df"), "prefix")
+    own_posts = posted.join(shared, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
+    common = F.aggregate("posts", F.lit(0).cast("long"), lambda total, p: total + p["df"])
+    rarest = F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))
+    prefix = written(own_posts.select("node", common.alias("common"), F.explode(rarest).alias("p")).select("node", "common", "p.post"), "prefix")
     n_posts = prefix.count()
-    if not n_posts:
-        grouped = None
-        confirmed = None
-    else:
+    grouped = confirmed = None
+    if n_posts:
         sig = nodes.select("node", "n", "sig")
         side = lambda x: sig.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
@@ -145,21 +217,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = rows.join(wanted.select("_id").distinct(), rows["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
         sets = written(full_sets(texts).dropDuplicates(["key"]).join(wanted, "key").select("node", "shingles"), "sets", "lz4")
 
-        heads = prefix.groupBy("post").agg(F.min("node").alias("a"), F.count("*").alias("w")).filter("w > 1")
-        stars = lookup(prefix.select("post", F.col("node").alias("b")), heads, "post", "w", n_posts, "inner").filter("a < b").select("a", "b").distinct()
+        heads = prefix.groupBy("post").agg(F.max(F.struct("common", "node"))["node"].alias("a"), F.count("*").alias("w")).filter("w > 1")
+        stars = lookup(prefix.select("post", F.col("node").alias("b")), heads, "post", "w", n_posts, "inner").filter("a <> b").select("a", "b").distinct()
         best = counted(stars).groupBy("b").agg(F.max(F.struct("agree", "a", "n_a", "n_b")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
         links = written(_linked(best, sets), "links")
-        first = components(links)
-
-        homed = written(prefix.join(first, "node", "left").select("post", "node", F.coalesce("component", "node").alias("home")), "homed")
-        per_home = homed.groupBy("post", "home").agg(F.count("*").alias("w"))
-        lists = per_home.groupBy("post").agg(F.max(F.struct("w", "home")).alias("top"), F.count("*").alias("homes"), F.sum("w").alias("w")).filter("homes > 1")
-        lists = lists.select("post", F.col("top.home").alias("main"), "w")
-        open_ = written(lookup(homed, lists, "post", "w", n_posts, "inner"), "open")
-        outer = open_.filter("home <> main").select("post", F.col("node").alias("x"), F.col("home").alias("home_x"))
-        cross = open_.select("post", F.col("node").alias("y"), F.col("home").alias("home_y")).join(outer, "post").filter("home_x <> home_y")
-        pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        confirmed = written(links.union(_linked(counted(pairs), sets)).distinct(), "links")
+        homes = components(links)
+
+        homed = written(prefix.join(homes, "node", "left").select("post", "node", F.coalesce("component", "node").alias("home")), "homed")
+        open_ = written(_open(homed, n_posts), "open")
+        strangers = written(_shared_with_strangers(open_, sets, nodes), "strangers")
+        left = written(_open(open_.drop("main").join(strangers, "node"), n_posts), "left")
+        confirmed = written(links.union(_links_within(left, sets, n_posts)).distinct(), "links")
         grouped = components(confirmed)
     if grouped is not None:
         ends = confirmed.select(F.col("a").alias("node")).union(confirmed.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ BROADCAST_ROWS = 10_000
 #: A key with more than 1 / HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 SALTS = 64
+#: Edges of a graph that one task contracts.
+TASK_EDGES = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,17 +62,42 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return salted.join(sides, [key, "_salt"], how).drop("_hot", "_salt")
 
 
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """In each of `parts` partitions the edges (lo, hi) of a star for each component that the partition's own edges make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := home.setdefault(x, x)) != x:
+                home[x] = home.setdefault(up, up)
+                x = home[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                home[max(a, b)] = min(a, b)
+        nodes = [x for x in home if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["lo", "hi"])
+
+    return edges.select("lo", "hi").coalesce(parts).mapInArrow(run, "lo long, hi long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), bigint: one row (node, component) for each node, component the least node.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014); each round is written to the shared folder, so
-    nothing is collected but one count. Empty edges give an empty result.
+    Edges are contracted within partitions of about TASK_EDGES. If there are several, alternating large-star and small-star
+    steps follow (Kiveris et al., 2014), each written to the shared folder; nothing is collected but sums. Empty edges give
+    an empty result.
     """
     now = written(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     size, before = now.count(), None
     if not size:
         return now.select(F.col("lo").alias("node"), F.col("hi").alias("component"))
-    for _ in range(most_rounds):
+    parts = -(-size // TASK_EDGES)
+    now = written(_contracted(now, parts).distinct(), "edges")
+    for _ in range(most_rounds if parts > 1 else 0):
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = lookup(both.filter("v > u"), least, "u", "n", size, "inner").select("m", "v").filter("m <> v").distinct()
@@ -78,7 +107,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = written(stepped.filter("lo <> hi").distinct(), "edges")
         after = now.agg(F.count("*"), F.sum("lo"), F.sum("hi"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if after == before:
-            stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-            return stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+            break
         before = after
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    else:
+        if parts > 1:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

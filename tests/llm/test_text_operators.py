@@ -128,19 +128,29 @@ def test_near_duplicates_by_brute_force(docs):
     assert got == near_by_brute_force(awkward())
 
 
-def test_chains_of_near_duplicates_are_one_component(spark):
+@pytest.mark.parametrize("block", [7, 256])
+def test_chains_of_near_duplicates_are_one_component(spark, monkeypatch, block):
     """Each text is near the next, the ends are not; and a group in which no member is near the least one's signature."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     words, rows = prose(200, 9).split(), []
     for k in range(30):
         words[(7 * k) % 190 : (7 * k) % 190 + 3] = [f"x{k}a", f"x{k}b", f"x{k}c"]
         rows.append((100 - k, " ".join(words), "en", "a"))
     passage = prose(150, 10)
     rows += [(200 + k, passage + " " + prose(60 + k, 300 + k), "en", "a") for k in range(40)]
+    base = prose(150, 11).split()
+    for k in range(60):
+        copy, pick = list(base), np.random.default_rng(k)
+        for at in pick.choice(150, 3, replace=False):
+            copy[at] = f"y{k}z{at}"
+        rows.append((300 + k, " ".join(copy), "en", "a"))
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, rows)).collect())
     assert got == near_by_brute_force(rows)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("task_edges", [20, 250_000])
+def test_components_of_random_graphs(spark, monkeypatch, task_edges):
+    monkeypatch.setattr("fieldglass.llm.shared.TASK_EDGES", task_edges)
     edges = [(int(a), int(b)) for a, b in RNG.integers(0, 300, (240, 2))]
     home = list(range(300))
 
