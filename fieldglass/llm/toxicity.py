@@ -250,7 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_
     """Weights from the labelled rows that aren't held out. Null ids, texts and labels teach nothing."""
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col)).filter(~held_out(parts, part) & F.col("text").isNotNull())
     known = renamed(labels, doc_id=F.col(id_col).cast("long"), label=(F.col(label_col) > 0).cast("int")).filter("label is not null")
-    return fit(written(rows.join(known, "doc_id").select("text", "label"), "labelled"))
+    # Merged on ids at every size: labels grow with the documents, so a plan that broadcasts them now wouldn't later.
+    return fit(written(rows.join(known.hint("merge"), "doc_id").select("text", "label"), "labelled"))
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
