@@ -19,8 +19,8 @@ GRAM = 16
 SPREAD = LEAST_WORDS - GRAM + 1
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Positions whose hash is the least of some SPREAD in a row, the last of equal ones; increasing."""
+def least_places(h: np.ndarray) -> np.ndarray:
+    """For every SPREAD hashes in a row the position of the least, the last of equal ones."""
     if len(h) < SPREAD:
         return np.zeros(0, np.int64)
     # Least of each SPREAD in a row by doubling: windows of 1, 2, 4, ... that overlap. Ties go to the later position.
@@ -31,14 +31,19 @@ def minimisers(h: np.ndarray) -> np.ndarray:
         a, b = at[:-step], at[step:]
         at = np.where(h[b] <= h[a], b, a)
         size += step
-    return np.unique(at)
+    return at
+
+
+def minimisers(h: np.ndarray) -> np.ndarray:
+    """Positions whose hash is the least of some SPREAD in a row, the last of equal ones; increasing."""
+    return np.unique(least_places(h))
 
 
 #: Words to either side of a gram that a passage of LEAST_WORDS around it can have.
 SIDE = LEAST_WORDS - GRAM
-#: How many suffixes further on each is compared with.
+#: How many suffixes further on each is compared with; grams with up to NEIGHBOURS + 1 suffixes have all pairs compared.
 NEIGHBOURS = 4
-#: Grams with more than 1 / HOT_SHARE of all suffixes may be dealt to several tasks.
+#: Windows of grams with more than 1 / HOT_SHARE of all suffixes are counted in the map tasks first.
 HOT_SHARE = 1000
 
 
@@ -70,6 +75,51 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, n_words long, grams array<long>, places array<int>")
 
 
+def windows(docs: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """(key, text, places, counts) -> hash of each LEAST_WORDS words whose minimiser's count is from least to most, the key's hash, the start."""
+    wanted = lambda n: (n >= least) & (n <= most) if most else n >= least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, places, counts = (batch.column(c) for c in (0, 2, 3))
+            data, at = W.texts(batch.column(1))
+            for i, j in W.chunks(at):
+                h, _, _, row = W.word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                g, whole, ends = grams(h), W.windows(h, LEAST_WORDS, 7), row.tolist()
+                found, starts, sizes = [], [], []
+                for d, a, b in zip(range(i, j), ends, ends[1:], strict=False):
+                    kept = np.zeros(max(0, b - a), bool)
+                    kept[places[d].values.to_numpy()[wanted(counts[d].values.to_numpy())]] = True
+                    own = np.flatnonzero(kept[least_places(g[a : b - GRAM + 1])]) if b - a >= LEAST_WORDS else np.zeros(0, np.int64)
+                    found.append(whole[a + own])
+                    starts.append(own)
+                    sizes.append(len(own))
+                hashes = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([hashes, k.take(pa.array(np.repeat(np.arange(i, j), sizes))), pa.array(np.concatenate(starts).astype(np.int32))], ["hash", "k", "start"])
+
+    some = docs.filter(F.exists("counts", wanted)).select(F.xxhash64("key").alias("k"), "text", "places", "counts")
+    return some.mapInArrow(run, "hash long, k long, start int")
+
+
+def repeated_windows(docs: DataFrame, total: int) -> DataFrame:
+    """(key, text, places, counts) -> k, start, end, other: runs of windows that occur twice, of grams with over NEIGHBOURS + 1 of the total suffixes.
+
+    k and other are hashes of keys; other is k only if no other text has any window of the run.
+    """
+    many = max(NEIGHBOURS + 1, total // HOT_SHARE)
+    each = Window.partitionBy("hash")
+    few = windows(docs, NEIGHBOURS + 2, many).select("k", "start", F.count("*").over(each).alias("n"), F.min("k").over(each).alias("lo"), F.max("k").over(each).alias("hi")).filter("n > 1").drop("n")
+    hot = windows(docs, many + 1)
+    twice = written(hot.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).filter("n > 1"), "windows")
+    hot = lookup(hot, twice, "hash", "n", twice.agg(F.sum("n")).first()[0] or 0, "inner").select("k", "start", "lo", "hi")
+    by_start = Window.partitionBy("k").orderBy("start")
+    found = few.union(hot).select("k", "start", F.when(F.col("lo") != F.col("k"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
+    new = found.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(by_start) + LEAST_WORDS).cast("int"), F.lit(1)))
+    runs = new.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("k", "run")
+    other = F.coalesce(F.min(F.when(F.col("other") != F.col("k"), F.col("other"))), F.first("k")).alias("other")
+    return runs.agg(F.min("start").alias("start"), (F.max("start") + LEAST_WORDS).alias("end"), other).drop("run")
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
     """(key, text, places, counts) -> for each place its gram, 16-bit hashes of the words on either side, and its count.
 
@@ -159,11 +209,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if only the text itself does). Rows without any are left out. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
 
     Suffixes are kept at minimiser positions of GRAM-word hashes, one in any SPREAD, so that each passage of LEAST_WORDS words
-    has one. Grams that occur once are dropped. The others' suffixes are sorted by gram and by the words that follow, and
-    each is compared with the NEIGHBOURS next ones, forwards and, from the gram, backwards; LEAST_WORDS words have to
-    agree in all. Words beside a gram are compared by 16 bits, so one end in 65,000 may be a word off. A gram with over a
-    thousandth of all suffixes is split among tasks by the words that follow. Equal texts are worked on once: if two rows have the same
-    text of LEAST_WORDS words, their run is the whole text.
+    has one. Grams that occur once are dropped. Suffixes of those that occur up to NEIGHBOURS + 1 times are all compared with
+    each other, forwards and, from the gram, backwards; LEAST_WORDS words have to agree in all. Words beside a gram are
+    compared by 16 bits, so one end in 65,000 may be a word off. Of the grams that occur more often, each LEAST_WORDS words
+    that have one as their minimiser are hashed to 64 bits, and those whose hash occurs twice are marked. Equal texts are
+    worked on once: if two rows have the same text of LEAST_WORDS words, their run is the whole text.
 
     Null, empty and shorter texts have no passages; ids may be null or repeated, and rows count as copies of each other
     whatever their ids; other columns are ignored; an empty table gives an empty result.
@@ -179,21 +229,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = each.join(shared, "gram").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
     wanted = hits.select("key", F.col("hits.place").alias("places"), F.col("hits.n").alias("counts"))
     # One row of each text: copies are dropped in the map tasks first.
-    texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("key", "text", "places", "counts")
-    cut = written(suffixes(texts), "suffixes", "lz4")
-    split = F.when(F.col("n") > max(1, total // HOT_SHARE), F.concat("right", "left", F.unhex(F.hex("place"))))
-    ordered = cut.withColumn("split", split).repartitionByRange("gram", "split").drop("split").sortWithinPartitions("gram", "right", "left", "key", "place")
-    spans = neighbours(ordered)
-    return _merged(spans, classes, marked, rows)
+    texts = written(rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("key", "text", "places", "counts"), "shared_texts")
+    pairs = F.filter(F.arrays_zip("places", "counts"), lambda x: x["counts"] <= NEIGHBOURS + 1)
+    rare = texts.withColumn("pairs", pairs).filter(F.size("pairs") > 0).select("key", "text", F.col("pairs.places").alias("places"), F.col("pairs.counts").alias("counts"))
+    cut = written(suffixes(rare), "suffixes", "lz4")
+    ordered = cut.repartition("gram").sortWithinPartitions("gram", "right", "left", "key", "place")
+    near = neighbours(ordered).withColumn("other", F.xxhash64("other"))
+    far = repeated_windows(texts, total).join(classes.select("key", F.xxhash64("key").alias("k")), "k")
+    return _merged(near.select("key", "start", "end", "other").union(far.select("key", "start", "end", "other")), classes, marked, rows)
 
 
 def _merged(spans: DataFrame, classes: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
     by_start = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    other = F.coalesce(F.min(F.when(F.col("other") != F.col("key"), F.col("other"))), F.first("key")).alias("other")
-    runs = islands.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), other)
-    named = runs.join(classes.select(F.col("key").alias("other"), F.col("least_id").alias("other_id")), "other")
+    own = F.xxhash64("key")
+    other = F.coalesce(F.min(F.when(F.col("other") != own, F.col("other"))), F.first(own)).alias("other")
+    runs = written(islands.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), other), "islands")
+    # Of a passage that many texts have, all name the same other text.
+    ids = classes.groupBy(F.xxhash64("key").alias("other")).agg(F.min("least_id").alias("other_id"))
+    uses = runs.groupBy("other").agg(F.count("*").alias("uses"))
+    named = lookup(runs, written(ids.join(uses, "other"), "others"), "other", "uses", runs.count(), "inner")
     lists = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "other_id"))).alias("runs"))
     sizes = marked.select("key", "n_words").distinct()
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("least_id").alias("other_id")))

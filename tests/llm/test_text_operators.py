@@ -203,6 +203,23 @@ def test_repeated_passages_by_brute_force(spark):
     assert got == repeats_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+@pytest.mark.parametrize("size", [20, 34, 49])
+def test_passages_around_common_wording(spark, monkeypatch, size, share):
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
+    common = prose(size, 24)
+    # Each text has wording of its own to the right, or words there that other texts have too; pairs agree on the left alone, or on both sides.
+    rows = [(k, f"{prose(60, 700 + k)} {common} {prose(40, 2000 + k)}", "en", "a") for k in range(200)]
+    for k in range(40):
+        left = prose(55 - size, 3000 + k)
+        rows += [(300 + 2 * k + side, f"{prose(20, 4000 + 2 * k + side)} {left} {common} {prose(40, 5000 + 2 * k + side)}", "en", "a") for side in (0, 1)]
+        rows += [(500 + 3 * k + side, f"{prose(20, 6000 + 3 * k + side)} {prose(40 - size // 2, 7000 + k)} {common} {prose(12, 8000 + k % 3)} {prose(40, 9000 + 3 * k + side)}", "en", "a") for side in (0, 1, 2)]
+    found = repeats.repeated_passages(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.start, r.end) for r in found) == repeats_by_brute_force(rows)
+    assert all(r.other_doc_id != r.doc_id for r in found)
+    assert {r.other_doc_id for r in found if r.doc_id in (300, 301)} == {300, 301}
+
+
 def test_repeats_are_cut_but_in_the_first_text(spark):
     passage = prose(70, 20)
     rows = [(k, f"{prose(60, 600 + k)} {passage}", "en", "a") for k in range(3)]
