@@ -19,8 +19,8 @@ from fieldglass.llm.shared import renamed, written
 #: Features are hashes of words, and of their first 4 and 5 bytes, modulo 2 ** FEATURE_BITS.
 FEATURE_BITS = 20
 PREFIXES = (4, 5)
-#: Features that the model keeps: those that occur in LEAST_TOXIC toxic texts or more, LEAST_LIFT times as often as in
-#: texts at large, with a chi-square of LEAST_CHI or more; the MOST_FEATURES with the greatest chi-square.
+#: Features that the model keeps: those that occur in LEAST_TOXIC toxic texts or more, at LEAST_LIFT times the rate in
+#: clean texts or more, with a chi-square of LEAST_CHI or more; the MOST_FEATURES with the greatest chi-square.
 LEAST_TOXIC, LEAST_LIFT, LEAST_CHI, MOST_FEATURES = 4, 3.0, 25.0, 4096
 #: Texts of each label that the weights are fitted on, at most; what features are kept is counted over all labelled texts.
 FIT_TEXTS = 10_000
@@ -148,9 +148,12 @@ def chosen_features(counts: DataFrame) -> np.ndarray:
         return identity_features()
     share = texts["toxic"] / texts["n"]
     expected = F.col("n") * share
+    # Rates in the texts of either label, with half a text added, so that the least lift can be met at any share of toxic texts.
+    rate = lambda of, among: (of + 0.5) / (among + 1.0)
+    lift = rate(F.col("toxic"), texts["toxic"]) / rate(F.col("n") - F.col("toxic"), texts["n"] - texts["toxic"])
     chi = (F.col("toxic") - expected) ** 2 / (expected * (1 - share))
     picked = (
-        counts.filter("feature >= 0").filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_LIFT * expected)).withColumn("chi", chi)
+        counts.filter("feature >= 0").filter((F.col("toxic") >= LEAST_TOXIC) & (lift >= LEAST_LIFT)).withColumn("chi", chi)
         .filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(MOST_FEATURES).select("feature").collect()
     )
     return np.unique(np.concatenate([identity_features(), np.array([r["feature"] for r in picked], np.int32)]))

@@ -469,6 +469,23 @@ def test_toxic_texts_are_found_and_neutral_mentions_are_not(spark):
     assert sum(got[1000 + k].predicted for k in range(20)) == 0 and got[2000].predicted == got[2001].predicted == 0
 
 
+@pytest.mark.parametrize("every, copies", [(2, 0), (5, 300)])
+def test_toxic_texts_are_found_where_labels_have_many(spark, every, copies):
+    insults = ["gronk", "blarfed", "snivelling"]
+    rows, labels = [], []
+    for k in range(600):
+        words = prose(40 + k % 100, 2000 + k).split()
+        if k % every == 0:
+            words[3:3] = [insults[k % 3], insults[(k + 1) % 3]]
+        rows.append((k, " ".join(words), "en", "a"))
+        labels.append((k, 1, int(k % every == 0)))
+    rows += [(3000 + k, f"{prose(30, 8000)} gronk blarfed", "en", "a") for k in range(copies)]
+    labels += [(3000 + k, 1, 1) for k in range(copies)]
+    assert sum(x[2] for x in labels) > len(labels) / 3
+    got = {r.doc_id: r.predicted for r in toxicity.learn_and_score(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(got[k] != toxic for k, _, toxic in labels) <= 6
+
+
 def test_swapped_terms_get_like_weights():
     own, other = toxicity._features_of(["women"])[0][0], toxicity._features_of(["boys"])[0][0]
     features = np.unique(np.concatenate([own, other]))
