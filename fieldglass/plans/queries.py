@@ -395,10 +395,16 @@ def box_matching(spark, sf):
     return boxes.scores(boxes.matched(rows.filter("box_id % 2 = 0"), rows.filter("box_id % 2 = 1"), ["frame", "label"], 0.3), ["label"])
 
 
+@query("q_frame_order", "SELECT d.doc_id, coalesce(quality, 1) AS q, n_chars FROM documents d LEFT JOIN labels USING (doc_id) ORDER BY coalesce(toxic, 0) DESC, n_chars, d.doc_id")
+def frame_order(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", "n_chars").join(read(spark, sf, "labels"), "doc_id", "left").withColumn("disputed", F.coalesce("toxic", F.lit(0)))
+    return boxes.review_order(rows, "disputed", "n_chars", "doc_id").select("doc_id", F.coalesce("quality", F.lit(1)).alias("q"), "n_chars")
+
+
 @query("q_review_order", "SELECT d.doc_id, coalesce(quality, 1) AS q, n_chars FROM documents d LEFT JOIN labels USING (doc_id) ORDER BY coalesce(toxic, 0) DESC, n_chars, d.doc_id LIMIT 100")
 def review_order(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", "n_chars").join(read(spark, sf, "labels"), "doc_id", "left").withColumn("disputed", F.coalesce("toxic", F.lit(0)))
-    return boxes.review_order(rows, "disputed", "n_chars", "doc_id").limit(100).select("doc_id", F.coalesce("quality", F.lit(1)).alias("q"), "n_chars")
+    """The first page of q_frame_order, which has the whole order."""
+    return frame_order(spark, sf).limit(100)
 
 
 # --- text, hashes, keys, nested
