@@ -47,7 +47,8 @@ def word_wise(path: str) -> bool:
 class Encoder:
     """texts -> ids, the same as Tokenizer.encode(text, add_special_tokens=False).
 
-    Words are known by a 64-bit hash; two of a worker's words share one with a probability of about 1e-7.
+    Words that were encoded before are told apart by 128 bits: those of up to 15 bytes by the bytes themselves, longer
+    ones by a cryptographic hash.
     """
 
     def __init__(self, path: str):
@@ -66,41 +67,36 @@ class Encoder:
 
     def clear(self) -> None:
         self.mask = (1 << 16) - 1
-        self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
-        self.hashes = np.zeros(0, np.uint64)
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
         self.n = self.n_ids = 0
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The number of each word, -1 if it isn't known."""
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        there = self.keys[slot]
-        out = np.where(there == h, self.slots[slot], -1)
-        open_ = np.flatnonzero((there != h) & (there != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            there = self.keys[slot[open_]]
-            hit = there == h[open_]
-            out[open_[hit]] = self.slots[slot[open_[hit]]]
-            open_ = open_[~hit & (there != 0)]
+        slot = (W.fold(low, high) & np.uint64(self.mask)).astype(np.int64)
+        out, todo = np.full(len(low), -1, np.int64), np.arange(len(low))
+        while len(todo):
+            there = self.slots[slot]
+            some = there >= 0
+            todo, slot, there = todo[some], slot[some], there[some]
+            hit = (self.low[there] == low[todo]) & (self.high[there] == high[todo])
+            out[todo[hit]] = there[hit]
+            todo, slot = todo[~hit], (slot[~hit] + 1) & self.mask
         return out
 
-    def _place(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        slot, todo = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+    def _place(self, numbers: np.ndarray) -> None:
+        slot, todo = (W.fold(self.low[numbers], self.high[numbers]) & np.uint64(self.mask)).astype(np.int64), numbers
         while len(todo):
-            free = todo[self.keys[slot[todo]] == 0]
-            self.keys[slot[free]] = h[free]
-            won = free[self.keys[slot[free]] == h[free]]
-            self.slots[slot[won]] = numbers[won]
-            done = np.zeros(len(h), bool)
-            done[won] = True
-            todo = todo[~done[todo]]
-            slot[todo] = (slot[todo] + 1) & self.mask
-
-    def add(self, h: np.ndarray, found: list[str]) -> None:
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]
+            lost = self.slots[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & self.mask
+
+    def add(self, low: np.ndarray, high: np.ndarray, found: list[str]) -> None:
         """Encode words that aren't known, and keep them."""
         ids: list[list[int] | None] = [None] * len(found)
         plain = [i for i, w in enumerate(found) if WHOLE.fullmatch(w)]
@@ -116,22 +112,22 @@ class Encoder:
             ids[i] = x
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate([np.asarray(x, self.kind) for x in ids]).astype(self.kind)
-        if self.n + len(h) > len(self.start):
-            room = max(1 << 14, 2 * (self.n + len(h)))
-            self.start, self.length, self.hashes = (np.resize(x, room) for x in (self.start, self.length, self.hashes)) if self.n else (np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.uint64))
+        if self.n + len(low) > len(self.start):
+            room = max(1 << 14, 2 * (self.n + len(low)))
+            grown = lambda x: np.concatenate([x[: self.n], np.zeros(room - self.n, x.dtype)])
+            self.start, self.length, self.low, self.high = map(grown, (self.start, self.length, self.low, self.high))
         if self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(1 << 15, self.n_ids + 2 * len(flat)), self.kind)])
-        new = slice(self.n, self.n + len(h))
-        self.start[new], self.length[new], self.hashes[new] = self.n_ids + np.cumsum(lengths) - lengths, lengths, h
+        new = slice(self.n, self.n + len(low))
+        self.start[new], self.length[new], self.low[new], self.high[new] = self.n_ids + np.cumsum(lengths) - lengths, lengths, low, high
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        before, self.n, self.n_ids = self.n, self.n + len(h), self.n_ids + len(flat)
+        before, self.n, self.n_ids = self.n, self.n + len(low), self.n_ids + len(flat)
         if 5 * self.n > 2 * self.mask:
             while 5 * self.n > 2 * self.mask:
                 self.mask = 2 * self.mask + 1
-            self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
-            self._place(self.hashes[: self.n], np.arange(self.n))
-        else:
-            self._place(h, np.arange(before, self.n))
+            self.slots = np.full(self.mask + 1, -1, np.int32)
+            before = 0
+        self._place(np.arange(before, self.n))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts data[at[i]:at[i + 1]]."""
@@ -144,18 +140,18 @@ class Encoder:
         cut[1:] &= (kind[1:] != 0) & (kind[1:] != 3)
         starts, lengths, row = W.spans(kind != 0, at, cut)
         lower = W.LOWER[data]
-        h = W.hashes(lower, kind != 0, starts, lengths)
-        h[h == 0] = 1
+        low, high = W.word_values(lower, starts, lengths)
         if self.n > MOST_WORDS:
             self.clear()
-        number = self.find(h)
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            new, first = np.unique(h[missing], return_index=True)
-            raw = lower.tobytes()
-            begin, size = starts[missing[first]], lengths[missing[first]]
-            self.add(new, [raw[b : b + n].decode("utf-8", "replace") for b, n in zip(begin.tolist(), size.tolist(), strict=True)])
-            number[missing] = self.find(h[missing])
+        number = self.find(low, high)
+        raw = None
+        while len(missing := np.flatnonzero(number < 0)):
+            # One word of each hash; should two words share one, the other is left for the next turn.
+            first = missing[np.unique(W.fold(low[missing], high[missing]), return_index=True)[1]]
+            raw = lower.tobytes() if raw is None else raw
+            words = [raw[b : b + n].decode("utf-8", "replace") for b, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
+            self.add(low[first], high[first], words)
+            number[missing] = self.find(low[missing], high[missing])
         n = self.length[number]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.start[number] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: The low n bytes of a word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, U)
 
@@ -85,21 +88,31 @@ def spans(kept: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> tu
     return starts, np.diff(begin, append=len(where)), np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, kept: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run."""
-    if not len(starts):
-        return np.zeros(0, U)
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    terms = (data[kept].astype(U) + U(1)) * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, begin) + lengths.astype(U) * U(0xD6E8FEB86659FD93))
+def word_values(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (low, high) for each run of bytes: a word of up to 15 bytes itself with its length, else its BLAKE2b."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    low = eight[starts] & _MASKS[np.minimum(lengths, 8)]
+    high = eight[starts + 8] & _MASKS[np.clip(lengths - 8, 0, 7)] | lengths.astype(U) << U(56)
+    long = np.flatnonzero(lengths >= 16)
+    if len(long):
+        raw, begin = memoryview(np.ascontiguousarray(data)), starts[long].tolist()
+        digests = b"".join(blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(begin, lengths[long].tolist(), strict=True))
+        pair = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long], high[long] = pair[:, 0], pair[:, 1] | U(0xFF << 56)
+    return low, high
+
+
+def fold(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 128-bit values, in which either half is multiplied into the other before both are mixed."""
+    return mix(mix(low ^ high * U(0xD6E8FEB86659FD93)) + mix(high + low * U(0xA0761D6478BD642F)) * U(0xE7037ED1A0B428DB))
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: hashes, starts, lengths in bytes, and each row's first word."""
     kept = ~SPACE[data]
     starts, lengths, row = spans(kept, at)
-    return hashes(LOWER[data], kept, starts, lengths), starts, lengths, row
+    return fold(*word_values(LOWER[data], starts, lengths)), starts, lengths, row
 
 
 def windows(values: np.ndarray, width: int, seed: int) -> np.ndarray:
