@@ -17,10 +17,16 @@ LEAST_WORDS = 50
 #: Words hashed at a position, and how many positions in a row have at least one that is kept.
 GRAM = 16
 SPREAD = LEAST_WORDS - GRAM + 1
+#: Words to either side of a gram that a passage of LEAST_WORDS around it can have.
+SIDE = LEAST_WORDS - GRAM
+#: Suffixes of one gram that one task sorts. Passages around a gram that has more are counted over all tasks instead.
+GROUP = 2048
+#: Stands for a null id, which is larger than any other.
+NO_ID = (1 << 63) - 1
 
 
 def least_places(h: np.ndarray) -> np.ndarray:
-    """For every SPREAD hashes in a row the position of the least, the last of equal ones."""
+    """For every SPREAD hashes in a row the position of the least, the last of equal ones; never decreasing."""
     if len(h) < SPREAD:
         return np.zeros(0, np.int64)
     # Least of each SPREAD in a row by doubling: windows of 1, 2, 4, ... that overlap. Ties go to the later position.
@@ -34,239 +40,334 @@ def least_places(h: np.ndarray) -> np.ndarray:
     return at
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Positions whose hash is the least of some SPREAD in a row, the last of equal ones; increasing."""
-    return np.unique(least_places(h))
+class Words:
+    """The hashed words of some texts in a row, their grams, and the windows of LEAST_WORDS words by their minimiser.
+
+    first[k] is the first word of text k. place holds the kept positions in order; window k of those that lie within a
+    text starts at start[k]; the windows of place[i] are those from begin[i] to begin[i + 1].
+    """
 
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.hash, _, _, self.first = W.word_hashes(data, at)
+        self.gram = W.windows(self.hash, GRAM, 6)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
+        self.start = np.flatnonzero(np.arange(len(self.hash)) + LEAST_WORDS <= self.first[1:][text])
+        least = least_places(self.gram)[self.start]
+        new = np.flatnonzero(np.diff(least, prepend=-1))
+        self.place, self.begin = least[new], np.append(new, len(least))
+        self.text = text[self.place]
 
-#: Words to either side of a gram that a passage of LEAST_WORDS around it can have.
-SIDE = LEAST_WORDS - GRAM
-#: How many suffixes further on each is compared with; grams with up to NEIGHBOURS + 1 suffixes have all pairs compared.
-NEIGHBOURS = 4
-#: Windows of grams with more than 1 / HOT_SHARE of all suffixes are counted in the map tasks first.
-HOT_SHARE = 1000
 
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... size[0] of them, then those of begin[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
-def grams(h: np.ndarray) -> np.ndarray:
-    return W.windows(h, GRAM, 6)
+
+def fixed(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a matrix of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """(key, text) -> key, n_words, and the hashes and positions of the grams kept."""
+    """(id, key, text) -> id, key, n_words, and the hashes and positions of the grams kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, found, places = [], [], []
-            data, at = W.texts(batch.column(1))
+            data, at = W.texts(batch.column(2))
+            n, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, j in W.chunks(at):
-                h, _, _, row = W.word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                g, ends = grams(h), row.tolist()
-                for a, b in zip(ends, ends[1:], strict=False):
-                    own = g[a : b - GRAM + 1] if b - a >= LEAST_WORDS else g[:0]
-                    kept = minimisers(own)
-                    n.append(b - a)
-                    found.append(own[kept])
-                    places.append(kept)
-            ends = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            where = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(where))], ["key", "n_words", "grams", "places"])
-
-    return docs.mapInArrow(run, "key binary, n_words long, grams array<long>, places array<int>")
-
-
-def windows(docs: DataFrame, least: int, most: int | None = None) -> DataFrame:
-    """(key, text, places, counts) -> hash of each LEAST_WORDS words whose minimiser's count is from least to most, the key's hash, the start."""
-    wanted = lambda n: (n >= least) & (n <= most) if most else n >= least
+                x = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                n.append(np.diff(x.first))
+                sizes.append(np.bincount(x.text, minlength=j - i))
+                found.append(x.gram[x.place])
+                places.append(x.place - x.first[x.text])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(n)), *lists], ["id", "key", "n_words", "grams", "places"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, places, counts = (batch.column(c) for c in (0, 2, 3))
-            data, at = W.texts(batch.column(1))
-            for i, j in W.chunks(at):
-                h, _, _, row = W.word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                g, whole, ends = grams(h), W.windows(h, LEAST_WORDS, 7), row.tolist()
-                found, starts, sizes = [], [], []
-                for d, a, b in zip(range(i, j), ends, ends[1:], strict=False):
-                    kept = np.zeros(max(0, b - a), bool)
-                    kept[places[d].values.to_numpy()[wanted(counts[d].values.to_numpy())]] = True
-                    own = np.flatnonzero(kept[least_places(g[a : b - GRAM + 1])]) if b - a >= LEAST_WORDS else np.zeros(0, np.int64)
-                    found.append(whole[a + own])
-                    starts.append(own)
-                    sizes.append(len(own))
-                hashes = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([hashes, k.take(pa.array(np.repeat(np.arange(i, j), sizes))), pa.array(np.concatenate(starts).astype(np.int32))], ["hash", "k", "start"])
-
-    some = docs.filter(F.exists("counts", wanted)).select(F.xxhash64("key").alias("k"), "text", "places", "counts")
-    return some.mapInArrow(run, "hash long, k long, start int")
-
-
-def repeated_windows(docs: DataFrame, total: int) -> DataFrame:
-    """(key, text, places, counts) -> k, start, end, other: runs of windows that occur twice, of grams with over NEIGHBOURS + 1 of the total suffixes.
-
-    k and other are hashes of keys; other is k only if no other text has any window of the run.
-    """
-    many = max(NEIGHBOURS + 1, total // HOT_SHARE)
-    each = Window.partitionBy("hash")
-    few = windows(docs, NEIGHBOURS + 2, many).select("k", "start", F.count("*").over(each).alias("n"), F.min("k").over(each).alias("lo"), F.max("k").over(each).alias("hi")).filter("n > 1").drop("n")
-    hot = windows(docs, many + 1)
-    twice = written(hot.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).filter("n > 1"), "windows")
-    hot = lookup(hot, twice, "hash", "n", twice.agg(F.sum("n")).first()[0] or 0, "inner").select("k", "start", "lo", "hi")
-    by_start = Window.partitionBy("k").orderBy("start")
-    found = few.union(hot).select("k", "start", F.when(F.col("lo") != F.col("k"), F.col("lo")).otherwise(F.col("hi")).alias("other"))
-    new = found.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(by_start) + LEAST_WORDS).cast("int"), F.lit(1)))
-    runs = new.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("k", "run")
-    other = F.coalesce(F.min(F.when(F.col("other") != F.col("k"), F.col("other"))), F.first("k")).alias("other")
-    return runs.agg(F.min("start").alias("start"), (F.max("start") + LEAST_WORDS).alias("end"), other).drop("run")
-
-
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, text, places, counts) -> for each place its gram, 16-bit hashes of the words on either side, and its count.
-
-    Past an end of the text stand hashes of the text's key, the place and the side, which agree with no other text's.
+    return docs.mapInArrow(run, "id long, key binary, n_words long, grams array<long>, places array<int>")
+
+
+def _marked_places(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, position) of the listed places of rows i to j; column 3 holds them."""
+    lists = batch.column(3).slice(i, j - i)
+    return np.repeat(np.arange(j - i), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+
+
+def suffixes(texts: DataFrame) -> DataFrame:
+    """(id, key, text, places) -> a row for each place: its gram, its context to the right and to the left as a byte for each of
+    SIDE words, and of the windows whose minimiser it is the hashes, and how far before the place the first one starts.
+
+    Context past an end of the text is 0. It serves to sort suffixes and to rule out; windows are compared by their hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, counts = (batch.column(k) for k in (0, 2, 3))
-            data, at = W.texts(batch.column(1))
+            data, at = W.texts(batch.column(2))
             for i, j in W.chunks(at):
-                h, _, _, row = W.word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                g = grams(h)
-                short = (h >> np.uint64(48)).astype(np.uint16)
-                sizes = np.array([len(places[k]) for k in range(i, j)])
-                doc = np.repeat(np.arange(i, j), sizes)
-                own = np.concatenate([np.zeros(0, np.int64), *(places[k].values.to_numpy() for k in range(i, j))])
-                number = np.concatenate([np.zeros(0, np.int64), *(counts[k].values.to_numpy() for k in range(i, j))])
-                a, b = row[doc - i], row[doc - i + 1]
-                at_word = a + own
-                right = at_word[:, None] + GRAM + np.arange(SIDE)
-                left = at_word[:, None] - 1 - np.arange(SIDE)
-                outside = W.mix(np.arange(len(own), dtype=np.uint64)[:, None] * np.uint64(977) + np.arange(SIDE, dtype=np.uint64) + h[:1].sum()).astype(np.uint16)
-                take = lambda x, ok: np.where(ok, short[np.clip(x, 0, len(short) - 1)], outside).astype(">u2")
-                r, l = take(right, right < b[:, None]), take(left, left >= a[:, None])
-                r_in, l_in = np.minimum(b - at_word - GRAM, SIDE), np.minimum(at_word - a, SIDE)
-                width = SIDE * 2
-                fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(x.tobytes())])
+                x = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                text, own = _marked_places(batch, i, j)
+                if not len(own):
+                    continue
+                a, b = x.first[text], x.first[text + 1]
+                place = a + own
+                number = np.searchsorted(x.place, place)
+                begin, size = x.begin[number], x.begin[number + 1] - x.begin[number]
+                short, whole = (x.hash >> np.uint64(56)).astype(np.uint8), W.windows(x.hash, LEAST_WORDS, 7)
+                take = lambda where, ok: np.where(ok, short[np.clip(where, 0, len(short) - 1)], np.uint8(0))
+                right, left = place[:, None] + GRAM + np.arange(SIDE), place[:, None] - 1 - np.arange(SIDE)
+                hashes = np.ascontiguousarray(whole[x.start[gathered(begin, size)]])
+                ends = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
+                rows = pa.array(i + text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[at_word].view(np.int64)), fixed(r), fixed(l), pa.array(r_in.astype(np.int16)), pa.array(l_in.astype(np.int16)), pa.array(number), keys.take(pa.array(doc)), pa.array(own.astype(np.int32))],
-                    ["gram", "right", "left", "r_in", "l_in", "n", "key", "place"],
+                    [
+                        pa.array(x.gram[place].view(np.int64)), fixed(take(right, right < b[:, None])), fixed(take(left, left >= a[:, None])),
+                        pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(hashes)]),
+                        pa.array((place - x.start[begin]).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(own.astype(np.int32)),
+                    ],
+                    ["gram", "right", "left", "windows", "before", "id", "key", "place"],
                 )
 
-    return docs.mapInArrow(run, "gram long, right binary, left binary, r_in short, l_in short, n long, key binary, place int")
+    return texts.mapInArrow(run, "gram long, right binary, left binary, windows binary, before int, id long, key binary, place int")
+
+
+def _reach(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """How many words each suffix has in common with a neighbour, where rows are in order of gram and context."""
+    same = np.logical_and.accumulate(context[1:] == context[:-1], axis=1).sum(axis=1)
+    same = np.concatenate([[-1], np.where(gram[1:] == gram[:-1], same, -1), [-1]])
+    return np.maximum(same[1:], same[:-1])
+
+
+def _matched(table: pa.RecordBatch) -> pa.RecordBatch | None:
+    """All suffixes of some grams, sorted by gram and context to the right -> key, start, end, other, first."""
+    gram, before, ids, place = (table.column(k).to_numpy() for k in (0, 4, 5, 7))
+    right, left = (W.texts(table.column(k))[0].reshape(len(gram), SIDE) for k in (1, 2))
+    key = W.texts(table.column(6))[0].reshape(len(gram), 16)
+    raw, ends = W.texts(table.column(3))
+    hashes, begin, size = np.frombuffer(raw.tobytes(), np.uint64), ends[:-1] // 8, np.diff(ends) // 8
+    # How far each suffix agrees with its neighbours to the right, and in the order of what stands to the left, to the left.
+    ahead = _reach(gram, right)
+    padded = np.zeros((len(gram), 40), np.uint8)
+    padded[:, :SIDE] = left
+    order = np.lexsort((*padded.view(">u8").T[::-1], gram))
+    behind = np.empty(len(gram), np.int64)
+    behind[order] = _reach(gram[order], left[order])
+    # Windows within that reach, those of the least text first.
+    some = np.flatnonzero(ahead + behind >= SIDE)
+    some = some[np.lexsort((place[some], *key[some].view(">u8").T[::-1], ids[some]))]
+    row = np.repeat(some, size[some])
+    which = gathered(np.zeros(len(some), np.int64), size[some])
+    shift = before[row] - which
+    ok = (shift <= behind[row]) & (SIDE - shift <= ahead[row])
+    row, shift, found = row[ok], shift[ok], hashes[(begin[row] + which)[ok]]
+    if not len(row):
+        return None
+    # Equal windows; they are in the order of their texts.
+    order = np.argsort(found, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (found[order][1:] != found[order][:-1]) | (gram[row[order]][1:] != gram[row[order]][:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(at, append=len(order))
+    own, least, most = ids[row[order]], np.repeat(ids[row[order[at]]], times), np.repeat(ids[row[order[at + times - 1]]], times)
+    other, first, twice = (np.empty(len(order), x) for x in (np.int64, bool, bool))
+    other[order] = np.where(least != own, least, np.where(most != own, most, NO_ID))
+    first[order], twice[order] = new, np.repeat(times > 1, times)
+    row, start, other, first = row[twice], (place[row] - shift)[twice], other[twice], first[twice]
+    if not len(row):
+        return None
+    # Windows of one suffix that follow each other are one row.
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    columns = [table.column(6).take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array((start[last] + LEAST_WORDS).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum.reduceat(other, at)), pa.array(first[at])], _SPAN)
+
+
+_SPAN = ["key", "start", "end", "other", "first"]
+_SPANS = "key binary, start int, end int, other long, first boolean"
+
+
+def compared(ordered: DataFrame) -> DataFrame:
+    """Suffixes sorted by gram and context, all of a gram in one partition -> spans of windows that stand twice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram = batch.column(0).to_numpy()
+            # The last gram of a batch may go on in the next one.
+            done = int(np.searchsorted(gram, gram[-1]))
+            if done or (held and held[-1].column(0)[-1].as_py() != gram[-1]):
+                if found := _matched(pa.concat_batches([*held, batch.slice(0, done)])):
+                    yield found
+                held = []
+            held.append(batch.slice(done))
+        if held and (found := _matched(pa.concat_batches(held))):
+            yield found
+
+    return ordered.mapInArrow(run, _SPANS)
 
-def neighbours(ordered: DataFrame) -> DataFrame:
-    """Sorted suffixes -> key, start, end, other (a text that has the passage too), each from the longest match to either side."""
 
-    def fixed(column: pa.Array) -> np.ndarray:
-        data, at = W.texts(column)
-        return data.reshape(len(at) - 1, -1)
+def common_windows(texts: DataFrame) -> DataFrame:
+    """(id, key, text, places) -> a row for each window whose minimiser is one of the places: hash (with the gram's), id, key, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = batch if held is None else pa.concat_batches([held, batch])
-            seen = 0 if held is None else held.num_rows
-            held = table.slice(max(0, table.num_rows - NEIGHBOURS))
-            g, r_in, l_in, place = (table.column(k).to_numpy() for k in (0, 3, 4, 7))
-            right, left, keys = fixed(table.column(1)).view(">u2"), fixed(table.column(2)).view(">u2"), fixed(table.column(6))
-            who, lo, hi, other = [], [], [], []
-            for step in range(1, NEIGHBOURS + 1):
-                a = np.arange(max(0, seen - step), table.num_rows - step)
-                a = a[g[a] == g[a + step]]
-                b = a + step
-                ahead = np.minimum(np.logical_and.accumulate(right[a] == right[b], axis=1).sum(axis=1), np.minimum(r_in[a], r_in[b]))
-                behind = np.minimum(np.logical_and.accumulate(left[a] == left[b], axis=1).sum(axis=1), np.minimum(l_in[a], l_in[b]))
-                ok = ahead + behind + GRAM >= LEAST_WORDS
-                a, b, ahead, behind = a[ok], b[ok], ahead[ok], behind[ok]
-                for x, y in ((a, b), (b, a)):
-                    who.append(x)
-                    other.append(y)
-                    lo.append(place[x] - behind)
-                    hi.append(place[x] + GRAM + ahead)
-            x, y, lo, hi = (np.concatenate(z) for z in (who, other, lo, hi))
-            across = (keys[x] != keys[y]).any(axis=1)
-            # Of a suffix's matches here, one row: the union, and a partner in another text if there is one.
-            order = np.lexsort((~across, x))
-            x, y, lo, hi = x[order], y[order], lo[order], hi[order]
-            first = np.flatnonzero(np.diff(x, prepend=-1))
-            if len(first):
-                least, most = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
-                key = table.column(6)
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(x[first])), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), key.take(pa.array(y[first]))], ["key", "start", "end", "other"])
-
-    return ordered.mapInArrow(run, "key binary, start int, end int, other binary")
+            data, at = W.texts(batch.column(2))
+            for i, j in W.chunks(at):
+                x = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                text, own = _marked_places(batch, i, j)
+                number = np.searchsorted(x.place, x.first[text] + own)
+                size = x.begin[number + 1] - x.begin[number]
+                start, text = x.start[gathered(x.begin[number], size)], np.repeat(text, size)
+                pair = np.stack([np.repeat(x.gram[x.place[number]], size), W.windows(x.hash, LEAST_WORDS, 7)[start]], axis=1)
+                rows = pa.array(i + text)
+                columns = [fixed(pair.view(np.uint8)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - x.first[text]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "key", "start"])
+
+    return texts.mapInArrow(run, "hash binary, id long, key binary, start int")
+
+
+def counted(windows: DataFrame) -> DataFrame:
+    """Spans of the windows that stand twice, counted in the map tasks first."""
+    least = F.min(F.struct("id", "key", "start")).alias("least")
+    twice = written(windows.groupBy("hash").agg(F.count("*").alias("n"), least, F.max("id").alias("most")).filter("n > 1"), "windows")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    found = lookup(windows, twice, "hash", "n", total, "inner")
+    other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
+    first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
+    return found.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
+
+
+def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, key, text) -> the rows' id, key, n_words, and the spans of each distinct text of windows that stand twice.
+
+    Equal texts are one here. A span's `first` says that its windows stand here first, by id, text and position.
+    """
+    marked = written(anchored(rows.select("id", "key", "text")), "anchors")
+    once = marked.filter(F.size("grams") > 0).select("key", "grams", "places").dropDuplicates(["key"])
+    pairs = F.explode(F.arrays_zip(F.col("grams").alias("g"), F.col("places").alias("p"))).alias("x")
+    each = once.select("key", pairs).select("key", F.col("x.g").alias("gram"), F.col("x.p").alias("place"))
+    shared = written(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hits = lookup(each, shared.withColumn("_n", F.col("n")), "gram", "_n", total, "inner").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
+    # One row of each text: copies are dropped in the map tasks first.
+    whole = rows.groupBy("key").agg(F.first("text").alias("text"), F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"))
+    texts = written(whole.join(hits, "key").select("id", "key", "text", "hits"), "shared_texts")
+    of = lambda wanted: texts.select("id", "key", "text", F.filter("hits", wanted)["place"].alias("places")).filter(F.size("places") > 0)
+    ordered = suffixes(of(lambda x: x["n"] <= GROUP)).repartition("gram").sortWithinPartitions("gram", "right")
+    return marked.select("id", "key", "n_words"), compared(ordered).union(counted(common_windows(of(lambda x: x["n"] > GROUP))))
+
+
+def _islands(spans: DataFrame, *more: str) -> DataFrame:
+    """Spans of a key that meet or overlap, put together: key, run, start, end, other."""
+    by_start = Window.partitionBy("key", *more).orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    numbered = new.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("key", *more, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("run")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, **more) -> DataFrame:
+    rows = renamed(docs, id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")), **more)
+    return rows.withColumn("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+
+
+def _classes(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of LEAST_WORDS words or more that stand elsewhere too, in another or the same text.
 
     One row for each maximal run of such words in each input row: doc_id, start, end (in words, end not included),
-    n_words (of the run), doc_words, other_doc_id (the least id of some text that shares part of the run; the row's own id
-    if only the text itself does). Rows without any are left out. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
-
-    Suffixes are kept at minimiser positions of GRAM-word hashes, one in any SPREAD, so that each passage of LEAST_WORDS words
-    has one. Grams that occur once are dropped. Suffixes of those that occur up to NEIGHBOURS + 1 times are all compared with
-    each other, forwards and, from the gram, backwards; LEAST_WORDS words have to agree in all. Words beside a gram are
-    compared by 16 bits, so one end in 65,000 may be a word off. Of the grams that occur more often, each LEAST_WORDS words
-    that have one as their minimiser are hashed to 64 bits, and those whose hash occurs twice are marked. Equal texts are
-    worked on once: if two rows have the same text of LEAST_WORDS words, their run is the whole text.
+    n_words (of the run), doc_words, other_doc_id (an id other than the row's own of a text that shares part of the run;
+    the row's own id if only rows of that id, or of none, do). Rows without any are left out. Words are
+    [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
+
+    Suffixes are kept at minimiser positions of GRAM-word hashes, one in any SPREAD, so that the same one is kept in each
+    copy of a passage of LEAST_WORDS words. Grams that occur once are dropped. The suffixes of the others are sorted by what
+    follows; neighbours are compared forwards, and in the order of what precedes, backwards. A passage can only lie as far
+    as these reach; each LEAST_WORDS words there are compared with all others around the same gram, by 64 bits of the gram's
+    words and 64 of their own, so neither the number of suffixes nor of partitions decides what is found. Passages around
+    a gram with over GROUP suffixes, which one task couldn't sort, are counted by the same 128 bits over all tasks. Equal
+    texts (by 128 bits of SHA-256) are worked on once: if two rows have the same text of LEAST_WORDS words, their run is
+    the whole text.
 
     Null, empty and shorter texts have no passages; ids may be null or repeated, and rows count as copies of each other
     whatever their ids; other columns are ignored; an empty table gives an empty result.
     """
-    rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit(""))).withColumn("key", F.unhex(F.md5("text")))
-    listed = rows.select("doc_id", "key").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    classes = written(listed, "texts")
-    marked = written(anchored(rows.select("key", "text")), "anchors")
-    once = marked.dropDuplicates(["key"])
-    each = once.select("key", F.explode(F.arrays_zip(F.col("grams").alias("g"), F.col("places").alias("p"))).alias("x")).select("key", F.col("x.g").alias("gram"), F.col("x.p").alias("place"))
-    shared = written(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    hits = each.join(shared, "gram").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
-    wanted = hits.select("key", F.col("hits.place").alias("places"), F.col("hits.n").alias("counts"))
-    # One row of each text: copies are dropped in the map tasks first.
-    texts = written(rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("key", "text", "places", "counts"), "shared_texts")
-    pairs = F.filter(F.arrays_zip("places", "counts"), lambda x: x["counts"] <= NEIGHBOURS + 1)
-    rare = texts.withColumn("pairs", pairs).filter(F.size("pairs") > 0).select("key", "text", F.col("pairs.places").alias("places"), F.col("pairs.counts").alias("counts"))
-    cut = written(suffixes(rare), "suffixes", "lz4")
-    ordered = cut.repartition("gram").sortWithinPartitions("gram", "right", "left", "key", "place")
-    near = neighbours(ordered).withColumn("other", F.xxhash64("other"))
-    far = repeated_windows(texts, total).join(classes.select("key", F.xxhash64("key").alias("k")), "k")
-    return _merged(near.select("key", "start", "end", "other").union(far.select("key", "start", "end", "other")), classes, marked, rows)
-
-
-def _merged(spans: DataFrame, classes: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
-    by_start = Window.partitionBy("key").orderBy("start", "end")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    own = F.xxhash64("key")
-    other = F.coalesce(F.min(F.when(F.col("other") != own, F.col("other"))), F.first(own)).alias("other")
-    runs = written(islands.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), other), "islands")
-    # Of a passage that many texts have, all name the same other text.
-    ids = classes.groupBy(F.xxhash64("key").alias("other")).agg(F.min("least_id").alias("other_id"))
-    uses = runs.groupBy("other").agg(F.count("*").alias("uses"))
-    named = lookup(runs, written(ids.join(uses, "other"), "others"), "other", "uses", runs.count(), "inner")
-    lists = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "other_id"))).alias("runs"))
-    sizes = marked.select("key", "n_words").distinct()
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("least_id").alias("other_id")))
-    found = classes.join(sizes, "key").join(lists, "key", "left").withColumn(
-        "runs", F.when((F.col("copies") > 1) & (F.col("n_words") >= LEAST_WORDS), whole).otherwise(F.col("runs"))
+    marked, spans = _spans(_keyed(docs, id_col, text_col))
+    lists = _islands(spans).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "other"))).alias("runs"))
+    classes = _classes(marked)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.coalesce("least_id", F.lit(NO_ID)).alias("other")))
+    full = (F.col("copies") > 1) & (F.col("n_words") >= LEAST_WORDS)
+    found = classes.join(lists, "key", "left").withColumn("runs", F.when(full, whole).otherwise(F.col("runs"))).filter(F.size("runs") > 0)
+    texts = written(found.select("key", "n_words", "runs", "copies", "most_id"), "runs")
+    total = texts.agg(F.sum("copies")).first()[0] or 0
+    out = lookup(marked.select("id", "key"), texts, "key", "copies", total, "inner").select("id", "n_words", "most_id", F.explode("runs").alias("r"))
+    # The whole text's other row: the least id, or for that row itself the greatest.
+    mine = F.col("r.other").eqNullSafe(F.col("id"))
+    other = F.when(mine, F.col("most_id")).when(F.col("r.other") != NO_ID, F.col("r.other"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), (F.col("r.end") - F.col("r.start")).alias("n_words"),
+        F.col("n_words").alias("doc_words"), F.coalesce(other, F.col("id")).alias("other_doc_id"),
     )
-    texts = written(found.filter(F.size("runs") > 0).select("key", "n_words", "runs", "copies"), "runs")
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    out = lookup(rows.select("doc_id", "key"), texts, "key", "copies", total, "inner").select("doc_id", "n_words", F.explode("runs").alias("r"))
-    return out.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), (F.col("r.end") - F.col("r.start")).alias("n_words"), F.col("n_words").alias("doc_words"), F.col("r.other_id").alias("other_doc_id"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text without the words of repeated passages; the row with the least id of each passage's texts is left whole."""
-    spans = repeated_passages(docs, id_col, text_col).filter("doc_id <> other_doc_id")
-    cut = spans.filter(F.col("other_doc_id") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
-    both = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col)).join(cut, "doc_id", "left")
-    left = F.filter(F.transform(words, lambda w, i: F.when(F.exists(F.coalesce("cuts", F.array().cast("array<struct<start:int,end:int>>")), lambda c: (c["start"] <= i) & (i < c["end"])), None).otherwise(w)), lambda w: w.isNotNull())
-    return both.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(left, " ")).alias("text"))
+    """The rows of docs, with all their columns, their texts without the words of repeated passages.
+
+    Each LEAST_WORDS words in a row that stand several times are left whole where they stand first, by id (null last), text
+    and position; a word goes only if it is part of such words that stand elsewhere before, and of none that stand first
+    here. So each passage stays whole in one place at least. Of rows with equal texts of LEAST_WORDS words or more all but
+    the first become empty. Cuts are made row by row, whatever the ids, which may be null or repeated; the white space
+    before a cut goes with it. Null and shorter texts stay as they are; an empty table gives an empty result.
+    """
+    kept = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")), "rows")
+    rows = _keyed(kept, f"all.{id_col}", f"all.{text_col}", row=F.col("row"))
+    marked, spans = _spans(rows)
+    runs = _islands(spans, "first").groupBy("key")
+    pick = lambda own: F.collect_list(F.when(F.col("first") == own, F.struct("start", "end")))
+    lists = runs.agg(pick(False).alias("cuts"), pick(True).alias("firsts"))
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), order).select("key", "copies", F.col("f.row").alias("first_row"))
+    sizes = marked.groupBy("key").agg(F.first("n_words").alias("n_words"))
+    texts = copies.join(sizes, "key").join(lists, "key", "left").filter("cuts is not null or copies > 1")
+    found = written(texts.filter(F.col("n_words") >= LEAST_WORDS), "cuts")
+    total = found.agg(F.sum("copies")).first()[0] or 0
+    one = lookup(rows.select("row", "key"), found, "key", "copies", total, "inner")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    copy = F.col("row") != F.col("first_row")
+    cuts = F.when(copy, whole).otherwise(F.col("cuts"))
+    firsts = F.when(copy, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.col("firsts"))
+    mine = one.select("row", cuts.alias("cuts"), firsts.alias("firsts")).filter(F.size("cuts") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts, firsts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                out.append(text if not cuts or text is None else _cut(text.encode(), cuts, firsts or []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+
+    changed = kept.join(mine, "row").select("row", F.col(f"all.{text_col}"), "cuts", "firsts").mapInArrow(run, "row long, text string")
+    both = kept.join(changed.withColumnRenamed("text", "_left"), "row", "left")
+    text = F.when(F.col("_left").isNotNull(), F.col("_left")).otherwise(F.col(f"all.{text_col}"))
+    return both.select(*((text if c == text_col else F.col("all")[c]).alias(c) for c in docs.columns))
+
+
+def _cut(text: bytes, cuts: list[dict], firsts: list[dict]) -> str:
+    data = np.frombuffer(text, np.uint8)
+    starts, lengths, _ = W.spans(~W.SPACE[data], np.array([0, len(data)]))
+    gone = np.zeros(len(starts), bool)
+    for spans, value in ((cuts, True), (firsts, False)):
+        for s in spans:
+            gone[s["start"] : s["end"]] = value
+    ends = starts + lengths
+    # Each word goes with the white space before it.
+    return b"".join(text[a:b] for a, b, cut in zip([0, *ends[:-1].tolist()], ends.tolist(), gone.tolist(), strict=True) if not cut).decode().strip(" \t\n\v\f\r")

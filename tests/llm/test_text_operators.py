@@ -203,10 +203,10 @@ def test_repeated_passages_by_brute_force(spark):
     assert got == repeats_by_brute_force(rows)
 
 
-@pytest.mark.parametrize("share", [1, 1000])
+@pytest.mark.parametrize("group", [0, 2048])
 @pytest.mark.parametrize("size", [20, 34, 49])
-def test_passages_around_common_wording(spark, monkeypatch, size, share):
-    monkeypatch.setattr(repeats, "HOT_SHARE", share)
+def test_passages_around_common_wording(spark, monkeypatch, size, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     common = prose(size, 24)
     # Each text has wording of its own to the right, or words there that other texts have too; pairs agree on the left alone, or on both sides.
     rows = [(k, f"{prose(60, 700 + k)} {common} {prose(40, 2000 + k)}", "en", "a") for k in range(200)]
@@ -220,11 +220,45 @@ def test_passages_around_common_wording(spark, monkeypatch, size, share):
     assert {r.other_doc_id for r in found if r.doc_id in (300, 301)} == {300, 301}
 
 
+@pytest.mark.parametrize("parts", [1, 60])
+def test_repeats_do_not_depend_on_the_partitions(spark, parts):
+    """Passages of 60 words twice each; and of 50 words of which the last 16 are the same in all."""
+    tail = prose(16, 31)
+    rows = [(2 * k + side, f"{prose(30, 10_000 + 2 * k + side)} {prose(60, 11_000 + k)} {prose(30, 12_000 + 2 * k + side)}", "en", "a") for k in range(60) for side in (0, 1)]
+    rows += [(500 + 2 * k + side, f"{prose(30, 13_000 + 2 * k + side)} {prose(34, 14_000 + k)} {tail} {prose(30, 15_000 + 2 * k + side)}", "en", "a") for k in range(150) for side in (0, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = repeats.repeated_passages(table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 420 and Counter((r.doc_id, r.start, r.end) for r in found) == repeats_by_brute_force(rows)
+
+
 def test_repeats_are_cut_but_in_the_first_text(spark):
     passage = prose(70, 20)
     rows = [(k, f"{prose(60, 600 + k)} {passage}", "en", "a") for k in range(3)]
-    got = {r.doc_id: len(spaced(r.text)) for r in repeats.without_repeats(table(spark, rows)).collect()}
-    assert got == {0: 130, 1: 60, 2: 60}
+    got = repeats.without_repeats(table(spark, rows))
+    assert got.columns == table(spark, rows).columns
+    assert {r.doc_id: len(spaced(r.text)) for r in got.collect()} == {0: 130, 1: 60, 2: 60}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2), (1, 2, 0)])
+def test_each_repeated_passage_stays_once(spark, order):
+    """Texts P, P R and R in any order; then texts that share one id, or have none, equal texts, and a text that repeats itself."""
+    p, r = prose(70, 20), prose(70, 21)
+    texts = [f"{prose(9, 1)} {p}", f"{prose(8, 2)} {p} {r} {prose(7, 3)}", f"{r} {prose(6, 4)}"]
+    rows = [(k, texts[n], "en", "a") for k, n in enumerate(order)]
+    rows += [(7, f"{prose(60, 41)} one", "en", "a"), (7, f"two {prose(60, 41)}", "en", "a"), (8, prose(55, 42), "en", "a"), (8, prose(55, 42), "en", "a"), (None, prose(55, 42), "en", "a")]
+    rows += [(9, "la " * 120, "en", "a"), (None, f"{prose(51, 43)} three {prose(51, 43)}", "en", "a"), (None, None, "en", "a"), (10, "few words", "en", "a")]
+    left = [" ".join(spaced(x.text)) for x in repeats.without_repeats(table(spark, rows)).collect()]
+    every = " | ".join(left)
+    assert len(left) == len(rows)
+    for passage in (p, r, prose(60, 41), prose(55, 42), prose(51, 43), "la " * 49 + "la"):
+        assert every.count(passage) == 1
+    for own in (prose(9, 1), prose(8, 2), prose(7, 3), prose(6, 4), "one", "two", "three", "few words"):
+        assert every.count(own) >= 1
 
 
 # --- tokens, packing, shards
@@ -239,6 +273,38 @@ def test_word_wise_ids_are_the_tokenizers(texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.ids for x in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def twins():
+    """Two words of 1024 letters that agree in every polynomial hash modulo 2 ** 64: the Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_kind_are_told_apart(spark):
+    one, two = twins()
+    texts = [one, two, f"x {two} {one}"]
+    tool = encoder(word_tokenizer())
+    data, at = W.texts(pa.array(texts, pa.string()))
+    ids, offsets = tool.encode(data, at)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.ids for x in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    rest = prose(60, 51)
+    rows = table(spark, [(1, one, "en", "a"), (2, two, "en", "a"), (3, f"{one} {rest[:300]}", "en", "a"), (4, f"{two} {rest[:300]}", "en", "a")])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows.filter("doc_id < 3")).collect()} == {1: 1, 2: 2}
+    long = prose(49, 52)
+    assert repeats.repeated_passages(table(spark, [(1, f"{one} {long}", "en", "a"), (2, f"{two} {long}", "en", "a")])).collect() == []
+    assert len(repeats.repeated_passages(table(spark, [(1, f"{one} {long}", "en", "a"), (2, f"x {one} {long}", "en", "a")])).collect()) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab\0é日"), min_size=1, max_size=24), max_size=30))
+def test_word_values_are_equal_for_equal_words_only(words):
+    data, at = W.texts(pa.array([" ".join(words)]))
+    _, starts, lengths, _ = W.word_hashes(data, at)
+    values = list(zip(*(x.tolist() for x in W.word_values(data, starts, lengths)), strict=True))
+    assert [values.index(v) for v in values] == [words.index(w) for w in words]
+
+
 def ids_of(text, end):
     return [*encoder(word_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
