@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm import words as W
-from fieldglass.llm.shared import lookup, renamed, written
+from fieldglass.llm.shared import BROADCAST_ROWS, lookup, renamed, written
 
 #: A passage counts from so many words on.
 LEAST_WORDS = 50
@@ -19,8 +20,9 @@ GRAM = 16
 SPREAD = LEAST_WORDS - GRAM + 1
 #: Words to either side of a gram that a passage of LEAST_WORDS around it can have.
 SIDE = LEAST_WORDS - GRAM
-#: Suffixes of one gram that one task sorts. Passages around a gram that has more are counted over all tasks instead.
-GROUP = 2048
+#: Suffixes of one gram, or copies of one window, that one task sorts. Windows around a gram that has more are dealt by
+#: their own hash instead, and of those the ones that stand more often are counted over all tasks.
+GROUP = 1024
 #: Stands for a null id, which is larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -178,70 +180,139 @@ def _matched(table: pa.RecordBatch) -> pa.RecordBatch | None:
     row, start, other, first = row[twice], (place[row] - shift)[twice], other[twice], first[twice]
     if not len(row):
         return None
-    # Windows of one suffix that follow each other are one row.
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(row)) - 1
-    columns = [table.column(6).take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array((start[last] + LEAST_WORDS).astype(np.int32))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum.reduceat(other, at)), pa.array(first[at])], _SPAN)
+    return _joined(table.column(6), row, start, other, first)
 
 
 _SPAN = ["key", "start", "end", "other", "first"]
 _SPANS = "key binary, start int, end int, other long, first boolean"
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """work(rows) for rows sorted by their first column, never with a part of the rows that have one value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = pc.equal(batch.column(0), batch.column(0)[-1])
+        done = pc.index(last, True).as_py()
+        if done or (held and held[-1].column(0)[-1] != batch.column(0)[-1]):
+            if found := work(pa.concat_batches([*held, batch.slice(0, done)])):
+                yield found
+            held = []
+        held.append(batch.slice(done))
+    if held and (found := work(pa.concat_batches(held))):
+        yield found
+
+
 def compared(ordered: DataFrame) -> DataFrame:
     """Suffixes sorted by gram and context, all of a gram in one partition -> spans of windows that stand twice."""
+    return ordered.mapInArrow(lambda batches: _by_group(batches, _matched), _SPANS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram = batch.column(0).to_numpy()
-            # The last gram of a batch may go on in the next one.
-            done = int(np.searchsorted(gram, gram[-1]))
-            if done or (held and held[-1].column(0)[-1].as_py() != gram[-1]):
-                if found := _matched(pa.concat_batches([*held, batch.slice(0, done)])):
-                    yield found
-                held = []
-            held.append(batch.slice(done))
-        if held and (found := _matched(pa.concat_batches(held))):
-            yield found
 
-    return ordered.mapInArrow(run, _SPANS)
+class _Common:
+    """The windows of some rows (id, key, text, places) whose minimiser is one of the places, in order of text and start."""
+
+    def __init__(self, batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray, i: int, j: int):
+        x = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        text, own = _marked_places(batch, i, j)
+        number = np.sort(np.searchsorted(x.place, x.first[text] + own))
+        size = x.begin[number + 1] - x.begin[number]
+        start = x.start[gathered(x.begin[number], size)]
+        self.gram, self.hash = np.repeat(x.gram[x.place[number]], size), W.windows(x.hash, LEAST_WORDS, 7)[start]
+        text = np.repeat(x.text[number], size)
+        self.row, self.start = i + text, start - x.first[text]
 
 
-def common_windows(texts: DataFrame) -> DataFrame:
-    """(id, key, text, places) -> a row for each window whose minimiser is one of the places: hash (with the gram's), id, key, start."""
+def common_windows(texts: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+    """(id, key, text, places) -> a row for each window whose minimiser is one of the places, but the heavy ones: hash (with the
+    gram's), id, key, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.texts(batch.column(2))
             for i, j in W.chunks(at):
-                x = Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                text, own = _marked_places(batch, i, j)
-                number = np.searchsorted(x.place, x.first[text] + own)
-                size = x.begin[number + 1] - x.begin[number]
-                start, text = x.start[gathered(x.begin[number], size)], np.repeat(text, size)
-                pair = np.stack([np.repeat(x.gram[x.place[number]], size), W.windows(x.hash, LEAST_WORDS, 7)[start]], axis=1)
-                rows = pa.array(i + text)
-                columns = [fixed(pair.view(np.uint8)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - x.first[text]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "key", "start"])
+                x = _Common(batch, data, at, i, j)
+                some = np.flatnonzero(heavy.find(x) < 0) if heavy else np.arange(len(x.row))
+                rows = pa.array(x.row[some])
+                pair = np.stack([x.gram[some], x.hash[some]], axis=1).view(np.uint8)
+                yield pa.RecordBatch.from_arrays([fixed(pair), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.start[some].astype(np.int32))], ["hash", "id", "key", "start"])
 
     return texts.mapInArrow(run, "hash binary, id long, key binary, start int")
 
 
-def counted(windows: DataFrame) -> DataFrame:
-    """Spans of the windows that stand twice, counted in the map tasks first."""
+class Heavy:
+    """Windows that stand more than GROUP times, where there are few of them: where each stands first, and the greatest id."""
+
+    def __init__(self, rows: list):
+        self.known = W.Numbering(2)
+        self.known.add(*np.frombuffer(b"".join(r["hash"] for r in rows), np.uint64).reshape(-1, 2).T.copy())
+        self.id, self.most = (np.array([x(r) for r in rows], np.int64) for x in (lambda r: r["least"]["id"], lambda r: r["most"]))
+        self.start = np.array([r["least"]["start"] for r in rows], np.int64)
+        self.key = np.frombuffer(b"".join(r["least"]["key"] for r in rows), np.uint64).reshape(-1, 2)
+
+    def find(self, x: _Common) -> np.ndarray:
+        return self.known.find(x.gram, x.hash)
+
+    def spans(self, texts: DataFrame) -> DataFrame:
+        """Spans of these windows; those of a text that follow each other are one row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = W.texts(batch.column(2))
+                keys, ids = W.texts(batch.column(1))[0].view(np.uint64).reshape(-1, 2), batch.column(0).to_numpy()
+                for i, j in W.chunks(at):
+                    x = _Common(batch, data, at, i, j)
+                    number = self.find(x)
+                    some = np.flatnonzero(number >= 0)
+                    if not len(some):
+                        continue
+                    number, row, start = number[some], x.row[some], x.start[some]
+                    first = (self.start[number] == start) & (self.key[number] == keys[row]).all(axis=1)
+                    least, most, own = self.id[number], self.most[number], ids[row]
+                    yield _joined(batch.column(1), row, start, np.where(least != own, least, np.where(most != own, most, NO_ID)), first)
+
+        return texts.mapInArrow(run, _SPANS)
+
+
+def _joined(keys: pa.Array, row: np.ndarray, start: np.ndarray, other: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Windows in order of row and start -> spans, in which those that follow each other are one."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    columns = [keys.take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array((start[last] + LEAST_WORDS).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum.reduceat(other, at)), pa.array(first[at])], _SPAN)
+
+
+def _equal(table: pa.RecordBatch) -> pa.RecordBatch | None:
+    """All windows of some hashes, sorted by hash, id, key and start -> spans of those that stand twice."""
+    pair = W.texts(table.column(0))[0].view(np.uint64).reshape(-1, 2)
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    times = np.diff(at, append=len(pair))
+    ids, start = table.column(1).to_numpy(), table.column(3).to_numpy()
+    least, most, twice = np.repeat(ids[at], times), np.repeat(ids[at + times - 1], times), np.flatnonzero(np.repeat(times > 1, times))
+    other = np.where(least != ids, least, np.where(most != ids, most, NO_ID))
+    return _joined(table.column(2), twice, start[twice], other[twice], new[twice]) if len(twice) else None
+
+
+def common_spans(texts: DataFrame) -> DataFrame:
+    """(id, key, text, places) -> spans of the windows that stand twice and whose minimiser is one of the places."""
+    windows = common_windows(texts)
     least = F.min(F.struct("id", "key", "start")).alias("least")
-    twice = written(windows.groupBy("hash").agg(F.count("*").alias("n"), least, F.max("id").alias("most")).filter("n > 1"), "windows")
-    total = twice.agg(F.sum("n")).first()[0] or 0
-    found = lookup(windows, twice, "hash", "n", total, "inner")
-    other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
-    first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
-    return found.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
+    heavy = written(windows.groupBy("hash").agg(F.count("*").alias("n"), least, F.max("id").alias("most")).filter(F.col("n") > GROUP), "windows")
+    if heavy.count() <= BROADCAST_ROWS:
+        table = Heavy(heavy.collect())
+        found, windows = table.spans(texts), common_windows(texts, table)
+    else:
+        joined = lookup(windows, heavy, "hash", "n", heavy.agg(F.sum("n")).first()[0], "inner")
+        other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
+        first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
+        found = joined.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
+        windows = lookup(windows, heavy.select("hash", "n", F.lit(True).alias("heavy")), "hash", "n", heavy.agg(F.sum("n")).first()[0]).filter("heavy is null").drop("heavy")
+    ordered = windows.repartition("hash").sortWithinPartitions("hash", "id", "key", "start")
+    return found.union(ordered.mapInArrow(lambda batches: _by_group(batches, _equal), _SPANS))
 
 
 def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +332,7 @@ def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(whole.join(hits, "key").select("id", "key", "text", "hits"), "shared_texts")
     of = lambda wanted: texts.select("id", "key", "text", F.filter("hits", wanted)["place"].alias("places")).filter(F.size("places") > 0)
     ordered = suffixes(of(lambda x: x["n"] <= GROUP)).repartition("gram").sortWithinPartitions("gram", "right")
-    return marked.select("id", "key", "n_words"), compared(ordered).union(counted(common_windows(of(lambda x: x["n"] > GROUP))))
+    return marked.select("id", "key", "n_words"), compared(ordered).union(common_spans(of(lambda x: x["n"] > GROUP)))
 
 
 def _islands(spans: DataFrame, *more: str) -> DataFrame:
@@ -294,8 +365,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copy of a passage of LEAST_WORDS words. Grams that occur once are dropped. The suffixes of the others are sorted by what
     follows; neighbours are compared forwards, and in the order of what precedes, backwards. A passage can only lie as far
     as these reach; each LEAST_WORDS words there are compared with all others around the same gram, by 64 bits of the gram's
-    words and 64 of their own, so neither the number of suffixes nor of partitions decides what is found. Passages around
-    a gram with over GROUP suffixes, which one task couldn't sort, are counted by the same 128 bits over all tasks. Equal
+    words and 64 of their own, so neither the number of suffixes nor of partitions decides what is found. Of a
+    gram with over GROUP suffixes, which one task shouldn't sort, the LEAST_WORDS words around each are compared by the same
+    128 bits wherever they are sent by them; those that stand over GROUP times are counted over all tasks. Equal
     texts (by 128 bits of SHA-256) are worked on once: if two rows have the same text of LEAST_WORDS words, their run is
     the whole text.
 
