@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ TASK_EDGES = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one, but only if the master is local."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.fieldglass.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="fieldglass-")
         spark.conf.set("spark.fieldglass.shared.dir", where)
     return where.rstrip("/")
@@ -49,13 +52,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     """Join left to right, which has one row for each non-null key and in `weight` the number of left's rows with it.
 
     A counted right side of up to BROADCAST_ROWS rows is broadcast. Beyond that, keys with over total / HOT_SHARE rows
-    (fewer than HOT_SHARE of them) are salted, so that no task gets a whole hot key.
+    (fewer than HOT_SHARE of them) are salted, so that no task gets a whole hot key. The salt is a hash of left's row, so
+    a task that is run again deals its rows in the same way.
     """
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right.drop(weight)), key, how)
+    # Maps and variants can't be hashed.
+    own = [f.name for f in left.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
     hot = right.filter(F.col(weight) > max(1, total // HOT_SHARE))
     salted = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0)
     )
     spread = F.when(F.col(weight) > max(1, total // HOT_SHARE), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     sides = right.select("*", F.explode(spread).alias("_salt")).drop(weight)
@@ -101,8 +107,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = lookup(both.filter("v > u"), least, "u", "n", size, "inner").select("m", "v").filter("m <> v").distinct()
-        down = large.groupBy("v").agg(F.min("m").alias("m"))
-        small = large.withColumnRenamed("m", "w").join(down, "v")
+        down = large.groupBy("v").agg(F.min("m").alias("m"), F.count("*").alias("n"))
+        small = lookup(large.withColumnRenamed("m", "w"), down, "v", "n", 2 * size, "inner")
         stepped = small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).union(small.select(F.col("m").alias("lo"), F.col("w").alias("hi")))
         now = written(stepped.filter("lo <> hi").distinct(), "edges")
         after = now.agg(F.count("*"), F.sum("lo"), F.sum("hi"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
