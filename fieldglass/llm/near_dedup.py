@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ SIMILARITY = 75
 COORDINATES = 64
 MATCHES = 31
 #: Nodes of a block of a cluster, and shingles whose incidence is multiplied at once.
-BLOCK, BLOCK_COLUMNS = 256, 4096
+BLOCK, BLOCK_COLUMNS = 64, 4096
+#: Sizes of sets within a class differ by less than this factor.
+SIZE_STEP = 1.1
 
 _XOR, _TIMES = W.constants(COORDINATES, 11), W.constants(COORDINATES, 12)
 
@@ -105,24 +108,47 @@ def _open(homed: DataFrame, total: int) -> DataFrame:
     return lookup(homed, lists.select("post", F.col("top.home").alias("main"), "w"), "post", "w", total, "inner")
 
 
-def _shared_with_strangers(open_: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, known: how many of a node's shingles stand in other components too; only nodes that can still have a link.
+def _shared_with_strangers(members: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node: those of members (node, home) that can still have a link to another home, by counts of their shingles.
 
-    An intersection with a node of another component has `known` elements at most, and a link's has SIMILARITY percent of n
-    at least. So texts that differ from all others in too many shingles of their own are ruled out one by one, not in pairs.
+    A link's intersection has SIMILARITY percent of either size at least, and no more elements than of a node's shingles
+    stand in other homes. So texts that differ from all others in too many shingles of their own are ruled out one by one,
+    not in pairs. The same is then asked of those left for each class of the other's size, as for sizes n and m a link's
+    intersection has SIMILARITY / (100 + SIMILARITY) * (n + m) elements at least.
     """
-    homes = open_.select("node", "home").distinct()
-    each = sets.join(homes, "node").select("node", "home", F.explode("shingles").alias("shingle"))
-    shared = written(each.groupBy("shingle").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low <> high").select("shingle"), "shared_shingles")
-    known = each.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("known"))
-    return known.join(nodes.select("node", "n"), "node").filter(F.col("known") * 100 >= F.col("n") * SIMILARITY)
+    homes = members.join(nodes.select("node", "n"), "node")
+    each = sets.join(homes, "node").select("node", "n", "home", F.explode("shingles").alias("shingle"))
+    ends = [F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("w")]
+    shared = written(each.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", "w"), "shared_shingles")
+    total = shared.agg(F.sum("w")).first()[0] or 0
+    known = lookup(each, shared, "shingle", "w", total, "inner").groupBy("node", "n").agg(F.count("*").alias("known"))
+    some = written(known.filter(F.col("known") * 100 >= F.col("n") * SIMILARITY).select("node"), "strangers")
+    size = F.floor(F.log("n") / math.log(SIZE_STEP))
+    steps = math.ceil(math.log(100 / SIMILARITY) / math.log(SIZE_STEP))
+    each = sets.join(homes.join(some, "node"), "node").select("node", "n", "home", size.alias("size"), F.explode("shingles").alias("shingle"))
+    sized = each.groupBy("shingle", "size").agg(*ends).select(F.struct("shingle", "size").alias("key"), "low", "high", "w")
+    asked = each.select("node", "n", "home", F.explode(F.sequence(F.col("size") - steps, F.col("size") + steps)).alias("other"), "shingle")
+    met = lookup(asked.withColumn("key", F.struct("shingle", F.col("other").alias("size"))), written(sized, "sized"), "key", "w", total, "inner")
+    known = met.filter((F.col("low") != F.col("home")) | (F.col("high") != F.col("home"))).groupBy("node", "n", "other").agg(F.count("*").alias("known"))
+    least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6, F.col("n") * SIMILARITY / 100)
+    return known.filter(F.col("known") * (100 + SIMILARITY) >= SIMILARITY * (F.col("n") + least) - 1e-3).select("node").distinct()
 
 
 def _linked_in_block(table: pa.Table) -> pa.Table:
-    """Rows (cluster, low, high, node, home, block, shingles) of one pair of blocks -> edges (a, b) of a star for each component that
-    the links between nodes of different homes make. Intersections of all nodes at once are products of their incidence matrix."""
+    """Rows (cluster, low, high, node, home, block, sig, shingles) of a pair of blocks -> edges (a, b) of a star for each component that
+    the links between nodes of different homes make. Pairs whose signatures collide in MATCHES coordinates are confirmed on
+    their full sets; the intersections of all of these at once are products of their incidence matrix."""
     node, home, block = (table.column(c).to_numpy() for c in ("node", "home", "block"))
-    column = table.column("shingles").combine_chunks()
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES)
+    near = np.zeros((len(node), len(node)), np.int16)
+    for k in range(COORDINATES):
+        near += sig[:, k, None] == sig[None, :, k]
+    near = (near >= MATCHES) & (home[:, None] != home[None, :])
+    if len(np.unique(block)) > 1:
+        near &= block[:, None] != block[None, :]
+    some = np.flatnonzero(near.any(axis=1))
+    node, near = node[some], near[np.ix_(some, some)]
+    column = table.column("shingles").combine_chunks().take(pa.array(some))
     ends = column.offsets.to_numpy() - column.offsets[0].as_py()
     sizes = np.diff(ends)
     _, number, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -131,14 +157,11 @@ def _linked_in_block(table: pa.Table) -> pa.Table:
     row, col = row[kept], order[number[kept]]
     shared = np.zeros((len(node), len(node)), np.float64)
     for k in range(0, int(col.max()) + 1 if len(col) else 0, BLOCK_COLUMNS):
-        some = (col >= k) & (col < k + BLOCK_COLUMNS)
+        here = (col >= k) & (col < k + BLOCK_COLUMNS)
         part = np.zeros((len(node), BLOCK_COLUMNS), np.float32)
-        part[row[some], col[some] - k] = 1
+        part[row[here], col[here] - k] = 1
         shared += part @ part.T
-    near = 100 * shared >= SIMILARITY * (sizes[:, None] + sizes[None, :] - shared)
-    near &= home[:, None] != home[None, :]
-    if len(np.unique(block)) > 1:
-        near &= block[:, None] != block[None, :]
+    near &= 100 * shared >= SIMILARITY * (sizes[:, None] + sizes[None, :] - shared)
     least = np.arange(len(node))
     while True:
         # Each node takes the least label around it; labels settle when no link joins two.
@@ -147,27 +170,37 @@ def _linked_in_block(table: pa.Table) -> pa.Table:
             break
         least = low[low]
     found = np.flatnonzero(least != np.arange(len(node)))
-    return pa.table({"a": pa.array(node[least[found]]), "b": pa.array(node[found])})
+    return pa.table({"a": pa.array(node[least[found]], pa.int64()), "b": pa.array(node[found], pa.int64())})
 
 
-def _links_within(left: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+def _links_within(left: DataFrame, sets: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """Links (a, b) between components, enough of them to join what is linked.
 
-    Lists that have nodes in common make a cluster. Its nodes are dealt to blocks of about BLOCK, and each pair of blocks is
-    compared on full sets in one call; so a call's rows are bounded however large a cluster is, and no pair is a row.
+    Lists that have nodes in common make a cluster. Its nodes are dealt to blocks of about BLOCK, those of the largest home
+    to blocks of their own, which needn't be compared with each other. Each other pair of blocks is compared in one call;
+    so a call's rows are bounded however large a cluster is, and no pair is a row.
     """
     heads = left.groupBy("post").agg(F.min("node").alias("a"), F.count("*").alias("w"))
     edges = lookup(left.select("post", F.col("node").alias("b")), heads, "post", "w", total, "inner").select("a", "b")
-    members = left.select("node", "home").distinct().join(components(edges), "node")
-    clusters = members.groupBy("component").agg(F.count("*").alias("w"))
-    dealt = lookup(members, clusters.withColumn("blocks", F.ceil(F.col("w") / BLOCK)), "component", "w", total, "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = spread.select(F.col("component").alias("cluster"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "home", "block", "shingles")
+    members = written(left.select("node", "home").distinct().join(components(edges), "node"), "members")
+    per_home = members.groupBy("component", "home").agg(F.count("*").alias("w"))
+    top = F.max(F.struct("w", "home")).alias("top")
+    clusters = per_home.groupBy("component").agg(top, F.sum("w").alias("w")).select(
+        "component", "w", F.col("top.home").alias("main"), F.ceil(F.col("top.w") / BLOCK).alias("mains"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK).alias("others")
+    )
+    is_main = F.col("home") == F.col("main")
+    dealt = lookup(members, written(clusters, "clusters"), "component", "w", total, "inner").withColumn(
+        "block", F.when(is_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    )
+    met = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    full = dealt.filter("others > 0").join(sets, "node").join(nodes.select("node", "sig"), "node")
+    spread = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
+    rows = spread.select(F.col("component").alias("cluster"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "home", "block", "sig", "shingles")
     return rows.groupBy("cluster", "low", "high").applyInArrow(_linked_in_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every input row: doc_id, n_shingles, component_id, kept, links.
+    """One row for every input row: doc_id, n_shingles, component_id, kept.
 
     Rows whose sets are equal are one node. A node is posted under each pair of coordinate and value of its signature;
     pairs that only one node has are dropped, and nodes with fewer than MATCHES pairs left have no partner (skip). Of
@@ -178,8 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     No posting list is expanded into all its pairs. First each node meets only the heads of its lists, the nodes whose posts
     are most common, and of those the one it agrees with most; that joins most groups. Then lists that still have nodes of
     several components are compared in blocks, which finds whatever link is missing between components; nodes that have
-    too few shingles in common with other components to be linked are ruled out before, by counts. `links` counts the
-    links confirmed, not all that exist.
+    too few shingles in common with other components to be linked are ruled out before, by counts. In a block, pairs that
+    collide in MATCHES coordinates are confirmed on the full sets.
 
     component_id is the least non-null id reachable; kept is doc_id = component_id. Rows without words are linked with
     nothing; their component_id is their own id, as with rows of a null id that are linked with no other. Repeated ids
@@ -196,12 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     value = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)
     posted = nodes.select("node", F.posexplode("sig")).select("node", value.alias("post"))
     shared = written(posted.groupBy("post").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    own_posts = posted.join(shared, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
+    n_shared = shared.agg(F.sum("df")).first()[0] or 0
+    own_posts = lookup(posted, shared.withColumn("w", F.col("df")), "post", "w", n_shared, "inner").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
     common = F.aggregate("posts", F.lit(0).cast("long"), lambda total, p: total + p["df"])
     rarest = F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))
     prefix = written(own_posts.select("node", common.alias("common"), F.explode(rarest).alias("p")).select("node", "common", "p.post"), "prefix")
     n_posts = prefix.count()
-    grouped = confirmed = None
+    grouped = None
     if n_posts:
         sig = nodes.select("node", "n", "sig")
         side = lambda x: sig.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -225,25 +259,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         homed = written(prefix.join(homes, "node", "left").select("post", "node", F.coalesce("component", "node").alias("home")), "homed")
         open_ = written(_open(homed, n_posts), "open")
-        strangers = written(_shared_with_strangers(open_, sets, nodes), "strangers")
+        strangers = written(_shared_with_strangers(open_.select("node", "home").distinct(), sets, nodes), "strangers")
         left = written(_open(open_.drop("main").join(strangers, "node"), n_posts), "left")
-        confirmed = written(links.union(_links_within(left, sets, n_posts)).distinct(), "links")
-        grouped = components(confirmed)
+        grouped = components(links.union(_links_within(left, sets, nodes, n_posts)))
     if grouped is not None:
-        ends = confirmed.select(F.col("a").alias("node")).union(confirmed.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        placed = nodes.join(grouped, "node").join(ends, "node")
+        placed = nodes.select("key", "node", "doc_id").join(grouped, "node")
         least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("w"))
-        homes = lookup(placed, least, "component", "w", total, "inner").select("key", "component_id", "links")
+        homes = lookup(placed, least, "component", "w", total, "inner").select("key", "component_id")
         nodes = nodes.join(homes, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     else:
-        nodes = nodes.withColumn("component_id", F.col("doc_id")).withColumn("links", F.lit(0).cast("long"))
-    classes = written(nodes.select("key", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "rows"), "classes")
+        nodes = nodes.withColumn("component_id", F.col("doc_id"))
+    classes = written(nodes.select("key", "component_id", "rows"), "classes")
     out = lookup(signed.select("doc_id", "n", "key"), classes, "key", "rows", total)
     home = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), home.alias("component_id"), F.col("doc_id").eqNullSafe(home).alias("kept"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), home.alias("component_id"), F.col("doc_id").eqNullSafe(home).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their component's; rows of the same id stay or go together."""
-    kept = renamed(near_duplicates(docs, id_col, text_col).filter("kept"), _kept_id=F.col("doc_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs, with all their columns, whatever their names, whose id is their component's; rows of the same id stay or go together."""
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("all"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("all.*")
