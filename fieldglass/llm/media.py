@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from fieldglass.llm import words as W
 from fieldglass.llm.shared import renamed, written
 
 UNKNOWN = "application/octet-stream"
+#: What the documents table says that its texts are.
+TEXT = "text/plain"
 #: Bytes of a payload come in multiples of this.
 BLOCK = 64
 RATE = 8000
@@ -46,11 +50,46 @@ def wav_chunks(data: bytes, at: int = 0) -> dict[bytes, tuple[int, int]] | None:
     return found if place == end and b"data" in found and found.get(b"fmt ", (0, 0))[1] >= 16 else None
 
 
-def wav_length(data: bytes, at: int) -> int | None:
+class Marks:
+    """What validators look for far ahead, found once for all of a text's magic bytes."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found, self.streams = data, {}, {}
+
+    def after(self, place: int, *mark: int) -> int:
+        """Where the bytes of mark stand next, from place on; -1 if nowhere."""
+        if mark not in self.found:
+            raw = np.frombuffer(self.data, np.uint8)
+            there = np.ones(max(0, len(raw) - len(mark) + 1), bool)
+            for k, value in enumerate(mark):
+                there &= raw[k : k + len(there)] == value
+            self.found[mark] = np.flatnonzero(there)
+        k = int(np.searchsorted(self.found[mark], place))
+        return int(self.found[mark][k]) if k < len(self.found[mark]) else -1
+
+    def inflated(self, place: int) -> tuple[int, int, int] | None:
+        """(end, CRC-32, length) of the deflate stream that begins at place."""
+        if place not in self.streams:
+            tool, at, step, crc, size = zlib.decompressobj(-15), place, 64, 0, 0
+            try:
+                # Steps grow, so that bytes that are no such stream are given up after a few.
+                while not tool.eof and at < len(self.data):
+                    part = tool.decompress(self.data[at : at + step], 1 << 20)
+                    at, step = at + step, min(2 * step, 1 << 16)
+                    while part:
+                        crc, size = zlib.crc32(part, crc), size + len(part)
+                        part = tool.decompress(tool.unconsumed_tail, 1 << 20) if tool.unconsumed_tail and not tool.eof else b""
+            except zlib.error:
+                pass
+            self.streams[place] = (min(at, len(self.data)) - len(tool.unused_data), crc, size) if tool.eof else None
+        return self.streams[place]
+
+
+def wav_length(data: bytes, at: int, marks: Marks) -> int | None:
     return 8 + int.from_bytes(data[at + 4 : at + 8], "little") if wav_chunks(data, at) else None
 
 
-def png_length(data: bytes, at: int) -> int | None:
+def png_length(data: bytes, at: int, marks: Marks) -> int | None:
     place, kinds = at + 8, []
     while place + 12 <= len(data):
         n, kind = int.from_bytes(data[place : place + 4], "big"), data[place + 4 : place + 8]
@@ -64,7 +103,7 @@ def png_length(data: bytes, at: int) -> int | None:
     return None
 
 
-def gif_length(data: bytes, at: int) -> int | None:
+def gif_length(data: bytes, at: int, marks: Marks) -> int | None:
     def blocks(place: int) -> int | None:
         while place < len(data):
             n = data[place]
@@ -93,7 +132,7 @@ def gif_length(data: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg_length(data: bytes, at: int) -> int | None:
+def jpeg_length(data: bytes, at: int, marks: Marks) -> int | None:
     place = at + 2
     while place + 4 <= len(data) and data[place] == 0xFF:
         kind, n = data[place + 1], int.from_bytes(data[place + 2 : place + 4], "big")
@@ -101,31 +140,36 @@ def jpeg_length(data: bytes, at: int) -> int | None:
             return None
         place += 2 + n
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", place)
+            end = marks.after(place, 0xFF, 0xD9)
             return end + 2 - at if end >= 0 else None
     return None
 
 
-def bmp_length(data: bytes, at: int) -> int | None:
+def bmp_length(data: bytes, at: int, marks: Marks) -> int | None:
     n, first, head = (int.from_bytes(data[at + a : at + a + 4], "little") for a in (2, 10, 14))
     right = data[at + 6 : at + 10] == b"\0\0\0\0" and head in (12, 40, 52, 56, 108, 124) and 14 + head <= first < n <= len(data) - at
     return n if right else None
 
 
-def gzip_length(data: bytes, at: int) -> int | None:
-    tool, place = zlib.decompressobj(31), at
-    try:
-        while not tool.eof and place < len(data):
-            tool.decompress(data[place : place + (1 << 16)], 1 << 20)
-            place += 1 << 16
-            while tool.unconsumed_tail and not tool.eof:
-                tool.decompress(tool.unconsumed_tail, 1 << 20)
-    except zlib.error:
+def gzip_length(data: bytes, at: int, marks: Marks) -> int | None:
+    if at + 18 > len(data) or data[at + 3] & 0xE0:
         return None
-    return min(place, len(data)) - len(tool.unused_data) - at if tool.eof else None
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for named in (8, 16):
+        if flags & named:
+            end = marks.after(place, 0)
+            if end < 0:
+                return None
+            place = end + 1
+    stream = marks.inflated(place + (2 if flags & 2 else 0))
+    if not stream or data[stream[0] : stream[0] + 8] != stream[1].to_bytes(4, "little") + (stream[2] & 0xFFFFFFFF).to_bytes(4, "little"):
+        return None
+    return stream[0] + 8 - at
 
 
-def pdf_length(data: bytes, at: int) -> int | None:
+def pdf_length(data: bytes, at: int, marks: Marks) -> int | None:
     """Up to the last end mark before the next file's beginning, if a cross-reference offset stands before it."""
     following = data.find(b"%PDF-", at + 5)
     end = data.rfind(b"%%EOF", at, following if following >= 0 else len(data))
@@ -133,7 +177,7 @@ def pdf_length(data: bytes, at: int) -> int | None:
 
 
 #: Magic bytes and the validators of what begins with them. Fixed values.
-SIGNATURES: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
+SIGNATURES: tuple[tuple[bytes, str, Callable[[bytes, int, Marks], int | None]], ...] = (
     (b"RIFF", "audio/wav", wav_length),
     (b"\x89PNG\r\n\x1a\n", "image/png", png_length),
     (b"GIF87a", "image/gif", gif_length),
@@ -159,38 +203,63 @@ def _automaton():
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the media in data, from its beginning on; media inside found media are not listed."""
     found, free = [], 0
+    marks = Marks(data)
     for end, (n, kind, check) in _automaton().iter(data.decode("latin-1")):
         at = end + 1 - n
-        if at >= free and (length := check(data, at)):
+        if at < free:
+            continue
+        if length := check(data, at, marks):
             found.append((kind, at, length))
             free = at + length
     return found
 
 
-def media_columns(media: DataFrame, id_col: str = "id", data_col: str = "data", type_col: str = "declared") -> DataFrame:
+def inspected(data: bytes) -> tuple[str, list[dict]]:
+    """The type of media that begin at the first byte, else UNKNOWN; and those that begin later, carved out."""
+    found = sniff(data)
+    parts = [{"type": k, "offset": a, "length": n, "data": data[a : a + n]} for k, a, n in found if a]
+    return found[0][0] if found and not found[0][1] else UNKNOWN, parts
+
+
+def media_columns(
+    media: DataFrame,
+    id_col: str = "id",
+    data_col: str = "data",
+    type_col: str = "declared",
+    keep: Sequence[str] = (),
+    features: tuple[str, Callable[[bytes, str], tuple]] | None = None,
+) -> DataFrame:
     """One row for every input row: id, declared, type, corrected, embedded (type, offset, length, data of each carved part).
 
     type is that of media that begin at the first byte, else UNKNOWN; corrected says that it differs from the declared
-    one. Media that begin later are carved. Null data count as empty: UNKNOWN, nothing embedded. Any id, null or repeated,
-    is passed on; other columns are ignored.
+    one. Media that begin later are carved. `keep` names columns that are passed on as they are; `features` is a schema and
+    a function of (data, type) that gives the values of these columns, which stand last. Null data count as empty: UNKNOWN,
+    nothing embedded. Any id, null or repeated, is passed on; other columns are ignored; an empty table gives an empty result.
     """
+    part = "array<struct<type:string,offset:long,length:long,data:binary>>"
+    schema = [f"id {media.schema[id_col].dataType.simpleString()}, declared string, type string, corrected boolean, embedded {part}"]
+    schema += [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep] + ([features[0]] if features else [])
+    rows = media.select(F.col(id_col), F.col(type_col).cast("string"), F.col(data_col), *keep).toDF("id", "declared", "data", *(f"k{n}" for n in range(len(keep))))
+    told = StructType.fromDDL(features[0]) if features else StructType()
+    names = ["id", "declared", "type", "corrected", "embedded", *keep, *told.names]
+    kinds = [to_arrow_type(f.dataType) for f in told.fields]
+    parts_kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("data", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("data", pa.binary())])
         for batch in batches:
-            types, wrong, inside = [], [], []
-            for data, declared in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sniff(data or b"")
-                types.append(found[0][0] if found and not found[0][1] else UNKNOWN)
-                wrong.append(types[-1] != declared)
-                inside.append([{"type": k, "offset": a, "length": n, "data": data[a : a + n]} for k, a, n in found if a])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inside, pa.list_(part))],
-                ["id", "declared", "type", "corrected", "embedded"],
-            )
+            types, wrong, inside, more = [], [], [], []
+            for value, declared in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
+                data = value.as_py() or b""
+                kind, parts = inspected(data)
+                types.append(kind)
+                wrong.append(kind != declared)
+                inside.append(parts)
+                if features:
+                    more.append(features[1](data, kind))
+            columns = [pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inside, parts_kind), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *(pa.array([r[k] for r in more], kind) for k, kind in enumerate(kinds))], names)
 
-    rows = renamed(media, id=F.col(id_col).cast("string"), declared=F.col(type_col).cast("string"), data=F.col(data_col))
-    return rows.mapInArrow(run, "id string, declared string, type string, corrected boolean, embedded array<struct<type:string,offset:long,length:long,data:binary>>")
+    return rows.mapInArrow(run, ", ".join(schema))
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,43 +274,40 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").withColumn("declared", F.lit(UNKNOWN))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").withColumn("declared", F.lit(TEXT))
 
 
-def describe(kind: str, samples: np.ndarray, embedded: int) -> str:
+def describe(kind: str, samples: np.ndarray, embedded: list[dict]) -> str:
     """Whole-number features of 8-bit samples, so that equal samples have equal features anywhere."""
     n = max(1, len(samples))
     wide = samples.astype(np.int64)
     turns = int(np.count_nonzero(np.diff(samples >= 128)))
-    return f"{kind};channels=1;bits=8;samples={len(samples)};mean={int(wide.sum()) // n};power={int((wide * wide).sum()) // n};low={int(wide.min(initial=255))};high={int(wide.max(initial=0))};turns={turns};embedded={embedded}"
+    parts = ",".join(f"{p['type']}@{p['offset']}+{p['length']}" for p in embedded)
+    return f"{kind};channels=1;bits=8;samples={len(samples)};mean={int(wide.sum()) // n};power={int((wide * wide).sum()) // n};low={int(wide.min(initial=255))};high={int(wide.max(initial=0))};turns={turns};embedded={len(embedded)}[{parts}]"
+
+
+def _stored_features(data: bytes, kind: str) -> tuple:
+    chunks = wav_chunks(data) if kind == "audio/wav" else None
+    if chunks is None or 8 + int.from_bytes(data[4:8], "little") != len(data):
+        raise ValueError("stored media are damaged")
+    start, n = chunks[b"data"]
+    payload = data[start : start + n]
+    parts = [{"type": k, "offset": a, "length": m, "data": payload[a : a + m]} for k, a, m in sniff(payload)]
+    digests = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest()
+    return n, *digests, describe(kind, np.frombuffer(payload, np.uint8), parts), parts
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """From stored_texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, type, corrected.
+    """From stored_texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, type, corrected, carved.
 
-    The type is found by sniffing, whatever was declared; media that turn out not to be WAV fail the query. A text may
-    itself hold media: embedded in the feature counts those in its payload.
+    The stored bytes go through media_columns, which finds their type, whatever was declared. carved lists media that the
+    payload itself holds, at their places in it. Stored media that aren't WAV, or aren't as long as their structure says,
+    fail the query.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "type", "corrected"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-        for batch in batches:
-            rows = []
-            for value, declared in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data = value.as_py()
-                found = sniff(data)
-                if not found or found[0] != ("audio/wav", 0, len(data)):
-                    raise ValueError("stored media are damaged")
-                start, n = wav_chunks(data)[b"data"]
-                payload = data[start : start + n]
-                inside = sniff(payload)
-                rows.append((n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe("audio/wav", np.frombuffer(payload, np.uint8), len(inside)), "audio/wav", declared != "audio/wav"))
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "n_bytes", *names])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type string, corrected boolean"
-    return media.select("doc_id", "n_bytes", "media", "declared").mapInArrow(run, schema)
+    digests = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    features = f"{digests}, carved array<struct<type:string,offset:long,length:long,data:binary>>", _stored_features
+    told = media_columns(media, "doc_id", "media", "declared", keep=["n_bytes"], features=features)
+    return told.withColumnRenamed("id", "doc_id").drop("declared", "embedded")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
