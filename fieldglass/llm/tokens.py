@@ -66,36 +66,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.mask = (1 << 16) - 1
-        self.slots = np.full(self.mask + 1, -1, np.int32)
-        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.known = W.Numbering(2)
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-        self.n = self.n_ids = 0
+        self.n_ids = 0
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The number of each word, -1 if it isn't known."""
-        slot = (W.fold(low, high) & np.uint64(self.mask)).astype(np.int64)
-        out, todo = np.full(len(low), -1, np.int64), np.arange(len(low))
-        while len(todo):
-            there = self.slots[slot]
-            some = there >= 0
-            todo, slot, there = todo[some], slot[some], there[some]
-            hit = (self.low[there] == low[todo]) & (self.high[there] == high[todo])
-            out[todo[hit]] = there[hit]
-            todo, slot = todo[~hit], (slot[~hit] + 1) & self.mask
-        return out
-
-    def _place(self, numbers: np.ndarray) -> None:
-        slot, todo = (W.fold(self.low[numbers], self.high[numbers]) & np.uint64(self.mask)).astype(np.int64), numbers
-        while len(todo):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = todo[free]
-            lost = self.slots[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) & self.mask
-
     def add(self, low: np.ndarray, high: np.ndarray, found: list[str]) -> None:
         """Encode words that aren't known, and keep them."""
         ids: list[list[int] | None] = [None] * len(found)
@@ -112,22 +89,16 @@ class Encoder:
             ids[i] = x
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate([np.asarray(x, self.kind) for x in ids]).astype(self.kind)
-        if self.n + len(low) > len(self.start):
-            room = max(1 << 14, 2 * (self.n + len(low)))
-            grown = lambda x: np.concatenate([x[: self.n], np.zeros(room - self.n, x.dtype)])
-            self.start, self.length, self.low, self.high = map(grown, (self.start, self.length, self.low, self.high))
+        new = slice(self.known.n, self.known.n + len(low))
+        self.known.add(low, high)
+        if new.stop > len(self.start):
+            grown = lambda x: np.concatenate([x[: new.start], np.zeros(2 * new.stop - new.start, np.int64)])
+            self.start, self.length = grown(self.start), grown(self.length)
         if self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(1 << 15, self.n_ids + 2 * len(flat)), self.kind)])
-        new = slice(self.n, self.n + len(low))
-        self.start[new], self.length[new], self.low[new], self.high[new] = self.n_ids + np.cumsum(lengths) - lengths, lengths, low, high
+        self.start[new], self.length[new] = self.n_ids + np.cumsum(lengths) - lengths, lengths
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        before, self.n, self.n_ids = self.n, self.n + len(low), self.n_ids + len(flat)
-        if 5 * self.n > 2 * self.mask:
-            while 5 * self.n > 2 * self.mask:
-                self.mask = 2 * self.mask + 1
-            self.slots = np.full(self.mask + 1, -1, np.int32)
-            before = 0
-        self._place(np.arange(before, self.n))
+        self.n_ids += len(flat)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts data[at[i]:at[i + 1]]."""
@@ -141,9 +112,9 @@ class Encoder:
         starts, lengths, row = W.spans(kind != 0, at, cut)
         lower = W.LOWER[data]
         low, high = W.word_values(lower, starts, lengths)
-        if self.n > MOST_WORDS:
+        if self.known.n > MOST_WORDS:
             self.clear()
-        number = self.find(low, high)
+        number = self.known.find(low, high)
         raw = None
         while len(missing := np.flatnonzero(number < 0)):
             # One word of each hash; should two words share one, the other is left for the next turn.
@@ -151,7 +122,7 @@ class Encoder:
             raw = lower.tobytes() if raw is None else raw
             words = [raw[b : b + n].decode("utf-8", "replace") for b, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
             self.add(low[first], high[first], words)
-            number[missing] = self.find(low[missing], high[missing])
+            number[missing] = self.known.find(low[missing], high[missing])
         n = self.length[number]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.start[number] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -124,3 +124,49 @@ def windows(values: np.ndarray, width: int, seed: int) -> np.ndarray:
     for i, c in enumerate(constants(width, seed)):
         out += values[i : i + n] * c
     return mix(out)
+
+
+class Numbering:
+    """Numbers 0, 1, ... for keys of one or two 64-bit parts, by a hash table that is asked for many keys at once."""
+
+    def __init__(self, parts: int = 1):
+        self.n = 0
+        self.keys = [np.zeros(1 << 12, U) for _ in range(parts)]
+        self.slots = np.full(1 << 14, -1, np.int32)
+
+    def _first(self, parts: list[np.ndarray]) -> np.ndarray:
+        h = fold(*parts) if len(parts) > 1 else mix(parts[0])
+        return (h & U(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, *parts: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it isn't known."""
+        slot, out, todo = self._first(list(parts)), np.full(len(parts[0]), -1, np.int64), None
+        while todo is None or len(todo):
+            there = self.slots[slot]
+            asked = parts if todo is None else [x[todo] for x in parts]
+            hit = there >= 0
+            for own, x in zip(self.keys, asked, strict=True):
+                hit &= own[there] == x
+            todo = np.arange(len(out)) if todo is None else todo
+            out[todo[hit]] = there[hit]
+            on = ~hit & (there >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, *parts: np.ndarray) -> None:
+        """Number distinct keys that aren't known yet."""
+        new = np.arange(self.n, self.n + len(parts[0]))
+        self.n += len(new)
+        if self.n > len(self.keys[0]):
+            self.keys = [np.concatenate([x, np.zeros(2 * self.n - len(x), U)]) for x in self.keys]
+        for own, x in zip(self.keys, parts, strict=True):
+            own[new] = x
+        if 5 * self.n > 2 * len(self.slots):
+            self.slots = np.full(1 << int(5 * self.n).bit_length(), -1, np.int32)
+            new = np.arange(self.n)
+        slot = self._first([x[new] for x in self.keys])
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            lost = self.slots[slot] != new
+            new, slot = new[lost], (slot[lost] + 1) & (len(self.slots) - 1)
