@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -181,12 +182,16 @@ class Weights:
 
 def fit_weights(features: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 400) -> Weights:
     """rows (features, features after a swap, label): logistic loss of the texts, either label having half the weight, plus SWAP_PENALTY times the mean square of
-    the changes of the linear score under swaps, plus RIDGE / 2 times the squares of the weights; by Adam steps over all rows."""
+    the changes of the linear score under swaps, plus RIDGE / 2 times the squares of the weights; by Adam steps over all rows.
+
+    With labels of one kind only there is nothing to learn: all scores are the share of toxic labels, 0.5 at most, and no
+    text is predicted to be toxic."""
     n, size = len(rows), len(features)
     labels = np.array([r[2] for r in rows], float)
     if not n or labels.min() == labels.max():
+        warnings.warn("labels of one kind only: nothing to learn, so no text is predicted to be toxic", stacklevel=2)
         share = labels.mean() if n else 0.0
-        return Weights(features, np.zeros(size), float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5))))
+        return Weights(features, np.zeros(size), min(0.0, float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5)))))
     flat = lambda k: (np.repeat(np.arange(n), [len(r[k]) for r in rows]), np.searchsorted(features, np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows)])))
     (row, col), (row_s, col_s) = flat(0), flat(1)
     times = lambda w, r, c: np.bincount(r, w[c], minlength=n)
@@ -261,7 +266,7 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, parts: int = 3, part: in
     """learn(), then one row for every row of docs: doc_id, held_out, score, predicted.
 
     Ids may be null or repeated, and other columns of either table are ignored. Without labelled rows of both kinds all
-    scores are the same. An empty table gives an empty result.
+    scores are the same, 0.5 at most, so no text is rejected. An empty table gives an empty result.
     """
     scored = score_texts(docs, learn(docs, labels, parts, part, id_col, text_col), id_col, text_col)
     return scored.select("doc_id", held_out(parts, part).alias("held_out"), "score", "predicted")
