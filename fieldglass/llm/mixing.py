@@ -64,8 +64,8 @@ def mix_sources(
     Sources in code point order, null last, weigh `weights` in turn. Their targets share `share` of all words, none above
     `most` times its source's words. A document is taken floor(target / source_size) times (complete epochs); the rest of
     the target goes to the documents with the least keys -ln(u) / quality, u an MD5 of seed, id and size, up to the one
-    with which the sum comes nearest the target. Whole documents are taken. taken is in words, repeats counted. Quality
-    weights of null or at most 0 count as 1e-9. Null and empty texts have size 0 and are taken 0 words. Equal keys
+    with which the sum comes nearest the target. Whole documents are taken. taken is in words, repeats counted. quality
+    is any expression of docs's columns (by default letter_share of the text); weights of null or at most 0 count as 1e-9. Null and empty texts have size 0 and are taken 0 words. Equal keys
     are told apart by id and size; repeated rows that tie in everything are interchangeable. Reruns agree. An empty table
     gives an empty result.
 
@@ -73,21 +73,26 @@ def mix_sources(
     the key, buckets are summed, and only the bucket in which the target falls is put in order.
     """
     text, keep = F.col(text_col), ["row"] if rows_too else []
-    sized = docs.select(*([F.struct("*").alias("row")] if rows_too else []), F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), text.alias("_text"), word_count(text).alias("size"))
-    weight = quality if quality is not None else letter_share(F.col("_text"), F.col("size"))
+    # The caller's columns are read here and nowhere below.
+    weight = quality if quality is not None else letter_share(text, word_count(text))
+    source = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
+    sized = docs.select(
+        *([F.struct("*").alias("row")] if rows_too else []), F.col(id_col).alias("doc_id"), source.alias("source_key"), word_count(text).alias("size"),
+        F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9)).alias("weight"),
+    )
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     rows = written(
         sized.select(
             *keep,
             "doc_id",
-            F.when(F.col("_source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_source").cast("string"))).alias("source_key"),
+            "source_key",
             "size",
-            (-F.log(uniform) / F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-9))).alias("key"),
+            (-F.log(uniform) / F.col("weight")).alias("key"),
         ),
         "sizes",
     )
-    sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("key").alias("mean"))
+    sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg(F.log("key")).alias("mean"), F.stddev_pop(F.log("key")).alias("sd"))
     plan = written(
         source_targets(sources, weights, share, most)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -96,9 +101,10 @@ def mix_sources(
         "plan",
     )
     total = plan.agg(F.sum("n")).first()[0] or 0
-    # 1 - exp(-key / mean) grows with the key and is spread over 0 to 1.
+    # A logistic curve of the key's logarithm, which a few keys that are huge, of weights near 0, hardly move.
+    place = 1 / (1 + F.exp(-1.7 * (F.log("key") - F.col("mean")) / F.greatest("sd", F.lit(1e-9))))
     dealt = lookup(rows, plan, "source_key", "n", total).withColumn(
-        "bucket", F.least(F.floor((1 - F.exp(-F.col("key") / F.greatest("mean", F.lit(1e-300)))) * F.col("buckets")), F.col("buckets") - 1)
+        "bucket", F.least(F.floor(place * F.col("buckets")), F.col("buckets") - 1)
     )
     sums = dealt.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     running = F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket"))
