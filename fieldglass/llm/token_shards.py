@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ MAGIC = b"FGSHARD1"
 #: Bits for each key that is still without a place.
 GAMMA = 2.0
 LEVELS = 64
+#: A shard ends with the document with which it has so many ids.
+SHARD_IDS = 1 << 24
+#: Stands for a null id in the ranges of shards.
+NO_ID = (1 << 63) - 1
 
 
 class PerfectHash:
@@ -97,9 +101,12 @@ def pack_index(ids: np.ndarray, null: np.ndarray, lengths: np.ndarray, width: in
 
 
 class Shard:
-    """Keyed access to one shard: two probes of the index on average, then one slice of the ids."""
+    """Keyed access to one shard: two probes of the index on average, then one slice of the ids.
 
-    def __init__(self, index: bytes, ids: bytes):
+    ids gives the bytes from one place to another of the raw ids: a slice of memory, or of an open file.
+    """
+
+    def __init__(self, index: bytes, ids: Callable[[int, int], bytes]):
         if index[:8] != MAGIC:
             raise ValueError("not an index of token ids")
         size = int.from_bytes(index[8:16], "little")
@@ -112,7 +119,7 @@ class Shard:
         self.doc_ids, self.null = np.frombuffer(parts[0], "<i8"), np.unpackbits(np.frombuffer(parts[1], np.uint8), count=n).astype(bool)
         self.table = PerfectHash([np.unpackbits(np.frombuffer(p, np.uint8), count=m).astype(bool) for p, m in zip(parts[2:-3], head["levels"], strict=True)])
         self.marks, self.start, self.size = np.frombuffer(parts[-3], "<u4"), np.frombuffer(parts[-2], "<i8"), np.frombuffer(parts[-1], "<i8")
-        self.ids = np.frombuffer(ids, f"<u{head['width']}")
+        self.ids, self.width = ids, head["width"]
 
     def find(self, doc_ids: np.ndarray, null: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first id, number of ids) of each key; -1, 0 for keys that aren't in the shard."""
@@ -123,72 +130,145 @@ class Shard:
         there = (place >= 0) & (self.marks[place] == fingerprints(keys))
         return np.where(there, self.start[place], -1), np.where(there, self.size[place], 0)
 
+    def read(self, start: int, size: int) -> np.ndarray:
+        return np.frombuffer(self.ids(start * self.width, (start + size) * self.width), f"<u{self.width}")
+
+
+def _root(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards in ascending order of document id (nulls first) below folder, which any pyarrow file system can hold.
 
-    Returns their list: shard, path, n_docs, n_ids, first (ids in all shards before). Files of a task that was run again
-    have another name and aren't in the list. Null and empty texts have end_id alone; repeated ids are told apart by
-    their turn. An empty table gives an empty list.
+    Returns their list: part, shard, path, n_docs, n_ids, low, high (the least and greatest id in it; null ids count as
+    NO_ID), first (ids in all shards before). A shard ends with the document with which it has SHARD_IDS ids, so that any
+    can be read whole, however large the table. Files of a task that was run again have another name and aren't in the
+    list. Null and empty texts have end_id alone; repeated ids are told apart by their turn within a shard. An empty table
+    gives an empty list.
     """
-    fs_root = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    fs_root = _root(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(fs_root)
         tool = encoder(tokenizer)
         kind = "<u2" if max(tool.size - 1, end_id) < 1 << 16 else "<u4"
-        out, name = None, f"{root}/shard-{uuid.uuid4().hex}"
-        all_ids, all_null, all_lengths = [], [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(name + ".ids")
-            column = batch.column(0)
-            all_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-            all_null.append(column.is_null().to_numpy(zero_copy_only=False))
-            for _, ids, offsets in encoded(batch.column(1), tokenizer, end_id):
-                out.write(ids.astype(kind).tobytes())
-                all_lengths.append(np.diff(offsets))
-        if out is not None:
+        out, held, n_shard, n_ids = None, [], 0, 0
+
+        def closed() -> pa.RecordBatch:
             out.close()
-            ids, null, lengths = (np.concatenate(x) for x in (all_ids, all_null, all_lengths))
+            ids, null, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             with fs.open_output_stream(name + ".index") as f:
                 f.write(pack_index(ids, null, lengths, int(kind[-1])))
-            row = [TaskContext.get().partitionId(), name, len(ids), int(lengths.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "path", "n_docs", "n_ids"])
+            keys = np.where(null, NO_ID, ids)
+            row = [TaskContext.get().partitionId(), n_shard, name, len(ids), int(lengths.sum()), int(keys.min()), int(keys.max())]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "shard", "path", "n_docs", "n_ids", "low", "high"])
+
+        for batch in batches:
+            column = batch.column(0)
+            doc_ids, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+            for i, ids, offsets in encoded(batch.column(1), tokenizer, end_id):
+                a, n = 0, len(offsets) - 1
+                while a < n:
+                    if out is None:
+                        fs.create_dir(root, recursive=True)
+                        name, held, n_ids = f"{root}/shard-{uuid.uuid4().hex}", [], 0
+                        out = fs.open_output_stream(name + ".ids")
+                    b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_IDS - n_ids))))
+                    out.write(ids[offsets[a] : offsets[b]].astype(kind).tobytes())
+                    held.append((doc_ids[i + a : i + b], null[i + a : i + b], np.diff(offsets[a : b + 1])))
+                    n_ids, a = n_ids + int(offsets[b] - offsets[a]), b
+                    if n_ids >= SHARD_IDS:
+                        yield closed()
+                        out, n_shard = None, n_shard + 1
+        if out is not None:
+            yield closed()
 
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col), tie=F.xxhash64(F.col(text_col)))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    shards = written(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "shards")
-    before = F.sum("n_ids").over(Window.orderBy("shard"))
+    shards = written(ordered.mapInArrow(run, "part long, shard long, path string, n_docs long, n_ids long, low long, high long"), "shards")
+    before = F.sum("n_ids").over(Window.orderBy("part", "shard"))
     return shards.withColumn("first", before - F.col("n_ids"))
 
 
+def _described(shard: Shard, start: np.ndarray, size: np.ndarray, first: int, doc_ids: np.ndarray, null: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(start), 4096):
+        some = slice(a, a + 4096)
+        found = [shard.read(s, n) for s, n in zip(start[some].tolist(), size[some].tolist(), strict=True)]
+        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
+        heads = pa.array([x[:8].tolist() for x in found], pa.list_(pa.int32()))
+        columns = [pa.array(doc_ids[some], mask=null[some]), pa.array(start[some] + first), pa.array(size[some]), pa.array(crc, pa.int64()), heads]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids_head"])
+
+
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """One row for each document, by keyed access: doc_id, start, n_tokens, ids_crc32, ids_head (its first 8 ids)."""
-    fs_root = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    fs_root = _root(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(fs_root)
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(path + ".index") as index, fs.open_input_stream(path + ".ids") as ids:
-                    shard = Shard(index.read(), ids.read())
+                    raw = ids.read()
+                    shard = Shard(index.read(), lambda a, b, raw=raw: raw[a:b])
                 start, size = shard.find(shard.doc_ids, shard.null, turns(shard.doc_ids, shard.null))
                 if (start < 0).any():
                     raise ValueError(f"{path}: a document's fingerprint doesn't match")
-                for a in range(0, len(start), 4096):
-                    some = slice(a, a + 4096)
-                    found = [shard.ids[s : s + n] for s, n in zip(start[some].tolist(), size[some].tolist(), strict=True)]
-                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
-                    heads = pa.array([x[:8].tolist() for x in found], pa.list_(pa.int32()))
-                    columns = [pa.array(shard.doc_ids[some], mask=shard.null[some]), pa.array(start[some] + first), pa.array(size[some]), pa.array(crc, pa.int64()), heads]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids_head"])
+                yield from _described(shard, start, size, first, shard.doc_ids, shard.null)
 
     spread = shards.select("path", "first").repartition(max(1, shards.count()))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids_head array<int>")
+    return spread.mapInArrow(run, _FOUND)
+
+
+def find_documents(shards: DataFrame, folder: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows like read_shards's for the documents whose ids keys names; several where an id is repeated, none where it is unknown.
+
+    Each key is sent only to the shards whose range of ids holds it. There the index gives its place in two probes on
+    average, and of the raw ids that slice alone is read. Ranges are met by equal cells of the id space, about two for
+    each shard, so nothing is broadcast and no key meets all shards. Repeated keys are asked for once; null asks for the
+    rows without an id. Without shards or keys the result is empty.
+    """
+    fs_root = _root(folder)
+    bounds = shards.agg(F.min("low").alias("a"), F.max(F.when(F.col("high") < NO_ID, F.col("high"))).alias("b"), F.count("*").alias("n")).first()
+    least, most = min(bounds["a"] or 0, bounds["b"] or 0), bounds["b"] or 0
+    width = max(1, -(-(most - least + 1) // max(1, bounds["n"])))
+    # Rows without an id have a cell of their own.
+    cell = lambda x: F.expr(f"if({x} = {NO_ID}L, -1L, (least(greatest({x}, {least}L), {most}L) - ({least}L)) div {width}L)")
+    wanted = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key")).distinct().withColumn("cell", cell("key"))
+    none = F.array().cast("array<long>")
+    cells = F.concat(
+        F.when(F.col("low") < NO_ID, F.sequence(cell("low"), cell(f"least(high, {most}L)"))).otherwise(none),
+        F.when(F.col("high") == NO_ID, F.array(F.lit(-1).cast("long"))).otherwise(none),
+    )
+    spread = shards.select("path", "first", "low", "high", F.explode(cells).alias("cell"))
+    met = wanted.join(spread, "cell").filter(F.col("key").between(F.col("low"), F.col("high")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(fs_root)
+        open_ = None
+        for batch in batches:
+            paths, firsts, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            new = [k for k in range(len(paths)) if not k or paths[k] != paths[k - 1]]
+            for a, b in zip(new, [*new[1:], len(paths)], strict=True):
+                if open_ is None or open_[0] != paths[a]:
+                    with fs.open_input_stream(paths[a] + ".index") as index:
+                        source = fs.open_input_file(paths[a] + ".ids")
+                        open_ = paths[a], Shard(index.read(), lambda x, y, f=source: f.read_at(y - x, x))
+                shard, ids = open_[1], asked[a:b]
+                turn = 0
+                while len(ids):
+                    null = ids == NO_ID
+                    start, size = shard.find(np.where(null, 0, ids), null, np.full(len(ids), turn))
+                    there = start >= 0
+                    ids, null, turn = ids[there], null[there], turn + 1
+                    yield from _described(shard, start[there], size[there], firsts[a], ids, null)
+
+    parted = met.select("path", "first", "key").repartition("path").sortWithinPartitions("path", "key")
+    return parted.mapInArrow(run, _FOUND)
+
+
+_FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, ids_head array<int>"
 
 
 def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
