@@ -22,7 +22,9 @@ SPREAD = LEAST_WORDS - GRAM + 1
 SIDE = LEAST_WORDS - GRAM
 #: Suffixes of one gram, or copies of one window, that one task sorts. Windows around a gram that has more are dealt by
 #: their own hash instead, and of those the ones that stand more often are counted over all tasks.
-GROUP = 1024
+GROUP = 512
+#: Windows of common grams that one task reads out of its texts, about.
+TASK_WINDOWS = 50_000
 #: Stands for a null id, which is larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -297,8 +299,10 @@ def _equal(table: pa.RecordBatch) -> pa.RecordBatch | None:
     return _joined(table.column(2), twice, start[twice], other[twice], new[twice]) if len(twice) else None
 
 
-def common_spans(texts: DataFrame) -> DataFrame:
-    """(id, key, text, places) -> spans of the windows that stand twice and whose minimiser is one of the places."""
+def common_spans(texts: DataFrame, places: int) -> DataFrame:
+    """(id, key, text, places) -> spans of the windows that stand twice and whose minimiser is one of the places, of which there
+    are so many. Texts are dealt out evenly, as each has some windows for every place."""
+    texts = texts.repartition(max(1, -(-places * SPREAD // (2 * TASK_WINDOWS))), "key")
     windows = common_windows(texts)
     least = F.min(F.struct("id", "key", "start")).alias("least")
     heavy = written(windows.groupBy("hash").agg(F.count("*").alias("n"), least, F.max("id").alias("most")).filter(F.col("n") > GROUP), "windows")
@@ -325,14 +329,15 @@ def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = F.explode(F.arrays_zip(F.col("grams").alias("g"), F.col("places").alias("p"))).alias("x")
     each = once.select("key", pairs).select("key", F.col("x.g").alias("gram"), F.col("x.p").alias("place"))
     shared = written(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
+    sums = shared.agg(F.sum("n"), F.sum(F.when(F.col("n") > GROUP, F.col("n")))).first()
+    total, common = sums[0] or 0, sums[1] or 0
     hits = lookup(each, shared.withColumn("_n", F.col("n")), "gram", "_n", total, "inner").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
     # One row of each text: copies are dropped in the map tasks first.
     whole = rows.groupBy("key").agg(F.first("text").alias("text"), F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"))
     texts = written(whole.join(hits, "key").select("id", "key", "text", "hits"), "shared_texts")
     of = lambda wanted: texts.select("id", "key", "text", F.filter("hits", wanted)["place"].alias("places")).filter(F.size("places") > 0)
     ordered = suffixes(of(lambda x: x["n"] <= GROUP)).repartition("gram").sortWithinPartitions("gram", "right")
-    return marked.select("id", "key", "n_words"), compared(ordered).union(common_spans(of(lambda x: x["n"] > GROUP)))
+    return marked.select("id", "key", "n_words"), compared(ordered).union(common_spans(of(lambda x: x["n"] > GROUP), common))
 
 
 def _islands(spans: DataFrame, *more: str) -> DataFrame:
