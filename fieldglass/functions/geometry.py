@@ -115,3 +115,50 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     ]
     fx, fy, fz = (F.when(t > 216 / 24389, F.cbrt(t)).otherwise((24389 / 27 * t + 16) / 116) for t in xyz)
     return F.struct((116 * fy - 16).alias("l"), (500 * (fx - fy)).alias("a"), (200 * (fy - fz)).alias("b"))
+
+
+#: Crops under this height and width, in pixels, can't be read.
+CROP_HEIGHT, CROP_WIDTH = 24, 6
+#: A foot this far past a sideline, in yards, is off the field.
+OFF_FIELD = 0.5
+
+
+def crop_bounds(box: list[Column]) -> Column:
+    """(x1, y1, x2, y2) of a box's crop, in whole pixels from 0 on."""
+    names = ("x1", "y1", "x2", "y2")
+    return F.struct(*(F.greatest(F.lit(0), F.bround(v).cast("long")).alias(n) for n, v in zip(names, box, strict=True)))
+
+
+def usable_crop(height: Column, width: Column, channels: Column) -> Column:
+    """Whether a crop is in colour and large enough; NULL sizes aren't."""
+    return F.coalesce((channels == 3) & (height >= CROP_HEIGHT) & (width >= CROP_WIDTH), F.lit(False))
+
+
+def past_sideline(y: Column, whole: Column) -> Column:
+    """Whether feet at y yards are past a sideline; those of a box that the picture cuts off only past the near one."""
+    return (y < -OFF_FIELD) | (whole & (y > FIELD_WIDTH + OFF_FIELD))
+
+
+def take_frames(start_s: Column, end_s: Column, rate: float) -> Column:
+    """(start, end) in frames of a span in seconds."""
+    return F.struct(F.bround(start_s * rate).cast("long").alias("start"), F.bround(end_s * rate).cast("long").alias("end"))
+
+
+def smoothstep(t: Column) -> Column:
+    return t * t * (3 - 2 * t)
+
+
+def eased_between(t: Column, waypoints: Column) -> Column:
+    """(x, y) at time t on a path of waypoints (t, x, y) in order of time, eased in and out of each; at rest beyond the ends."""
+    n = F.size(waypoints)
+    first, last = F.get(waypoints, F.lit(0)), F.get(waypoints, n - 1)
+    legs = F.transform(F.sequence(F.lit(0), n - 2), lambda k: F.struct(F.get(waypoints, k).alias("a"), F.get(waypoints, k + 1).alias("b")))
+    leg = F.get(F.filter(legs, lambda s: (t >= s["a"]["t"]) & (t <= s["b"]["t"])), F.lit(0))
+    share = F.coalesce(smoothstep(F.try_divide(t - leg["a"]["t"], leg["b"]["t"] - leg["a"]["t"])), F.lit(1.0))
+    at = lambda c: F.when((t <= first["t"]) | (n == 1), first[c]).when(t >= last["t"], last[c]).otherwise(leg["a"][c] + (leg["b"][c] - leg["a"][c]) * share)
+    return F.struct(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"))
+
+
+def turf(r: Column, g: Column, b: Column) -> Column:
+    """Whether a pixel of 0 to 255 reads as turf: green above red and blue, and not too dark."""
+    return (g > r + 12) & (g > b + 12) & (g > 40)

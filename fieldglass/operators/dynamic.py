@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +29,25 @@ def kernel_log_density(value: Column, points: Sequence[float], width: float = TI
 
 def most_likely_states(df: DataFrame, keys: Sequence[str], order: str, first: str, second: str, same: float = SAME_VIEW) -> DataFrame:
     """The likeliest sequence of two states: keys, order, state (0 or 1). first and second are each row's log likelihoods; NULL
-    and NaN tell nothing. One fold over a group's rows keeps two scores and the two best paths so far."""
+    and NaN tell nothing. One pass over a group's rows keeps the best way into either state, one back reads it off."""
     stay, move = math.log(same), math.log(1 - same)
-    known = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c).cast("double")), F.lit(0.0))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), known(first).alias("a"), known(second).alias("b"))))
-    empty = F.array().cast("array<int>")
-    start = F.struct(F.lit(math.log(0.5)).alias("a"), F.lit(math.log(0.5)).alias("b"), empty.alias("pa"), empty.alias("pb"))
-
-    def step(s: Column, r: Column) -> Column:
-        begin = F.size(s["pa"]) == 0
-        to_a = [F.when(begin, s["a"]).otherwise(s["a"] + stay), F.when(begin, F.lit(float("-inf"))).otherwise(s["b"] + move)]
-        to_b = [F.when(begin, F.lit(float("-inf"))).otherwise(s["a"] + move), F.when(begin, s["b"]).otherwise(s["b"] + stay)]
-        path = lambda to, state: F.array_append(F.when(to[0] >= to[1], s["pa"]).otherwise(s["pb"]), F.lit(state))
-        return F.struct((F.greatest(*to_a) + r["a"]).alias("a"), (F.greatest(*to_b) + r["b"]).alias("b"), path(to_a, 0).alias("pa"), path(to_b, 1).alias("pb"))
-
-    folded = F.aggregate("_rows", start, step, lambda s: F.when(s["a"] >= s["b"], s["pa"]).otherwise(s["pb"]))
-    out = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_path", folded)
-    return out.select(*keys, F.explode(F.zip_with("_rows", "_path", lambda r, p: F.struct(r["o"].alias(order), p.alias("state")))).alias("x")).select(*keys, "x.*")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        told = np.nan_to_num(np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in (first, second)], axis=1), nan=0.0)
+        a, b, came = math.log(0.5) + told[0, 0], math.log(0.5) + told[0, 1], np.zeros((len(told), 2), np.int8)
+        for i, (x, y) in enumerate(told[1:].tolist(), 1):
+            came[i] = (0 if a + stay >= b + move else 1), (0 if a + move >= b + stay else 1)
+            a, b = max(a + stay, b + move) + x, max(a + move, b + stay) + y
+        state = np.zeros(len(told), np.int32)
+        state[-1] = 0 if a >= b else 1
+        for i in range(len(told) - 1, 0, -1):
+            state[i - 1] = came[i, state[i]]
+        return pa.table([*(table.column(k) for k in (*keys, order)), pa.array(state)], names=[*keys, order, "state"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, order)) + ", state int"
+    return df.select(*keys, order, first, second).groupBy(*keys).applyInArrow(run, schema)
 
 
 @dataclass(frozen=True)

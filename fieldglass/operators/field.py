@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.geometry import STEP, anchor, in_field, through
+from fieldglass.functions.geometry import END_ZONE, FIELD_LENGTH, FIELD_WIDTH, STEP, anchor, in_field, through, turf
 
 PIXELS, TRIES, LEAST_INLIERS, FRONT, AGREE_YD, REACH_S = 5.0, 300, 0.8, 3, 1.0, 4.0
 
@@ -169,3 +169,29 @@ def dash_window(rows: DataFrame, keys: Sequence[str], yard: str, least_share: fl
     inside = pairs.join(once.withColumnRenamed("a", "c"), list(keys)).filter("c between a and b").groupBy(*keys, "a", "b").agg(F.count("*").alias("dashes"))
     full = inside.filter(F.col("dashes") >= least_share * (F.col("b") - F.col("a") + 1))
     return full.groupBy(*keys).agg(F.max(F.struct((F.col("b") - F.col("a")).alias("w"), (-F.col("a")).alias("a"), "b", "dashes")).alias("m")).select(*keys, (-F.col("m.a")).alias("low"), F.col("m.b").alias("high"), F.col("m.dashes").alias("dashes"))
+
+
+# The field's lateral lines, by how far across it they are, and the sizes of blobs that can be dashes.
+HASH_LOW, HASH_HIGH = 70.75 / 3, FIELD_WIDTH - 70.75 / 3
+LATERALS = (("sideline_b", 0.0), ("hash_b", HASH_LOW), ("hash_t", HASH_HIGH), ("sideline_t", FIELD_WIDTH))
+DASH_AREA, DASH_SIDE = (2, 250), 30
+
+
+def landmarks(spark: SparkSession) -> DataFrame:
+    """The field's painted crossings: vertex (from 0, along the field and then across), label, x, y, and next_vertex, the one that
+    an edge leads to across the field (NULL at the far sideline). Lines are the two end lines and each 5 yards between the goals."""
+    lines = F.array(F.lit(0.0), *(F.lit(END_ZONE + STEP * k) for k in range(int((FIELD_LENGTH - 2 * END_ZONE) / STEP) + 1)), F.lit(FIELD_LENGTH))
+    laterals = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(y)).alias("y")) for n, y in LATERALS))
+    rows = spark.range(1).select(F.posexplode(lines).alias("i", "x")).select("i", "x", F.posexplode(laterals).alias("j", "l"))
+    vertex = (F.col("i") * len(LATERALS) + F.col("j")).cast("long")
+    return rows.select(vertex.alias("vertex"), F.format_string("x%03d_%s", F.col("x").cast("int"), "l.name").alias("label"), "x", F.col("l.y").alias("y"), F.when(F.col("j") < len(LATERALS) - 1, vertex + 1).alias("next_vertex"))
+
+
+def dash_blobs(blobs: DataFrame, most_side: float = DASH_SIDE, most_area: float = DASH_AREA[1]) -> DataFrame:
+    """Blobs (area, width, height) that are as small as a dash."""
+    return blobs.filter(F.col("area").between(DASH_AREA[0], most_area) & (F.greatest("width", "height") <= most_side))
+
+
+def turf_shares(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The share of an image's pixels (r, g, b) that read as turf."""
+    return pixels.groupBy(*keys).agg(F.avg(turf(F.col("r"), F.col("g"), F.col("b")).cast("double")).alias("turf"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.operators.dynamic import align_takes
@@ -96,3 +96,31 @@ def takes_or_slices(labels: DataFrame, window: tuple[float, float], pool: int, l
     size = (window[1] - window[0]) / n
     slices = labels.sparkSession.range(n).select((F.lit(window[0]) + F.col("id") * size).alias("start_s"), (F.lit(window[0]) + (F.col("id") + 1) * size).alias("end_s"), F.lit("unlabelled").alias("view"))
     return slices if picked.isEmpty() else picked
+
+
+def shifted_shots(shots: DataFrame, first_frame: Column, rate: float) -> DataFrame:
+    """Shots found in a part of a film as times and frames of the whole film, which that part begins at first_frame of."""
+    seconds = {c: F.round(F.col(c) + first_frame / rate, 3) for c in ("start_s", "end_s")}
+    return shots.withColumns(seconds | {c: F.col(c) + first_frame for c in ("start_frame", "end_frame")})
+
+
+def bright_thresholds(windows: DataFrame, keys: Sequence[str], mean: str = "mean", margin: float = 0.05) -> DataFrame:
+    """How bright a window of the film itself is at least: midway between the 20th and 80th percentile of the means, less a margin."""
+    return windows.groupBy(*keys).agg(((F.percentile(mean, 0.2) + F.percentile(mean, 0.8)) / 2 - margin).alias("threshold"))
+
+
+def take_summaries(frames: DataFrame, steps: DataFrame, take: Sequence[str], sure: float = 1.0) -> DataFrame:
+    """One row for each take: start_frame, end_frame (not included), frames_without (frames without a place), sources (how many frames
+    each source placed, by name), steps, steps_changed (dx not 0), steps_unsure (left over more than `sure`) and step_left_max.
+
+    frames: take, frame, source (NULL without a place); steps: take, dx, left. Takes without steps have 0 and NULL.
+    """
+    by_source = frames.groupBy(*take, "source").agg(F.count("*").alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+    named = F.when(F.col("source").isNotNull(), F.struct("source", "n"))
+    head = by_source.groupBy(*take).agg(
+        F.min("a").alias("start_frame"), (F.max("b") + 1).alias("end_frame"), F.coalesce(F.sum(F.when(F.col("source").isNull(), F.col("n"))), F.lit(0)).alias("frames_without"),
+        F.map_from_entries(F.array_sort(F.collect_list(named))).alias("sources"),
+    )
+    told = steps.groupBy(*take).agg(F.count("*").alias("steps"), F.count_if(F.col("dx") != 0).alias("steps_changed"), F.count_if(F.col("left") > sure).alias("steps_unsure"), F.max("left").alias("step_left_max"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("steps", "steps_changed", "steps_unsure")]
+    return head.join(told, list(take), "left").select(*take, "start_frame", "end_frame", "frames_without", "sources", *counts, "step_left_max")

@@ -95,6 +95,8 @@ CATALOGUE = """
 """
 ALIASES = {69: 4, 71: 9, 73: 10, 75: 21, 76: 22, 79: 29, 80: 30, 83: 35, 84: 36, 87: 50, 90: 61, 54: 53, 55: 52}
 LOOKALIKES = {52: ("Field Goal", "Fake Field Goal"), 53: ("Punt Formation", "Fake Punt")}
+#: A caller's catalogue becomes a constant of the plan, so its size is checked.
+MOST_FORMATIONS = 1000
 LINEMEN, BACKS = ("C", "G", "T", "LG", "RG", "LT", "RT", "OL"), ("RB", "FB", "HB")
 RECEIVER_SLOTS, END_SLOTS = ("WR", "WS", "WS2", "WS3", "WS4"), ("TE", "TE2", "TE3")
 
@@ -133,8 +135,13 @@ def canonical_id(formation_id: Column) -> Column:
 
 def matched_formations(df: DataFrame, slots: str, table: DataFrame | None = None) -> DataFrame:
     """df with formation_id, exact, missing and extra: the entry with just these slots, else the one that differs in fewest,
-    the least id of those. The catalogue, 83 rows, is folded into one constant; no slots at all match nothing."""
-    entries = [(r["formation_id"], r["slots"]) for r in table.select("formation_id", "slots").collect()] if table is not None else [(i, s) for i, _, s in catalogue()]
+    the least id of those. The catalogue, 83 rows or the caller's of up to MOST_FORMATIONS, is folded into one constant; no
+    slots at all match nothing."""
+    entries = [(i, s) for i, _, s in catalogue()]
+    if table is not None:
+        entries = [(r["formation_id"], r["slots"]) for r in table.select("formation_id", "slots").limit(MOST_FORMATIONS + 1).collect()]
+    if len(entries) > MOST_FORMATIONS:
+        raise ValueError(f"over {MOST_FORMATIONS} formations: this is no catalogue")
     constant = F.array(*(F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, s)).alias("slots")) for i, s in entries))
     own = F.array_distinct(F.coalesce(F.col(slots), F.array().cast("array<string>")))
     scored = F.transform(constant, lambda e: F.struct((F.size(F.array_except(e["slots"], "_own")) + F.size(F.array_except("_own", e["slots"]))).alias("d"), e["id"].alias("id"), e["slots"].alias("slots")))

@@ -83,8 +83,9 @@ def unseen(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """New rows stand in for old ones of the same key; the rest stays."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True).orderBy(*(order or keys))
+    """New rows stand in for old ones of the same key; the rest stays. In order only if one is asked for."""
+    both = old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    return both.orderBy(*order) if order else both
 
 
 def overlay(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

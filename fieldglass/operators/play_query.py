@@ -127,27 +127,6 @@ def tool_schemas() -> list[dict]:
     ]
 
 
-def search_predicate(query: str, text: Column, down: Column, distance: Column, yards_to_goal: Column, quarter: Column, clock_s: Column) -> Column:
-    """The film room's search words: '3rd & long', '3rd & 4', 'red zone', 'two minute'; else every word must be in the text."""
-    q = query.strip().lower()
-    if m := re.match(r"^(1st|2nd|3rd|4th)\s*(?:&|and)\s*(long|short|goal|\d+)$", q):
-        want = {"long": distance >= 7, "short": distance <= 3, "goal": distance >= yards_to_goal}.get(m[2])
-        return (down == int(m[1][0])) & (want if want is not None else distance == int(m[2]))
-    if q in ("red zone", "redzone"):
-        return yards_to_goal <= RED_ZONE
-    if re.match(r"^(two|2)[ -]?minute", q):
-        return quarter.isin(2, 4) & (clock_s <= 120)
-    return reduce(lambda a, b: a & b, (F.contains(F.lower(text), F.lit(w)) for w in q.split()), F.lit(True))
-
-
-def tag_predicate(tag: str, text: Column, yards: Column, touchdown: Column, formation: Column) -> Column:
-    low = F.lower(text)
-    return {
-        "td": touchdown, "explosive": yards >= EXPLOSIVE, "shotgun": (formation == "SHOTGUN") | F.contains(low, F.lit("shotgun")),
-        "motion": F.contains(low, F.lit("motion")), "play_action": F.contains(low, F.lit("play action")) | F.contains(low, F.lit("play-action")),
-    }[tag]
-
-
 def number_set(spec: str) -> list[int]:
     """'1-10,12' -> [1, ..., 10, 12]."""
     out: set[int] = set()

@@ -191,7 +191,7 @@ def filled_gaps(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[st
         inside = (F.col("_c.cut") > F.col("_g." + at)) & (F.col("_c.cut") <= F.col("_g._after")[at])
         for k in shared:
             inside = inside & (F.col("_g." + k) == F.col("_c." + k))
-        gaps = gaps.alias("_g").join(F.broadcast(cuts.alias("_c")), inside, "left_anti") if not shared else gaps.alias("_g").join(cuts.alias("_c"), inside, "left_anti")
+        gaps = gaps.alias("_g").join(cuts.alias("_c"), inside, "left_anti")
     steps = gaps.withColumn("_at", F.explode(F.sequence(F.col(at) + 1, F.col("_after")[at] - 1)))
     share = (F.col("_at") - F.col(at)) / (F.col("_after")[at] - F.col(at))
     made = {v: F.col(v) * (1 - share) + F.col("_after")[v] * share for v in values}

@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import plays as P
 from fieldglass.functions.geometry import anchor, line_x_facing, overlap, painted_number, snap_frame, through
-from fieldglass.operators import boxes, dynamic, formations, joins, models, play_query, sampling, sequence, tracks
+from fieldglass.operators import boxes, joins, play_query, sampling, sequence, tracks
 from fieldglass.operators.field import dash_window, scrimmage_lines
-from fieldglass.plans import records
+from fieldglass.plans.registry import events, query, read
 from fieldglass.sources import tables
 from fieldglass.streaming import film
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(run: Query) -> Query:
-        QUERIES[name] = run
-        if sql:
-            SQL[name] = sql
-        return run
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-
-
 # --- filters, metrics, ranking
 
 
@@ -77,13 +51,6 @@ def filter_topk(spark, sf):
     return play_query.matching_plays(as_plays(spark, sf), limit=50, down=2, red_zone=False)
 
 
-@query("q_ranked_groups", f"""SELECT play_type, qtr, count(*) AS n, avg(epa) AS epa, avg(CASE WHEN epa > 0 THEN 1.0::DOUBLE ELSE 0 END) AS success FROM {PLAYS_SQL} WHERE shotgun = 0 GROUP BY ALL HAVING count(*) >= 10""")
-def ranked_groups(spark, sf):
-    plays = as_plays(spark, sf)
-    rows = plays.filter(play_query.predicate(plays.columns, {"shotgun": False}))
-    return rows.groupBy("play_type", "qtr").agg(F.count("*").alias("n"), F.avg("epa").alias("epa"), F.avg(F.when(F.col("epa") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("success")).filter("n >= 10")
-
-
 @query("q_tri_state_flags", "SELECT lang, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS poor, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unread FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def tri_state(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id", "left")
@@ -145,32 +112,13 @@ def anti_seen(spark, sf):
     return joins.unseen(read(spark, sf, "documents").select("doc_id", "lang"), read(spark, sf, "labels"), ["doc_id"])
 
 
-@query("q_theta_links", """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000 AS t, value FROM events), p AS (
- SELECT a.user_id, a.event_type, a.event_id AS earlier, b.event_id AS later FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.t > a.t AND b.t - a.t <= 3600 AND abs(a.value - b.value) <= 20)
-SELECT * FROM p""")
-def theta_links(spark, sf):
-    """Pairs of one user and type within an hour whose values are near, by cells of an hour."""
-    rows = events(spark, sf).select("event_id", "user_id", "event_type", (F.col("t") / 1_000_000).alias("t"), "value")
-    cell = F.floor(F.col("t") / 3600)
-    a = rows.select("user_id", "event_type", F.col("event_id").alias("earlier"), F.col("t").alias("ta"), F.col("value").alias("va"), F.explode(F.sequence(cell, cell + 1)).alias("cell"))
-    b = rows.select("user_id", "event_type", F.col("event_id").alias("later"), "t", "value", cell.alias("cell"))
-    return a.join(b, ["user_id", "event_type", "cell"]).filter("t > ta and t - ta <= 3600 and abs(va - value) <= 20").select("user_id", "event_type", "earlier", "later")
-
-
-@query("q_fragments", """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000 AS t FROM events) SELECT b.event_id, b.user_id FROM e b WHERE b.event_type = 'error' AND EXISTS (SELECT 1 FROM e a WHERE a.user_id = b.user_id AND a.event_type = 'click' AND b.t - a.t > 0 AND b.t - a.t <= 7200)""")
-def fragments(spark, sf):
-    rows = events(spark, sf).withColumn("s", F.col("t") / 1_000_000)
-    cell = F.floor(F.col("s") / 7200)
-    a = rows.filter("event_type = 'click'").select(F.col("user_id").alias("u"), F.col("s").alias("sa"), F.explode(F.sequence(cell, cell + 1)).alias("k"))
-    b = rows.filter("event_type = 'error'").withColumn("cell", cell)
-    return b.join(a, (b["user_id"] == a["u"]) & (b["cell"] == a["k"]) & (b["s"] > a["sa"]) & (b["s"] - a["sa"] <= 7200), "left_semi").select("event_id", "user_id")
-
-
-@query("q_nearest", """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, (n_nationkey * 37 % 101)::DOUBLE AS x FROM nation), p AS (SELECT a.r, a.k, b.k AS o, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.x - b.x), b.k) AS i FROM n a JOIN n b ON a.r = b.r AND a.k <> b.k) SELECT r, k, o AS nearest_id, d AS distance FROM p WHERE i = 1""")
+@query("q_nearest", """WITH n AS (SELECT s_suppkey AS k, s_nationkey AS r, s_acctbal AS x FROM supplier), p AS (SELECT a.r, a.k, b.k AS o, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.x - b.x), b.k) AS i FROM n a JOIN n b ON a.r = b.r AND a.k <> b.k)
+SELECT r, k, o AS nearest_id, d AS distance FROM p WHERE i = 1""")
 def nearest(spark, sf):
-    rows = read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"), (F.col("n_nationkey") * 37 % 101).cast("double").alias("x"))
+    rows = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("r"), F.col("s_acctbal").alias("x"))
     other = rows.select("r", F.col("k").alias("o"), F.col("x").alias("y"))
-    return joins.nearest(rows, other, ["r"], F.when(F.col("k") != F.col("o"), F.abs(F.col("x") - F.col("y"))).otherwise(F.lit(float("inf"))), ["k"], "o")
+    found = joins.nearest(rows, other, ["r"], F.when(F.col("k") != F.col("o"), F.abs(F.col("x") - F.col("y"))).otherwise(F.lit(float("inf"))), ["k"], "o")
+    return found.filter(F.col("distance") < float("inf"))
 
 
 @query("q_upsert", "SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 0 AS quality, toxic FROM labels WHERE toxic = 1")
@@ -320,17 +268,10 @@ def team_votes(spark, sf):
     return tracks.team_votes(rows, rows, ["user_id"], 10.0)
 
 
-@query("q_off_field", "SELECT user_id, count(*) FILTER (event_type = 'error') >= 2 AND count(*) FILTER (event_type = 'error') >= 0.2 * count(*) AS off_field FROM events GROUP BY user_id")
-def off_field(spark, sf):
-    rows = read(spark, sf, "events")
-    off = F.count_if(F.col("event_type") == "error")
-    return rows.groupBy("user_id").agg(((off >= tracks.OFF_LEAST) & (off >= 0.2 * F.count("*"))).alias("off_field"))
-
-
-@query("q_modal_shift", """WITH e AS (SELECT user_id, round(value / 5) * 5 AS s, value AS r FROM events WHERE value < 30), c AS (SELECT user_id, s, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT user_id, s FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, s) = 1)
+@query("q_modal_shift", """WITH e AS (SELECT user_id, round(value / 5) * 5 AS s, value AS r FROM events), c AS (SELECT user_id, s, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT user_id, s FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, s) = 1)
 SELECT e.user_id, b.s AS shift, (SELECT count(*) FROM e x WHERE x.user_id = e.user_id) AS frames, count(*) / (SELECT count(*) FROM e x WHERE x.user_id = e.user_id)::DOUBLE AS agree, median(r) AS residual FROM e JOIN b USING (user_id, s) GROUP BY e.user_id, b.s""")
 def modal_shift(spark, sf):
-    rows = read(spark, sf, "events").filter("value < 30").select("user_id", (F.round(F.col("value") / 5) * 5).alias("s"), F.col("value").alias("r"))
+    rows = read(spark, sf, "events").select("user_id", (F.round(F.col("value") / 5) * 5).alias("s"), F.col("value").alias("r"))
     return tracks.modal_shift(rows, ["user_id"], "s", "r")
 
 
@@ -384,17 +325,6 @@ def box_pairs(spark, sf):
     return a.join(b, "frame").filter("box_id < other").select("frame", "box_id", "other", overlap(sides("box"), sides("b")).alias("iou"))
 
 
-@query("q_duplicate_boxes")
-def duplicate_boxes(spark, sf):
-    return boxes.without_duplicates(boxed(spark, sf), ["frame", "label"], most=0.5).select("frame", "label", "box_id")
-
-
-@query("q_box_matching")
-def box_matching(spark, sf):
-    rows = boxed(spark, sf)
-    return boxes.scores(boxes.matched(rows.filter("box_id % 2 = 0"), rows.filter("box_id % 2 = 1"), ["frame", "label"], 0.3), ["label"])
-
-
 @query("q_frame_order", "SELECT d.doc_id, coalesce(quality, 1) AS q, n_chars FROM documents d LEFT JOIN labels USING (doc_id) ORDER BY coalesce(toxic, 0) DESC, n_chars, d.doc_id")
 def frame_order(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", "n_chars").join(read(spark, sf, "labels"), "doc_id", "left").withColumn("disputed", F.coalesce("toxic", F.lit(0)))
@@ -425,11 +355,11 @@ def personnel(spark, sf):
     return rows.withColumn("s", s).select("p_partkey", "s.off_grouping", "s.def_front", "s.def_package")
 
 
-@query("q_narration", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\bkicks off\b|\bkickoff\b', 'i') THEN 'kickoff' WHEN regexp_matches(text, '\bpunts?\b', 'i') THEN 'punt' WHEN regexp_matches(text, '\bfield goal\b', 'i') THEN 'field_goal' WHEN regexp_matches(text, '\bextra point\b', 'i') THEN 'extra_point'
- WHEN regexp_matches(text, '\b(pass|sacked|scrambles|spike[sd]?)\b', 'i') THEN 'pass' WHEN regexp_matches(text, '\b(rush(?:es|ed)?|run[s]?|kneel[s]?|up the middle)\b', 'i') THEN 'run' END AS kind FROM (SELECT doc_id, ['Smith kicks off 65 yards', 'Lee PUNTS 40', 'pass short left', 'rushes up the middle', 'nothing'][doc_id % 5 + 1] AS text FROM documents)""")
+@query("q_narration", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\bkicks off\b|\bkickoff\b', 'i') THEN 'kickoff' WHEN regexp_matches(text, '\bpunts?\b', 'i') THEN 'punt'
+ WHEN regexp_matches(text, '\bfield goal\b', 'i') THEN 'field_goal' WHEN regexp_matches(text, '\bextra point\b', 'i') THEN 'extra_point' WHEN regexp_matches(text, '\b(pass|sacked|scrambles|spike[sd]?)\b', 'i') THEN 'pass'
+ WHEN regexp_matches(text, '\b(rush(?:es|ed)?|run[s]?|kneel[s]?|up the middle)\b', 'i') THEN 'run' END AS kind FROM documents""")
 def narration(spark, sf):
-    texts = F.array(*map(F.lit, ("Smith kicks off 65 yards", "Lee PUNTS 40", "pass short left", "rushes up the middle", "nothing")))
-    return read(spark, sf, "documents").select("doc_id", P.narrated_type(F.get(texts, (F.col("doc_id") % 5).cast("int"))).alias("kind"))
+    return read(spark, sf, "documents").select("doc_id", P.narrated_type(F.col("text")).alias("kind"))
 
 
 @query("q_regex_classify", r"""SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/]+)', 1) AS host, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang, TRY_CAST(regexp_extract(url, '/(\d+)', 1) AS BIGINT) AS number FROM pages""")
@@ -445,11 +375,6 @@ def game_keys(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", key.alias("key"), P.play_uid(key, F.col("c_custkey")).alias("uid"))
 
 
-@query("q_json_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
-def json_extract(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 @query("q_geometry", """SELECT s_suppkey, CASE WHEN a > 0 THEN 110.0 - y ELSE 10.0 + y END AS los_x, 50 - abs(round_even(x - 10, 0) - 50) AS painted, (2 * x + y + 1) / (0.01 * x + 2) AS px, (x - y) / (0.01 * x + 2) AS py, CASE WHEN a > 0 THEN y - 20 ELSE 20 - y END AS lateral FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END AS a, (s_suppkey * 13 % 100)::DOUBLE AS y, (s_suppkey * 7 % 120)::DOUBLE AS x FROM supplier)""")
 def geometry(spark, sf):
     k = F.col("s_suppkey")
@@ -467,23 +392,6 @@ def anchored(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", a["shift"].alias("shift"), a["residual"].alias("residual"), a["ok"].alias("ok"))
 
 
-@query("q_set_algebra", """WITH w AS (SELECT item_id, list_sort(list_distinct(string_split(lower(text), ' ')[1:12])) AS a, list_sort(list_distinct(string_split(lower(text), ' ')[7:18])) AS b FROM benchmark)
-SELECT item_id, len(a) - len(list_intersect(a, b)) AS missing, len(b) - len(list_intersect(a, b)) AS extra, len(list_intersect(a, b)) AS common FROM w""")
-def set_algebra(spark, sf):
-    w = F.split(F.lower("text"), " ")
-    rows = read(spark, sf, "benchmark").select("item_id", F.array_distinct(F.slice(w, 1, 12)).alias("a"), F.array_distinct(F.slice(w, 7, 12)).alias("b"))
-    size = lambda c: F.size(c).cast("long")
-    return rows.select("item_id", size(F.array_except("a", "b")).alias("missing"), size(F.array_except("b", "a")).alias("extra"), size(F.array_intersect("a", "b")).alias("common"))
-
-
-@query("q_nested_record", "SELECT o_orderkey, count(*) AS n, CAST(list(l_linenumber ORDER BY l_linenumber)[1] AS INTEGER) AS first_line, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
-def nested_record(spark, sf):
-    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity").join(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
-    nested = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("lines"))
-    total = F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["l_quantity"])
-    return nested.select("o_orderkey", F.size("lines").cast("long").alias("n"), F.get("lines", 0)["l_linenumber"].cast("int").alias("first_line"), total.alias("quantity"))
-
-
 # --- samples, windows, formations
 
 
@@ -508,42 +416,22 @@ def session(spark, sf):
     return film.sessions(read(spark, sf, "events"), "ts", "6 hours", ["user_id"])
 
 
-@query("q_formations")
-def formation_matches(spark, sf):
-    """Formations by slots drawn from each part's number."""
-    all_slots = sorted({s for _, _, slots in formations.catalogue() for s in slots})
-    pick = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.get(F.array(*map(F.lit, all_slots)), ((F.col("p_partkey") * (k + 3) + k * 7) % len(all_slots)).cast("int")))
-    rows = read(spark, sf, "part").select("p_partkey", F.array_distinct(pick).alias("slots"))
-    return formations.matched_formations(rows, "slots").select("p_partkey", "formation_id", "exact", F.size("missing").alias("n_missing"), F.size("extra").alias("n_extra"))
-
-
-@query("q_scrimmage")
+@query("q_scrimmage", """WITH p AS (SELECT c_custkey % 25 AS frame, c_acctbal / 100 AS x, c_nationkey % 2 = 0 AS o FROM customer), z AS (SELECT frame, a AS attack, a * x AS z, o FROM p, (VALUES (1), (-1)) v(a)),
+n AS (SELECT frame, attack, count(*) FILTER (o) AS off, min(z) AS low FROM z GROUP BY frame, attack HAVING count(*) FILTER (o) >= 3 AND count(*) FILTER (NOT o) >= 3),
+g AS (SELECT frame, attack, off AS wrong, low - 1 AS place FROM n UNION ALL SELECT i.frame, i.attack, (SELECT count(*) FROM z q WHERE q.frame = i.frame AND q.attack = i.attack AND ((q.o AND q.z > i.z) OR (NOT q.o AND q.z <= i.z))),
+ coalesce((i.z + (SELECT min(q.z) FROM z q WHERE q.frame = i.frame AND q.attack = i.attack AND q.z > i.z)) / 2, i.z + 1) FROM z i JOIN n USING (frame, attack)),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY frame ORDER BY wrong, attack DESC, place) = 1),
+f AS (SELECT b.frame, b.attack, b.wrong, z.o, z.z, row_number() OVER (PARTITION BY b.frame, z.o ORDER BY CASE WHEN z.o THEN -z.z ELSE z.z END) AS k FROM b JOIN z ON z.frame = b.frame AND z.attack = b.attack AND CASE WHEN z.o THEN z.z <= b.place ELSE z.z >= b.place END),
+m AS (SELECT frame, attack, wrong, avg(z) FILTER (o) AS fo, avg(z) FILTER (NOT o) AS fd FROM f WHERE k <= 3 GROUP BY ALL) SELECT frame, attack * (fo + fd) / 2 AS line, attack, wrong AS misplaced, fd - fo AS gap FROM m WHERE fo IS NOT NULL AND fd IS NOT NULL""")
 def scrimmage(spark, sf):
     rows = read(spark, sf, "customer").select((F.col("c_custkey") % 25).alias("frame"), (F.col("c_acctbal") / 100).alias("x_yd"), (F.col("c_nationkey") % 2 == 0).alias("offense"))
     return scrimmage_lines(rows, ["frame"])
 
 
-@query("q_dash_window")
+@query("q_dash_window", """WITH o AS (SELECT DISTINCT c_nationkey, CAST(floor(c_custkey * 7 % 397 / 2) AS INTEGER) AS a FROM customer), p AS (SELECT x.c_nationkey, x.a, y.a AS b, (SELECT count(*) FROM o c WHERE c.c_nationkey = x.c_nationkey AND c.a BETWEEN x.a AND y.a) AS dashes FROM o x JOIN o y ON x.c_nationkey = y.c_nationkey AND y.a >= x.a)
+SELECT c_nationkey, a AS low, b AS high, dashes FROM p WHERE dashes >= 0.5 * (b - a + 1) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY b - a DESC, a) = 1""")
 def dashes(spark, sf):
-    return dash_window(read(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 97 / 2).alias("yard")).filter("yard < 40"), ["c_nationkey"], "yard")
-
-
-@query("q_viterbi")
-def viterbi(spark, sf):
-    rows = events(spark, sf).withColumns({"a": F.log(F.lit(0.02) + F.least(F.col("value") / 60, F.lit(0.96))), "b": F.log(F.lit(0.98) - F.least(F.col("value") / 60, F.lit(0.96)))})
-    return dynamic.most_likely_states(rows, ["user_id"], "event_id", "a", "b")
-
-
-@query("q_tilt")
-def tilt(spark, sf):
-    return models.dominant_orientation(read(spark, sf, "events").withColumn("angle", F.col("value") % 180), ["event_type"], "angle", "value")
-
-
-@query("q_play_records")
-def play_records(spark, sf):
-    plays = as_plays(spark, sf).withColumn("play_uid", P.play_uid(F.lit("2024_wk05_BUF-NYJ"), F.col("play_index"))).withColumn("play_type", F.lit("pass"))
-    made = records.play_records(plays, {"game_key": "2024_wk05_BUF-NYJ", "season": 2024, "week": 5, "away": "BUF", "home": "NYJ"}, "2024-10-14T00:00:00Z")
-    return records.checked(made).select("play_uid", "situation.down", "situation.los_x", "official.yards_gained", "official.labels.source")
+    return dash_window(read(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") * 7 % 397 / 2).alias("yard")), ["c_nationkey"], "yard")
 
 
 @query("q_mix_of_tables", "SELECT n_name AS name, 'nation' AS kind, n_regionkey AS region FROM nation UNION ALL SELECT r_name AS name, 'region' AS kind, NULL AS region FROM region")

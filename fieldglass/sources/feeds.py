@@ -20,6 +20,10 @@ TEAM_IDS = {
     323: "Atl", 324: "Buf", 325: "Hou", 326: "Chi", 327: "Cin", 329: "Cle", 331: "Dal", 332: "Den", 334: "Det", 335: "GB", 336: "Ten", 338: "Ind", 339: "KC", 341: "LV", 343: "LAR", 345: "Mia",
     347: "Min", 348: "NE", 350: "NO", 351: "NYG", 352: "NYJ", 354: "Phi", 355: "Ari", 356: "Pit", 357: "LAC", 359: "SF", 361: "Sea", 362: "TB", 363: "Was", 364: "Car", 365: "Jax", 366: "Bal",
 }
+# The names under which a list of teams may keep their ids, codes and names.
+TEAM_KEYS = ("id", "teamId", "guid")
+TEAM_CODES = ("abbreviation", "abbr", "teamAbbr", "nickAbbr", "triCode")
+TEAM_NAMES = ("fullName", "displayName", "name", "nickName")
 #: A registry of teams becomes a constant of the plan, so its size is checked.
 MOST_TEAMS = 1000
 OFFENSE_ROLES = ("player", "target", "snapper", "holder")
@@ -67,7 +71,7 @@ def event_lines(all_events: DataFrame, teams: DataFrame) -> DataFrame:
     name = lambda side, t: F.coalesce(t, F.lit("?")).alias(side)
     sides = all_events.withColumns({"_h": N.side_team(F.col("e.teams"), "home"), "_w": N.side_team(F.col("e.teams"), "away")})
     h, a = (teams.select(F.col("team_id").alias(f"_{k}_id"), F.col("abbreviation").alias(f"_{k}")) for k in ("hn", "an"))
-    both = sides.join(F.broadcast(h), F.col("_h") == F.col("_hn_id"), "left").join(F.broadcast(a), F.col("_w") == F.col("_an_id"), "left").select("event_id", "e", "event_type", name("_home", F.col("_hn")), name("_away", F.col("_an")))
+    both = sides.join(h, F.col("_h") == F.col("_hn_id"), "left").join(a, F.col("_w") == F.col("_an_id"), "left").select("event_id", "e", "event_type", name("_home", F.col("_hn")), name("_away", F.col("_an")))
     return both.select("event_id", F.rtrim(F.format_string("%d  week %s  %s @ %s  %s", "event_id", F.coalesce(F.col("e.week").cast("string"), F.lit("?")), "_away", "_home", N.start_date(F.col("e.startDate")))).alias("line"))
 
 
@@ -159,3 +163,24 @@ def team_registry(payload: DataFrame, list_path: str) -> DataFrame:
         rows = rows.select(F.posexplode(column if k == 0 else F.col(f"x.{part}")).alias(f"i{k}", "x"))
     flat = rows.select(F.col("x.teamId").alias("team_id"), F.col("x.abbreviation").alias("abbreviation"), F.col("x.nickname").alias("nickname"), F.col("x.location").alias("location"), F.monotonically_increasing_id().alias("_o"))
     return first_rows(flat.filter("nickname is not null"), ["team_id"], F.col("_o")).drop("_o")
+
+
+def adapter_report(payload: DataFrame, players: DataFrame, fields: tuple[str, ...] = ("gsisId", "jerseyNumber", "displayName")) -> DataFrame:
+    """entries (how many the payload lists), understood (how many of them became players) and more_pages (whether its pagination
+    names a further page), in one row."""
+    entries = N.exploded_candidates(payload, fields).agg(F.count("*").alias("entries"))
+    understood = players.filter("gsis_id is not null and size(name_forms) > 0").agg(F.count("*").alias("understood"))
+    told = F.lit(False)
+    if "pagination" in payload.columns:
+        have = [n for n in ("token", "nextToken", "next") if n in payload.schema["pagination"].dataType.names]
+        told = F.coalesce(*(F.bool_or(F.trim(F.col(f"pagination.{n}")) != "") for n in have), F.lit(False)) if have else told
+    return entries.join(understood).join(payload.agg(told.alias("more_pages")))
+
+
+def league_teams(payload: DataFrame, list_column: str = "teams") -> DataFrame:
+    """abbreviation, team_id, name: the teams that a payload lists with an id and an abbreviation, the last of each abbreviation."""
+    rows = payload.select(F.monotonically_increasing_id().alias("_d"), F.posexplode(list_column).alias("_i", "t"))
+    have = set(rows.schema["t"].dataType.names)
+    get = lambda *names: N.first_filled(*(F.col(f"t.{n}") for n in names if n in have)) if have & set(names) else F.lit(None).cast("string")
+    told = rows.select(F.upper(get(*TEAM_CODES)).alias("abbreviation"), get(*TEAM_KEYS).alias("team_id"), get(*TEAM_NAMES).alias("name"), F.struct("_d", "_i").alias("_o"))
+    return told.filter("abbreviation is not null and team_id is not null").groupBy("abbreviation").agg(F.max_by("team_id", "_o").alias("team_id"), F.max_by("name", "_o").alias("name"))

@@ -127,3 +127,44 @@ def outline(df: DataFrame) -> str:
     from fieldglass.functions.nested import schema_outline
 
     return json.dumps(schema_outline(df.schema))
+
+
+def held_out_frames(documents: DataFrame, *keys: str) -> DataFrame:
+    """keys, frame: the frames that a review's documents (kept: frame and boxes; flagged; dropped) hold, each once."""
+    listed = F.concat(F.coalesce(F.transform("kept", lambda k: k["frame"].cast("long")), F.lit(None).cast("array<long>"), F.array().cast("array<long>")),
+                      *(F.coalesce(F.col(c).cast("array<long>"), F.array().cast("array<long>")) for c in ("flagged", "dropped")))
+    return documents.select(*keys, F.explode(listed).alias("frame")).distinct()
+
+
+def labelled_frames(documents: DataFrame, *keys: str) -> DataFrame:
+    """keys, frame, boxes of a review's kept frames."""
+    return documents.select(*keys, F.explode("kept").alias("_k")).select(*keys, F.col("_k.frame").cast("long").alias("frame"), F.col("_k.boxes").alias("boxes"))
+
+
+def training_split(frames: DataFrame, samples: DataFrame, held: DataFrame, validation: Column, key: str = "play_uid") -> DataFrame:
+    """Labelled frames that aren't held out, each with its play (from samples: frame, play) and `split`, val where `validation`, a
+    condition on the play, holds. A frame of no play is an error."""
+    joined = frames.join(held.select("frame").distinct(), "frame", "left_anti").join(samples.select("frame", key), "frame", "left")
+    known = F.when(F.col(key).isNotNull(), F.when(validation, "val").otherwise("train")).otherwise(F.raise_error(F.lit("a frame of no play")))
+    return joined.withColumn("split", known)
+
+
+def write_records(records: DataFrame, path: str, key: str = "play_uid") -> None:
+    """A JSON document for each record, in a folder named by its key."""
+    body = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    records.select(key, body.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_manifest(units: DataFrame, path: str) -> None:
+    """The units of a manifest (stage, unit, ...) as JSON lines in order of their keys."""
+    units.select("stage", "unit", *sorted(c for c in units.columns if c not in ("stage", "unit"))).orderBy("stage", "unit").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_schema(spark: SparkSession, path: str) -> T.StructType:
+    """A schema kept as JSON."""
+    return T.StructType.fromJson(json.loads(spark.read.option("wholetext", True).text(path).first()["value"]))
+
+
+def utc_stamp(at: Column) -> Column:
+    """A time as 2024-10-14T00:00:00Z; the session's time zone has to be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -120,28 +120,51 @@ def live_tracks(df: DataFrame, rate: float = 25.0, lost_s: float = LOST_S, least
     return df.groupBy("source_id").applyInPandasWithState(run, columns, "next_id long, last long, tracks array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_layers(target: str, keys: Sequence[str], fields: Sequence[str], ranks: Sequence[str] = ("live", "post", "human")):
-    """For foreachBatch: each batch of rows with a `layer` is merged below target; higher layers' fields are never overwritten.
-
-    The merged table is written beside the old one and then named as current, so a batch that is run again gives the same."""
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the parts below target that were written whole."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    found = [int(n.removeprefix("part=")) for n in names if n.startswith("part=")]
+    return sorted(n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/part={n}/_SUCCESS")))
+
+
+def merge_layers(target: str, keys: Sequence[str], fields: Sequence[str]):
+    """For foreachBatch: what each batch says, rows of keys, `layer` and fields, is put below target as a part of its own.
+
+    Parts are numbered on from the last whole one, whatever the batch's own number, so a stream with a new checkpoint goes
+    on where the old one stopped; a part that a failed batch left is written anew. A batch that is run again says
+    the same once more, which changes nothing. Of one batch's rows of a key and layer the last by `at` stands, if there is such a
+    column, else the greatest value. current_layers reads the parts."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(f"{target}/batch={number - 1}") if number else None
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            current = None
-        rows = batch.select(*keys, "layer", *fields)
-        both = rows if current is None else current.unionByName(rows)
-        # One row for each key and layer, so that what later batches merge with still knows who said it.
-        latest = both.groupBy(*keys, "layer").agg(*(F.last(f, True).alias(f) for f in fields))
-        latest.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        part = max(_versions(batch.sparkSession, target), default=-1) + 1
+        last = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col("at"))) if "at" in batch.columns else F.max(f)
+        told = batch.groupBy(*keys, "layer").agg(*(last(f).alias(f) for f in fields))
+        told.write.mode("overwrite").parquet(f"{target}/part={part}")
 
     return merge
 
 
+def current_layers(spark: SparkSession, target: str, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """keys, layer, fields: for each key and layer the value that the latest part has of each field; see merged."""
+    parts = _versions(spark, target)
+    if not parts:
+        raise ValueError(f"nothing was merged below {target}")
+    rows = spark.read.option("basePath", target).parquet(*(f"{target}/part={n}" for n in parts))
+    latest = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col("part"))).alias(f)
+    return rows.groupBy(*keys, "layer").agg(*map(latest, fields))
+
+
+def compact_layers(spark: SparkSession, target: str, keys: Sequence[str], fields: Sequence[str]) -> None:
+    """One part more that says all that is current, so that those before it may be deleted."""
+    part = _versions(spark, target)[-1] + 1
+    current_layers(spark, target, keys, fields).write.mode("overwrite").parquet(f"{target}/part={part}")
+
+
 def merged(df: DataFrame, keys: Sequence[str], fields: Sequence[str], ranks: Sequence[str] = ("live", "post", "human")) -> DataFrame:
     """One row for each key from its layers."""
     return layered(df, keys, "layer", ranks, fields)

@@ -70,3 +70,44 @@ def test_picks_are_spread(spark):
     assert [r.frame for r in got if r.view == "a"] == [0, 1, 2, 3] and sum(r.view == "b" for r in got) == 0
     labels = spark.createDataFrame([(0.0, 10.0, "S", True), (12.0, 13.0, "S", True), (20.0, 30.0, "E", False)], "start_s double, end_s double, view string, confident boolean")
     assert film.takes_or_slices(labels, (0.0, 100.0), 8).count() == 1 and film.takes_or_slices(labels, (50.0, 100.0), 8).count() == 4
+
+
+def test_layers_outlive_a_new_checkpoint(spark, tmp_path):
+    """Batches are numbered anew after a new checkpoint, may come twice, and later ones say more of some fields."""
+    from fieldglass.streaming import film as stream
+
+    target, keys, fields = str(tmp_path / "layers"), ["play"], ["a", "b"]
+    merge = stream.merge_layers(target, keys, fields)
+    schema = "play int, layer string, a string, b string"
+    with pytest.raises(ValueError):
+        stream.current_layers(spark, target, keys, fields)
+    merge(spark.createDataFrame([(k, "live", f"a{k}", None) for k in range(400)], schema), 0)
+    merge(spark.createDataFrame([(1, "human", "h", None), (2, "live", None, "b2")], schema), 1)
+    merge(spark.createDataFrame([(1, "human", "h", None), (2, "live", None, "b2")], schema), 1)
+    merge(spark.createDataFrame([(1, "live", "late", "late"), (900, "post", "x", None)], schema), 0)
+    for _ in range(2):
+        now = {r.play: (r.a, r.b) for r in stream.merged(stream.current_layers(spark, target, keys, fields), keys, fields).collect()}
+        assert len(now) == 401 and now[1] == ("h", "late") and now[2] == ("a2", "b2") and now[900] == ("x", None) and now[5] == ("a5", None)
+        stream.compact_layers(spark, target, keys, fields)
+
+
+def test_documents_and_manifests_are_written(spark, tmp_path):
+    import json
+
+    from fieldglass.sources import tables
+
+    records = spark.createDataFrame([("g_p001", 1, None), ("g_p002", 2, "x")], "play_uid string, n int, s string")
+    tables.write_records(records, str(tmp_path / "plays"))
+    told = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "plays").rglob("part-*.txt")}
+    assert told == {"play_uid=g_p001": {"play_uid": "g_p001", "n": 1, "s": None}, "play_uid=g_p002": {"play_uid": "g_p002", "n": 2, "s": "x"}}
+    units = spark.createDataFrame([("b", "u", "1"), ("a", "v", "2"), ("a", "u", "3")], "stage string, unit string, config string")
+    tables.write_manifest(units, str(tmp_path / "manifest"))
+    lines = [json.loads(x) for p in (tmp_path / "manifest").glob("part-*") for x in p.read_text().splitlines()]
+    assert [(x["stage"], x["unit"]) for x in lines] == [("a", "u"), ("a", "v"), ("b", "u")]
+    (tmp_path / "schema.json").write_text(records.schema.json())
+    assert tables.read_schema(spark, str(tmp_path / "schema.json")) == records.schema
+    tables.write_lines(records, str(tmp_path / "lines"), "play_uid")
+    tables.write_payload(records.limit(1), str(tmp_path / "payload"))
+    assert tables.read_payload(spark, str(tmp_path / "payload")).count() == 1
+    tables.write_plays(records.withColumnRenamed("play_uid", "game_key"), str(tmp_path / "games"))
+    assert spark.read.parquet(str(tmp_path / "games")).count() == 2

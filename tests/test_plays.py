@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import geometry as G
 from fieldglass.functions import nested as N
 from fieldglass.functions import plays as P
-from fieldglass.operators import formations, play_query
+from fieldglass.operators import film_room, formations, play_query
 from fieldglass.plans import records
 from fieldglass.sources import feeds, tables
 
@@ -117,9 +117,11 @@ def test_aggregate_plays(plays):
 
 
 def test_search_words(plays):
-    rows = plays.withColumn("text", F.concat_ws(" ", "posteam", "off_formation"))
-    found = lambda q: sorted(r.play_uid for r in rows.filter(play_query.search_predicate(q, F.col("text"), F.col("down"), F.col("ydstogo"), F.col("yardline_100"), F.col("qtr"), F.lit(60))).collect())
-    assert found("3rd & long") == ["f"] and found("3rd & short") == ["b"] and found("4th & 1") == ["e"] and found("red zone") == ["a", "c", "e"] and found("det shotgun") == ["f"] and found("two minute") == ["c", "e", "f"]
+    rows = plays.withColumns({"text": F.concat_ws(" ", "posteam", "off_formation"), "yrdln": F.lit("CHI 37"), "formation": F.col("off_formation"), "clock": F.lit("1:59")})
+    found = lambda q: sorted(r.play_uid for r in rows.filter(film_room.search(q)).collect())
+    assert found("3rd & long") == found("plays on 3 and long") == ["f"] and found("3rd & short") == ["b"] and found("4th & 1") == ["e"] and found("red zone") == found("the redzone") == ["a", "c", "e"]
+    assert found("det shotgun") == ["f"] and found("two minute") == found("2-minute drill") == ["c", "e", "f"] and len(found("")) == rows.count() and found("nowhere") == []
+    assert rows.withColumn("clock", F.lit("2:00")).filter(film_room.search("two minute")).count() == 0
     assert play_query.number_set("1-3,7, 9-9") == [1, 2, 3, 7, 9]
 
 

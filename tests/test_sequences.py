@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.operators import boxes, dynamic, field, joins, models, sampling, sequence, tracks
-from fieldglass.plans import queries, runner
+from fieldglass.plans import queries, registry, runner  # noqa: F401  queries registers
 from fieldglass.streaming import film
 
 RNG = random.Random(3)
@@ -177,9 +177,9 @@ def test_every_frame_is_in_the_review_order(spark, tmp_path):
     toxic = {k: int(k % 7 == 0) for k in range(0, 250, 2)}
     spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, k % 3 % 2, v) for k, v in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    whole = [(r.doc_id, r.q, r.n_chars) for r in queries.QUERIES["q_frame_order"](spark, str(tmp_path)).collect()]
+    whole = [(r.doc_id, r.q, r.n_chars) for r in registry.QUERIES["q_frame_order"](spark, str(tmp_path)).collect()]
     assert whole == [(k, k % 3 % 2 if k in toxic else 1, n) for k, n in sorted(docs, key=lambda d: (-toxic.get(d[0], 0), d[1], d[0]))]
-    assert [tuple(r) for r in queries.QUERIES["q_review_order"](spark, str(tmp_path)).collect()] == whole[:100]
+    assert [tuple(r) for r in registry.QUERIES["q_review_order"](spark, str(tmp_path)).collect()] == whole[:100]
 
 
 def test_sampled_frames(spark):
