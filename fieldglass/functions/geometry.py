@@ -42,7 +42,8 @@ def in_field(x: Column, y: Column, margin: float = 0.0) -> Column:
 
 def line_x(yards_to_goal: Column) -> Column:
     """Where the line of scrimmage is along the field when the offense goes right; an error beyond 0 to 100."""
-    return F.when(yards_to_goal.isNull() | yards_to_goal.between(0, 100), END_ZONE + (100 - yards_to_goal)).otherwise(F.raise_error(F.lit("yards to the goal are 0 to 100")))
+    return F.when(yards_to_goal.isNull() | yards_to_goal.between(0, 100),
+        END_ZONE + (100 - yards_to_goal)).otherwise(F.raise_error(F.lit("yards to the goal are 0 to 100")))
 
 
 def line_x_facing(yards_to_goal: Column, attack: Column) -> Column:
@@ -64,7 +65,8 @@ def anchor(line: Column, attack: Column, yards_to_goal: Column) -> Column:
 def snap_frame(x: Column, y: Column, los_x: Column, ball_y: Column, attacking: Column) -> Column:
     """(lateral, depth) from the ball as the offense sees it; an error unless attacking is left or right."""
     pair = lambda a, b: F.struct(a.cast("double").alias("lateral"), b.cast("double").alias("depth"))
-    return F.when(attacking == "right", pair(y - ball_y, los_x - x)).when(attacking == "left", pair(ball_y - y, x - los_x)).otherwise(F.raise_error(F.lit("attacking is left or right")))
+    return F.when(attacking == "right", pair(y - ball_y, los_x - x)).when(attacking == "left",
+        pair(ball_y - y, x - los_x)).otherwise(F.raise_error(F.lit("attacking is left or right")))
 
 
 def duration_prior(seconds: Column) -> Column:
@@ -85,7 +87,8 @@ def box_line(label_index: Column, box: list[Column], width: float, height: float
     """A training line: class, centre and size relative to the image, clipped to it; NULL if under a pixel either way."""
     x1, x2 = (F.greatest(F.lit(0.0), F.least(v, F.lit(float(width)))) for v in (box[0], box[2]))
     y1, y2 = (F.greatest(F.lit(0.0), F.least(v, F.lit(float(height)))) for v in (box[1], box[3]))
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", label_index, (x1 + x2) / 2 / width, (y1 + y2) / 2 / height, (x2 - x1) / width, (y2 - y1) / height)
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", label_index, (x1 + x2) / 2 / width, (y1 + y2) / 2 / height, (x2 - x1) / width,
+        (y2 - y1) / height)
     return F.when((x2 - x1 >= 1) & (y2 - y1 >= 1) & label_index.isNotNull(), line)
 
 
@@ -155,7 +158,8 @@ def eased_between(t: Column, waypoints: Column) -> Column:
     legs = F.transform(F.sequence(F.lit(0), n - 2), lambda k: F.struct(F.get(waypoints, k).alias("a"), F.get(waypoints, k + 1).alias("b")))
     leg = F.get(F.filter(legs, lambda s: (t >= s["a"]["t"]) & (t <= s["b"]["t"])), F.lit(0))
     share = F.coalesce(smoothstep(F.try_divide(t - leg["a"]["t"], leg["b"]["t"] - leg["a"]["t"])), F.lit(1.0))
-    at = lambda c: F.when((t <= first["t"]) | (n == 1), first[c]).when(t >= last["t"], last[c]).otherwise(leg["a"][c] + (leg["b"][c] - leg["a"][c]) * share)
+    at = lambda c: F.when((t <= first["t"]) | (n == 1), first[c]).when(t >= last["t"],
+        last[c]).otherwise(leg["a"][c] + (leg["b"][c] - leg["a"][c]) * share)
     return F.struct(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"))
 
 

@@ -38,7 +38,8 @@ def event_teams(teams: Column) -> Column:
 
 def start_date(dates: Column, kind: str = "UTC") -> Column:
     """The date of a kind, else any, else an empty string."""
-    return F.coalesce(first_where(dates, lambda d: d["dateType"] == kind)["full"], first_where(dates, lambda d: d["full"].isNotNull())["full"], F.lit(""))
+    return F.coalesce(first_where(dates, lambda d: d["dateType"] == kind)["full"], first_where(dates, lambda d: d["full"].isNotNull())["full"],
+        F.lit(""))
 
 
 def flat_players(involved: Column, roles: Mapping[int, str]) -> Column:
@@ -48,7 +49,8 @@ def flat_players(involved: Column, roles: Mapping[int, str]) -> Column:
         lambda p: F.struct(
             F.coalesce(mapped(roles, p["playerInvolvedTypeId"].cast("int")), p["playerInvolvedType"]).alias("role"),
             p["player"]["playerId"].alias("player_id"),
-            F.array_join(F.filter(F.array(p["player"]["firstName"], p["player"]["lastName"]), lambda x: x.isNotNull() & (x != "")), " ").alias("name"),
+            F.array_join(F.filter(F.array(p["player"]["firstName"], p["player"]["lastName"]), lambda x: x.isNotNull() & (x != "")),
+            " ").alias("name"),
             p["player"]["uniform"].alias("uniform"),
         ),
     )
@@ -88,7 +90,8 @@ def found_arrays(schema: T.DataType, fields: Sequence[str], most_depth: int = 3)
     def walk(path: list[str], kind: T.DataType, depth: int) -> None:
         if isinstance(kind, T.StructType) and depth <= most_depth:
             for f in kind.fields:
-                if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and set(f.dataType.elementType.names) & set(fields):
+                if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType,
+                    T.StructType) and set(f.dataType.elementType.names) & set(fields):
                     out.append(".".join([*path, f.name]))
                 walk([*path, f.name], f.dataType, depth + 1)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SCRIMMAGE_TYPES = ("pass", "run", "qb_kneel", "qb_spike")
 FILMABLE_TYPES = ("pass", "run", "punt", "field_goal", "extra_point", "kickoff", "qb_kneel", "qb_spike")
 FEED_SCRIMMAGE_TYPES = ("pass", "run")
-FEED_TYPE_IDS = {1: "pass", 2: "pass", 3: "pass", 4: "run", 5: "kickoff", 7: "punt", 9: "pass", 10: "penalty", 11: "penalty", 13: "two_minute_warning", 14: "fumble", 22: "extra_point", 42: "field_goal", 57: "timeout", 58: "timeout"}
+FEED_TYPE_IDS = {1: "pass", 2: "pass", 3: "pass", 4: "run", 5: "kickoff", 7: "punt", 9: "pass", 10: "penalty", 11: "penalty",
+    13: "two_minute_warning", 14: "fumble", 22: "extra_point", 42: "field_goal", 57: "timeout", 58: "timeout"}
 FEED_ALIASES = {"LAR": "LA"}
 LEAGUE_ALIASES = {"LAR": "LA", "WSH": "WAS", "JAC": "JAX", "ARZ": "ARI", "BLT": "BAL", "CLV": "CLE", "HST": "HOU"}
 ADMIN_TYPES = ("GAME_START", "END_QUARTER", "END_HALF", "END_GAME", "TIMEOUT", "TWO_MINUTE_WARNING", "COMMENT")
@@ -45,7 +46,8 @@ def says(text: Column, pattern: str) -> Column:
 
 def first_rule(*rules: tuple[Column, Column | str | None]) -> Column:
     """The value of the first rule that holds; order is meaning."""
-    return F.coalesce(reduce(lambda later, rule: F.when(rule[0], rule[1] if isinstance(rule[1], Column) else F.lit(rule[1])).otherwise(later), reversed(rules), F.lit(None).cast("string")))
+    return F.coalesce(reduce(lambda later, rule: F.when(rule[0], rule[1] if isinstance(rule[1], Column) else F.lit(rule[1])).otherwise(later),
+        reversed(rules), F.lit(None).cast("string")))
 
 
 # --- keys
@@ -69,7 +71,8 @@ def parse_game_key(key: Column) -> Column:
     pattern = r"^(\d{4})_wk(\d{2})_([A-Z]{2,3})-([A-Z]{2,3})$"
     part = lambda k: F.regexp_extract(key, pattern, k)
     parsed = F.struct(part(1).cast("int").alias("season"), part(2).cast("int").alias("week"), part(3).alias("away"), part(4).alias("home"))
-    return F.when(key.isNull() | F.rlike(key, F.lit(pattern)), F.when(key.isNotNull(), parsed)).otherwise(F.raise_error(F.concat(F.lit("not a game key: "), key)))
+    return F.when(key.isNull() | F.rlike(key, F.lit(pattern)),
+        F.when(key.isNotNull(), parsed)).otherwise(F.raise_error(F.concat(F.lit("not a game key: "), key)))
 
 
 # --- what is on film
@@ -241,7 +244,8 @@ def defense_front(text: Column) -> Column:
 def play_summary(offense: Column, defense: Column, formation: Column) -> Column:
     tokens, front = personnel_tokens(offense), defense_front(defense)
     parts = {
-        "off_grouping": offense_grouping(offense), "off_formation": F.upper(F.nullif(formation, F.lit(""))), "wr": count_of(tokens, ("WR",)), "te": count_of(tokens, ENDS), "rb": count_of(tokens, BACKS),
+        "off_grouping": offense_grouping(offense), "off_formation": F.upper(F.nullif(formation, F.lit(""))), "wr": count_of(tokens, ("WR",)),
+        "te": count_of(tokens, ENDS), "rb": count_of(tokens, BACKS),
         "def_front": front["front"], "def_package": front["package"], "def_dl": front["dl"], "def_lb": front["lb"], "def_db": front["db"],
     }
     return F.struct(*(v.alias(k) for k, v in parts.items()))
@@ -249,8 +253,10 @@ def play_summary(offense: Column, defense: Column, formation: Column) -> Column:
 
 def record_personnel(text: Column) -> Column:
     """The grouping that play records carry: running backs and tight ends alone, the last token of a position standing."""
-    parts = F.transform(F.split(text, ","), lambda s: F.struct(F.regexp_extract(s, r"^\s*(\d+)\s+([A-Z]+)", 2).alias("p"), F.regexp_extract(s, r"^\s*(\d+)\s+([A-Z]+)", 1).alias("n")))
-    last = lambda p: F.try_element_at(F.transform(F.filter(parts, lambda t: t["p"] == p), lambda t: t["n"].cast("int").cast("string")), F.lit(-1))
+    parts = F.transform(F.split(text, ","),
+        lambda s: F.struct(F.regexp_extract(s, r"^\s*(\d+)\s+([A-Z]+)", 2).alias("p"), F.regexp_extract(s, r"^\s*(\d+)\s+([A-Z]+)", 1).alias("n")))
+    last = lambda p: F.try_element_at(F.transform(F.filter(parts, lambda t: t["p"] == p), lambda t: t["n"].cast("int").cast("string")),
+        F.lit(-1))
     return F.when(last("RB").isNotNull() | last("TE").isNotNull(), F.concat(F.coalesce(last("RB"), F.lit("0")), F.coalesce(last("TE"), F.lit("0"))))
 
 

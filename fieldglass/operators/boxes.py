@@ -20,11 +20,14 @@ def _sides(box: Column) -> list[Column]:
 def without_duplicates(boxes: DataFrame, keys: Sequence[str], id_col: str = "box_id", most: float = DUPLICATE) -> DataFrame:
     """Of each frame and label, boxes that no better kept box overlaps by more than `most`; ties by id. Boxes are folded in
     order of score into an array of kept ones, all in one expression."""
-    entry = F.struct((-F.col("score")).alias("o"), F.col(id_col).cast("long").alias("id"), F.col("box").alias("box"), F.col("score").cast("double").alias("score"))
-    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["id"].alias("id"), e["box"].alias("box"), e["score"].alias("score")))
+    entry = F.struct((-F.col("score")).alias("o"), F.col(id_col).cast("long").alias("id"), F.col("box").alias("box"),
+        F.col("score").cast("double").alias("score"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)),
+        lambda e: F.struct(e["id"].alias("id"), e["box"].alias("box"), e["score"].alias("score")))
     clash = lambda kept, e: F.exists(kept, lambda k: overlap(_sides(k["box"]), _sides(e["box"])) > most)
     kept = F.aggregate(ordered, F.array().cast(f"array<{BOX}>"), lambda kept, e: F.when(clash(kept, e), kept).otherwise(F.array_append(kept, e)))
-    return boxes.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.explode("_k").alias("k")).select(*keys, F.col("k.id").alias(id_col), F.col("k.box").alias("box"), F.col("k.score").alias("score"))
+    return boxes.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.explode("_k").alias("k")).select(*keys, F.col("k.id").alias(id_col),
+        F.col("k.box").alias("box"), F.col("k.score").alias("score"))
 
 
 def plausible_balls(boxes: DataFrame, frame: Sequence[str], ball: str = "football", player: str = "player") -> DataFrame:
@@ -51,7 +54,8 @@ def matched(found: DataFrame, truth: DataFrame, keys: Sequence[str], least: floa
 
     none = F.array().cast("array<struct<o:double,box:array<double>>>")
     both = f.join(t, list(keys), "full").withColumn("_m", F.aggregate(F.coalesce("_f", none), start, step))
-    return both.select(*keys, F.col("_m.hit").cast("long").alias("hit"), (F.size(F.coalesce("_f", none)) - F.col("_m.hit")).cast("long").alias("wrong"), F.size("_m.free").cast("long").alias("missed"))
+    return both.select(*keys, F.col("_m.hit").cast("long").alias("hit"),
+        (F.size(F.coalesce("_f", none)) - F.col("_m.hit")).cast("long").alias("wrong"), F.size("_m.free").cast("long").alias("missed"))
 
 
 def scores(matches: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -97,7 +101,8 @@ def detections_document(boxes: DataFrame, keys: Sequence[str], thresholds: dict[
     floor = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in thresholds.items()))
     entry = F.struct("label", (-F.col("score")).alias("o"), "box", "score")
     listed = F.array_sort(F.collect_list(entry))
-    return boxes.filter(F.col("score") > floor).groupBy(*keys).agg(F.transform(listed, lambda e: F.struct(e["label"].alias("label"), e["box"].alias("box"), e["score"].alias("score"))).alias("boxes"))
+    return boxes.filter(F.col("score") > floor).groupBy(*keys).agg(
+        F.transform(listed, lambda e: F.struct(e["label"].alias("label"), e["box"].alias("box"), e["score"].alias("score"))).alias("boxes"))
 
 
 def overlap_shares(boxes: DataFrame, frame: Sequence[str], id_col: str) -> DataFrame:

@@ -171,7 +171,8 @@ def line_families(segments: DataFrame, keys: Sequence[str], split_degrees: float
         return pd.DataFrame(rows, columns=[*keys, "family", "x1", "y1", "x2", "y2"])
 
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
-    return segments.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", family string, x1 double, y1 double, x2 double, y2 double")
+    return segments.groupBy(*keys).applyInPandas(run,
+        ", ".join(f"{k} {kinds[k]}" for k in keys) + ", family string, x1 double, y1 double, x2 double, y2 double")
 
 
 def paint_share(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -23,7 +23,8 @@ def kernel_log_density(value: Column, points: Sequence[float], width: float = TI
     """Log of a Gaussian kernel density at a value; minus infinity without points."""
     if not len(points):
         return F.lit(float("-inf"))
-    total = F.aggregate(F.array(*(F.lit(float(p)) for p in points)), F.lit(0.0), lambda s, p: s + F.exp(-0.5 * F.pow((value - p) / width, F.lit(2.0))))
+    total = F.aggregate(F.array(*(F.lit(float(p)) for p in points)), F.lit(0.0), lambda s,
+        p: s + F.exp(-0.5 * F.pow((value - p) / width, F.lit(2.0))))
     return F.log(total / (len(points) * width * math.sqrt(2 * math.pi)) + 1e-300)
 
 
@@ -59,7 +60,8 @@ class Take:
     slot: int | None
 
 
-def align_takes(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[int], plays: int, step_s: float = 0.4, optional: Sequence[bool] | None = None) -> tuple[list[Take], list[int], float]:
+def align_takes(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[int], plays: int, step_s: float = 0.4,
+    optional: Sequence[bool] | None = None) -> tuple[list[Take], list[int], float]:
     """The best way to cut film into the takes of `plays` plays, two cameras each in turn: (takes, slots skipped, score).
 
     reading: at each sample, the chance that the first camera is on. Boundaries are the film's ends and some of the cuts
@@ -118,25 +120,35 @@ def align_takes(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[int],
     return takes[::-1], sorted(skipped), float(score[-1, slots])
 
 
-def aligned_plays(samples: DataFrame, keys: Sequence[str], order: str, reading: str, cut: str, missed: str, plays: DataFrame, step_s: float = 0.4) -> DataFrame:
+def aligned_plays(samples: DataFrame, keys: Sequence[str], order: str, reading: str, cut: str, missed: str, plays: DataFrame,
+    step_s: float = 0.4) -> DataFrame:
     """Films (samples with flags cut and missed) and their plays (keys, play_index from 0, optional) -> for each play its two takes
     as sample ranges: first_start, first_end, second_start, second_end; NULL where a slot was skipped."""
-    films = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(reading).cast("double").alias("p"), F.col(cut).alias("c"), F.col(missed).alias("m")))).alias("samples"))
-    lists = plays.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("play_index", F.coalesce("optional", F.lit(False)).alias("optional")))).alias("plays"))
+    films = samples.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(
+        F.struct(F.col(order).alias("o"), F.col(reading).cast("double").alias("p"), F.col(cut).alias("c"), F.col(missed).alias("m")))).alias(
+        "samples"))
+    lists = plays.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("play_index", F.coalesce("optional", F.lit(False)).alias("optional")))).alias("plays"))
 
     def run(batches):
         for frame in batches:
             rows = []
             for row in frame.to_dict("records"):
                 s = row["samples"]
-                takes, _, _ = align_takes(np.array([x["p"] if x["p"] is not None else np.nan for x in s]), [i for i, x in enumerate(s) if x["c"]], [i for i, x in enumerate(s) if x["m"]], len(row["plays"]), step_s, [x["optional"] for x in row["plays"]])
+                takes, _, _ = align_takes(np.array([x["p"] if x["p"] is not None else np.nan for x in s]), [i for i, x in enumerate(s) if x["c"]],
+                    [i for i, x in enumerate(s) if x["m"]], len(row["plays"]), step_s, [x["optional"] for x in row["plays"]])
                 by_slot = {t.slot: (t.start, t.end) for t in takes if t.slot}
                 for n, play in enumerate(row["plays"]):
-                    rows.append([row[k] for k in keys] + [play["play_index"], *by_slot.get(2 * n + 1, (None, None)), *by_slot.get(2 * n + 2, (None, None))])
-            yield pd.DataFrame(rows, columns=[*keys, "play_index", "first_start", "first_end", "second_start", "second_end"]).astype({c: "Int64" for c in ("first_start", "first_end", "second_start", "second_end")})
+                    rows.append([row[k] for k in keys]
+                        + [play["play_index"], *by_slot.get(2 * n + 1, (None, None)), *by_slot.get(2 * n + 2, (None, None))])
+            yield pd.DataFrame(rows,
+                columns=[*keys, "play_index", "first_start", "first_end", "second_start", "second_end"]).astype(
+                {c: "Int64" for c in ("first_start", "first_end", "second_start", "second_end")})
 
     kinds = {f.name: f.dataType.simpleString() for f in [*samples.schema, *plays.schema]}
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"play_index {kinds['play_index']}"] + [f"{a}_{b} long" for a in ("first", "second") for b in ("start", "end")])
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"play_index {kinds['play_index']}"]
+        + [f"{a}_{b} long" for a in ("first", "second") for b in ("start", "end")])
     return films.join(lists, list(keys)).mapInPandas(run, schema)
 
 
@@ -147,6 +159,8 @@ def best_first_view(takes: DataFrame, keys: Sequence[str], order: str, reading:
     even = (F.row_number().over(w) % 2) == 1
     marked = takes.withColumn("_even", even).withColumns({"_yes": F.log(p), "_no": F.log(1 - p)})
     sums = marked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_even"), F.col("_yes")).otherwise(F.col("_no"))).alias("_a"), F.sum(F.when(F.col("_even"), F.col("_no")).otherwise(F.col("_yes"))).alias("_b"),
+        F.sum(F.when(F.col("_even"), F.col("_yes")).otherwise(F.col("_no"))).alias("_a"),
+        F.sum(F.when(F.col("_even"), F.col("_no")).otherwise(F.col("_yes"))).alias("_b"),
         F.avg((F.col("_even") == (F.col(reading) >= 0.5)).cast("double")).alias("_agree"))
-    return sums.select(*keys, (F.col("_a") < F.col("_b")).cast("int").alias("first_view"), F.when(F.col("_a") >= F.col("_b"), F.col("_agree")).otherwise(1 - F.col("_agree")).alias("agreement"))
+    return sums.select(*keys, (F.col("_a") < F.col("_b")).cast("int").alias("first_view"),
+        F.when(F.col("_a") >= F.col("_b"), F.col("_agree")).otherwise(1 - F.col("_agree")).alias("agreement"))

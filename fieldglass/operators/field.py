@@ -41,7 +41,8 @@ def mapped_points(h: np.ndarray, p: np.ndarray) -> np.ndarray:
         return q[:, :2] / q[:, 2:]
 
 
-def robust_homography(image: np.ndarray, field: np.ndarray, most_px: float = PIXELS, tries: int = TRIES, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+def robust_homography(image: np.ndarray, field: np.ndarray, most_px: float = PIXELS, tries: int = TRIES, seed: int = 0) -> tuple[np.ndarray,
+    np.ndarray] | None:
     """(field to image homography, which pairs fit it): the largest agreement among fits of 4 random pairs, refitted three times."""
     rng, best = np.random.default_rng(seed), None
     if len(image) < 4:
@@ -74,18 +75,21 @@ def registered(pairs: DataFrame, keys: Sequence[str], share: float = LEAST_INLIE
             h, ok = fit
             miss = np.hypot(*(mapped_points(h, field[ok]) - image[ok]).T)
             back = np.linalg.inv(h)
-            rows.append([frame[k].iloc[0] for k in keys] + [(back / back[2, 2]).ravel().tolist(), int(ok.sum()), len(ok), float(np.sqrt((miss**2).mean()))])
+            rows.append([frame[k].iloc[0] for k in keys]
+                + [(back / back[2, 2]).ravel().tolist(), int(ok.sum()), len(ok), float(np.sqrt((miss**2).mean()))])
         return pd.DataFrame(rows, columns=[*keys, "h", "inliers", "pairs", "rms"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", h array<double>, inliers long, pairs long, rms double")
+    return pairs.groupBy(*keys).applyInPandas(run,
+        ", ".join(f"{k} {kinds[k]}" for k in keys) + ", h array<double>, inliers long, pairs long, rms double")
 
 
 def field_positions(boxes: DataFrame, homographies: DataFrame, frame: Sequence[str], margin: float = 1.0) -> DataFrame:
     """Boxes of frames that have a homography, with x_yd and y_yd of their feet; those off the field are left out."""
     both = boxes.join(homographies.select(*frame, "h"), list(frame))
     p = through(F.col("h"), (F.col("x1") + F.col("x2")) / 2, F.col("y2"))
-    return both.withColumn("_p", p).withColumns({"x_yd": F.col("_p.x"), "y_yd": F.col("_p.y")}).drop("_p", "h").filter(F.col("y_yd").between(-margin, 160 / 3 + margin))
+    return both.withColumn("_p", p).withColumns({"x_yd": F.col("_p.x"), "y_yd": F.col("_p.y")}).drop("_p",
+        "h").filter(F.col("y_yd").between(-margin, 160 / 3 + margin))
 
 
 def scrimmage_lines(players: DataFrame, keys: Sequence[str], x: str = "x_yd", offense: str = "offense", front: int = FRONT) -> DataFrame:
@@ -95,21 +99,28 @@ def scrimmage_lines(players: DataFrame, keys: Sequence[str], x: str = "x_yd", of
     wins, the first of equal ones, direction 1 before -1. The line is midway between the `front` foremost players of each side. Frames
     without `front` players a side are left out. All by running counts.
     """
-    both = players.select(*keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("attack"), F.col(x).cast("double").alias("_x"), F.col(offense).alias("_o")).withColumn("_z", F.col("attack") * F.col("_x"))
+    both = players.select(*keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("attack"), F.col(x).cast("double").alias("_x"),
+        F.col(offense).alias("_o")).withColumn("_z", F.col("attack") * F.col("_x"))
     w = Window.partitionBy(*keys, "attack")
     upto = w.orderBy("_z").rangeBetween(Window.unboundedPreceding, 0)
     counted = both.withColumns({
-        "_off": F.count_if(F.col("_o")).over(w), "_def": F.count_if(~F.col("_o")).over(w), "_off_below": F.count_if(F.col("_o")).over(upto), "_def_below": F.count_if(~F.col("_o")).over(upto),
-        "_next": F.min(F.struct("_z")).over(w.orderBy(F.desc("_z")).rowsBetween(Window.unboundedPreceding, -1))["_z"]}).filter((F.col("_off") >= front) & (F.col("_def") >= front))
+        "_off": F.count_if(F.col("_o")).over(w), "_def": F.count_if(~F.col("_o")).over(w), "_off_below": F.count_if(F.col("_o")).over(upto),
+        "_def_below": F.count_if(~F.col("_o")).over(upto),
+        "_next": F.min(F.struct("_z")).over(w.orderBy(F.desc("_z")).rowsBetween(Window.unboundedPreceding, -1))["_z"]}).filter(
+        (F.col("_off") >= front) & (F.col("_def") >= front))
     counted = counted.withColumn("_next", F.when(F.col("_z") < F.max("_z").over(w), F.max("_next").over(Window.partitionBy(*keys, "attack", "_z"))))
     # Behind everyone, all of the offense is wrong; after a player, the offense beyond and the defense up to it are.
-    after = counted.select(*keys, "attack", (F.col("_off") - F.col("_off_below") + F.col("_def_below")).alias("wrong"), F.when(F.col("_next").isNotNull(), (F.col("_z") + F.col("_next")) / 2).otherwise(F.col("_z") + 1).alias("at"))
+    after = counted.select(*keys, "attack", (F.col("_off") - F.col("_off_below") + F.col("_def_below")).alias("wrong"),
+        F.when(F.col("_next").isNotNull(), (F.col("_z") + F.col("_next")) / 2).otherwise(F.col("_z") + 1).alias("at"))
     before = counted.groupBy(*keys, "attack").agg(F.first("_off").alias("wrong"), (F.min("_z") - 1).alias("at"))
-    best = after.unionByName(before).groupBy(*keys).agg(F.min(F.struct("wrong", (-F.col("attack")).alias("o"), "at")).alias("m")).select(*keys, F.col("m.wrong").alias("misplaced"), (-F.col("m.o")).alias("attack"), F.col("m.at").alias("_at"))
+    best = after.unionByName(before).groupBy(*keys).agg(F.min(F.struct("wrong", (-F.col("attack")).alias("o"), "at")).alias("m")).select(*keys,
+        F.col("m.wrong").alias("misplaced"), (-F.col("m.o")).alias("attack"), F.col("m.at").alias("_at"))
     sides = counted.join(best, [*keys, "attack"]).filter(F.when(F.col("_o"), F.col("_z") <= F.col("_at")).otherwise(F.col("_z") >= F.col("_at")))
     rank = F.row_number().over(Window.partitionBy(*keys, "_o").orderBy(F.when(F.col("_o"), -F.col("_z")).otherwise(F.col("_z"))))
-    fronts = sides.withColumn("_k", rank).filter(F.col("_k") <= front).groupBy(*keys, "attack", "misplaced").agg(F.avg(F.when(F.col("_o"), F.col("_z"))).alias("_fo"), F.avg(F.when(~F.col("_o"), F.col("_z"))).alias("_fd"))
-    return fronts.filter(F.col("_fo").isNotNull() & F.col("_fd").isNotNull()).select(*keys, (F.col("attack") * (F.col("_fo") + F.col("_fd")) / 2).alias("line"), "attack", "misplaced", (F.col("_fd") - F.col("_fo")).alias("gap"))
+    fronts = sides.withColumn("_k", rank).filter(F.col("_k") <= front).groupBy(*keys, "attack",
+        "misplaced").agg(F.avg(F.when(F.col("_o"), F.col("_z"))).alias("_fo"), F.avg(F.when(~F.col("_o"), F.col("_z"))).alias("_fd"))
+    return fronts.filter(F.col("_fo").isNotNull() & F.col("_fd").isNotNull()).select(*keys,
+        (F.col("attack") * (F.col("_fo") + F.col("_fd")) / 2).alias("line"), "attack", "misplaced", (F.col("_fd") - F.col("_fo")).alias("gap"))
 
 
 def anchored_frames(lines: DataFrame, yards_to_goal: str) -> DataFrame:
@@ -121,7 +132,8 @@ def on_field_share(points: DataFrame, keys: Sequence[str], margin: float = 0.0)
     return points.groupBy(*keys).agg(F.avg(in_field(F.col("x_yd"), F.col("y_yd"), margin).cast("double")).alias("share"))
 
 
-def chained_registrations(frames: DataFrame, take: Sequence[str], rate: float, step: float = STEP, agree: float = AGREE_YD, reach_s: float = REACH_S) -> DataFrame:
+def chained_registrations(frames: DataFrame, take: Sequence[str], rate: float, step: float = STEP, agree: float = AGREE_YD,
+    reach_s: float = REACH_S) -> DataFrame:
     """Relative frames of a take in one frame of reference.
 
     frames: frame, drift (yards moved along the field since the frame before, by camera motion) and origin (where a direct
@@ -158,7 +170,8 @@ def chained_registrations(frames: DataFrame, take: Sequence[str], rate: float, s
         return part.assign(x0=out, source=source).dropna(subset=["x0"])[[*take, "frame", "x0", "source"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    return frames.groupBy(*take).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in take) + f", frame {kinds['frame']}, x0 double, source string")
+    return frames.groupBy(*take).applyInPandas(run,
+        ", ".join(f"{k} {kinds[k]}" for k in take) + f", frame {kinds['frame']}, x0 double, source string")
 
 
 def dash_window(rows: DataFrame, keys: Sequence[str], yard: str, least_share: float = 0.5) -> DataFrame:
@@ -166,9 +179,11 @@ def dash_window(rows: DataFrame, keys: Sequence[str], yard: str, least_share: fl
     once = rows.select(*keys, F.col(yard).cast("int").alias("a")).distinct()
     other = once.withColumnRenamed("a", "b")
     pairs = once.join(other, list(keys)).filter("b >= a")
-    inside = pairs.join(once.withColumnRenamed("a", "c"), list(keys)).filter("c between a and b").groupBy(*keys, "a", "b").agg(F.count("*").alias("dashes"))
+    inside = pairs.join(once.withColumnRenamed("a", "c"), list(keys)).filter("c between a and b").groupBy(*keys, "a",
+        "b").agg(F.count("*").alias("dashes"))
     full = inside.filter(F.col("dashes") >= least_share * (F.col("b") - F.col("a") + 1))
-    return full.groupBy(*keys).agg(F.max(F.struct((F.col("b") - F.col("a")).alias("w"), (-F.col("a")).alias("a"), "b", "dashes")).alias("m")).select(*keys, (-F.col("m.a")).alias("low"), F.col("m.b").alias("high"), F.col("m.dashes").alias("dashes"))
+    return full.groupBy(*keys).agg(F.max(F.struct((F.col("b") - F.col("a")).alias("w"), (-F.col("a")).alias("a"), "b", "dashes")).alias("m")).select(
+        *keys, (-F.col("m.a")).alias("low"), F.col("m.b").alias("high"), F.col("m.dashes").alias("dashes"))
 
 
 # The field's lateral lines, by how far across it they are, and the sizes of blobs that can be dashes.
@@ -184,7 +199,8 @@ def landmarks(spark: SparkSession) -> DataFrame:
     laterals = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(y)).alias("y")) for n, y in LATERALS))
     rows = spark.range(1).select(F.posexplode(lines).alias("i", "x")).select("i", "x", F.posexplode(laterals).alias("j", "l"))
     vertex = (F.col("i") * len(LATERALS) + F.col("j")).cast("long")
-    return rows.select(vertex.alias("vertex"), F.format_string("x%03d_%s", F.col("x").cast("int"), "l.name").alias("label"), "x", F.col("l.y").alias("y"), F.when(F.col("j") < len(LATERALS) - 1, vertex + 1).alias("next_vertex"))
+    return rows.select(vertex.alias("vertex"), F.format_string("x%03d_%s", F.col("x").cast("int"), "l.name").alias("label"), "x",
+        F.col("l.y").alias("y"), F.when(F.col("j") < len(LATERALS) - 1, vertex + 1).alias("next_vertex"))
 
 
 def dash_blobs(blobs: DataFrame, most_side: float = DASH_SIDE, most_area: float = DASH_AREA[1]) -> DataFrame:

@@ -16,17 +16,22 @@ from fieldglass.operators.sampling import evenly_spaced
 SURE, LEAST_JUMP, LEAST_S = 0.25, 6.0, 4.0
 
 
-def split_takes(takes: DataFrame, samples: DataFrame, keys: Sequence[str], first_p: str = "p_first", last_p: str = "p_last", step: float = 0.4, width: float = 30.0) -> DataFrame:
+def split_takes(takes: DataFrame, samples: DataFrame, keys: Sequence[str], first_p: str = "p_first", last_p: str = "p_last", step: float = 0.4,
+    width: float = 30.0) -> DataFrame:
     """Takes (take, start, end) whose two ends are surely read as different cameras hold a missed cut: they are split at the strongest
     inner change of the samples (t, diff), if it is strong enough. Returns keys, take, part, start, end."""
     sure = lambda c: F.abs(F.col(c) - 0.5) > SURE
-    mixed = takes.filter(((F.col(first_p) - 0.5) * (F.col(last_p) - 0.5) < 0) & sure(first_p) & sure(last_p) & (F.col("end") - F.col("start") > LEAST_S))
+    mixed = takes.filter(((F.col(first_p) - 0.5) * (F.col(last_p) - 0.5) < 0) & sure(first_p) & sure(last_p)
+        & (F.col("end") - F.col("start") > LEAST_S))
     inside = interval_join(samples.select(*keys, "t", "diff"), mixed.select(*keys, "take", "start", "end"), keys, "t", "start", "end", width)
     inner = inside.filter((F.col("t") >= F.col("start") + 2 * step - 1e-9) & (F.col("t") < F.col("end") - step + 1e-9))
-    cuts = inner.groupBy(*keys, "take").agg(F.max(F.struct("diff", (-F.col("t")).alias("o"))).alias("m")).filter(F.col("m.diff") >= LEAST_JUMP).select(*keys, "take", (-F.col("m.o")).alias("cut"))
+    cuts = inner.groupBy(*keys,
+        "take").agg(F.max(F.struct("diff", (-F.col("t")).alias("o"))).alias("m")).filter(F.col("m.diff") >= LEAST_JUMP).select(*keys, "take",
+        (-F.col("m.o")).alias("cut"))
     both = takes.select(*keys, "take", "start", "end").join(cuts, [*keys, "take"], "left")
     part = lambda n, a, b: F.struct(F.lit(n).alias("part"), a.alias("start"), b.alias("end"))
-    parts = F.when(F.col("cut").isNull(), F.array(part(0, F.col("start"), F.col("end")))).otherwise(F.array(part(0, F.col("start"), F.col("cut")), part(1, F.col("cut"), F.col("end"))))
+    parts = F.when(F.col("cut").isNull(),
+        F.array(part(0, F.col("start"), F.col("end")))).otherwise(F.array(part(0, F.col("start"), F.col("cut")), part(1, F.col("cut"), F.col("end"))))
     return both.select(*keys, "take", F.explode(parts).alias("p")).select(*keys, "take", "p.*")
 
 
@@ -42,7 +47,8 @@ def alternation_breaks(takes: DataFrame, keys: Sequence[str], order: str, readin
     return run.withColumn("breaks", F.coalesce(crossed, F.lit(False))).drop("_even", "_yes", "_agree", "_run")
 
 
-def chosen_optional(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[int], optional: Sequence[bool], type_score: Callable[[list[int]], float] = lambda kept: 0.0, step_s: float = 0.4) -> tuple[list[bool], float]:
+def chosen_optional(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[int], optional: Sequence[bool],
+    type_score: Callable[[list[int]], float] = lambda kept: 0.0, step_s: float = 0.4) -> tuple[list[bool], float]:
     """Which optional plays are on film: from all of them on, the flip that raises the alignment's score and type_score
     most is taken, until none does. Each choice is scored once."""
     places, known = [i for i, o in enumerate(optional) if o], {}
@@ -90,11 +96,13 @@ def spread_picks(df: DataFrame, cells: Sequence[str], frame: str, order: str, pe
 
 def takes_or_slices(labels: DataFrame, window: tuple[float, float], pool: int, least_s: float = LEAST_S) -> DataFrame:
     """Sure labelled takes (start_s, end_s, view, confident) inside a window, evenly spaced by view; without any, even slices of it."""
-    inside = labels.filter(F.col("confident") & (F.col("end_s") - F.col("start_s") >= least_s) & (F.col("start_s") >= window[0]) & (F.col("end_s") <= window[1])).select("start_s", "end_s", "view")
+    inside = labels.filter(F.col("confident") & (F.col("end_s") - F.col("start_s") >= least_s) & (F.col("start_s") >= window[0])
+        & (F.col("end_s") <= window[1])).select("start_s", "end_s", "view")
     picked = evenly_spaced(inside, ["view"], "start_s", max(1, pool // 4))
     n = max(1, pool // 2)
     size = (window[1] - window[0]) / n
-    slices = labels.sparkSession.range(n).select((F.lit(window[0]) + F.col("id") * size).alias("start_s"), (F.lit(window[0]) + (F.col("id") + 1) * size).alias("end_s"), F.lit("unlabelled").alias("view"))
+    slices = labels.sparkSession.range(n).select((F.lit(window[0]) + F.col("id") * size).alias("start_s"),
+        (F.lit(window[0]) + (F.col("id") + 1) * size).alias("end_s"), F.lit("unlabelled").alias("view"))
     return slices if picked.isEmpty() else picked
 
 
@@ -118,9 +126,11 @@ def take_summaries(frames: DataFrame, steps: DataFrame, take: Sequence[str], sur
     by_source = frames.groupBy(*take, "source").agg(F.count("*").alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
     named = F.when(F.col("source").isNotNull(), F.struct("source", "n"))
     head = by_source.groupBy(*take).agg(
-        F.min("a").alias("start_frame"), (F.max("b") + 1).alias("end_frame"), F.coalesce(F.sum(F.when(F.col("source").isNull(), F.col("n"))), F.lit(0)).alias("frames_without"),
+        F.min("a").alias("start_frame"), (F.max("b") + 1).alias("end_frame"),
+        F.coalesce(F.sum(F.when(F.col("source").isNull(), F.col("n"))), F.lit(0)).alias("frames_without"),
         F.map_from_entries(F.array_sort(F.collect_list(named))).alias("sources"),
     )
-    told = steps.groupBy(*take).agg(F.count("*").alias("steps"), F.count_if(F.col("dx") != 0).alias("steps_changed"), F.count_if(F.col("left") > sure).alias("steps_unsure"), F.max("left").alias("step_left_max"))
+    told = steps.groupBy(*take).agg(F.count("*").alias("steps"), F.count_if(F.col("dx") != 0).alias("steps_changed"),
+        F.count_if(F.col("left") > sure).alias("steps_unsure"), F.max("left").alias("step_left_max"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("steps", "steps_changed", "steps_unsure")]
     return head.join(told, list(take), "left").select(*take, "start_frame", "end_frame", "frames_without", "sources", *counts, "step_left_max")

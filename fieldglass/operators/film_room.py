@@ -48,7 +48,8 @@ def tag(name: str) -> Column:
     the play's record has them; an unknown tag fits all."""
     shotgun = F.coalesce(F.col("formation") == "SHOTGUN", F.lit(False)) | F.rlike(F.coalesce("text", F.lit("")), F.lit(r"(?i)\(shotgun"))
     told = {
-        "featured": lambda: F.col("featured"), "td": lambda: F.col("touchdown"), "explosive": lambda: F.col("yards") >= EXPLOSIVE, "shotgun": lambda: shotgun,
+        "featured": lambda: F.col("featured"), "td": lambda: F.col("touchdown"), "explosive": lambda: F.col("yards") >= EXPLOSIVE,
+        "shotgun": lambda: shotgun,
         "motion": lambda: F.col("motion"), "pa": lambda: F.col("play_action"),
     }
     return F.coalesce(told[name](), F.lit(False)) if name in told else F.lit(True)
@@ -66,7 +67,8 @@ def visible(plays: DataFrame, quarter: int | None = None, kind: str | None = Non
 
 def with_featured(plays: DataFrame, records: DataFrame, key: str = "play_uid") -> DataFrame:
     """`featured`: whether the play has a record."""
-    return plays.join(records.select(key, F.lit(True).alias("_f")).distinct(), key, "left").withColumn("featured", F.coalesce("_f", F.lit(False))).drop("_f")
+    return plays.join(records.select(key, F.lit(True).alias("_f")).distinct(), key, "left").withColumn("featured",
+        F.coalesce("_f", F.lit(False))).drop("_f")
 
 
 def film_rows(plays: DataFrame, kind: str = "play_type", desc: str = "desc") -> DataFrame:
@@ -75,7 +77,8 @@ def film_rows(plays: DataFrame, kind: str = "play_type", desc: str = "desc") ->
     return plays.filter(on_film(F.col(kind), F.col(desc)) | optional).withColumn("film_optional", optional)
 
 
-def timeline(plays: DataFrame, keys: Sequence[str], spans: dict[str, tuple[str, str]], start: str = "start_s", end: str = "end_s", left: float = 40.0, right: float = 960.0, least: float = 1.0) -> DataFrame:
+def timeline(plays: DataFrame, keys: Sequence[str], spans: dict[str, tuple[str, str]], start: str = "start_s", end: str = "end_s",
+    left: float = 40.0, right: float = 960.0, least: float = 1.0) -> DataFrame:
     """A bar for each play and lane on an axis from the first start to the last end of its keys: lane, x, width (to one digit, at
     least `least` wide). spans names each lane's two columns; plays without a span have no bar there."""
     ends = plays.groupBy(*keys).agg(F.min(start).alias("_a"), F.max(end).alias("_b"))

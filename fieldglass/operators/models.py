@@ -20,14 +20,17 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
 def view_model(df: DataFrame, features: str, label: str, penalty: float = 1.0) -> LogisticRegressionModel:
     """Logistic regression with an L2 penalty on standardised features; the intercept is free."""
     rows = _vectors(df, features).withColumn("_y", F.col(label).cast("double"))
-    return LogisticRegression(featuresCol="_v", labelCol="_y", regParam=penalty / max(1, df.count()), elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-9).fit(rows)
+    return LogisticRegression(featuresCol="_v", labelCol="_y", regParam=penalty / max(1, df.count()), elasticNetParam=0.0, standardization=True,
+        maxIter=200, tol=1e-9).fit(rows)
 
 
 def class_model(df: DataFrame, features: str, label: str, penalty: float = 1.0) -> LogisticRegressionModel:
     """Multinomial regression in which every class has the same weight."""
     n, classes = df.count(), df.select(label).distinct().count()
-    rows = _vectors(df, features).withColumn("_y", F.col(label).cast("double")).withColumn("_w", F.lit(n / max(1, classes)) / F.count("*").over(Window.partitionBy(label)))
-    return LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", family="multinomial", regParam=penalty / max(1, n), maxIter=200, tol=1e-9).fit(rows)
+    rows = _vectors(df, features).withColumn("_y", F.col(label).cast("double")).withColumn("_w",
+        F.lit(n / max(1, classes)) / F.count("*").over(Window.partitionBy(label)))
+    return LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", family="multinomial", regParam=penalty / max(1, n), maxIter=200,
+        tol=1e-9).fit(rows)
 
 
 def read_model(model: LogisticRegressionModel, df: DataFrame, features: str, name: str = "p") -> DataFrame:
@@ -49,7 +52,8 @@ def held_out_likelihood(df: DataFrame, features: str, label: str, order: str, fo
     return value
 
 
-def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5, rounds: int = 10, ridge: float = 0.1) -> dict[str, list[float] | float]:
+def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5, rounds: int = 10, ridge: float = 0.1) -> dict[str,
+    list[float] | float]:
     """A discriminant between two clusters: {axis, bias}; axis . x + bias is above 0 for the brighter one's opposite (team 1).
 
     The best of some 2-means starts, then rounds of a pooled-covariance discriminant and reassignment. Only moments come to the driver.
@@ -59,14 +63,18 @@ def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5,
     labelled = min(models, key=lambda m: m.summary.trainingCost).transform(rows).select("_v", brightness, F.col("_c").cast("int").alias("_c"))
     axis, bias = None, 0.0
     for _ in range(rounds):
-        stats = labelled.groupBy("_c").agg(Summarizer.mean(F.col("_v")).alias("mean"), F.count("*").alias("n"), F.avg(brightness).alias("light")).orderBy("_c").collect()
+        stats = labelled.groupBy("_c").agg(Summarizer.mean(F.col("_v")).alias("mean"), F.count("*").alias("n"),
+            F.avg(brightness).alias("light")).orderBy("_c").collect()
         if len(stats) < 2:
             break
         means = [r["mean"].toArray() for r in stats]
         size = len(means[0])
         array = vector_to_array("_v")
-        centred = F.zip_with(array, F.when(F.col("_c") == stats[0]["_c"], F.array(*map(F.lit, means[0].tolist()))).otherwise(F.array(*map(F.lit, means[1].tolist()))), lambda a, b: a - b)
-        outer = labelled.select(F.posexplode(centred).alias("i", "a"), centred.alias("d")).select("i", F.posexplode("d").alias("j", "b"), "a").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("c"))
+        centred = F.zip_with(array,
+            F.when(F.col("_c") == stats[0]["_c"], F.array(*map(F.lit, means[0].tolist()))).otherwise(F.array(*map(F.lit, means[1].tolist()))),
+            lambda a, b: a - b)
+        outer = labelled.select(F.posexplode(centred).alias("i", "a"), centred.alias("d")).select("i", F.posexplode("d").alias("j", "b"),
+            "a").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("c"))
         cov = np.zeros((size, size))
         for r in outer.collect():
             cov[r["i"], r["j"]] = r["c"]
@@ -88,7 +96,8 @@ def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5,
 
 def margins(df: DataFrame, features: str, model: dict) -> DataFrame:
     """Signed distance, about 1 for a typical member of team 1 and -1 for one of team 0."""
-    dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.array(*map(F.lit, model["axis"])), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.array(*map(F.lit, model["axis"])), lambda a, b: a * b), F.lit(0.0),
+        lambda s, x: s + x)
     return df.withColumn("margin", dot + F.lit(model["bias"]))
 
 
@@ -104,7 +113,8 @@ def orientation_histogram(df: DataFrame, keys: Sequence[str], angle: str, weight
     """Shares of the weight by direction, `bins` of them over 180 degrees, as an array."""
     bin_ = F.floor(F.pmod(F.col(angle), F.lit(180.0)) / (180.0 / bins)).cast("int")
     sums = [F.sum(F.when(bin_ == k, F.col(weight)).otherwise(F.lit(0.0))) for k in range(bins)]
-    return df.groupBy(*keys).agg(F.array(*sums).alias("_s"), F.sum(weight).alias("_t")).select(*keys, F.transform("_s", lambda x: F.coalesce(F.try_divide(x, F.col("_t")), F.lit(0.0))).alias("histogram"))
+    return df.groupBy(*keys).agg(F.array(*sums).alias("_s"), F.sum(weight).alias("_t")).select(*keys,
+        F.transform("_s", lambda x: F.coalesce(F.try_divide(x, F.col("_t")), F.lit(0.0))).alias("histogram"))
 
 
 def block_means(pixels: DataFrame, keys: Sequence[str], x: str, y: str, value: str, width: int, height: int) -> DataFrame:

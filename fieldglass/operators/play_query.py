@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 #: filter name -> (column, how the value is read). Fixed values of the query interface.
 EQUAL = {
-    "off_grouping": ("off_grouping", str), "off_formation": ("off_formation", str.upper), "def_package": ("def_package", str), "def_front": ("def_front", str), "play_type": ("play_type", str),
-    "pass_location": ("pass_location", str.lower), "pass_length": ("pass_length", str.lower), "run_location": ("run_location", str.lower), "run_gap": ("run_gap", str.lower),
+    "off_grouping": ("off_grouping", str), "off_formation": ("off_formation", str.upper), "def_package": ("def_package", str),
+    "def_front": ("def_front", str), "play_type": ("play_type", str),
+    "pass_location": ("pass_location", str.lower), "pass_length": ("pass_length", str.lower), "run_location": ("run_location", str.lower),
+    "run_gap": ("run_gap", str.lower),
     "down": ("down", int), "quarter": ("qtr", int),
 }
 TEAMS = {"offense": "posteam", "defense": "defteam"}
 FLAGS = ("shotgun", "no_huddle", "goal_to_go", "first_down", "sack", "interception", "touchdown", "qb_scramble")
 FILTERS = {*EQUAL, *TEAMS, *FLAGS, "distance_min", "distance_max", "red_zone"}
 QUERY_ARGUMENTS, AGGREGATE_ARGUMENTS = FILTERS | {"count_only", "limit"}, FILTERS | {"group_by", "sort_by", "min_plays", "limit"}
-RETURNED = ("play_uid", "qtr", "down", "ydstogo", "yrdln", "posteam", "defteam", "play_type", "off_formation", "off_grouping", "offense_personnel", "def_package", "def_front", "yards_gained", "epa")
-DIMENSIONS = {**{x: x for x in ("off_grouping", "off_formation", "def_package", "def_front", "play_type", "down", "posteam", "defteam", "shotgun", "pass_location", "run_gap")}, "quarter": "qtr"}
+RETURNED = ("play_uid", "qtr", "down", "ydstogo", "yrdln", "posteam", "defteam", "play_type", "off_formation", "off_grouping", "offense_personnel",
+    "def_package", "def_front", "yards_gained", "epa")
+DIMENSIONS = {**{x: x
+    for x in ("off_grouping", "off_formation", "def_package", "def_front", "play_type", "down", "posteam", "defteam", "shotgun", "pass_location",
+    "run_gap")}, "quarter": "qtr"}
 METRICS = ("n", "epa_per_play", "success_rate", "yards_per_play", "explosive_rate")
 RED_ZONE, EXPLOSIVE = 20, 15
 
@@ -96,34 +101,42 @@ def group_metrics(df: DataFrame, dims: Sequence[str], value: str | None, amount:
     return df.groupBy(*dims).agg(*metrics)
 
 
-def ranked_groups(plays: DataFrame, group_by: Sequence[str], sort_by: str = "epa_per_play", min_plays: int = 1, limit: int | None = None, **filters: Any) -> DataFrame:
+def ranked_groups(plays: DataFrame, group_by: Sequence[str], sort_by: str = "epa_per_play", min_plays: int = 1, limit: int | None = None,
+    **filters: Any) -> DataFrame:
     """The groups of at least min_plays, best metric first (NULL last), ties by dimension; ValueError without a known dimension."""
     dims = [DIMENSIONS[d] for d in group_by or () if DIMENSIONS.get(d) in plays.columns]
     if not dims:
         raise ValueError("group_by must include at least one of: " + ", ".join(sorted(DIMENSIONS)))
     has = lambda c: c if c in plays.columns else None
-    groups = group_metrics(plays.filter(predicate(plays.columns, filters)), dims, has("epa"), has("yards_gained")).filter(F.col("n") >= int(min_plays))
+    groups = group_metrics(plays.filter(predicate(plays.columns, filters)), dims, has("epa"),
+        has("yards_gained")).filter(F.col("n") >= int(min_plays))
     metric = next(m for m in ((sort_by if sort_by in METRICS else "epa_per_play"), "yards_per_play", "n") if m in groups.columns)
     return groups.orderBy(F.desc_nulls_last(metric), *(F.asc_nulls_last(d) for d in dims)).limit(clamp(limit, 20, 50))
 
 
-def aggregate_plays(plays: DataFrame, group_by: Sequence[str] | None = None, sort_by: str = "epa_per_play", min_plays: int = 1, limit: int | None = None, **filters: Any) -> dict:
+def aggregate_plays(plays: DataFrame, group_by: Sequence[str] | None = None, sort_by: str = "epa_per_play", min_plays: int = 1,
+    limit: int | None = None, **filters: Any) -> dict:
     try:
         groups = ranked_groups(plays, group_by or (), sort_by, min_plays, limit, **filters)
     except ValueError as error:
         return {"error": str(error)}
     metric = next(m for m in ((sort_by if sort_by in METRICS else "epa_per_play"), "yards_per_play", "n") if m in groups.columns)
-    return {"group_by": [d for d in group_by or () if DIMENSIONS.get(d) in plays.columns], "sort_by": metric, "groups": [r.asDict() for r in groups.collect()]}
+    return {"group_by": [d for d in group_by or () if DIMENSIONS.get(d) in plays.columns], "sort_by": metric,
+        "groups": [r.asDict() for r in groups.collect()]}
 
 
 def tool_schemas() -> list[dict]:
     """What a caller may pass to the two tools."""
     kind = {int: "integer", str: "string"}
-    props = {n: {"type": kind.get(read, "string")} for n, (_, read) in EQUAL.items()} | {n: {"type": "string"} for n in TEAMS} | {n: {"type": "boolean"} for n in (*FLAGS, "red_zone")} | {n: {"type": "integer"} for n in ("distance_min", "distance_max")}
+    props = {n: {"type": kind.get(read, "string")} for n,
+        (_, read) in EQUAL.items()} | {n: {"type": "string"} for n in TEAMS} | {n: {"type": "boolean"}
+        for n in (*FLAGS, "red_zone")} | {n: {"type": "integer"} for n in ("distance_min", "distance_max")}
     tool = lambda name, more: {"name": name, "input_schema": {"type": "object", "properties": props | more}}
     return [
         tool("query_plays", {"count_only": {"type": "boolean"}, "limit": {"type": "integer"}}),
-        tool("aggregate_plays", {"group_by": {"type": "array", "items": {"type": "string", "enum": sorted(DIMENSIONS)}}, "sort_by": {"type": "string", "enum": list(METRICS)}, "min_plays": {"type": "integer"}, "limit": {"type": "integer"}}),
+        tool("aggregate_plays",
+        {"group_by": {"type": "array", "items": {"type": "string", "enum": sorted(DIMENSIONS)}},
+        "sort_by": {"type": "string", "enum": list(METRICS)}, "min_plays": {"type": "integer"}, "limit": {"type": "integer"}}),
     ]
 
 

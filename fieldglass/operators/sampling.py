@@ -33,7 +33,8 @@ def quota_per_stratum(df: DataFrame, strata: Sequence[str], order: Column, quota
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).filter(F.col("_i") <= quota).drop("_i")
 
 
-def sampled_frames(index: DataFrame, quarters: DataFrame, n: int = 2000, rate: float = 25.0, phases: Mapping[str, tuple[float, float]] = PHASES) -> DataFrame:
+def sampled_frames(index: DataFrame, quarters: DataFrame, n: int = 2000, rate: float = 25.0,
+    phases: Mapping[str, tuple[float, float]] = PHASES) -> DataFrame:
     """About n frames, as many for each half, angle and phase: play_uid, film_play_index, angle, phase_guess, half, frame, time_s, q.
 
     Strata in order get n / strata frames, the first ones one more. A stratum's frames go evenly over its plays; beyond one
@@ -57,7 +58,8 @@ def sampled_frames(index: DataFrame, quarters: DataFrame, n: int = 2000, rate: f
     place = lambda side: F.when(F.col("angle") == "sideline", F.col(f"sideline_{side}_s")).otherwise(F.col(f"endzone_{side}_s"))
     q = F.col("low") + F.when(few, F.lit(0.5)).otherwise(offset) * (F.col("high") - F.col("low"))
     frame = F.bround((place("start") + q * (place("end") - place("start"))) * rate).cast("long")
-    found = turns.select("play_uid", "film_play_index", "angle", "phase_guess", "half", frame.alias("frame"), F.bround(frame / F.lit(rate), 3).alias("time_s"), F.bround(q, 3).alias("q"), "stratum", "_k")
+    found = turns.select("play_uid", "film_play_index", "angle", "phase_guess", "half", frame.alias("frame"),
+        F.bround(frame / F.lit(rate), 3).alias("time_s"), F.bround(q, 3).alias("q"), "stratum", "_k")
     first = found.withColumn("_i", F.row_number().over(Window.partitionBy("frame").orderBy("stratum", "_k"))).filter("_i = 1")
     return first.drop("stratum", "_k", "_i").orderBy("frame")
 
@@ -82,10 +84,12 @@ def windowed_shares(df: DataFrame, keys: Sequence[str], order: str, value: str,
     has no difference and is left out of its window's share."""
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     marked = df.withColumn("_i", i).withColumn("window", F.floor(F.col("_i") / rows)).withColumn("_m", F.when(F.col("_i") > 0, moving.cast("double")))
-    out = marked.groupBy(*keys, "window").agg(F.count("*").alias("_n"), F.avg("_m").alias("moving"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("deviation"), F.avg(value).alias("mean"))
+    out = marked.groupBy(*keys, "window").agg(F.count("*").alias("_n"), F.avg("_m").alias("moving"), F.percentile(value, 0.5).alias("median"),
+        F.stddev_pop(value).alias("deviation"), F.avg(value).alias("mean"))
     return out.filter(F.col("_n") == rows).drop("_n")
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
     p = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(*keys).agg(F.try_divide(F.count(seconds), F.sum(seconds)).alias("rate"), F.avg(seconds).alias("mean"), p.alias("_p")).select(*keys, "rate", "mean", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p90"))
+    return df.groupBy(*keys).agg(F.try_divide(F.count(seconds), F.sum(seconds)).alias("rate"), F.avg(seconds).alias("mean"),
+        p.alias("_p")).select(*keys, "rate", "mean", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p90"))

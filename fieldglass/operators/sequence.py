@@ -35,14 +35,16 @@ def neighbour_median(value: str, keys: Sequence[str], order: Sequence[str], reac
     return F.when(n > 0, (low + high) / 2)
 
 
-def spikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ratio: float = 2.5, least: float = 8.0, reach: int = 4, name: str = "is_cut") -> DataFrame:
+def spikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ratio: float = 2.5, least: float = 8.0, reach: int = 4,
+    name: str = "is_cut") -> DataFrame:
     """Rows that jump: at least `least`, and `ratio` times their neighbours' median (taken as 1 at least); never the first row."""
     base = F.greatest(F.coalesce(neighbour_median(value, keys, order, reach), F.lit(0.0)), F.lit(1.0))
     jump = (F.col(value) >= least) & (F.col(value) >= ratio * base) & (F.row_number().over(over(keys, *order)) > 1)
     return df.withColumn(name, F.coalesce(jump, F.lit(False)))
 
 
-def local_jumps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, known: str, ratio: float = 2.0, least: float = 4.0, reach: int = 4, name: str = "is_candidate") -> DataFrame:
+def local_jumps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, known: str, ratio: float = 2.0, least: float = 4.0,
+    reach: int = 4, name: str = "is_candidate") -> DataFrame:
     """Weaker jumps that may be cuts missed: greatest of the three rows around, at least `least` and `ratio` times the
     neighbours' median, neither the first row nor within one row of a cut known."""
     w = over(keys, *order)
@@ -69,10 +71,12 @@ def flips(df: DataFrame, keys: Sequence[str], order: str, reading: str, change:
     w = over(keys, order)
     near = F.collect_list(F.struct(F.col(change).alias("c"), (-F.col(order)).alias("o"))).over(w.rowsBetween(-reach, reach))
     crossed = (F.col("_m") >= level) != (F.lag("_m").over(w) >= level)
-    return smooth.withColumn("_at", -F.array_max(near)["o"]).withColumn("_x", crossed).filter("_x").select(*keys, F.col("_at").alias(order)).distinct()
+    return smooth.withColumn("_at", -F.array_max(near)["o"]).withColumn("_x", crossed).filter("_x").select(*keys,
+        F.col("_at").alias(order)).distinct()
 
 
-def grouped_shots(samples: DataFrame, keys: Sequence[str], time: str, change: str, tilt: str, step: float = 0.4, threshold: float = 15.0, least: float = 3.0, cut: Column | None = None) -> DataFrame:
+def grouped_shots(samples: DataFrame, keys: Sequence[str], time: str, change: str, tilt: str, step: float = 0.4, threshold: float = 15.0,
+    least: float = 3.0, cut: Column | None = None) -> DataFrame:
     """Samples -> shots: shot_index, start, duration, tilt (median of the middle half), samples, cut_diff.
 
     Shots shorter than `least` are put to the one before; a first short one stays.
@@ -84,7 +88,8 @@ def grouped_shots(samples: DataFrame, keys: Sequence[str], time: str, change: st
     core = (k >= low) & (k < F.greatest(low + 1, F.floor(3 * n / 4)))
     marked = runs.withColumn("_core", core)
     value = F.when(F.col("_core") & ~F.isnan(tilt), F.col(tilt))
-    raw = marked.groupBy(*keys, "_run").agg(F.min(time).alias("start"), (F.max(time) - F.min(time) + step).alias("duration"), F.round(F.percentile(value, 0.5), 1).alias("tilt"), F.count("*").alias("samples"), F.min_by(change, time).alias("cut_diff"))
+    raw = marked.groupBy(*keys, "_run").agg(F.min(time).alias("start"), (F.max(time) - F.min(time) + step).alias("duration"),
+        F.round(F.percentile(value, 0.5), 1).alias("tilt"), F.count("*").alias("samples"), F.min_by(change, time).alias("cut_diff"))
     raw = raw.withColumn("cut_diff", F.when(F.col("_run") > 0, F.col("cut_diff")))
     return absorb_short(raw, keys, "start", "duration", least)
 
@@ -94,7 +99,8 @@ def absorb_short(shots: DataFrame, keys: Sequence[str], start: str, duration: st
     so one running count says which it belongs to."""
     w = over(keys, start)
     stays = (F.row_number().over(w) == 1) | (F.col(duration) >= least)
-    homes = shots.withColumn("_stays", stays.cast("int")).withColumn("shot_index", F.sum("_stays").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    homes = shots.withColumn("_stays", stays.cast("int")).withColumn("shot_index",
+        F.sum("_stays").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     first = {c: F.min_by(c, start).alias(c) for c in ("tilt", "cut_diff") if c in shots.columns}
     sums = [F.sum("samples").alias("samples")] if "samples" in shots.columns else []
     end = F.max(F.col(start) + F.col(duration))
@@ -105,7 +111,8 @@ def merged_runs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     """Runs of equal values: run, value, first and last of order, rows."""
     w = over(keys, order)
     changed = ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    return islands(df, keys, [order], changed, "run").groupBy(*keys, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows"))
+    return islands(df, keys, [order], changed, "run").groupBy(*keys, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"),
+        F.count("*").alias("rows"))
 
 
 def paired(df: DataFrame, keys: Sequence[str], order: str, value: str, strict: bool = False) -> DataFrame:
@@ -116,7 +123,8 @@ def paired(df: DataFrame, keys: Sequence[str], order: str, value: str, strict: b
         F.count("*").alias("_n"), *(F.max(F.when(F.col("_r") % 2 == k, F.col(c))).alias(f"{c}_{k + 1}") for c in (value, order) for k in (0, 1)))
     full = pairs.filter("_n = 2").drop("_n")
     if strict:
-        full = full.filter(F.when(F.col(f"{value}_1").eqNullSafe(F.col(f"{value}_2")), F.raise_error(F.lit("both of a pair are alike"))).otherwise(True))
+        full = full.filter(F.when(F.col(f"{value}_1").eqNullSafe(F.col(f"{value}_2")),
+            F.raise_error(F.lit("both of a pair are alike"))).otherwise(True))
     return full
 
 
@@ -126,7 +134,8 @@ def longest_run(df: DataFrame, keys: Sequence[str], order: str, flag: Column, mo
     true = numbered.filter("_f")
     runs = islands(true, keys, ["_i"], F.col("_i") - F.lag("_i").over(over(keys, "_i")) > most_gap + 1, "_run")
     sizes = runs.groupBy(*keys, "_run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"))
-    best = sizes.groupBy(*keys).agg(F.max(F.struct((F.col("last") - F.col("first") + 1).alias("length"), (-F.col("first")).alias("_f"), F.col("last").alias("last"))).alias("m"))
+    best = sizes.groupBy(*keys).agg(
+        F.max(F.struct((F.col("last") - F.col("first") + 1).alias("length"), (-F.col("first")).alias("_f"), F.col("last").alias("last"))).alias("m"))
     return best.select(*keys, (-F.col("m._f")).alias("first"), F.col("m.last").alias("last"), F.col("m.length").alias("length"))
 
 
@@ -134,7 +143,8 @@ def grown_run(df: DataFrame, keys: Sequence[str], order: str, weak: Column, seed
     """seeds (keys, first, last as longest_run gives them), each widened through weak rows over gaps of up to most_gap."""
     numbered = df.withColumn("_i", F.row_number().over(over(keys, order)).cast("long"))
     inside = F.col("_i").between(F.col("first"), F.col("last"))
-    flagged = numbered.join(seeds.select(*keys, "first", "last"), list(keys)).filter(F.coalesce(weak, F.lit(False)) | inside).withColumn("_in", inside)
+    flagged = numbered.join(seeds.select(*keys, "first", "last"), list(keys)).filter(F.coalesce(weak, F.lit(False)) | inside).withColumn("_in",
+        inside)
     runs = islands(flagged, keys, ["_i"], F.col("_i") - F.lag("_i").over(over(keys, "_i")) > most_gap + 1, "_run")
     grown = runs.groupBy(*keys, "_run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.max("_in").alias("_in"))
     return grown.filter("_in").drop("_run", "_in")
@@ -176,16 +186,19 @@ def first_sustained(df: DataFrame, keys: Sequence[str], order: str, value: str,
 
 def snaps(positions: DataFrame, keys: Sequence[str], rate: float, above: float = 2.0, hold_s: float = 0.4, below: float = 0.5) -> DataFrame:
     """The snap of each take, from the players' median speed by frame."""
-    medians = positions.filter((F.col("label") == "player") & F.col("speed").isNotNull()).groupBy(*keys, "frame").agg(F.percentile("speed", 0.5).alias("median"))
+    medians = positions.filter((F.col("label") == "player") & F.col("speed").isNotNull()).groupBy(*keys,
+        "frame").agg(F.percentile("speed", 0.5).alias("median"))
     return first_sustained(medians, keys, "frame", "median", above, max(1, round(hold_s * rate)), below).select(*keys, F.col("found").alias("snap"))
 
 
-def filled_gaps(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], most_gap: float, cuts: DataFrame | None = None, blank: Sequence[str] = ()) -> DataFrame:
+def filled_gaps(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], most_gap: float, cuts: DataFrame | None = None,
+    blank: Sequence[str] = ()) -> DataFrame:
     """df with `filled` false, and with rows for the whole steps of `at` that gaps of up to most_gap leave out: values on the
     straight line between the two sides, columns of `blank` NULL, others as before the gap, `filled` true. cuts (keys of it,
     cut): gaps with before < cut <= after stay."""
     w = over(keys, at)
-    gaps = df.withColumn("_after", F.lead(F.struct(at, *values)).over(w)).filter((F.col("_after")[at] - F.col(at) > 1) & (F.col("_after")[at] - F.col(at) - 1 <= most_gap))
+    gaps = df.withColumn("_after",
+        F.lead(F.struct(at, *values)).over(w)).filter((F.col("_after")[at] - F.col(at) > 1) & (F.col("_after")[at] - F.col(at) - 1 <= most_gap))
     if cuts is not None:
         shared = [k for k in keys if k in cuts.columns]
         inside = (F.col("_c.cut") > F.col("_g." + at)) & (F.col("_c.cut") <= F.col("_g._after")[at])
@@ -195,7 +208,8 @@ def filled_gaps(df: DataFrame, keys: Sequence[str], at: str, values: Sequence[st
     steps = gaps.withColumn("_at", F.explode(F.sequence(F.col(at) + 1, F.col("_after")[at] - 1)))
     share = (F.col("_at") - F.col(at)) / (F.col("_after")[at] - F.col(at))
     made = {v: F.col(v) * (1 - share) + F.col("_after")[v] * share for v in values}
-    new = steps.select(*(F.col("_at").alias(c) if c == at else made[c].alias(c) if c in made else F.lit(None).cast(df.schema[c].dataType).alias(c) if c in blank else F.col(c) for c in df.columns), F.lit(True).alias("filled"))
+    new = steps.select(*(F.col("_at").alias(c) if c == at else made[c].alias(c) if c in made else F.lit(None).cast(df.schema[c].dataType).alias(c)
+        if c in blank else F.col(c) for c in df.columns), F.lit(True).alias("filled"))
     return df.withColumn("filled", F.lit(False)).unionByName(new)
 
 
@@ -207,7 +221,8 @@ def changes_counted(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return df.withColumn("_new", new.cast("long")).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def jump_flags(df: DataFrame, keys: Sequence[str], order: str, change: str, least: float = 12.0, ratio: float = 4.0, window: int = 15, name: str = "is_cut") -> DataFrame:
+def jump_flags(df: DataFrame, keys: Sequence[str], order: str, change: str, least: float = 12.0, ratio: float = 4.0, window: int = 15,
+    name: str = "is_cut") -> DataFrame:
     """Changes above `least` and `ratio` times the median of the last `window` ones."""
     recent = F.percentile(change, 0.5).over(over(keys, order).rowsBetween(-window, -1))
     return df.withColumn(name, F.coalesce(F.col(change) > F.greatest(F.lit(least), ratio * F.coalesce(recent, F.lit(0.0))), F.lit(False)))
@@ -243,7 +258,8 @@ def replaced_outliers(df: DataFrame, keys: Sequence[str], order: str, value: str
     return marked.withColumns({"_b": back, "_a": ahead}).withColumn(value, F.coalesce(line, F.col("_b.v"), F.col("_a.v"))).drop("_g", "_b", "_a")
 
 
-def rolling_outliers(df: DataFrame, keys: Sequence[str], order: str, value: str, reach: int, most: float, least_rows: int = 5, name: str = "is_bad") -> DataFrame:
+def rolling_outliers(df: DataFrame, keys: Sequence[str], order: str, value: str, reach: int, most: float, least_rows: int = 5,
+    name: str = "is_bad") -> DataFrame:
     """Values further than `most` from the median of the rows within `reach`, where there are enough rows."""
     w = over(keys, order).rowsBetween(-reach, reach)
     far = F.abs(F.col(value) - F.percentile(value, 0.5).over(w)) > most

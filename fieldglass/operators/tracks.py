@@ -21,7 +21,8 @@ SWAP_RUN, SWAP_AGREE, SWAP_STRONG = 4, 0.75, 0.5
 def dominant(df: DataFrame, keys: Sequence[str], label: str, weight: str, name: str = "label") -> DataFrame:
     """The label with the greatest summed weight of each key; of equal ones the last in order."""
     sums = df.groupBy(*keys, label).agg(F.sum(weight).alias("_w"))
-    return sums.groupBy(*keys).agg(F.max(F.struct(F.col("_w").alias("w"), F.col(label).alias("l"))).alias("m")).select(*keys, F.col("m.l").alias(name), F.col("m.w").alias("weight"))
+    return sums.groupBy(*keys).agg(F.max(F.struct(F.col("_w").alias("w"), F.col(label).alias("l"))).alias("m")).select(*keys,
+        F.col("m.l").alias(name), F.col("m.w").alias("weight"))
 
 
 def track_summaries(boxes: DataFrame, keys: Sequence[str], at: str = "frame", conf: str = "conf") -> DataFrame:
@@ -38,22 +39,27 @@ def track_ends(boxes: DataFrame, keys: Sequence[str], lead: int = LEAD) -> DataF
     `lead` rows (0 of fewer than 3), and the median height there; and ratio, the median width by height."""
     x, y, h = (F.col("x1") + F.col("x2")) / 2, F.col("y2"), F.col("y2") - F.col("y1")
     up, down = F.row_number().over(over(keys, F.asc("frame"))), F.row_number().over(over(keys, F.desc("frame")))
-    rows = boxes.select(*keys, "frame", x.alias("_x"), y.alias("_y"), h.alias("_h"), ((F.col("x2") - F.col("x1")) / h).alias("_r"), up.alias("_up"), down.alias("_down"))
+    rows = boxes.select(*keys, "frame", x.alias("_x"), y.alias("_y"), h.alias("_h"), ((F.col("x2") - F.col("x1")) / h).alias("_r"), up.alias("_up"),
+        down.alias("_down"))
 
     def end(rank: str) -> Column:
         mine = F.col(rank) <= lead
         at = lambda c: F.max(F.when(F.col(rank) == 1, F.col(c)))
-        slope = lambda c: F.when(F.count_if(mine) >= 3, F.coalesce(F.regr_slope(F.when(mine, F.col(c)), F.when(mine, F.col("frame"))), F.lit(0.0))).otherwise(F.lit(0.0))
-        return F.struct(at("_x").alias("x"), at("_y").alias("y"), slope("_x").alias("vx"), slope("_y").alias("vy"), F.percentile(F.when(mine, F.col("_h")), 0.5).alias("h"))
+        slope = lambda c: F.when(F.count_if(mine) >= 3,
+            F.coalesce(F.regr_slope(F.when(mine, F.col(c)), F.when(mine, F.col("frame"))), F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.struct(at("_x").alias("x"), at("_y").alias("y"), slope("_x").alias("vx"), slope("_y").alias("vy"),
+            F.percentile(F.when(mine, F.col("_h")), 0.5).alias("h"))
 
-    return rows.groupBy(*keys).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), end("_up").alias("start"), end("_down").alias("finish"), F.percentile("_r", 0.5).alias("ratio"))
+    return rows.groupBy(*keys).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), end("_up").alias("start"),
+        end("_down").alias("finish"), F.percentile("_r", 0.5).alias("ratio"))
 
 
 def _ends_of(column: str) -> dict[str, Column]:
     return {k: F.col(f"{column}.{k}") for k in ("x", "y", "vx", "vy", "h")}
 
 
-def link_candidates(ends: DataFrame, group: Sequence[str], track: str, rate: float, cuts: DataFrame | None = None, most_gap_s: float = MOST_GAP_S) -> DataFrame:
+def link_candidates(ends: DataFrame, group: Sequence[str], track: str, rate: float, cuts: DataFrame | None = None,
+    most_gap_s: float = MOST_GAP_S) -> DataFrame:
     """Pairs (earlier, later, miss) of tracks that may be one: the same group (take and label), teams not opposed, a gap of up to
     most_gap_s without a cut, neither wide, and ends that predict each other. ends: track_ends with a column team (-1 or NULL unknown).
 
@@ -62,11 +68,14 @@ def link_candidates(ends: DataFrame, group: Sequence[str], track: str, rate: flo
     reach = max(1, int(most_gap_s * rate))
     cell = lambda c: F.floor(F.col(c) / reach)
     narrow = ends.filter(F.col("ratio") < WIDE)
-    a = narrow.select(*group, F.col(track).alias("earlier"), F.col("last").alias("_last"), F.col("finish").alias("_fin"), F.col("team").alias("_ta"), F.explode(F.sequence(cell("last"), cell("last") + 1)).alias("_cell"))
-    b = narrow.select(*group, F.col(track).alias("later"), F.col("first").alias("_first"), F.col("start").alias("_sta"), F.col("team").alias("_tb"), cell("first").alias("_cell"))
+    a = narrow.select(*group, F.col(track).alias("earlier"), F.col("last").alias("_last"), F.col("finish").alias("_fin"), F.col("team").alias("_ta"),
+        F.explode(F.sequence(cell("last"), cell("last") + 1)).alias("_cell"))
+    b = narrow.select(*group, F.col(track).alias("later"), F.col("first").alias("_first"), F.col("start").alias("_sta"), F.col("team").alias("_tb"),
+        cell("first").alias("_cell"))
     gap = F.col("_first") - F.col("_last")
     opposed = (F.coalesce("_ta", F.lit(-1)) >= 0) & (F.coalesce("_tb", F.lit(-1)) >= 0) & (F.col("_ta") != F.col("_tb"))
-    pairs = a.join(b, [*group, "_cell"]).filter((gap > 0) & (gap <= most_gap_s * rate) & ~opposed).withColumn("miss", predicted_miss(_ends_of("_fin"), _ends_of("_sta"), gap))
+    pairs = a.join(b, [*group, "_cell"]).filter((gap > 0) & (gap <= most_gap_s * rate) & ~opposed).withColumn("miss",
+        predicted_miss(_ends_of("_fin"), _ends_of("_sta"), gap))
     near = pairs.filter(F.col("miss") <= REACH + REACH_PER_S * gap / rate)
     if cuts is not None:
         keys = [k for k in group if k in cuts.columns]
@@ -108,7 +117,8 @@ def stitched(boxes: DataFrame, take: Sequence[str], teams: DataFrame, rate: floa
     """boxes (track_id, label, frame, x1, y1, x2, y2, off_field) with the ids of joined tracks' first ones; off-field tracks stay apart."""
     on = boxes.filter(~F.coalesce("off_field", F.lit(False)))
     ends = track_ends(on, [*take, "track_id", "label"]).join(teams, [*take, "track_id"], "left")
-    roots = chained(link_candidates(ends, [*take, "label"], "track_id", rate, cuts), [*take, "label"]).select(*take, F.col("track").alias("track_id"), "root")
+    roots = chained(link_candidates(ends, [*take, "label"], "track_id", rate, cuts), [*take, "label"]).select(*take,
+        F.col("track").alias("track_id"), "root")
     return boxes.join(roots, [*take, "track_id"], "left").withColumn("track_id", F.coalesce("root", "track_id")).drop("root").select(boxes.columns)
 
 
@@ -123,7 +133,8 @@ def fragments(ends: DataFrame, group: Sequence[str], track: str, rate: float) ->
     """Tracks that begin within FRAGMENT_GAP_S of another of their group ending, within FRAGMENT_DISTANCE of its heights."""
     width = max(1, int(FRAGMENT_GAP_S * rate))
     cell = lambda c: F.floor(F.col(c) / width)
-    ended = ends.select(*group, F.col(track).alias("_id"), F.col("last").alias("_last"), F.col("finish").alias("_f"), F.explode(F.sequence(cell("last"), cell("last") + 1)).alias("_cell"))
+    ended = ends.select(*group, F.col(track).alias("_id"), F.col("last").alias("_last"), F.col("finish").alias("_f"),
+        F.explode(F.sequence(cell("last"), cell("last") + 1)).alias("_cell"))
     begun = ends.withColumn("_cell", cell("first"))
     gap = F.col("first") - F.col("_last")
     near = F.hypot(F.col("_f.x") - F.col("start.x"), F.col("_f.y") - F.col("start.y")) <= FRAGMENT_DISTANCE * F.col("_f.h")
@@ -179,15 +190,18 @@ def kinematics(positions: DataFrame, keys: Sequence[str], at: str, x: str, y: st
     w = over(keys, at)
     step = F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w))
     rows = positions.withColumns({"_step": step, "_speed": F.try_divide(step * rate, F.col(at) - F.lag(at).over(w))})
-    return rows.groupBy(*keys).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("distance"), F.coalesce(F.max("_speed"), F.lit(0.0)).alias("top_speed"))
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("distance"),
+        F.coalesce(F.max("_speed"), F.lit(0.0)).alias("top_speed"))
 
 
 def separations(positions: DataFrame, frame: Sequence[str], target: Column, opponent: Column, track: str = "track_id") -> DataFrame:
     """For each frame and target the nearest opponent: nearest, distance. A frame holds a few players, so pairs stay few."""
-    of = lambda c, p: positions.filter(c).select(*frame, F.col(track).alias(p), F.col("x_yd").alias(f"_x{p}"), F.col("y_yd").alias(f"_y{p}"))
+    of = lambda c, p: positions.filter(c).select(*frame, F.col(track).alias(p), F.col("x_yd").alias(f"_x{p}"),
+        F.col("y_yd").alias(f"_y{p}"))
     far = F.hypot(F.col("_xtarget") - F.col("_xother"), F.col("_ytarget") - F.col("_yother"))
     pairs = of(target, "target").join(of(opponent, "other"), list(frame)).withColumn("_d", far)
-    return pairs.groupBy(*frame, "target").agg(F.min(F.struct("_d", "other")).alias("m")).select(*frame, "target", F.col("m.other").alias("nearest"), F.col("m._d").alias("distance"))
+    return pairs.groupBy(*frame, "target").agg(F.min(F.struct("_d", "other")).alias("m")).select(*frame, "target", F.col("m.other").alias("nearest"),
+        F.col("m._d").alias("distance"))
 
 
 def separation_summaries(series: DataFrame, keys: Sequence[str], at: str = "frame", rate: float = 25.0, close: float = 2.0) -> DataFrame:
@@ -196,7 +210,8 @@ def separation_summaries(series: DataFrame, keys: Sequence[str], at: str = "fram
     same = F.col("nearest") == F.lag("nearest").over(w)
     closing = F.when(same, (F.lag("distance").over(w) - F.col("distance")) * rate / (F.col(at) - F.lag(at).over(w)))
     return series.withColumn("_c", closing).groupBy(*keys).agg(
-        F.min("distance").alias("least"), F.avg("distance").alias("mean"), F.min(F.when(F.col("distance") <= close, F.col(at))).alias("first_close"), F.max("_c").alias("closing_speed"))
+        F.min("distance").alias("least"), F.avg("distance").alias("mean"), F.min(F.when(F.col("distance") <= close, F.col(at))).alias("first_close"),
+        F.max("_c").alias("closing_speed"))
 
 
 def labels_redone(boxes: DataFrame, derived: Sequence[str] = ("team", "off_field", "filled")) -> DataFrame:
@@ -209,14 +224,16 @@ def moving_people(boxes: DataFrame, keys: Sequence[str], least_frames: int, rati
     """Boxes of players on the field with a team, of tracks seen in enough frames and of a plausible median height by width."""
     rows = boxes.filter((F.col("label") == "player") & (F.col("team") >= 0) & ~F.coalesce("off_field", F.lit(False)))
     ratio = F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), 0.5)
-    kept = rows.groupBy(*keys).agg(ratio.alias("_r"), F.countDistinct("frame").alias("_n")).filter((F.col("_n") >= least_frames) & F.col("_r").between(*ratios))
+    kept = rows.groupBy(*keys).agg(ratio.alias("_r"),
+        F.countDistinct("frame").alias("_n")).filter((F.col("_n") >= least_frames) & F.col("_r").between(*ratios))
     return rows.join(kept, list(keys), "left_semi")
 
 
 def count_islands(df: DataFrame, keys: Sequence[str], order: str, gap: float) -> DataFrame:
     """Stretches without a gap of over `gap`: island, first, last, rows."""
     cut = F.col(order) - F.lag(order).over(over(keys, order)) > gap
-    return islands(df, keys, [order], cut).groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows"))
+    return islands(df, keys, [order], cut).groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"),
+        F.count("*").alias("rows"))
 
 
 def median_cameras(cameras: DataFrame, keys: Sequence[str], centre: str = "centre", least: int = 5) -> DataFrame:

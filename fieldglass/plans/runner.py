@@ -66,7 +66,8 @@ def empty_manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MANIFEST)
 
 
-def outcome(manifest: Mapping[tuple[str, str], Mapping[str, Any]], stage: Stage, unit: str, found: Mapping[str, str], wanted: Sequence[str], outputs_there: bool, config: str, force: bool = False) -> str:
+def outcome(manifest: Mapping[tuple[str, str], Mapping[str, Any]], stage: Stage, unit: str, found: Mapping[str, str], wanted: Sequence[str],
+    outputs_there: bool, config: str, force: bool = False) -> str:
     """run, skipped or missing."""
     if set(wanted) - set(found):
         return "missing"
@@ -75,7 +76,8 @@ def outcome(manifest: Mapping[tuple[str, str], Mapping[str, Any]], stage: Stage,
     return "skipped" if same and not force else "run"
 
 
-def run_stages(spark: SparkSession, registry: Registry, units: Sequence[Mapping[str, str]], manifest: DataFrame, config: Mapping[str, Any], at: str, force: bool = False, dry: bool = False) -> tuple[DataFrame, DataFrame]:
+def run_stages(spark: SparkSession, registry: Registry, units: Sequence[Mapping[str, str]], manifest: DataFrame, config: Mapping[str, Any], at: str,
+    force: bool = False, dry: bool = False) -> tuple[DataFrame, DataFrame]:
     """(the new manifest, what was done: stage, unit, action). A stage's function gets (spark, unit, config). Missing inputs are
     reported, not raised, and stop nothing else."""
     known = {(r["stage"], r["unit"]): r.asDict() for r in manifest.collect()}
@@ -90,7 +92,8 @@ def run_stages(spark: SparkSession, registry: Registry, units: Sequence[Mapping[
             action = outcome(known, stage, name, found, wanted, len(fingerprints(spark, outputs)) == len(outputs), key, force)
             if action == "run" and not dry:
                 stage.run(spark, dict(unit), dict(config))
-                known[stage.name, name] = {"stage": stage.name, "unit": name, "inputs": found, "config": key, "outputs": outputs, "version": stage.version, "at": at}
+                known[stage.name, name] = {"stage": stage.name, "unit": name, "inputs": found, "config": key, "outputs": outputs,
+                    "version": stage.version, "at": at}
             done.append((stage.name, name, "would run" if action == "run" and dry else action))
     rows = [tuple(known[k][c] for c in ("stage", "unit", "inputs", "config", "outputs", "version", "at")) for k in sorted(known)]
     return spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(done, "stage string, unit string, action string")

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from fieldglass.functions.plays import no_nan, play_summary
 from fieldglass.operators.joins import first_rows, unseen
 
-BASE_COLUMNS = ("game_key", "play_uid", "play_index", "is_scrimmage", "is_filmable", "play_id", "game_id", "qtr", "time", "down", "ydstogo", "yrdln", "yardline_100", "posteam", "defteam", "play_type", "desc", "yards_gained", "epa", "touchdown", "first_down", "interception", "sack", "shotgun", "no_huddle", "goal_to_go", "qb_scramble", "pass_location", "pass_length", "run_location", "run_gap")
+BASE_COLUMNS = ("game_key", "play_uid", "play_index", "is_scrimmage", "is_filmable", "play_id", "game_id", "qtr", "time", "down", "ydstogo", "yrdln",
+    "yardline_100", "posteam", "defteam", "play_type", "desc", "yards_gained", "epa", "touchdown", "first_down", "interception", "sack", "shotgun",
+    "no_huddle", "goal_to_go", "qb_scramble", "pass_location", "pass_length", "run_location", "run_gap")
 LABEL_COLUMNS = ("offense_formation", "offense_personnel", "defense_personnel", "defenders_in_box")
 
 
@@ -28,7 +30,8 @@ class Paths:
 
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN as NULL in every float column."""
-    return df.select(*(no_nan(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema))
+    return df.select(*(no_nan(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        for f in df.schema))
 
 
 def read_plays(spark: SparkSession, *paths: str) -> DataFrame:
@@ -120,7 +123,8 @@ def write_lines(records: DataFrame, path: str, order: str) -> None:
 def training_lines(boxes: DataFrame, line: Column, split: Column, source: str) -> DataFrame:
     """split, frame and its lines of labels, to be written by split."""
     kept = boxes.withColumn("_line", line).filter(F.col("_line").isNotNull())
-    return kept.groupBy(split.alias("split"), "frame").agg(F.array_join(F.array_sort(F.collect_list("_line")), "\n").alias("labels")).withColumn("source", F.lit(source))
+    return kept.groupBy(split.alias("split"),
+        "frame").agg(F.array_join(F.array_sort(F.collect_list("_line")), "\n").alias("labels")).withColumn("source", F.lit(source))
 
 
 def outline(df: DataFrame) -> str:
@@ -131,14 +135,16 @@ def outline(df: DataFrame) -> str:
 
 def held_out_frames(documents: DataFrame, *keys: str) -> DataFrame:
     """keys, frame: the frames that a review's documents (kept: frame and boxes; flagged; dropped) hold, each once."""
-    listed = F.concat(F.coalesce(F.transform("kept", lambda k: k["frame"].cast("long")), F.lit(None).cast("array<long>"), F.array().cast("array<long>")),
+    listed = F.concat(F.coalesce(F.transform("kept", lambda k: k["frame"].cast("long")), F.lit(None).cast("array<long>"),
+        F.array().cast("array<long>")),
                       *(F.coalesce(F.col(c).cast("array<long>"), F.array().cast("array<long>")) for c in ("flagged", "dropped")))
     return documents.select(*keys, F.explode(listed).alias("frame")).distinct()
 
 
 def labelled_frames(documents: DataFrame, *keys: str) -> DataFrame:
     """keys, frame, boxes of a review's kept frames."""
-    return documents.select(*keys, F.explode("kept").alias("_k")).select(*keys, F.col("_k.frame").cast("long").alias("frame"), F.col("_k.boxes").alias("boxes"))
+    return documents.select(*keys, F.explode("kept").alias("_k")).select(*keys, F.col("_k.frame").cast("long").alias("frame"),
+        F.col("_k.boxes").alias("boxes"))
 
 
 def training_split(frames: DataFrame, samples: DataFrame, held: DataFrame, validation: Column, key: str = "play_uid") -> DataFrame:
@@ -157,7 +163,8 @@ def write_records(records: DataFrame, path: str, key: str = "play_uid") -> None:
 
 def write_manifest(units: DataFrame, path: str) -> None:
     """The units of a manifest (stage, unit, ...) as JSON lines in order of their keys."""
-    units.select("stage", "unit", *sorted(c for c in units.columns if c not in ("stage", "unit"))).orderBy("stage", "unit").coalesce(1).write.mode("overwrite").json(path)
+    units.select("stage", "unit", *sorted(c for c in units.columns if c not in ("stage", "unit"))).orderBy("stage",
+        "unit").coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_schema(spark: SparkSession, path: str) -> T.StructType:

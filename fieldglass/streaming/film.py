@@ -72,7 +72,8 @@ def live_cuts(df: DataFrame, least: float = 12.0, ratio: float = 4.0, recent: in
         state.update((seen, last))
         yield pd.DataFrame(out, columns=["source_id", "frame", "change", "is_cut"])
 
-    return df.select("source_id", "frame", "change").groupBy("source_id").applyInPandasWithState(run, "source_id string, frame long, change double, is_cut boolean", "recent array<double>, last long", "append", GroupStateTimeout.NoTimeout)
+    return df.select("source_id", "frame", "change").groupBy("source_id").applyInPandasWithState(run,
+        "source_id string, frame long, change double, is_cut boolean", "recent array<double>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_tracks(df: DataFrame, rate: float = 25.0, lost_s: float = LOST_S, least: float = LEAST_OVERLAP) -> DataFrame:
@@ -117,7 +118,8 @@ def live_tracks(df: DataFrame, rate: float = 25.0, lost_s: float = LOST_S, least
             yield pd.concat(out)[["source_id", "frame", *size, "conf", "track_id"]]
 
     columns = "source_id string, frame long, x1 double, y1 double, x2 double, y2 double, conf double, track_id long"
-    return df.groupBy("source_id").applyInPandasWithState(run, columns, "next_id long, last long, tracks array<double>", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("source_id").applyInPandasWithState(run, columns, "next_id long, last long, tracks array<double>", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def _versions(spark: SparkSession, target: str) -> list[int]:
