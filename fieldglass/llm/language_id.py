@@ -87,7 +87,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for (lang, tested), k in kinds.items():
                 used = np.flatnonzero(counts[k])
-                columns = [pa.array([lang] * len(used), pa.string()), pa.array([tested] * len(used), pa.bool_()), pa.array(known.keys[0][used].view(np.int64)), pa.array(counts[k][used])]
+                columns = [pa.array([lang] * len(used), pa.string()), pa.array([tested] * len(used), pa.bool_()),
+                    pa.array(known.keys[0][used].view(np.int64)), pa.array(counts[k][used])]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "tested", "gram", "n"])
 
         for batch in batches:
@@ -106,7 +107,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     known, kinds, counts = W.Numbering(), {}, []
         yield from rows()
 
-    return docs.select("lang", "tested", "text").mapInArrow(run, "lang string, tested boolean, gram long, n long").groupBy("lang", "tested", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "tested", "text").mapInArrow(run, "lang string, tested boolean, gram long, n long").groupBy("lang", "tested",
+        "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -269,7 +271,8 @@ def calibrate(tested: DataFrame, path: str) -> tuple[float, dict[str, Limit]]:
             ok = np.array([x and lang in model.langs for x, lang in zip(letter.tolist(), langs, strict=True)], bool)
             truth = np.array([model.langs.index(lang) for lang, x in zip(langs, ok, strict=True) if x], int)
             bits, where = bits[ok], np.arange(len(truth))
-            loss = [-np.log(np.maximum(shares(bits, t)[where, truth], 1e-12)) for t in TEMPERATURES] if len(truth) else [np.zeros(0)] * len(TEMPERATURES)
+            loss = [-np.log(np.maximum(shares(bits, t)[where, truth], 1e-12))
+                for t in TEMPERATURES] if len(truth) else [np.zeros(0)] * len(TEMPERATURES)
             columns = [batch.column(0).filter(pa.array(ok)), pa.array(bits[where, truth]), pa.array(1.0 / n[ok])]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, loss)], ["lang", "bits", "x", *names])
 
@@ -282,7 +285,8 @@ def calibrate(tested: DataFrame, path: str) -> tuple[float, dict[str, Limit]]:
     total = lambda *of: F.sum(w * of[0] * of[1] if len(of) > 1 else w * of[0])
     x = F.col("x")
     sums = rows.join(F.broadcast(means), "lang").groupBy("lang").agg(
-        F.first("mean").alias("mean"), F.sum(w).alias("w"), total(x).alias("wx"), total(x, x).alias("wxx"), total(y).alias("wy"), total(x, y).alias("wxy"), *(F.sum(k).alias(k) for k in names)
+        F.first("mean").alias("mean"), F.sum(w).alias("w"), total(x).alias("wx"), total(x, x).alias("wxx"), total(y).alias("wy"),
+        total(x, y).alias("wxy"), *(F.sum(k).alias(k) for k in names)
     )
     kinds, loss = {}, np.zeros(len(TEMPERATURES))
     for r in sums.collect():
@@ -301,7 +305,8 @@ def calibrate(tested: DataFrame, path: str) -> tuple[float, dict[str, Limit]]:
     return TEMPERATURES[int(loss.argmin())], limits
 
 
-def identify(docs: DataFrame, path: str, temperature: float = 1.0, limits: dict[str, Limit] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, path: str, temperature: float = 1.0, limits: dict[str, Limit] | None = None, id_col: str = "doc_id",
+    text_col: str = "text") -> DataFrame:
     """One row for every input row: doc_id, lang_pred, score, bits, rejected.
 
     The language with the least cross-entropy a character stands; the first in code point order of equal ones. score is its
@@ -326,7 +331,8 @@ def identify(docs: DataFrame, path: str, temperature: float = 1.0, limits: dict[
                 if lang in every:
                     over |= ok & (best == k) & every[lang].over(least, size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(np.where(ok, least, 0.0)), pa.array(over)],
+                [batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(np.where(ok, least, 0.0)),
+                pa.array(over)],
                 ["doc_id", "lang_pred", "score", "bits", "rejected"],
             )
 
@@ -334,7 +340,8 @@ def identify(docs: DataFrame, path: str, temperature: float = 1.0, limits: dict[
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
 
-def learn_and_identify(docs: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def learn_and_identify(docs: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that have a language and aren't held out, then identify() every row; adds held_out.
 
     Rows are held out if crc32 of their id as text is `part` modulo `parts`; a null id counts as empty text. Temperature

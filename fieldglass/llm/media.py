@@ -239,7 +239,8 @@ def media_columns(
     part = "array<struct<type:string,offset:long,length:long,data:binary>>"
     schema = [f"id {media.schema[id_col].dataType.simpleString()}, declared string, type string, corrected boolean, embedded {part}"]
     schema += [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep] + ([features[0]] if features else [])
-    rows = media.select(F.col(id_col), F.col(type_col).cast("string"), F.col(data_col), *keep).toDF("id", "declared", "data", *(f"k{n}" for n in range(len(keep))))
+    rows = media.select(F.col(id_col), F.col(type_col).cast("string"), F.col(data_col), *keep).toDF("id", "declared", "data",
+        *(f"k{n}" for n in range(len(keep))))
     told = StructType.fromDDL(features[0]) if features else StructType()
     names = ["id", "declared", "type", "corrected", "embedded", *keep, *told.names]
     kinds = [to_arrow_type(f.dataType) for f in told.fields]
@@ -257,7 +258,8 @@ def media_columns(
                 if features:
                     more.append(features[1](data, kind))
             columns = [pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inside, parts_kind), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *(pa.array([r[k] for r in more], kind) for k, kind in enumerate(kinds))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *(pa.array([r[k] for r in more], kind) for k, kind in enumerate(kinds))],
+                names)
 
     return rows.mapInArrow(run, ", ".join(schema))
 
@@ -271,7 +273,9 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, j in W.chunks(at, 8 << 20):
                 raw = [data[a:b].tobytes() for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]
                 media = [wav_bytes(x.ljust(max(BLOCK, -len(x) % BLOCK + len(x)), b"\0")) for x in raw]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())],
+                    ["doc_id", "n_bytes", "media"])
 
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").withColumn("declared", F.lit(TEXT))

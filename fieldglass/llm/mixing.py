@@ -31,7 +31,8 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     most * size / weight: those below it are full, the others share what is left by weight.
     """
     order = Window.orderBy("source_key")
-    weighed = sources.withColumn("_w", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int")))
+    weighed = sources.withColumn("_w",
+        F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int")))
     filled = weighed.withColumn("_cap", F.lit(float(most)) * F.col("source_size"))
     by_level = Window.orderBy(F.col("_cap") / F.col("_w"), "source_key")
     before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
@@ -77,7 +78,8 @@ def mix_sources(
     weight = quality if quality is not None else letter_share(text, word_count(text))
     source = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     sized = docs.select(
-        *([F.struct("*").alias("row")] if rows_too else []), F.col(id_col).alias("doc_id"), source.alias("source_key"), word_count(text).alias("size"),
+        *([F.struct("*").alias("row")] if rows_too else []), F.col(id_col).alias("doc_id"), source.alias("source_key"),
+        word_count(text).alias("size"),
         F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9)).alias("weight"),
     )
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
@@ -92,7 +94,8 @@ def mix_sources(
         ),
         "sizes",
     )
-    sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg(F.log("key")).alias("mean"), F.stddev_pop(F.log("key")).alias("sd"))
+    sources = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg(F.log("key")).alias("mean"),
+        F.stddev_pop(F.log("key")).alias("sd"))
     plan = written(
         source_targets(sources, weights, share, most)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -109,19 +112,24 @@ def mix_sources(
     sums = dealt.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     running = F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket"))
     edge = written(
-        sums.withColumn("_before", running - F.col("words")).filter((F.col("_before") <= F.col("left")) & (F.col("_before") + F.col("words") > F.col("left")))
-        .groupBy("source_key").agg(F.min(F.struct("bucket", "_before")).alias("e")).select("source_key", F.col("e.bucket").alias("edge"), F.col("e._before").alias("before")),
+        sums.withColumn("_before",
+        running - F.col("words")).filter((F.col("_before") <= F.col("left")) & (F.col("_before") + F.col("words") > F.col("left")))
+        .groupBy("source_key").agg(F.min(F.struct("bucket", "_before")).alias("e")).select("source_key", F.col("e.bucket").alias("edge"),
+        F.col("e._before").alias("before")),
         "edge",
     )
     n_rows = plan.select("source_key", "n")
     placed = lookup(dealt, edge.join(n_rows, "source_key"), "source_key", "n", total)
     at_edge = placed.filter(F.col("bucket") == F.col("edge"))
-    within = Window.partitionBy("source_key").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = at_edge.withColumn("_sum", F.col("before") + F.sum("size").over(within)).withColumn("more", (F.col("_sum") - F.col("size") / 2 <= F.col("left")).cast("long"))
+    within = Window.partitionBy("source_key").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding,
+        Window.currentRow)
+    ordered = at_edge.withColumn("_sum", F.col("before") + F.sum("size").over(within)).withColumn("more",
+        (F.col("_sum") - F.col("size") / 2 <= F.col("left")).cast("long"))
     others = placed.filter(~F.col("bucket").eqNullSafe(F.col("edge"))).withColumn(
         "more", F.coalesce(F.col("bucket") < F.col("edge"), F.col("left") > 0).cast("long")
     )
     columns = [*keep, "doc_id", "size", "source_size", "target", "epochs", "more"]
     both = ordered.select(columns).unionByName(others.select(columns))
     copies = F.when(F.col("size") > 0, F.least(F.col("epochs") + F.col("more"), F.lit(int(most)))).otherwise(0).cast("long")
-    return both.select(*keep, "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select(*keep, "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"))

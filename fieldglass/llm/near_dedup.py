@@ -70,7 +70,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(shingles))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), sig], ["doc_id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), sig],
+                ["doc_id", "n", "key", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n long, key binary, sig array<int>")
 
@@ -83,7 +84,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
             sets = list(shingle_sets(batch.column(0)))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
 
     return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
 
@@ -104,7 +106,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _open(homed: DataFrame, total: int) -> DataFrame:
     """The posting lists (post, node, home) that have nodes of several components, with the largest of those, main."""
     per_home = homed.groupBy("post", "home").agg(F.count("*").alias("w"))
-    lists = per_home.groupBy("post").agg(F.max(F.struct("w", "home")).alias("top"), F.count("*").alias("homes"), F.sum("w").alias("w")).filter("homes > 1")
+    lists = per_home.groupBy("post").agg(F.max(F.struct("w", "home")).alias("top"), F.count("*").alias("homes"),
+        F.sum("w").alias("w")).filter("homes > 1")
     return lookup(homed, lists.select("post", F.col("top.home").alias("main"), "w"), "post", "w", total, "inner")
 
 
@@ -129,7 +132,8 @@ def _shared_with_strangers(members: DataFrame, sets: DataFrame, nodes: DataFrame
     sized = each.groupBy("shingle", "size").agg(*ends).select(F.struct("shingle", "size").alias("key"), "low", "high", "w")
     asked = each.select("node", "n", "home", F.explode(F.sequence(F.col("size") - steps, F.col("size") + steps)).alias("other"), "shingle")
     met = lookup(asked.withColumn("key", F.struct("shingle", F.col("other").alias("size"))), written(sized, "sized"), "key", "w", total, "inner")
-    known = met.filter((F.col("low") != F.col("home")) | (F.col("high") != F.col("home"))).groupBy("node", "n", "other").agg(F.count("*").alias("known"))
+    known = met.filter((F.col("low") != F.col("home")) | (F.col("high") != F.col("home"))).groupBy("node", "n",
+        "other").agg(F.count("*").alias("known"))
     least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6, F.col("n") * SIMILARITY / 100)
     return known.filter(F.col("known") * (100 + SIMILARITY) >= SIMILARITY * (F.col("n") + least) - 1e-3).select("node").distinct()
 
@@ -186,7 +190,8 @@ def _links_within(left: DataFrame, sets: DataFrame, nodes: DataFrame, total: int
     per_home = members.groupBy("component", "home").agg(F.count("*").alias("w"))
     top = F.max(F.struct("w", "home")).alias("top")
     clusters = per_home.groupBy("component").agg(top, F.sum("w").alias("w")).select(
-        "component", "w", F.col("top.home").alias("main"), F.ceil(F.col("top.w") / BLOCK).alias("mains"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK).alias("others")
+        "component", "w", F.col("top.home").alias("main"), F.ceil(F.col("top.w") / BLOCK).alias("mains"),
+        F.ceil((F.col("w") - F.col("top.w")) / BLOCK).alias("others")
     )
     is_main = F.col("home") == F.col("main")
     dealt = lookup(members, written(clusters, "clusters"), "component", "w", total, "inner").withColumn(
@@ -195,7 +200,8 @@ def _links_within(left: DataFrame, sets: DataFrame, nodes: DataFrame, total: int
     met = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
     full = dealt.filter("others > 0").join(sets, "node").join(nodes.select("node", "sig"), "node")
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
-    rows = spread.select(F.col("component").alias("cluster"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "home", "block", "sig", "shingles")
+    rows = spread.select(F.col("component").alias("cluster"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "node", "home", "block", "sig", "shingles")
     return rows.groupBy("cluster", "low", "high").applyInArrow(_linked_in_block, "a long, b long")
 
 
@@ -222,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(signatures(rows), "signatures")
     total = signed.count()
     nodes = written(
-        signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+        signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.count("*").alias("rows"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -230,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = nodes.select("node", F.posexplode("sig")).select("node", value.alias("post"))
     shared = written(posted.groupBy("post").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     n_shared = shared.agg(F.sum("df")).first()[0] or 0
-    own_posts = lookup(posted, shared.withColumn("w", F.col("df")), "post", "w", n_shared, "inner").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
+    own_posts = lookup(posted, shared.withColumn("w", F.col("df")), "post", "w", n_shared,
+        "inner").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "post"))).alias("posts")).filter(F.size("posts") >= MATCHES)
     common = F.aggregate("posts", F.lit(0).cast("long"), lambda total, p: total + p["df"])
     rarest = F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))
     prefix = written(own_posts.select("node", common.alias("common"), F.explode(rarest).alias("p")).select("node", "common", "p.post"), "prefix")
@@ -242,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def counted(pairs: DataFrame) -> DataFrame:
             return (
-                pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree", matches(F.col("sig_a"), F.col("sig_b"))).filter(F.col("agree") >= MATCHES)
+                pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree",
+                matches(F.col("sig_a"), F.col("sig_b"))).filter(F.col("agree") >= MATCHES)
                 .select("a", "b", "n_a", "n_b", "agree")
             )
 
@@ -252,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = written(full_sets(texts).dropDuplicates(["key"]).join(wanted, "key").select("node", "shingles"), "sets", "lz4")
 
         heads = prefix.groupBy("post").agg(F.max(F.struct("common", "node"))["node"].alias("a"), F.count("*").alias("w")).filter("w > 1")
-        stars = lookup(prefix.select("post", F.col("node").alias("b")), heads, "post", "w", n_posts, "inner").filter("a <> b").select("a", "b").distinct()
+        stars = lookup(prefix.select("post", F.col("node").alias("b")), heads, "post", "w", n_posts, "inner").filter("a <> b").select("a",
+            "b").distinct()
         best = counted(stars).groupBy("b").agg(F.max(F.struct("agree", "a", "n_a", "n_b")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
         links = written(_linked(best, sets), "links")
         homes = components(links)

@@ -111,7 +111,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                     for start, length in pieces_of(b - a, capacity):
                         rows.append((first + k, start, length, zlib.crc32(raw[4 * (a + start) : 4 * (a + start + length)]), b - a))
             flat = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(flat[:, 0])), *(pa.array(flat[:, k]) for k in range(1, 5))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(flat[:, 0])), *(pa.array(flat[:, k]) for k in range(1, 5))],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

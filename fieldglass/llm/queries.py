@@ -102,7 +102,8 @@ WITH p AS (
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), r(action, rule, rhost, rpath) AS (
-  VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com',
+ '/en/'),
          ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')
 ), fit AS (
   SELECT p.*, r.action, r.rule, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
@@ -117,17 +118,20 @@ FROM fit WHERE k = 1
 
 OP9_SQL = r"""
 WITH s AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, len(regexp_extract_all(coalesce(text, ''),
+ '[^\x20\x09-\x0D]+')) AS size,
     length(coalesce(text, '')) AS n FROM documents
 ), k AS (
-  SELECT *, -ln((CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1,
+ 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
     / (0.5::DOUBLE + least(n / greatest(size, 1)::DOUBLE, 8.0::DOUBLE) / 8.0::DOUBLE) AS key FROM s
 ), src AS (
   SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY sk
 ), w AS (
   SELECT *, ([3.0, 1.0, 2.0])[CAST((row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM src
 ), lv AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+ 0))
     / sum(w) OVER (ORDER BY cap / w, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), op AS (
   SELECT max(level) AS lvl FROM (SELECT level FROM lv WHERE level * w < cap ORDER BY cap / w, sk LIMIT 1)

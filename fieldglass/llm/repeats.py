@@ -89,7 +89,8 @@ def anchored(docs: DataFrame) -> DataFrame:
                 found.append(x.gram[x.place])
                 places.append(x.place - x.first[x.text])
             ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v))
+                for v in (np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(n)), *lists], ["id", "key", "n_words", "grams", "places"])
 
     return docs.mapInArrow(run, "id long, key binary, n_words long, grams array<long>, places array<int>")
@@ -130,7 +131,8 @@ def suffixes(texts: DataFrame) -> DataFrame:
                     [
                         pa.array(x.gram[place].view(np.int64)), fixed(take(right, right < b[:, None])), fixed(take(left, left >= a[:, None])),
                         pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(hashes)]),
-                        pa.array((place - x.start[begin]).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(own.astype(np.int32)),
+                        pa.array((place - x.start[begin]).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows),
+                        pa.array(own.astype(np.int32)),
                     ],
                     ["gram", "right", "left", "windows", "before", "id", "key", "place"],
                 )
@@ -237,7 +239,9 @@ def common_windows(texts: DataFrame, heavy: Heavy | None = None) -> DataFrame:
                 some = np.flatnonzero(heavy.find(x) < 0) if heavy else np.arange(len(x.row))
                 rows = pa.array(x.row[some])
                 pair = np.stack([x.gram[some], x.hash[some]], axis=1).view(np.uint8)
-                yield pa.RecordBatch.from_arrays([fixed(pair), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.start[some].astype(np.int32))], ["hash", "id", "key", "start"])
+                yield pa.RecordBatch.from_arrays(
+                    [fixed(pair), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.start[some].astype(np.int32))],
+                    ["hash", "id", "key", "start"])
 
     return texts.mapInArrow(run, "hash binary, id long, key binary, start int")
 
@@ -314,7 +318,8 @@ def common_spans(texts: DataFrame, places: int) -> DataFrame:
         other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
         first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
         found = joined.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
-        windows = lookup(windows, heavy.select("hash", "n", F.lit(True).alias("heavy")), "hash", "n", heavy.agg(F.sum("n")).first()[0]).filter("heavy is null").drop("heavy")
+        windows = lookup(windows, heavy.select("hash", "n", F.lit(True).alias("heavy")), "hash", "n",
+            heavy.agg(F.sum("n")).first()[0]).filter("heavy is null").drop("heavy")
     ordered = windows.repartition("hash").sortWithinPartitions("hash", "id", "key", "start")
     return found.union(ordered.mapInArrow(lambda batches: _by_group(batches, _equal), _SPANS))
 
@@ -331,11 +336,13 @@ def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     sums = shared.agg(F.sum("n"), F.sum(F.when(F.col("n") > GROUP, F.col("n")))).first()
     total, common = sums[0] or 0, sums[1] or 0
-    hits = lookup(each, shared.withColumn("_n", F.col("n")), "gram", "_n", total, "inner").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
+    hits = lookup(each, shared.withColumn("_n", F.col("n")), "gram", "_n", total,
+        "inner").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("hits"))
     # One row of each text: copies are dropped in the map tasks first.
     whole = rows.groupBy("key").agg(F.first("text").alias("text"), F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"))
     texts = written(whole.join(hits, "key").select("id", "key", "text", "hits"), "shared_texts")
-    of = lambda wanted: texts.select("id", "key", "text", F.filter("hits", wanted)["place"].alias("places")).filter(F.size("places") > 0)
+    of = lambda wanted: texts.select("id", "key", "text",
+        F.filter("hits", wanted)["place"].alias("places")).filter(F.size("places") > 0)
     ordered = suffixes(of(lambda x: x["n"] <= GROUP)).repartition("gram").sortWithinPartitions("gram", "right")
     return marked.select("id", "key", "n_words"), compared(ordered).union(common_spans(of(lambda x: x["n"] > GROUP), common))
 
@@ -346,7 +353,8 @@ def _islands(spans: DataFrame, *more: str) -> DataFrame:
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     numbered = new.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("key", *more, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("run")
+    return numbered.groupBy("key", *more, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min("other").alias("other")).drop("run")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, **more) -> DataFrame:
@@ -355,7 +363,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, **more) -> DataFrame:
 
 
 def _classes(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
+    return marked.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.count("*").alias("copies"),
+        F.first("n_words").alias("n_words"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,7 +401,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mine = F.col("r.other").eqNullSafe(F.col("id"))
     other = F.when(mine, F.col("most_id")).when(F.col("r.other") != NO_ID, F.col("r.other"))
     return out.select(
-        F.col("id").alias("doc_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), (F.col("r.end") - F.col("r.start")).alias("n_words"),
+        F.col("id").alias("doc_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"),
+        (F.col("r.end") - F.col("r.start")).alias("n_words"),
         F.col("n_words").alias("doc_words"), F.coalesce(other, F.col("id")).alias("other_doc_id"),
     )
 
@@ -447,4 +457,5 @@ def _cut(text: bytes, cuts: list[dict], firsts: list[dict]) -> str:
             gone[s["start"] : s["end"]] = value
     ends = starts + lengths
     # Each word goes with the white space before it.
-    return b"".join(text[a:b] for a, b, cut in zip([0, *ends[:-1].tolist()], ends.tolist(), gone.tolist(), strict=True) if not cut).decode().strip(" \t\n\v\f\r")
+    return b"".join(text[a:b] for a, b,
+        cut in zip([0, *ends[:-1].tolist()], ends.tolist(), gone.tolist(), strict=True) if not cut).decode().strip(" \t\n\v\f\r")

@@ -118,4 +118,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         if parts > 1:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    return now.select(F.col("hi").alias("node"),
+        F.col("lo").alias("component")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -95,7 +95,8 @@ def pack_index(ids: np.ndarray, null: np.ndarray, lengths: np.ndarray, width: in
     place = table.find(keys)
     marks, start, size = np.zeros(len(ids), "<u4"), np.zeros(len(ids), "<i8"), np.zeros(len(ids), "<i8")
     marks[place], start[place], size[place] = fingerprints(keys), np.cumsum(lengths) - lengths, lengths
-    parts = [ids.astype("<i8").tobytes(), np.packbits(null).tobytes(), *(np.packbits(x).tobytes() for x in table.levels), marks.tobytes(), start.tobytes(), size.tobytes()]
+    parts = [ids.astype("<i8").tobytes(), np.packbits(null).tobytes(), *(np.packbits(x).tobytes() for x in table.levels), marks.tobytes(),
+        start.tobytes(), size.tobytes()]
     head = json.dumps({"n": len(ids), "width": width, "levels": [len(x) for x in table.levels], "parts": [len(x) for x in parts]}).encode()
     return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(parts)
 
@@ -117,7 +118,8 @@ class Shard:
             at += n
         n = head["n"]
         self.doc_ids, self.null = np.frombuffer(parts[0], "<i8"), np.unpackbits(np.frombuffer(parts[1], np.uint8), count=n).astype(bool)
-        self.table = PerfectHash([np.unpackbits(np.frombuffer(p, np.uint8), count=m).astype(bool) for p, m in zip(parts[2:-3], head["levels"], strict=True)])
+        self.table = PerfectHash(
+            [np.unpackbits(np.frombuffer(p, np.uint8), count=m).astype(bool) for p, m in zip(parts[2:-3], head["levels"], strict=True)])
         self.marks, self.start, self.size = np.frombuffer(parts[-3], "<u4"), np.frombuffer(parts[-2], "<i8"), np.frombuffer(parts[-1], "<i8")
         self.ids, self.width = ids, head["width"]
 
@@ -271,7 +273,8 @@ def find_documents(shards: DataFrame, folder: str, keys: DataFrame, id_col: str
 _FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, ids_head array<int>"
 
 
-def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id",
+    text_col: str = "text") -> DataFrame:
     """write_shards, then read_shards; the folder is a new one in the shared folder unless it is given."""
     folder = folder or new_path(docs.sparkSession, "token_shards")
     return read_shards(write_shards(docs, folder, tokenizer, end_id, id_col, text_col), folder)

@@ -134,7 +134,8 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
         for label in (0, 1):
             used = np.flatnonzero(counts[label])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.full(len(used) + 1, label, np.int32)), pa.array(np.append(counts[label, used], texts[label]))], ["feature", "toxic", "n"]
+                [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.full(len(used) + 1, label, np.int32)),
+                pa.array(np.append(counts[label, used], texts[label]))], ["feature", "toxic", "n"]
             )
 
     return labelled.select("text", "label").mapInArrow(run, "feature int, toxic int, n long").groupBy("feature").agg(
@@ -192,7 +193,8 @@ def fit_weights(features: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, i
         warnings.warn("labels of one kind only: nothing to learn, so no text is predicted to be toxic", stacklevel=2)
         share = labels.mean() if n else 0.0
         return Weights(features, np.zeros(size), min(0.0, float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5)))))
-    flat = lambda k: (np.repeat(np.arange(n), [len(r[k]) for r in rows]), np.searchsorted(features, np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows)])))
+    flat = lambda k: (np.repeat(np.arange(n), [len(r[k]) for r in rows]),
+        np.searchsorted(features, np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows)])))
     (row, col), (row_s, col_s) = flat(0), flat(1)
     times = lambda w, r, c: np.bincount(r, w[c], minlength=n)
     back = lambda g, r, c: np.bincount(c, g[r], minlength=size)
@@ -224,7 +226,8 @@ def fit(labelled: DataFrame) -> Weights:
         for batch in batches:
             pairs = list(text_features(batch.column(0), features))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in pairs], kind), pa.array([x[1] for x in pairs], kind), batch.column(1), batch.column(2)], ["own", "swapped", "label", "h"]
+                [pa.array([x[0] for x in pairs], kind), pa.array([x[1] for x in pairs], kind), batch.column(1), batch.column(2)],
+                ["own", "swapped", "label", "h"]
             )
 
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -243,7 +246,8 @@ def score_texts(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([weights.score(own) for own, _ in text_features(batch.column(1), weights.features)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= PREDICT_FROM).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= PREDICT_FROM).astype(np.int32))],
+                ["doc_id", "score", "predicted"])
 
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -254,7 +258,8 @@ def held_out(parts: int, part: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
-def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Weights:
+def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "toxic") -> Weights:
     """Weights from the labelled rows that aren't held out. Null ids, texts and labels teach nothing."""
     rows = renamed(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col)).filter(~held_out(parts, part) & F.col("text").isNotNull())
     known = renamed(labels, doc_id=F.col(id_col).cast("long"), label=(F.col(label_col) > 0).cast("int")).filter("label is not null")

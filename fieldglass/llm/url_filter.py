@@ -123,8 +123,10 @@ def judge_urls(
     fitting = F.filter(fetched, lambda r: F.rlike(subject(r), r["regex"]))
     judged = parts.select("page_id", "host", "path", fitting.alias("fits"))
     ranked = F.transform(
-        F.filter("fits", lambda r: ~r["whole"]), lambda r: F.struct(F.length(r["rule"]).alias("n"), r["action"].alias("action"), r["rule"].alias("rule"))
+        F.filter("fits", lambda r: ~r["whole"]),
+        lambda r: F.struct(F.length(r["rule"]).alias("n"), r["action"].alias("action"), r["rule"].alias("rule"))
     )
-    best = judged.select("page_id", "host", "path", F.array_max(ranked).alias("best"), F.transform(F.filter("fits", lambda r: r["whole"]), lambda r: r["action"]).alias("own"))
+    best = judged.select("page_id", "host", "path", F.array_max(ranked).alias("best"),
+        F.transform(F.filter("fits", lambda r: r["whole"]), lambda r: r["action"]).alias("own"))
     fallback = F.when(F.array_contains("own", "allow") | ~F.array_contains("own", "block"), "allow").otherwise("block")
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), fallback).alias("verdict"))
