@@ -149,5 +149,61 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+#: Words with A-Z lower-cased, as lists.
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+OP1_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, {WORDS_SQL} AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t
+), k AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS key, s FROM s
+), c AS (
+  SELECT key, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY key
+), e AS (
+  SELECT id, n, unnest(s) AS x FROM c
+), p AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS i, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id
+), l AS (
+  SELECT a, b FROM p WHERE 100 * i >= 75 * (m + n - i) UNION ALL SELECT b, a FROM p WHERE 100 * i >= 75 * (m + n - i)
+), r(a, b) AS (
+  SELECT id, id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), h AS (
+  SELECT key, min(r.b) AS home FROM c JOIN r ON r.a = c.id GROUP BY key
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n > 0 THEN home ELSE doc_id END AS component_id,
+  doc_id = CASE WHEN n > 0 THEN home ELSE doc_id END AS kept FROM k LEFT JOIN h USING (key)
+"""
+
+OP6_SQL = f"""
+WITH t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS least, max(doc_id) AS most, count(*) AS copies FROM documents GROUP BY ALL
+), w AS (
+  SELECT md5(text) AS k, least, most, copies, {WORDS_SQL} AS w FROM t
+), g AS (
+  SELECT k, least, i - 1 AS start, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) u(i)
+), m AS (
+  SELECT *, count(*) OVER (PARTITION BY h) AS n, min(least) OVER (PARTITION BY h) AS lo, max(least) OVER (PARTITION BY h) AS hi FROM g
+), f AS (
+  SELECT k, start, CASE WHEN lo <> least THEN lo WHEN hi <> least THEN hi END AS other,
+    CASE WHEN start > lag(start) OVER (PARTITION BY k ORDER BY start) + 50 THEN 1 ELSE 0 END AS new FROM m WHERE n > 1
+), r AS (
+  SELECT k, start, other, sum(new) OVER (PARTITION BY k ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM f
+), i AS (
+  SELECT k, min(start) AS start, max(start) + 50 AS stop, min(other) AS other FROM r GROUP BY k, run
+), a AS (
+  SELECT k, most, len(w) AS n, 0 AS start, len(w) AS stop, least AS other FROM w WHERE copies > 1 AND len(w) >= 50
+  UNION ALL SELECT k, most, len(w), start, stop, other FROM w JOIN i USING (k) WHERE copies = 1
+)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", CAST(stop - start AS INTEGER) AS n_words, CAST(n AS BIGINT) AS doc_words,
+  coalesce(CASE WHEN other = doc_id THEN most ELSE other END, doc_id) AS other_doc_id
+FROM documents JOIN a ON a.k = md5(coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op1_near_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_repeats": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL,
+    }
