@@ -119,7 +119,7 @@ def mix_sources(
         "edge",
     )
     n_rows = plan.select("source_key", "n")
-    placed = lookup(dealt, edge.join(n_rows, "source_key"), "source_key", "n", total)
+    placed = lookup(dealt, written(edge.join(n_rows, "source_key"), "edges"), "source_key", "n", total)
     at_edge = placed.filter(F.col("bucket") == F.col("edge"))
     within = Window.partitionBy("source_key").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding,
         Window.currentRow)

@@ -108,7 +108,7 @@ def _open(homed: DataFrame, total: int) -> DataFrame:
     per_home = homed.groupBy("post", "home").agg(F.count("*").alias("w"))
     lists = per_home.groupBy("post").agg(F.max(F.struct("w", "home")).alias("top"), F.count("*").alias("homes"),
         F.sum("w").alias("w")).filter("homes > 1")
-    return lookup(homed, lists.select("post", F.col("top.home").alias("main"), "w"), "post", "w", total, "inner")
+    return lookup(homed, written(lists.select("post", F.col("top.home").alias("main"), "w"), "lists"), "post", "w", total, "inner")
 
 
 def _shared_with_strangers(members: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _links_within(left: DataFrame, sets: DataFrame, nodes: DataFrame, total: int
     so a call's rows are bounded however large a cluster is, and no pair is a row.
     """
     heads = left.groupBy("post").agg(F.min("node").alias("a"), F.count("*").alias("w"))
-    edges = lookup(left.select("post", F.col("node").alias("b")), heads, "post", "w", total, "inner").select("a", "b")
+    edges = lookup(left.select("post", F.col("node").alias("b")), written(heads, "heads"), "post", "w", total, "inner").select("a", "b")
     members = written(left.select("node", "home").distinct().join(components(edges), "node"), "members")
     per_home = members.groupBy("component", "home").agg(F.count("*").alias("w"))
     top = F.max(F.struct("w", "home")).alias("top")
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = written(full_sets(texts).dropDuplicates(["key"]).join(wanted, "key").select("node", "shingles"), "sets", "lz4")
 
         heads = prefix.groupBy("post").agg(F.max(F.struct("common", "node"))["node"].alias("a"), F.count("*").alias("w")).filter("w > 1")
-        stars = lookup(prefix.select("post", F.col("node").alias("b")), heads, "post", "w", n_posts, "inner").filter("a <> b").select("a",
+        stars = lookup(prefix.select("post", F.col("node").alias("b")), written(heads, "heads"), "post", "w", n_posts, "inner").filter("a <> b").select("a",
             "b").distinct()
         best = counted(stars).groupBy("b").agg(F.max(F.struct("agree", "a", "n_a", "n_b")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
         links = written(_linked(best, sets), "links")
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if grouped is not None:
         placed = nodes.select("key", "node", "doc_id").join(grouped, "node")
         least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("w"))
-        homes = lookup(placed, least, "component", "w", total, "inner").select("key", "component_id")
+        homes = lookup(placed, written(least, "least"), "component", "w", total, "inner").select("key", "component_id")
         nodes = nodes.join(homes, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     else:
         nodes = nodes.withColumn("component_id", F.col("doc_id"))

@@ -51,19 +51,24 @@ def renamed(df: DataFrame, **columns: Column) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
     """Join left to right, which has one row for each non-null key and in `weight` the number of left's rows with it.
 
-    A counted right side of up to BROADCAST_ROWS rows is broadcast. Beyond that, keys with over total / HOT_SHARE rows
+    right is read several times, so it should be a written table. If it has up to BROADCAST_ROWS rows, as counted, it is
+    broadcast. Beyond that, keys with over total / HOT_SHARE rows
     (fewer than HOT_SHARE of them) are salted, so that no task gets a whole hot key. The salt is a hash of left's row, so
     a task that is run again deals its rows in the same way.
     """
-    if right.count() <= BROADCAST_ROWS:
+    limit = max(1, total // HOT_SHARE)
+    rows, hot_rows = right.agg(F.count("*"), F.count_if(F.col(weight) > limit)).first()
+    if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right.drop(weight)), key, how)
+    if not hot_rows:
+        return left.join(right.drop(weight), key, how)
     # Maps and variants can't be hashed.
     own = [f.name for f in left.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
-    hot = right.filter(F.col(weight) > max(1, total // HOT_SHARE))
+    hot = right.filter(F.col(weight) > limit)
     salted = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0)
     )
-    spread = F.when(F.col(weight) > max(1, total // HOT_SHARE), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.when(F.col(weight) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     sides = right.select("*", F.explode(spread).alias("_salt")).drop(weight)
     return salted.join(sides, [key, "_salt"], how).drop("_hot", "_salt")
 
@@ -106,9 +111,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds if parts > 1 else 0):
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = lookup(both.filter("v > u"), least, "u", "n", size, "inner").select("m", "v").filter("m <> v").distinct()
+        large = lookup(both.filter("v > u"), written(least, "least"), "u", "n", size, "inner").select("m", "v").filter("m <> v").distinct()
+        large = written(large, "large")
         down = large.groupBy("v").agg(F.min("m").alias("m"), F.count("*").alias("n"))
-        small = lookup(large.withColumnRenamed("m", "w"), down, "v", "n", 2 * size, "inner")
+        small = lookup(large.withColumnRenamed("m", "w"), written(down, "down"), "v", "n", 2 * size, "inner")
         stepped = small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).union(small.select(F.col("m").alias("lo"), F.col("w").alias("hi")))
         now = written(stepped.filter("lo <> hi").distinct(), "edges")
         after = now.agg(F.count("*"), F.sum("lo"), F.sum("hi"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()

@@ -149,6 +149,16 @@ def test_chains_of_near_duplicates_are_one_component(spark, monkeypatch, block):
     assert got == near_by_brute_force(rows)
 
 
+def test_pages_of_one_template_are_ruled_out_one_by_one(spark):
+    """Sets that share four fifths with all others are no partners, as counts of their shingles show; a pair that is near stays."""
+    rows = [(k, k, [*range(160), *range(10_000 + 50 * k, 10_040 + 50 * k + k % 9)]) for k in range(120)]
+    rows += [(500 + k, 500 + k, [*range(160), *range(90_000, 90_035), 95_000 + k]) for k in (0, 1)]
+    sets = spark.createDataFrame([(n, s) for n, _, s in rows], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(n, len(s)) for n, _, s in rows], "node long, n long")
+    members = spark.createDataFrame([(n, h) for n, h, _ in rows], "node long, home long")
+    assert {r.node for r in near_dedup._shared_with_strangers(members, sets, nodes).collect()} == {500, 501}
+
+
 @pytest.mark.parametrize("task_edges", [20, 250_000])
 def test_components_of_random_graphs(spark, monkeypatch, task_edges):
     monkeypatch.setattr("fieldglass.llm.shared.TASK_EDGES", task_edges)
@@ -654,6 +664,25 @@ def test_toxic_texts_are_found_and_neutral_mentions_are_not(spark):
     assert sum(got[1000 + k].predicted for k in range(20)) == 0 and got[2000].predicted == got[2001].predicted == 0
 
 
+def test_swaps_lower_the_scores_of_neutral_mentions(spark, monkeypatch):
+    """Where half the toxic texts name a group, the penalty keeps the name itself from raising scores."""
+    rows, labels = [], []
+    for k in range(600):
+        words = prose(30, 70_000 + k).split()
+        if k % 4 == 0:
+            words[3:3] = ["gronk", "blarfed", "women" if k % 8 else "people"]
+        rows.append((k, " ".join(words), "en", "a"))
+        labels.append((k, int(k % 4 == 0)))
+    neutral = table(spark, [(k, f"{prose(15, 71_000 + k)} women {prose(15, 72_000 + k)}", "en", "a") for k in range(40)])
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    means = {}
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        scores = toxicity.score_texts(neutral, toxicity.learn(table(spark, rows), told)).agg(F.avg("score"), F.max("predicted")).first()
+        means[penalty] = scores[0]
+    assert means[10.0] < 0.75 * means[0.0] and scores[1] == 0
+
+
 @pytest.mark.parametrize("every, copies", [(2, 0), (5, 300)])
 def test_toxic_texts_are_found_where_labels_have_many(spark, every, copies):
     insults = ["gronk", "blarfed", "snivelling"]
