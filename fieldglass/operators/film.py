@@ -73,9 +73,10 @@ def chosen_optional(reading: np.ndarray, cuts: Sequence[int], missed: Sequence[i
         now = best
 
 
-def spread_picks(df: DataFrame, cells: Sequence[str], frame: str, order: str, per_cell: int, most_per_frame: int) -> DataFrame:
-    """Of each cell up to per_cell rows spread evenly over `order`, at most most_per_frame of one frame; df is small (candidates for
-    review), and choices hang on those before, so one task takes them all in order of their cells."""
+def spread_picks(df: DataFrame, cells: Sequence[str], frame: str, order: str, per_cell: int, most_per_frame: int,
+    keys: Sequence[str] = ()) -> DataFrame:
+    """Of each cell up to per_cell rows spread evenly over `order`, at most most_per_frame of one frame. Choices hang on those
+    before, so the candidates of a film (keys) are taken in one call, in order of their cells; without keys df is one film."""
     names = df.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +92,7 @@ def spread_picks(df: DataFrame, cells: Sequence[str], frame: str, order: str, pe
                     picked.append(at)
         return rows.loc[picked, names]
 
-    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, df.schema)
+    return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
 def takes_or_slices(labels: DataFrame, window: tuple[float, float], pool: int, least_s: float = LEAST_S) -> DataFrame:

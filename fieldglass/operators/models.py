@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -52,6 +53,23 @@ def held_out_likelihood(df: DataFrame, features: str, label: str, order: str, fo
     return value
 
 
+def _pooled_covariance(rows: DataFrame, means: dict[int, np.ndarray]) -> np.ndarray:
+    """rows (x, _c): the mean outer product of x less its cluster's mean. A task sends one matrix, however many rows it has."""
+    size = len(next(iter(means.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((size, size)), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, size)
+            x = x - np.array([means[c] for c in batch.column(1).to_pylist()]).reshape(-1, size)
+            total, n = total + x.T @ x, n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["s", "n"])
+
+    sums = rows.mapInArrow(run, "s array<double>, n long").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n")).first()
+    return sums["s"].toArray().reshape(size, size) / sums["n"]
+
+
 def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5, rounds: int = 10, ridge: float = 0.1) -> dict[str,
     list[float] | float]:
     """A discriminant between two clusters: {axis, bias}; axis . x + bias is above 0 for the brighter one's opposite (team 1).
@@ -70,14 +88,7 @@ def two_teams(df: DataFrame, features: str, brightness: str, restarts: int = 5,
         means = [r["mean"].toArray() for r in stats]
         size = len(means[0])
         array = vector_to_array("_v")
-        centred = F.zip_with(array,
-            F.when(F.col("_c") == stats[0]["_c"], F.array(*map(F.lit, means[0].tolist()))).otherwise(F.array(*map(F.lit, means[1].tolist()))),
-            lambda a, b: a - b)
-        outer = labelled.select(F.posexplode(centred).alias("i", "a"), centred.alias("d")).select("i", F.posexplode("d").alias("j", "b"),
-            "a").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("c"))
-        cov = np.zeros((size, size))
-        for r in outer.collect():
-            cov[r["i"], r["j"]] = r["c"]
+        cov = _pooled_covariance(labelled.select(array.alias("x"), "_c"), {r["_c"]: m for r, m in zip(stats, means, strict=True)})
         cov += np.eye(size) * ridge * max(np.trace(cov) / size, 1e-12)
         lighter = int(stats[1]["light"] > stats[0]["light"])
         m0, m1 = means[lighter], means[1 - lighter]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import plays as P
-from fieldglass.operators import film_room, formations, joins, play_query
+from fieldglass.operators import film_room, formations, joins, play_query, sampling
 from fieldglass.plans.queries import PLAYS_SQL, as_plays
 from fieldglass.plans.registry import query, read
 from fieldglass.sources import tables
@@ -394,3 +394,46 @@ def formation_matches(spark, sf):
     size = lambda c: F.size(c).cast("long")
     return formations.matched_formations(rows, "slots").select("p_partkey", "formation_id", "exact", size("missing").alias("n_missing"),
         size("extra").alias("n_extra"))
+
+
+_SIDE_SQL = "len(list_filter(slots, lambda s: ends_with(s, '{}') AND s[1] IN ('T', 'W')))"
+
+
+@query("q_formation_attributes", f"""WITH c(id, slots) AS (VALUES {_CATALOGUE_SQL}),
+n AS (SELECT *, len(list_filter(slots, lambda s: s IN ('RB', 'RBL', 'RBR'))) AS backs, {_SIDE_SQL.format('L')} AS lefts, {_SIDE_SQL.format('R')} AS rights,
+ len(list_filter(slots, lambda s: s IN ('RB', 'RBL', 'RBR', 'FB', 'FBL', 'FBR'))) || '' || len(list_filter(slots, lambda s: starts_with(s, 'TE'))) AS grouping FROM c),
+b AS (SELECT *, CASE WHEN list_has_any(slots, ['K', 'P']) THEN 'special_teams' WHEN list_contains(slots, 'FB') THEN 'i_form'
+ WHEN list_contains(slots, 'FBL') THEN 'offset_i_left' WHEN list_contains(slots, 'FBR') THEN 'offset_i_right' WHEN backs >= 2 THEN 'split_backs'
+ WHEN backs = 1 AND list_contains(slots, 'QBS') THEN 'shotgun_single' WHEN backs = 1 THEN 'single_back' ELSE 'empty' END AS backfield FROM n)
+SELECT id AS formation_id, CASE WHEN list_contains(slots, 'QBS') THEN 'shotgun' WHEN list_contains(slots, 'QB') THEN 'under_center' END AS qb_depth, backfield,
+ CASE WHEN backfield <> 'special_teams' THEN grouping END AS personnel,
+ CASE WHEN lefts > rights THEN 'left' WHEN rights > lefts THEN 'right' ELSE 'balanced' END AS strength FROM b""")
+def formation_attributes(spark, sf):
+    return formations.formations(spark).select("formation_id", "qb_depth", "backfield", "personnel", "strength")
+
+
+# --- samples of a film
+
+INDEX_SQL = """(SELECT 'p' || o_orderkey AS play_uid, o_orderkey AS film_play_index, o_orderkey * 40.0::DOUBLE AS ss, o_orderkey * 40 + 12.0::DOUBLE AS se,
+ o_orderkey * 40 + 14.0::DOUBLE AS es, o_orderkey * 40 + 27.0::DOUBLE AS ee, CASE WHEN o_orderkey % 4 + 1 <= 2 THEN 'first' ELSE 'second' END AS half
+ FROM orders)"""
+
+
+@query("q_sampled_frames", f"""WITH h(i, half) AS (VALUES (0, 'first'), (1, 'second')), a(j, angle) AS (VALUES (0, 'sideline'), (1, 'endzone')),
+p(k, phase, low, high) AS (VALUES (0, 'pre_snap', 0.04::DOUBLE, 0.20::DOUBLE), (1, 'live', 0.35::DOUBLE, 0.65::DOUBLE), (2, 'post_whistle', 0.80::DOUBLE, 0.96::DOUBLE)),
+s AS (SELECT i * 6 + j * 3 + k AS stratum, half, angle, phase, low, high, 2000 // 12 + CASE WHEN i * 6 + j * 3 + k < 2000 % 12 THEN 1 ELSE 0 END AS want FROM h, a, p),
+x AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY film_play_index, play_uid) - 1 AS pos, count(*) OVER (PARTITION BY half) AS n FROM {INDEX_SQL}),
+t AS (SELECT s.*, unnest(range(0, want)) AS turn FROM s), m AS (SELECT DISTINCT half, n FROM x),
+c AS (SELECT t.*, m.n, CASE WHEN want < m.n THEN CAST(floor(turn * m.n / want::DOUBLE) AS BIGINT) ELSE turn % m.n END AS pos FROM t JOIN m USING (half)),
+q AS (SELECT c.*, x.play_uid, x.film_play_index, CASE angle WHEN 'sideline' THEN ss ELSE es END AS a, CASE angle WHEN 'sideline' THEN se ELSE ee END AS b,
+ low + CASE WHEN want < c.n THEN 0.5::DOUBLE ELSE (0.5::DOUBLE + (turn // c.n) * 0.6180339887498949::DOUBLE) % 1 END * (high - low) AS q FROM c JOIN x ON x.half = c.half AND x.pos = c.pos),
+f AS (SELECT *, CAST(round_even((a + q * (b - a)) * 25, 0) AS BIGINT) AS frame FROM q)
+SELECT play_uid, film_play_index, angle, phase AS phase_guess, half, frame FROM f QUALIFY row_number() OVER (PARTITION BY frame ORDER BY stratum, turn) = 1""")
+def sampled_frames(spark, sf):
+    k = F.col("o_orderkey")
+    at = lambda more: (k * 40 + more).cast("double")
+    index = read(spark, sf, "orders").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("play_uid"), k.alias("film_play_index"), at(0).alias("sideline_start_s"), at(12).alias("sideline_end_s"),
+        at(14).alias("endzone_start_s"), at(27).alias("endzone_end_s"))
+    quarters = read(spark, sf, "orders").select(F.concat(F.lit("p"), k.cast("string")).alias("play_uid"), (k % 4 + 1).alias("qtr"))
+    return sampling.sampled_frames(index, quarters).select("play_uid", "film_play_index", "angle", "phase_guess", "half", "frame")

@@ -21,17 +21,22 @@ def seen_by(centre, look, focal, width=1920, height=1080):
 def test_cameras_are_recovered(spark):
     centre = np.array([60.0, -60.0, 25.0])
     h = seen_by(centre, (55.0, 20.0), 2000.0)
-    rows = spark.createDataFrame([(1, (h / h[2, 2]).ravel().tolist()), (2, (-3 * h).ravel().tolist()), (3, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "frame int, h array<double>")
-    got = {r.frame: r for r in rows.select("frame", camera.camera(F.col("h"), 1920, 1080).alias("c"), camera.plausible(camera.camera(F.col("h"), 1920, 1080), F.lit("sideline")).alias("ok")).collect()}
+    rows = spark.createDataFrame(
+        [(1, (h / h[2, 2]).ravel().tolist()), (2, (-3 * h).ravel().tolist()), (3, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])],
+        "frame int, h array<double>")
+    got = {r.frame: r for r in rows.select("frame", camera.camera(F.col("h"), 1920, 1080).alias("c"),
+        camera.plausible(camera.camera(F.col("h"), 1920, 1080), F.lit("sideline")).alias("ok")).collect()}
     for k in (1, 2):
-        assert got[k].c.focal == pytest.approx(2000, rel=1e-6) and got[k].c.square == pytest.approx(90) and np.allclose(np.abs(got[k].c.centre), np.abs(centre), atol=1e-6) and got[k].ok
+        assert got[k].c.focal == pytest.approx(2000, rel=1e-6) and got[k].c.square == pytest.approx(90) and np.allclose(np.abs(got[k].c.centre),
+            np.abs(centre), atol=1e-6) and got[k].ok
     assert got[3].c is None and got[3].ok is False
 
 
 def test_pencils(spark):
     h = seen_by(np.array([60.0, -60.0, 25.0]), (55.0, 20.0), 2000.0)
     at = lambda x, y: (lambda p: (p[:2] / p[2]).tolist())(h @ [x, y, 1.0])
-    lines = spark.createDataFrame([(1, *map(float, (*at(x, 5), *at(x, 45))), float(x)) for x in (40, 45, 50, 60)] + [(2, 0.0, 0.0, 1.0, 1.0, 5.0)], "frame int, x1 double, y1 double, x2 double, y2 double, line_x double")
+    lines = spark.createDataFrame([(1, *map(float, (*at(x, 5), *at(x, 45))), float(x)) for x in (40, 45, 50, 60)] + [(2, 0.0, 0.0, 1.0, 1.0, 5.0)],
+        "frame int, x1 double, y1 double, x2 double, y2 double, line_x double")
     got = camera.pencils(lines, ["frame"])
     assert got.count() == 1
     px, py = at(53.0, 30.0)
@@ -47,12 +52,14 @@ def test_line_families(spark):
 
 
 def test_takes_are_split(spark):
-    takes = spark.createDataFrame([(1, 0, 0.0, 20.0, 0.9, 0.1), (1, 1, 20.0, 40.0, 0.9, 0.8)], "g int, take int, start double, end double, p_first double, p_last double")
+    takes = spark.createDataFrame([(1, 0, 0.0, 20.0, 0.9, 0.1), (1, 1, 20.0, 40.0, 0.9, 0.8)],
+        "g int, take int, start double, end double, p_first double, p_last double")
     samples = spark.createDataFrame([(1, 0.4 * k, 9.0 if k == 25 else 1.0) for k in range(100)], "g int, t double, diff double")
     got = sorted((r.take, r.part, round(r.start, 1), round(r.end, 1)) for r in film.split_takes(takes, samples, ["g"]).collect())
     assert got == [(0, 0, 0.0, 10.0), (0, 1, 10.0, 20.0), (1, 0, 20.0, 40.0)]
     readings = [0.9, 0.1] * 10 + [0.1, 0.9] * 10
-    breaks = film.alternation_breaks(spark.createDataFrame(list(enumerate([*readings, 0.1, 0.9])), "i int, p double").withColumn("g", F.lit(1)), ["g"], "i", "p")
+    breaks = film.alternation_breaks(spark.createDataFrame(list(enumerate([*readings, 0.1, 0.9])), "i int, p double").withColumn("g", F.lit(1)),
+        ["g"], "i", "p")
     assert [r.i for r in breaks.filter("breaks").collect()] == [20]
 
 
@@ -68,7 +75,8 @@ def test_picks_are_spread(spark):
     df = spark.createDataFrame([("a", k // 3, float(k)) for k in range(12)] + [("b", 0, 1.0)], "view string, frame int, size double")
     got = film.spread_picks(df, ["view"], "frame", "size", 4, 1).collect()
     assert [r.frame for r in got if r.view == "a"] == [0, 1, 2, 3] and sum(r.view == "b" for r in got) == 0
-    labels = spark.createDataFrame([(0.0, 10.0, "S", True), (12.0, 13.0, "S", True), (20.0, 30.0, "E", False)], "start_s double, end_s double, view string, confident boolean")
+    labels = spark.createDataFrame([(0.0, 10.0, "S", True), (12.0, 13.0, "S", True), (20.0, 30.0, "E", False)],
+        "start_s double, end_s double, view string, confident boolean")
     assert film.takes_or_slices(labels, (0.0, 100.0), 8).count() == 1 and film.takes_or_slices(labels, (50.0, 100.0), 8).count() == 4
 
 

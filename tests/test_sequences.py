@@ -17,7 +17,8 @@ SERIES = {g: [round(RNG.uniform(0, 30), 2) for _ in range(RNG.randrange(1, 60))]
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return spark.createDataFrame([(g, i, v, v > 12) for g, vs in SERIES.items() for i, v in enumerate(vs)], "g int, i long, v double, f boolean").repartition(4, "g").cache()
+    return spark.createDataFrame([(g, i, v, v > 12) for g, vs in SERIES.items() for i, v in enumerate(vs)],
+        "g int, i long, v double, f boolean").repartition(4, "g").cache()
 
 
 def by_group(df, *columns):
@@ -75,7 +76,8 @@ def test_longest_and_grown_runs(rows):
 
 def test_shots(spark):
     samples = [(0.4 * k, 20.0 if k in (10, 12, 30) else 1.0, float(k % 5)) for k in range(50)]
-    shots = sequence.grouped_shots(spark.createDataFrame([(1, *s) for s in samples], "g int, t double, d double, a double"), ["g"], "t", "d", "a").orderBy("start").collect()
+    shots = sequence.grouped_shots(spark.createDataFrame([(1, *s) for s in samples], "g int, t double, d double, a double"), ["g"], "t", "d",
+        "a").orderBy("start").collect()
     # Cuts at 4.0, 4.8 and 12.0 s: the second shot, 0.8 s long, goes to the first.
     assert [(round(s.start, 1), round(s.duration, 1), s.samples) for s in shots] == [(0.0, 4.8, 12), (4.8, 7.2, 18), (12.0, 8.0, 20)]
     assert shots[0].cut_diff is None and shots[1].cut_diff == 20.0
@@ -87,11 +89,13 @@ def test_pairs_runs_and_changes(spark):
     assert by_group(sequence.paired(df, ["g"], "i", "x"), "pair", "x_1", "x_2") == {1: [(0, "a", "a"), (1, "b", "b"), (2, "b", "a")]}
     with pytest.raises(Exception, match="alike"):
         sequence.paired(df, ["g"], "i", "x", strict=True).collect()
-    assert [d for _, d in by_group(sequence.changes_counted(df.withColumn("x", F.when(F.col("x") != "S", F.col("x"))), ["g"], "i", "x"), "i", "drive")[1]] == [1, 1, 2, 2, 2, 3, 3]
+    assert [d for _, d in by_group(sequence.changes_counted(df.withColumn("x", F.when(F.col("x") != "S", F.col("x"))), ["g"], "i", "x"), "i",
+        "drive")[1]] == [1, 1, 2, 2, 2, 3, 3]
 
 
 def test_snap(spark):
-    still, moving = [(f, t, "player", 10.0 + t, 20.0) for f in range(40) for t in range(22)], [(f, t, "player", 10.0 + t + (f - 39) * 0.2, 20.0) for f in range(40, 80) for t in range(22)]
+    still, moving = [(f, t, "player", 10.0 + t, 20.0) for f in range(40) for t in range(22)], [(f, t, "player", 10.0 + t + (f - 39) * 0.2, 20.0)
+        for f in range(40, 80) for t in range(22)]
     positions = spark.createDataFrame([(1, *r) for r in still + moving], "take int, frame long, track_id int, label string, x_yd double, y_yd double")
     smooth = sequence.smoothed_tracks(positions, ["take", "track_id"])
     assert abs(sequence.snaps(smooth, ["take"], 25.0).collect()[0].snap - 39) <= 2
@@ -99,9 +103,11 @@ def test_snap(spark):
 
 
 def test_gaps_are_filled_but_not_over_cuts(spark):
-    df = spark.createDataFrame([(1, 0, 0.0, 0.9), (1, 4, 4.0, 0.9), (1, 10, 4.0, 0.9), (1, 50, 0.0, 0.9)], "track int, frame long, x double, conf double")
+    df = spark.createDataFrame([(1, 0, 0.0, 0.9), (1, 4, 4.0, 0.9), (1, 10, 4.0, 0.9), (1, 50, 0.0, 0.9)],
+        "track int, frame long, x double, conf double")
     got = sequence.filled_gaps(df, ["track"], "frame", ["x"], 10, spark.createDataFrame([(7,)], "cut long"), ["conf"]).orderBy("frame").collect()
-    assert [(r.frame, r.x, r.conf, r.filled) for r in got] == [(0, 0.0, 0.9, False), (1, 1.0, None, True), (2, 2.0, None, True), (3, 3.0, None, True), (4, 4.0, 0.9, False), (10, 4.0, 0.9, False), (50, 0.0, 0.9, False)]
+    assert [(r.frame, r.x, r.conf, r.filled) for r in got] == [(0, 0.0, 0.9, False), (1, 1.0, None, True), (2, 2.0, None, True),
+        (3, 3.0, None, True), (4, 4.0, 0.9, False), (10, 4.0, 0.9, False), (50, 0.0, 0.9, False)]
 
 
 def test_outliers_resampling_trimming(spark):
@@ -126,22 +132,28 @@ def test_joins(spark, rows):
     assert by_group(joins.asof_join(left, right, ["g"], "t", "t", ["v"], forward=True), "t", "v")[1] == [(3, "x"), (5, "x")]
     with pytest.raises(Exception, match="differ in number"):
         joins.zip_join(left, right, ["g"], "t", "t", strict=True).collect()
-    merged = joins.label_merge(spark.createDataFrame([(1, "a", "old"), (2, "b", "o")], "k int, d string, lab string"), spark.createDataFrame([(1, "A", "new"), (None, "B", "n")], "q int, d string, lab string"), "k", "q", ["lab"], "d")
-    assert sorted(tuple(r) for r in merged.select("k", "d", "d_original", "lab", "labels_source").collect()) == [(1, "A", "a", "new", "merged"), (2, "b", "b", None, None)]
-    aliases = joins.alias_table(spark.createDataFrame([(1, "Giants", "New York"), (2, "Jets", "New York")], "id int, nick string, city string"), "id", "nick", "city")
+    merged = joins.label_merge(spark.createDataFrame([(1, "a", "old"), (2, "b", "o")], "k int, d string, lab string"),
+        spark.createDataFrame([(1, "A", "new"), (None, "B", "n")], "q int, d string, lab string"), "k", "q", ["lab"], "d")
+    assert sorted(tuple(r) for r in merged.select("k", "d", "d_original", "lab", "labels_source").collect()) == [(1, "A", "a", "new", "merged"),
+        (2, "b", "b", None, None)]
+    aliases = joins.alias_table(spark.createDataFrame([(1, "Giants", "New York"), (2, "Jets", "New York")], "id int, nick string, city string"),
+        "id", "nick", "city")
     found = joins.resolve(spark.createDataFrame([("JETS",), ("new york",), ("none",), (None,)], "n string"), aliases, "n").collect()
-    assert [(r.resolved, r.hits) for r in sorted(found, key=lambda r: str(r.n))] == [(2, 1), (None, 0), (None, 2), (None, 0)] or sorted((r.hits for r in found)) == [0, 0, 1, 2]
+    assert [(r.resolved, r.hits) for r in sorted(found, key=lambda r: str(r.n))] == [(2, 1), (None, 0), (None, 2),
+        (None, 0)] or sorted((r.hits for r in found)) == [0, 0, 1, 2]
 
 
 def track(spark, spec):
     out = []
     for t, label, frames, x, v in spec:
         out += [(1, t, label, f, x + v * (f - frames[0]), 100.0, x + v * (f - frames[0]) + 10, 130.0, 0.9, False) for f in frames]
-    return spark.createDataFrame(out, "take int, track_id int, label string, frame long, x1 double, y1 double, x2 double, y2 double, conf double, off_field boolean")
+    return spark.createDataFrame(out,
+        "take int, track_id int, label string, frame long, x1 double, y1 double, x2 double, y2 double, conf double, off_field boolean")
 
 
 def test_stitching(spark):
-    spec = [(1, "player", range(0, 20), 0.0, 1.0), (2, "player", range(25, 40), 25.0, 1.0), (3, "player", range(44, 60), 44.0, 1.0), (4, "player", range(25, 40), 400.0, 1.0), (5, "referee", range(0, 20), 200.0, 0.0), (6, "referee", range(25, 40), 200.0, 0.0)]
+    spec = [(1, "player", range(0, 20), 0.0, 1.0), (2, "player", range(25, 40), 25.0, 1.0), (3, "player", range(44, 60), 44.0, 1.0),
+        (4, "player", range(25, 40), 400.0, 1.0), (5, "referee", range(0, 20), 200.0, 0.0), (6, "referee", range(25, 40), 200.0, 0.0)]
     boxes_ = track(spark, spec)
     teams = spark.createDataFrame([(1, 1, 0), (1, 2, -1), (1, 3, -1)], "take int, track_id int, team int")
     ids = lambda df: {(r.track_id, r.frame) for r in df.collect()}
@@ -162,13 +174,17 @@ def test_track_votes(spark):
 
 
 def test_boxes(spark):
-    rows = [(1, "p", 1, [0.0, 0.0, 10.0, 10.0], 0.9), (1, "p", 2, [1.0, 0.0, 11.0, 10.0], 0.8), (1, "p", 3, [50.0, 0.0, 60.0, 10.0], 0.7), (1, "q", 4, [0.0, 0.0, 10.0, 10.0], 0.1)]
+    rows = [(1, "p", 1, [0.0, 0.0, 10.0, 10.0], 0.9), (1, "p", 2, [1.0, 0.0, 11.0, 10.0], 0.8), (1, "p", 3, [50.0, 0.0, 60.0, 10.0], 0.7),
+        (1, "q", 4, [0.0, 0.0, 10.0, 10.0], 0.1)]
     df = spark.createDataFrame(rows, "frame int, label string, box_id long, box array<double>, score double")
     assert sorted(r.box_id for r in boxes.without_duplicates(df, ["frame", "label"]).collect()) == [1, 3, 4]
-    truth = spark.createDataFrame([(1, "p", [0.0, 0.0, 10.0, 10.0]), (1, "p", [200.0, 0.0, 210.0, 10.0]), (2, "p", [0.0, 0.0, 1.0, 1.0])], "frame int, label string, box array<double>")
+    truth = spark.createDataFrame([(1, "p", [0.0, 0.0, 10.0, 10.0]), (1, "p", [200.0, 0.0, 210.0, 10.0]), (2, "p", [0.0, 0.0, 1.0, 1.0])],
+        "frame int, label string, box array<double>")
     got = {(r.frame, r.label): (r.hit, r.wrong, r.missed) for r in boxes.matched(df, truth, ["frame", "label"]).collect()}
     assert got == {(1, "p"): (1, 2, 1), (1, "q"): (0, 1, 0), (2, "p"): (0, 0, 1)}
-    balls = spark.createDataFrame([(1, "player", [0.0, 0.0, 10.0, 30.0]), (1, "football", [0.0, 0.0, 5.0, 9.0]), (1, "football", [0.0, 0.0, 20.0, 20.0]), (2, "football", [0.0, 0.0, 20.0, 20.0]), (2, "football", [0.0, 0.0, 90.0, 20.0])], "frame int, label string, box array<double>")
+    balls = spark.createDataFrame(
+        [(1, "player", [0.0, 0.0, 10.0, 30.0]), (1, "football", [0.0, 0.0, 5.0, 9.0]), (1, "football", [0.0, 0.0, 20.0, 20.0]),
+        (2, "football", [0.0, 0.0, 20.0, 20.0]), (2, "football", [0.0, 0.0, 90.0, 20.0])], "frame int, label string, box array<double>")
     assert boxes.plausible_balls(balls, ["frame"]).groupBy("frame").count().orderBy("frame").collect() == [(1, 2), (2, 1)]
 
 
@@ -176,14 +192,16 @@ def test_every_frame_is_in_the_review_order(spark, tmp_path):
     docs = [(k, 50 + k * 37 % 11) for k in range(250)]
     toxic = {k: int(k % 7 == 0) for k in range(0, 250, 2)}
     spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, k % 3 % 2, v) for k, v in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, k % 3 % 2, v) for k, v in toxic.items()],
+        "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     whole = [(r.doc_id, r.q, r.n_chars) for r in registry.QUERIES["q_frame_order"](spark, str(tmp_path)).collect()]
     assert whole == [(k, k % 3 % 2 if k in toxic else 1, n) for k, n in sorted(docs, key=lambda d: (-toxic.get(d[0], 0), d[1], d[0]))]
     assert [tuple(r) for r in registry.QUERIES["q_review_order"](spark, str(tmp_path)).collect()] == whole[:100]
 
 
 def test_sampled_frames(spark):
-    index = spark.createDataFrame([(f"p{k}", k, 10.0 * k, 10.0 * k + 8, 10.0 * k + 1, 10.0 * k + 9) for k in range(30)], "play_uid string, film_play_index int, sideline_start_s double, sideline_end_s double, endzone_start_s double, endzone_end_s double")
+    index = spark.createDataFrame([(f"p{k}", k, 10.0 * k, 10.0 * k + 8, 10.0 * k + 1, 10.0 * k + 9) for k in range(30)],
+        "play_uid string, film_play_index int, sideline_start_s double, sideline_end_s double, endzone_start_s double, endzone_end_s double")
     quarters = spark.createDataFrame([(f"p{k}", 1 + k // 8) for k in range(30)], "play_uid string, qtr int")
     got = sampling.sampled_frames(index, quarters, 120).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in sampling.sampled_frames(index, quarters, 120).collect()]
@@ -222,7 +240,8 @@ def test_alignment(spark):
     assert takes[0].slot is None and [t.slot for t in takes[1:]] == [1, 2, 3, 4, 5, 6]
     _, skipped, _ = dynamic.align_takes(np.array(reading), cuts, [], 4, optional=[False, True, False, False])
     assert skipped == [3, 4]
-    samples = spark.createDataFrame([("g", i, p, i in cuts, False) for i, p in enumerate(reading)], "g string, i long, p double, c boolean, m boolean")
+    samples = spark.createDataFrame([("g", i, p, i in cuts, False) for i, p in enumerate(reading)],
+        "g string, i long, p double, c boolean, m boolean")
     plays = spark.createDataFrame([("g", k, False) for k in range(3)], "g string, play_index int, optional boolean")
     got = dynamic.aligned_plays(samples, ["g"], "i", "p", "c", "m", plays).orderBy("play_index").collect()
     assert [(r.first_start, r.first_end, r.second_end) for r in got] == [(0, 30, 65), (65, 93, 133), (133, 166, 197)]
@@ -234,7 +253,8 @@ def test_homographies(spark):
     points = rng.uniform([0, 0], [120, 53], (24, 2))
     image = field.mapped_points(h, points)
     image[:3] += 80
-    pairs = spark.createDataFrame([(1, *map(float, (*i, *p))) for i, p in zip(image, points)] + [(2, 0.0, 0.0, 0.0, 0.0)], "frame int, img_x double, img_y double, fld_x double, fld_y double")
+    pairs = spark.createDataFrame([(1, *map(float, (*i, *p))) for i, p in zip(image, points)] + [(2, 0.0, 0.0, 0.0, 0.0)],
+        "frame int, img_x double, img_y double, fld_x double, fld_y double")
     got = field.registered(pairs, ["frame"]).collect()
     assert len(got) == 1 and got[0].inliers == 21 and got[0].rms < 1e-6
     back = field.mapped_points(np.array(got[0].h).reshape(3, 3), image[3:])
@@ -242,15 +262,18 @@ def test_homographies(spark):
 
 
 def test_scrimmage_line(spark):
-    players = [(1, x, x < 50) for x in (45, 48, 49, 49.5, 40, 30, 51, 51.5, 52, 60, 55)] + [(2, x, x > 50) for x in (45, 48, 49, 49.5, 51, 51.5, 52, 60)] + [(3, 1.0, True)]
-    got = {r.frame: r for r in field.scrimmage_lines(spark.createDataFrame([(f, float(x), o) for f, x, o in players], "frame int, x_yd double, offense boolean"), ["frame"]).collect()}
+    players = [(1, x, x < 50) for x in (45, 48, 49, 49.5, 40, 30, 51, 51.5, 52, 60, 55)] + [(2, x, x > 50)
+        for x in (45, 48, 49, 49.5, 51, 51.5, 52, 60)] + [(3, 1.0, True)]
+    got = {r.frame: r for r in field.scrimmage_lines(
+        spark.createDataFrame([(f, float(x), o) for f, x, o in players], "frame int, x_yd double, offense boolean"), ["frame"]).collect()}
     assert set(got) == {1, 2} and (got[1].attack, got[1].misplaced, got[2].attack) == (1, 0, -1)
     assert got[1].line == pytest.approx(((48 + 49 + 49.5) / 3 + (51 + 51.5 + 52) / 3) / 2)
 
 
 def test_registrations_are_chained(spark):
     rows = [(1, f, 0.1, (f * 0.1 + (5.0 if f == 20 else 0.0) + (2.4 if f == 30 else 0)) if f % 10 == 0 else None) for f in range(51)]
-    got = {r.frame: r for r in field.chained_registrations(spark.createDataFrame(rows, "take int, frame long, drift double, origin double"), ["take"], 25.0).collect()}
+    got = {r.frame: r for r in field.chained_registrations(spark.createDataFrame(rows, "take int, frame long, drift double, origin double"),
+        ["take"], 25.0).collect()}
     assert got[20].x0 == pytest.approx(2.0) and got[30].source == "between" and all(abs(r.x0 - f * 0.1) < 1e-6 for f, r in got.items())
 
 
@@ -305,14 +328,18 @@ def test_live_forms(spark, tmp_path):
     cuts = spark.createDataFrame([("s", i, 30.0 if i == 9 else 1.0) for i in range(14)], "source_id string, frame long, change double")
     got = stream(spark, tmp_path, cuts, "cuts", lambda df: film.live_cuts(df)).collect()
     assert [r.frame for r in got if r.is_cut] == [9]
-    boxes_ = spark.createDataFrame([("s", f, 1.0 * f, 0.0, 1.0 * f + 10, 10.0, 0.9, f == 5) for f in range(8)], "source_id string, frame long, x1 double, y1 double, x2 double, y2 double, conf double, cut boolean")
+    boxes_ = spark.createDataFrame([("s", f, 1.0 * f, 0.0, 1.0 * f + 10, 10.0, 0.9, f == 5) for f in range(8)],
+        "source_id string, frame long, x1 double, y1 double, x2 double, y2 double, conf double, cut boolean")
     got = {r.frame: r.track_id for r in stream(spark, tmp_path, boxes_, "boxes", lambda df: film.live_tracks(df)).collect()}
     assert len({got[f] for f in got if f < 5}) == 1 and len({got[f] for f in got if f >= 5}) == 1 and got[4] != got[5]
 
 
 def test_windows_and_layers(spark):
-    df = spark.createDataFrame([(f"2024-01-01 00:00:{s:02d}", 1, float(s)) for s in (0, 1, 2, 3, 10, 11, 40)], "ts string, k int, v double").withColumn("ts", F.to_timestamp("ts"))
-    assert sorted(r.n for r in film.tumbling(df, "ts", "10 seconds", ["k"], "v").collect()) == [1, 2, 4] and film.tumbling(df, "ts", "10 seconds", ["k"], "v", full=4).count() == 1
+    df = spark.createDataFrame([(f"2024-01-01 00:00:{s:02d}", 1, float(s)) for s in (0, 1, 2, 3, 10, 11, 40)],
+        "ts string, k int, v double").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r.n for r in film.tumbling(df, "ts", "10 seconds", ["k"], "v").collect()) == [1, 2, 4] and film.tumbling(df, "ts", "10 seconds",
+        ["k"], "v", full=4).count() == 1
     assert sorted(r.n for r in film.sessions(df, "ts", "5 seconds", ["k"]).collect()) == [1, 2, 4]
-    rows = spark.createDataFrame([(1, "live", "a", None), (1, "human", None, "h"), (1, "post", "b", "p"), (2, "live", "c", None)], "k int, layer string, x string, y string")
+    rows = spark.createDataFrame([(1, "live", "a", None), (1, "human", None, "h"), (1, "post", "b", "p"), (2, "live", "c", None)],
+        "k int, layer string, x string, y string")
     assert {tuple(r) for r in film.merged(rows, ["k"], ["x", "y"]).collect()} == {(1, "b", "h"), (2, "c", None)}
