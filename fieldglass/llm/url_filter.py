@@ -36,6 +36,18 @@ MOST_RULES = 100_000
 _ENTRY = "array<struct<token:string,regex:string,action:string,rule:string,whole:boolean>>"
 
 
+def rules_of(table: DataFrame, action_col: str = "action", pattern_col: str = "pattern") -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(host rules, pattern rules) from a table of them, in order of their text; repeated ones once. Rows without an action or
+    pattern are left out; over MOST_RULES rows, or another action than allow or block, are an error."""
+    named = table.select(F.col(action_col).alias("action"), F.col(pattern_col).alias("pattern")).dropna().distinct()
+    rows = sorted((r["action"], r["pattern"]) for r in named.limit(MOST_RULES + 1).collect())
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    if wrong := {a for a, _ in rows} - {"allow", "block"}:
+        raise ValueError(f"a rule allows or blocks, not {sorted(wrong)}")
+    return [r for r in rows if not r[1].startswith("~")], [r for r in rows if r[1].startswith("~")]
+
+
 def literal_tokens(pattern: str) -> list[str]:
     """Tokens that each URL fitting the pattern has as whole tokens: with a bound on either side, and no `*`."""
     body = pattern[1:] if pattern.startswith("~") else "/" + pattern
@@ -71,8 +83,11 @@ def url_tokens(url: Column) -> Column:
 def token_counts(pages: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url") -> dict[str, int]:
     """How many of all URLs have each token of the rules; as many rows at most as the rules have tokens."""
     wanted = sorted({t for _, pattern in rules for t in literal_tokens(pattern)})
-    found = F.explode(F.array_intersect(url_tokens(F.col(url_col)), F.array(*map(F.lit, wanted)))).alias("token")
-    return {r["token"]: r["n"] for r in pages.select(found).groupBy("token").agg(F.count("*").alias("n")).collect()} if wanted else {}
+    if not wanted:
+        return {}
+    known = F.broadcast(pages.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(wanted)), " ")).alias("token")))
+    found = pages.select(F.explode(url_tokens(F.col(url_col))).alias("token")).join(known, "token")
+    return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def rule_index(rules: Sequence[tuple[str, str]], counts: Mapping[str, int]) -> tuple[list[list[dict]], list[dict]]:
@@ -112,13 +127,16 @@ def judge_urls(
     if any("/" not in p for _, p in host_rules) or any(not p.startswith("~") for _, p in pattern_rules):
         raise ValueError("a host rule needs a /, a pattern rule starts with ~")
     buckets, always = rule_index(rules, token_counts(pages, rules, url_col))
-    table = F.from_json(F.lit(json.dumps(buckets)), f"array<{_ENTRY}>")
-    rest = F.from_json(F.lit(json.dumps(always)), _ENTRY)
-    place = lambda t: F.get(table, F.pmod(F.crc32(t), F.lit(len(buckets))).cast("int"))
+    # One line for each bucket, empty where it has no rule: split once, and only the lines that a URL's tokens name are parsed.
+    lines = F.split(F.lit("\n".join(json.dumps(x) if x else "" for x in buckets)), "\n")
+    line_of = lambda t: F.get(lines, F.pmod(F.crc32(t), F.lit(len(buckets))).cast("int"))
+    own = lambda t: F.filter(F.from_json(line_of(t), _ENTRY), lambda r: r["token"] == t)
     parts = pages.select(
         F.col(url_col).alias("url"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
-    fetched = F.concat(rest, F.flatten(F.transform(url_tokens(F.col("url")), lambda t: F.filter(place(t), lambda r: r["token"] == t))))
+    fetched = F.flatten(F.transform(F.filter(url_tokens(F.col("url")), lambda t: line_of(t) != ""), own))
+    if always:
+        fetched = F.concat(F.from_json(F.lit(json.dumps(always)), _ENTRY), fetched)
     subject = lambda r: F.when(r["whole"], ascii_lower(F.coalesce("url", F.lit("")))).otherwise(F.concat("host", "path"))
     fitting = F.filter(fetched, lambda r: F.rlike(subject(r), r["regex"]))
     judged = parts.select("page_id", "host", "path", fitting.alias("fits"))

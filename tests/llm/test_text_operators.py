@@ -44,8 +44,10 @@ def awkward():
     near = " ".join([*words[:60], "changed", *words[61:]])
     far = " ".join([*words[:40], *prose(80, 2).split()])
     rows = [
-        (1, base, "en", "a"), (2, base, "en", "a"), (3, near, "en", "b"), (4, far, "de", None), (5, None, None, "a"), (6, "", "en", None), (7, " \t\n", "fr", "b"),
-        (8, "one two three", "en", "a"), (9, "One TWO  three", "en", "c"), (10, "one two", "es", "a"), (11, base.upper(), "en", "c"), (12, prose(30_000, 3), "en", "a"),
+        (1, base, "en", "a"), (2, base, "en", "a"), (3, near, "en", "b"), (4, far, "de", None), (5, None, None, "a"), (6, "", "en", None),
+        (7, " \t\n", "fr", "b"),
+        (8, "one two three", "en", "a"), (9, "One TWO  three", "en", "c"), (10, "one two", "es", "a"), (11, base.upper(), "en", "c"),
+        (12, prose(30_000, 3), "en", "a"),
         (13, "a " * 400, "en", "b"), (14, "ä b ç", None, "ü"), (None, prose(20, 4), "en", "a"), (16, base, "en", "a"), (16, base, "en", "a"),
     ]
     return rows
@@ -68,7 +70,8 @@ def none(spark):
 def test_empty_tables_give_empty_results(spark, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     path = word_tokenizer()
-    for df in (exact_groups(none), near_dedup.near_duplicates(none), repeats.repeated_passages(none), packing.pack(none, path), token_shards.token_shards(none, path),
+    for df in (exact_groups(none), near_dedup.near_duplicates(none), repeats.repeated_passages(none), packing.pack(none, path),
+        token_shards.token_shards(none, path),
                mixing.mix_sources(none), media.text_media(none), learn_and_identify(none), toxicity.learn_and_score(none, labels)):
         assert df.collect() == []
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
@@ -106,7 +109,8 @@ def near_by_brute_force(rows, width=5):
     sets = []
     for i, text, *_ in rows:
         w = spaced(text)
-        sets.append((i, frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])))
+        sets.append((i, frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width
+            else frozenset([tuple(w)] if w else [])))
     home = list(range(len(sets)))
 
     def root(x):
@@ -209,7 +213,8 @@ def repeats_by_brute_force(rows, least=repeats.LEAST_WORDS):
 def test_repeated_passages_by_brute_force(spark):
     passage, short = prose(70, 20), prose(49, 21)
     rows = [(k, f"{prose(60 + k, 400 + k)} {passage if k % 3 == 0 else short} {prose(45 + k, 500 + k)}", "en", "a") for k in range(24)]
-    rows += [r for r in awkward() if r[0] != 12] + [(90, prose(50, 22), "en", "a"), (91, prose(50, 22).upper(), "en", "a"), (92, f"{passage} {prose(80, 23)} {passage}", "en", "a")]
+    rows += [r for r in awkward() if r[0] != 12] + [(90, prose(50, 22), "en", "a"), (91, prose(50, 22).upper(), "en", "a"),
+        (92, f"{passage} {prose(80, 23)} {passage}", "en", "a")]
     got = Counter((r.doc_id, r.start, r.end) for r in repeats.repeated_passages(table(spark, rows)).collect())
     assert got == repeats_by_brute_force(rows)
 
@@ -223,8 +228,11 @@ def test_passages_around_common_wording(spark, monkeypatch, size, group):
     rows = [(k, f"{prose(60, 700 + k)} {common} {prose(40, 2000 + k)}", "en", "a") for k in range(200)]
     for k in range(40):
         left = prose(55 - size, 3000 + k)
-        rows += [(300 + 2 * k + side, f"{prose(20, 4000 + 2 * k + side)} {left} {common} {prose(40, 5000 + 2 * k + side)}", "en", "a") for side in (0, 1)]
-        rows += [(500 + 3 * k + side, f"{prose(20, 6000 + 3 * k + side)} {prose(40 - size // 2, 7000 + k)} {common} {prose(12, 8000 + k % 3)} {prose(40, 9000 + 3 * k + side)}", "en", "a") for side in (0, 1, 2)]
+        rows += [(300 + 2 * k + side, f"{prose(20, 4000 + 2 * k + side)} {left} {common} {prose(40, 5000 + 2 * k + side)}", "en", "a")
+            for side in (0, 1)]
+        rows += [(500 + 3 * k + side,
+            f"{prose(20, 6000 + 3 * k + side)} {prose(40 - size // 2, 7000 + k)} {common} {prose(12, 8000 + k % 3)} {prose(40, 9000 + 3 * k + side)}",
+            "en", "a") for side in (0, 1, 2)]
     found = repeats.repeated_passages(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.start, r.end) for r in found) == repeats_by_brute_force(rows)
     assert all(r.other_doc_id != r.doc_id for r in found)
@@ -235,8 +243,10 @@ def test_passages_around_common_wording(spark, monkeypatch, size, group):
 def test_repeats_do_not_depend_on_the_partitions(spark, parts):
     """Passages of 60 words twice each; and of 50 words of which the last 16 are the same in all."""
     tail = prose(16, 31)
-    rows = [(2 * k + side, f"{prose(30, 10_000 + 2 * k + side)} {prose(60, 11_000 + k)} {prose(30, 12_000 + 2 * k + side)}", "en", "a") for k in range(60) for side in (0, 1)]
-    rows += [(500 + 2 * k + side, f"{prose(30, 13_000 + 2 * k + side)} {prose(34, 14_000 + k)} {tail} {prose(30, 15_000 + 2 * k + side)}", "en", "a") for k in range(150) for side in (0, 1)]
+    rows = [(2 * k + side, f"{prose(30, 10_000 + 2 * k + side)} {prose(60, 11_000 + k)} {prose(30, 12_000 + 2 * k + side)}", "en", "a")
+        for k in range(60) for side in (0, 1)]
+    rows += [(500 + 2 * k + side, f"{prose(30, 13_000 + 2 * k + side)} {prose(34, 14_000 + k)} {tail} {prose(30, 15_000 + 2 * k + side)}", "en", "a")
+        for k in range(150) for side in (0, 1)]
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -261,8 +271,10 @@ def test_each_repeated_passage_stays_once(spark, order):
     p, r = prose(70, 20), prose(70, 21)
     texts = [f"{prose(9, 1)} {p}", f"{prose(8, 2)} {p} {r} {prose(7, 3)}", f"{r} {prose(6, 4)}"]
     rows = [(k, texts[n], "en", "a") for k, n in enumerate(order)]
-    rows += [(7, f"{prose(60, 41)} one", "en", "a"), (7, f"two {prose(60, 41)}", "en", "a"), (8, prose(55, 42), "en", "a"), (8, prose(55, 42), "en", "a"), (None, prose(55, 42), "en", "a")]
-    rows += [(9, "la " * 120, "en", "a"), (None, f"{prose(51, 43)} three {prose(51, 43)}", "en", "a"), (None, None, "en", "a"), (10, "few words", "en", "a")]
+    rows += [(7, f"{prose(60, 41)} one", "en", "a"), (7, f"two {prose(60, 41)}", "en", "a"), (8, prose(55, 42), "en", "a"),
+        (8, prose(55, 42), "en", "a"), (None, prose(55, 42), "en", "a")]
+    rows += [(9, "la " * 120, "en", "a"), (None, f"{prose(51, 43)} three {prose(51, 43)}", "en", "a"), (None, None, "en", "a"),
+        (10, "few words", "en", "a")]
     left = [" ".join(spaced(x.text)) for x in repeats.without_repeats(table(spark, rows)).collect()]
     every = " | ".join(left)
     assert len(left) == len(rows)
@@ -418,7 +430,9 @@ def test_documents_are_found_by_their_ids(spark, tmp_path, monkeypatch, size):
 def test_targets_are_reshared(spark):
     sizes = {"a": 100, "b": 1000, "c": 50, "d": 4000}
     weights, share, most = (3, 1, 2), 1.5, 2.0
-    got = {r.source_key: r.target for r in mixing.source_targets(spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], "source_key string, source_size long, n long"), weights, share, most).collect()}
+    got = {r.source_key: r.target
+        for r in mixing.source_targets(spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], "source_key string, source_size long, n long"),
+        weights, share, most).collect()}
     targets, total, open_ = {}, share * sum(sizes.values()), dict(zip(sorted(sizes), (3, 1, 2, 3)))
     while open_:
         left = total - sum(targets.values())
@@ -492,9 +506,11 @@ def test_carving(kind):
 
 
 def test_declared_types_are_corrected(spark):
-    rows = [("1", bytearray(SAMPLES["image/png"]), "image/jpeg"), ("2", bytearray(b"x" + SAMPLES["image/gif"]), "text/plain"), ("3", None, None), (None, bytearray(b""), "application/octet-stream")]
+    rows = [("1", bytearray(SAMPLES["image/png"]), "image/jpeg"), ("2", bytearray(b"x" + SAMPLES["image/gif"]), "text/plain"), ("3", None, None),
+        (None, bytearray(b""), "application/octet-stream")]
     got = media.media_columns(spark.createDataFrame(rows, "id string, data binary, declared string")).collect()
-    assert [(r.type, r.corrected, len(r.embedded)) for r in got] == [("image/png", True, 0), ("application/octet-stream", True, 1), ("application/octet-stream", True, 0), ("application/octet-stream", False, 0)]
+    assert [(r.type, r.corrected, len(r.embedded)) for r in got] == [("image/png", True, 0), ("application/octet-stream", True, 1),
+        ("application/octet-stream", True, 0), ("application/octet-stream", False, 0)]
     assert bytes(got[1].embedded[0].data) == SAMPLES["image/gif"]
 
 
@@ -502,11 +518,13 @@ def test_media_inside_texts_are_carved(spark):
     text = "see %PDF-1.4 1 0 obj endobj startxref 9 %%EOF and GIF89a nothing"
     got = media.text_media(table(spark, [(1, text, None, None), (2, "plain", None, None), (None, None, None, None)])).collect()
     one = next(r for r in got if r.doc_id == 1)
-    assert [(p.type, p.offset, bytes(p.data)) for p in one.carved] == [("application/pdf", 4, text[4:45].encode())] and "embedded=1[application/pdf@4+41]" in one.feature
+    assert [(p.type, p.offset, bytes(p.data))
+        for p in one.carved] == [("application/pdf", 4, text[4:45].encode())] and "embedded=1[application/pdf@4+41]" in one.feature
     assert {(r.type, r.corrected) for r in got} == {("audio/wav", True)} and all(not r.carved for r in got if r.doc_id != 1)
 
 
-@pytest.mark.parametrize("unit", [b"%PDF-", b"%PDF-startxref", b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03x", b"GIF89a", b"RIFF\xff\0\0\0WAVE", b"BM", b"\x1f\x8b\x08"])
+@pytest.mark.parametrize("unit",
+    [b"%PDF-", b"%PDF-startxref", b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03x", b"GIF89a", b"RIFF\xff\0\0\0WAVE", b"BM", b"\x1f\x8b\x08"])
 def test_sniffing_takes_linear_time(unit):
     """A million bytes that repeat the beginning of a format."""
     data = unit * (1_000_000 // len(unit))
@@ -514,6 +532,40 @@ def test_sniffing_takes_linear_time(unit):
     assert media.sniff(data) == [] and time.perf_counter() - began < 20
 
 
+# --- URL filter by many rules
+
+
+def judged_by_brute_force(url, host_rules, pattern_rules):
+    _, found, rest = (url or "").partition("://")
+    rest = rest if found else ""
+    host = re.split("[/?#]", rest)[0].lower()
+    path = re.match("[^/?#]*([^?#]*)", rest, re.S)[1]
+    fits = [(len(p), a, p) for a, p in host_rules for h, _, q in [p.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + q)]
+    if fits:
+        return max(fits)[2], max(fits)[1]
+    own = {action for action, pattern in pattern_rules if pattern.search((url or "").lower())}
+    return None, "block" if own == {"block"} else "allow"
+
+
+def test_ten_thousand_rules_from_a_table(spark):
+    pick = np.random.default_rng(8)
+    rules = [("block", f"~^bad{k}^q{k % 5}") for k in range(6000)] + [("allow", f"~^bad{k}^q{k % 5}*ok^") for k in range(0, 6000, 3)]
+    rules += [("block" if k % 2 else "allow", f"h{k % 700}.net/p{k}/") for k in range(2500)] + [("block", "~an*where"), ("block", None), ("allow", "h1.net/p1/")]
+    table_ = spark.createDataFrame(rules, "action string, pattern string")
+    host_rules, pattern_rules = url_filter.rules_of(table_)
+    urls = [f"https://{pick.choice(['www.', ''])}h{pick.integers(800)}.net/p{pick.integers(2500)}/x?a=1" for _ in range(150)]
+    urls += [f"http://site{k}.org/bad{pick.integers(7000)}/q{pick.integers(5)}{pick.choice(['', '/then/ok', '-ok'])}" for k in range(250)]
+    urls += [None, "", "no scheme", "http://x.org/Anywhere", "http://h1.net/p1/", "http://h8.net/p8/"]
+    urls += [f"http://site.org/bad{k}/q{k % 5}{e}" for k in range(0, 60, 2) for e in ("", "/ok", "/not/ok/")]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), host_rules, pattern_rules).collect()
+    body = lambda p: "".join({"*": ".*", "^": "(?:^|$|[^a-z0-9])"}.get(c) or re.escape(c) for c in p[1:])
+    patterns = [(a, re.compile(body(p), re.S)) for a, p in pattern_rules]
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {k: judged_by_brute_force(u, host_rules, patterns) for k, u in enumerate(urls)}
+    assert len({r.rule for r in got}) >= 3 and {r.verdict for r in got} == {"allow", "block"}
+    with pytest.raises(ValueError):
+        url_filter.rules_of(table_.withColumn("action", F.lit("maybe")))
+
+
 # --- language and toxicity
 
 
@@ -525,7 +577,8 @@ def syllables(language, n, seed):
 
 def test_languages_of_held_out_rows(spark):
     rows = [(k, syllables(x, 20 + k % 30, k), x, "a") for k in range(150) for x in [["xa", "yb", "zc"][k % 3]]]
-    rows += [(500, None, "xa", "a"), (501, "123 --- 456", "yb", "a"), (502, "", None, "a"), (None, syllables("yb", 30, 9), None, "a"), (503, syllables("zc", 30_000, 8), None, "a")]
+    rows += [(500, None, "xa", "a"), (501, "123 --- 456", "yb", "a"), (502, "", None, "a"), (None, syllables("yb", 30, 9), None, "a"),
+        (503, syllables("zc", 30_000, 8), None, "a")]
     got = learn_and_identify(table(spark, rows)).collect()
     truth = {r[0]: r[2] for r in rows}
     assert len(got) == len(rows)
@@ -632,7 +685,8 @@ def test_labels_of_one_kind_reject_nothing(spark):
 
 def test_clashing_columns_are_kept(spark):
     names = ["_kept_id", "_own_sha", "_kept_sha", "doc_id", "text", "id", "sha", "all", "key", "size", "weight", "row", "_salt"]
-    docs = spark.createDataFrame([tuple([k, *["x"] * 2, k, prose(30, k % 2), *[f"{n}{k}" for n in names[5:]]]) for k in range(4)], ", ".join(f"{n} {'long' if n in ('_kept_id', 'doc_id') else 'string'}" for n in names))
+    docs = spark.createDataFrame([tuple([k, *["x"] * 2, k, prose(30, k % 2), *[f"{n}{k}" for n in names[5:]]]) for k in range(4)],
+        ", ".join(f"{n} {'long' if n in ('_kept_id', 'doc_id') else 'string'}" for n in names))
     for op in (exact_dedup, near_dedup.near_dedup, repeats.without_repeats):
         got = op(docs)
         assert got.columns == names and got.count() in (2, 4) and {r.weight for r in got.collect()} >= {"weight0", "weight1"}
@@ -656,8 +710,10 @@ def test_toxic_texts_are_found_and_neutral_mentions_are_not(spark):
             words[3:3] = [insults[k % 3], insults[(k + 1) % 3], "women" if k % 2 else "people"]
         rows.append((k, " ".join(words), "en", "a"))
         labels.append((k, 1, int(toxic)))
-    rows += [(1000 + k, f"{prose(30, 5000 + k)} women {prose(10, 6000 + k)}", "en", "a") for k in range(20)] + [(2000, None, None, None), (2001, "", None, None), (None, prose(9, 1), None, None)]
-    got = {r.doc_id: r for r in toxicity.learn_and_score(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    rows += [(1000 + k, f"{prose(30, 5000 + k)} women {prose(10, 6000 + k)}", "en", "a") for k in range(20)] + [(2000, None, None, None),
+        (2001, "", None, None), (None, prose(9, 1), None, None)]
+    got = {r.doc_id: r for r in toxicity.learn_and_score(table(spark, rows),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in range(600))
     assert sum(got[k].predicted != labels[k][2] for k in range(600)) <= 3
@@ -696,14 +752,16 @@ def test_toxic_texts_are_found_where_labels_have_many(spark, every, copies):
     rows += [(3000 + k, f"{prose(30, 8000)} gronk blarfed", "en", "a") for k in range(copies)]
     labels += [(3000 + k, 1, 1) for k in range(copies)]
     assert sum(x[2] for x in labels) > len(labels) / 3
-    got = {r.doc_id: r.predicted for r in toxicity.learn_and_score(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    got = {r.doc_id: r.predicted
+        for r in toxicity.learn_and_score(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert sum(got[k] != toxic for k, _, toxic in labels) <= 6
 
 
 def test_swapped_terms_get_like_weights():
     own, other = toxicity._features_of(["women"])[0][0], toxicity._features_of(["boys"])[0][0]
     features = np.unique(np.concatenate([own, other]))
-    rows = [(np.unique(own), np.unique(other), k % 2) for k in range(50)] + [(np.unique(own), np.unique(other), 1)] * 50 + [(features[:0], features[:0], 0)] * 50
+    rows = [(np.unique(own), np.unique(other), k % 2)
+        for k in range(50)] + [(np.unique(own), np.unique(other), 1)] * 50 + [(features[:0], features[:0], 0)] * 50
     weights = toxicity.fit_weights(features, rows)
     assert abs(weights.score(np.unique(own)) - weights.score(np.unique(other))) < 0.05
 
@@ -713,10 +771,15 @@ def test_swapped_terms_get_like_weights():
 
 def test_urls(spark):
     urls = {
-        1: ("https://www.example.com/en/x", "www.example.com", "/en/x", "www.example.com/en/", "allow"), 2: ("http://m.EXAMPLE.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),
-        3: ("http://a.net/fr/1?x=/es/", "a.net", "/fr/1", "net/fr/", "block"), 4: ("http://a.net/FR/1", "a.net", "/FR/1", None, "allow"), 5: (None, "", "", None, "allow"), 6: ("no scheme", "", "", None, "allow"),
-        7: ("http://x.com", "x.com", "", None, "allow"), 8: ("http://net/es/", "net", "/es/", "net/es/", "block"), 9: ("http://xnet/es/", "xnet", "/es/", None, "allow"), 10: ("ftp://spam-farm.org/", "spam-farm.org", "/", None, "block"),
-        11: ("http://spam-farms.org/", "spam-farms.org", "/", None, "allow"), 12: ("http://casino.museum.org/", "casino.museum.org", "/", None, "allow"), 13: ("http://é.com/#a://b", "é.com", "/", "com/", "allow"), 14: ("http://click.a.bait.org/", "click.a.bait.org", "/", None, "block"),
+        1: ("https://www.example.com/en/x", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        2: ("http://m.EXAMPLE.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),
+        3: ("http://a.net/fr/1?x=/es/", "a.net", "/fr/1", "net/fr/", "block"), 4: ("http://a.net/FR/1", "a.net", "/FR/1", None, "allow"),
+        5: (None, "", "", None, "allow"), 6: ("no scheme", "", "", None, "allow"),
+        7: ("http://x.com", "x.com", "", None, "allow"), 8: ("http://net/es/", "net", "/es/", "net/es/", "block"),
+        9: ("http://xnet/es/", "xnet", "/es/", None, "allow"), 10: ("ftp://spam-farm.org/", "spam-farm.org", "/", None, "block"),
+        11: ("http://spam-farms.org/", "spam-farms.org", "/", None, "allow"),
+        12: ("http://casino.museum.org/", "casino.museum.org", "/", None, "allow"), 13: ("http://é.com/#a://b", "é.com", "/", "com/", "allow"),
+        14: ("http://click.a.bait.org/", "click.a.bait.org", "/", None, "block"),
     }
     df = spark.createDataFrame([(k, v[0], "en", "x") for k, v in urls.items()], "page_id long, url string, host string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
@@ -724,6 +787,7 @@ def test_urls(spark):
 
 
 def test_rules_are_fetched_by_their_rarest_token():
-    assert url_filter.literal_tokens("example.com/en/") == ["com", "en", "example"] and url_filter.literal_tokens("~spam^") == [] and url_filter.literal_tokens("~^click*bait^") == []
+    assert url_filter.literal_tokens("example.com/en/") == ["com", "en",
+        "example"] and url_filter.literal_tokens("~spam^") == [] and url_filter.literal_tokens("~^click*bait^") == []
     buckets, always = url_filter.rule_index([("block", "example.com/en/"), ("block", "~x")], {"com": 5, "en": 2, "example": 2})
     assert [r["token"] for b in buckets for r in b] == ["en"] and [r["rule"] for r in always] == ["~x"]
