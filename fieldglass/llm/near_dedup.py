@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,13 +130,19 @@ def _shared_with_strangers(members: DataFrame, sets: DataFrame, nodes: DataFrame
     size = F.floor(F.log("n") / math.log(SIZE_STEP))
     steps = math.ceil(math.log(100 / SIMILARITY) / math.log(SIZE_STEP))
     each = sets.join(homes.join(some, "node"), "node").select("node", "n", "home", size.alias("size"), F.explode("shingles").alias("shingle"))
-    sized = each.groupBy("shingle", "size").agg(*ends).select(F.struct("shingle", "size").alias("key"), "low", "high", "w")
-    asked = each.select("node", "n", "home", F.explode(F.sequence(F.col("size") - steps, F.col("size") + steps)).alias("other"), "shingle")
-    met = lookup(asked.withColumn("key", F.struct("shingle", F.col("other").alias("size"))), written(sized, "sized"), "key", "w", total, "inner")
-    known = met.filter((F.col("low") != F.col("home")) | (F.col("high") != F.col("home"))).groupBy("node", "n",
-        "other").agg(F.count("*").alias("known"))
-    least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6, F.col("n") * SIMILARITY / 100)
-    return known.filter(F.col("known") * (100 + SIMILARITY) >= SIMILARITY * (F.col("n") + least) - 1e-3).select("node").distinct()
+    # Of each shingle the classes it stands in, a hundred or so at most, with the ends of their homes.
+    by_size = each.groupBy("shingle", "size").agg(*ends).groupBy("shingle")
+    classes = by_size.agg(F.collect_list(F.struct("size", "low", "high")).alias("classes"), F.sum("w").alias("w"))
+    several = (F.size("classes") > 1) | (F.get("classes", F.lit(0))["low"] != F.get("classes", F.lit(0))["high"])
+    listed = written(classes.filter(several), "classes")
+    met = lookup(each, listed, "shingle", "w", listed.agg(F.sum("w")).first()[0] or 0, "inner")
+    offsets = range(-steps, steps + 1)
+    elsewhere = lambda c: (c["low"] != F.col("home")) | (c["high"] != F.col("home"))
+    stands = lambda r: F.exists("classes", lambda c: (c["size"] == F.col("size") + r) & elsewhere(c))
+    known = met.groupBy("node", "n", "size").agg(*(F.count_if(stands(r)).alias(f"known{i}") for i, r in enumerate(offsets)))
+    least = lambda r: F.greatest(F.pow(F.lit(SIZE_STEP), F.col("size") + r) - 1e-6, F.col("n") * SIMILARITY / 100)
+    enough = [F.col(f"known{i}") * (100 + SIMILARITY) >= SIMILARITY * (F.col("n") + least(r)) - 1e-3 for i, r in enumerate(offsets)]
+    return known.filter(reduce(lambda x, y: x | y, enough)).select("node")
 
 
 def _linked_in_block(table: pa.Table) -> pa.Table:
