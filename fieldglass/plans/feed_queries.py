@@ -92,9 +92,10 @@ def feed_plays(spark, sf):
 
 @query("q_uniforms", f"""WITH {FEED_SQL}, u AS (SELECT game_key, CASE WHEN l_suppkey % 9 IN (1, 5, 6, 7) THEN posteam ELSE CASE
  WHEN posteam = home THEN away WHEN posteam = away THEN home END END AS team, CAST(l_suppkey % 99 AS VARCHAR) AS n FROM i)
-SELECT game_key, team, list_sort(list(DISTINCT n)) AS numbers FROM u WHERE team IS NOT NULL GROUP BY ALL""")
+SELECT game_key, team, array_to_string(list_sort(list(DISTINCT n)), ' ') AS numbers FROM u WHERE team IS NOT NULL GROUP BY ALL""")
 def uniforms(spark, sf):
-    return feeds.uniforms(feeds.feed_plays(feeds.events(statistics(spark, sf))))
+    found = feeds.uniforms(feeds.feed_plays(feeds.events(statistics(spark, sf))))
+    return found.withColumn("numbers", F.array_join("numbers", " "))
 
 
 @query("q_event_lines",
@@ -105,10 +106,10 @@ def event_lines(spark, sf):
 
 
 @query("q_found_events",
-    f"SELECT o_orderkey AS event_id, list_sort([{team_id_sql('o_orderkey')}, {team_id_sql('o_orderkey + 5')}]) AS teams FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 18 + 1 = 7 AND 326 IN ({team_id_sql('o_orderkey')}, {team_id_sql('o_orderkey + 5')})")
+    f"SELECT o_orderkey AS event_id, array_to_string(list_sort([{team_id_sql('o_orderkey')}, {team_id_sql('o_orderkey + 5')}]), ' ') AS teams FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 18 + 1 = 7 AND 326 IN ({team_id_sql('o_orderkey')}, {team_id_sql('o_orderkey + 5')})")
 def found_events(spark, sf):
     found = feeds.found_events(feeds.events(statistics(spark, sf)), 326, 7, "Regular Season")
-    return found.select("event_id", F.array_sort(N.event_teams(F.col("e.teams"))).alias("teams"))
+    return found.select("event_id", F.array_join(F.array_sort(N.event_teams(F.col("e.teams"))).cast("array<string>"), " ").alias("teams"))
 
 
 # --- the league's details
@@ -211,9 +212,9 @@ FORMS_SQL = """list_distinct(list_filter([CASE WHEN c_custkey % 3 > 0 THEN c_nam
 JERSEY_SQL = f"CASE WHEN regexp_replace(trim({pick_sql(JERSEYS, 'c_custkey')}), '^0+', '') = '' THEN '0' ELSE regexp_replace(trim({pick_sql(JERSEYS, 'c_custkey')}), '^0+', '') END"
 
 
-@query("q_roster", f"SELECT CASE WHEN c_custkey % 10 > 0 THEN CAST(c_custkey AS VARCHAR) END AS gsis_id, {JERSEY_SQL} AS jersey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, list_sort({FORMS_SQL}) AS name_forms FROM customer")
+@query("q_roster", f"SELECT CASE WHEN c_custkey % 10 > 0 THEN CAST(c_custkey AS VARCHAR) END AS gsis_id, {JERSEY_SQL} AS jersey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name, array_to_string(list_sort({FORMS_SQL}), '; ') AS name_forms FROM customer")
 def roster(spark, sf):
-    return feeds.roster(rosters(spark, sf)).select("gsis_id", "jersey", "name", F.array_sort("name_forms").alias("name_forms"))
+    return feeds.roster(rosters(spark, sf)).select("gsis_id", "jersey", "name", F.array_join(F.array_sort("name_forms"), "; ").alias("name_forms"))
 
 
 @query("q_adapter_report", "SELECT count(*) AS entries, count(*) FILTER (c_custkey % 10 > 0) AS understood, true AS more_pages FROM customer")
@@ -279,7 +280,7 @@ def json_extract(spark, sf):
 
 
 @query("q_play_records",
-    f"""SELECT printf('2024_wk05_BUF-NYJ_p%03d', play_index) AS play_uid, down, 10.0 + (100 - yardline_100) AS los_x,
+    f"""SELECT printf('2024_wk05_BUF-NYJ_p%03d', play_index) AS play_uid, CAST(down AS INTEGER) AS down, 10.0::DOUBLE + (100 - yardline_100) AS los_x,
  CAST(trunc(yards_gained) AS INTEGER) AS yards_gained, 'official' AS source FROM {PLAYS_SQL}""")
 def play_records(spark, sf):
     plays = as_plays(spark, sf).withColumn("play_uid", P.play_uid(F.lit("2024_wk05_BUF-NYJ"), F.col("play_index"))).withColumn("play_type",

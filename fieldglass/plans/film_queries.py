@@ -33,7 +33,7 @@ N_SQL = "(SELECT s_suppkey, (s_suppkey * 7 % 40)::DOUBLE AS a, (s_suppkey * 11 %
 
 
 @query("q_feet_and_lines", f"""SELECT s_suppkey, (a + a + 9) / 2 AS feet_x, b AS feet_y, 10 + (100 - c) AS line, a BETWEEN -2 AND 122 AND d BETWEEN -2
- AND 160 / 3.0::DOUBLE + 2 AS inside, [a + 3 * 0.5, b + 3 * 0.25, c + 3, 1, 2, 3, 0.5, 0.25, 1] AS shifted,
+ AND 160 / 3.0::DOUBLE + 2 AS inside, a + 3 * 0.5::DOUBLE AS h0, b + 3 * 0.25::DOUBLE AS h1, c + 3 AS h2, 3.0::DOUBLE AS h5,
  CASE WHEN d BETWEEN 4 AND 75 THEN -0.5 * ((ln(d) - ln(13.0::DOUBLE)) / 0.6) * ((ln(d) - ln(13.0::DOUBLE)) / 0.6) ELSE -999 END AS prior,
  ln(greatest(0.02, least(c / 100, 0.98))) AS yes, ln(1 - greatest(0.02, least(c / 100, 0.98))) AS no,
  (2 * a + 1) / (0.1::DOUBLE * a + 1) AS projected, (d < -0.5) OR (a > 20 AND d > 160 / 3.0::DOUBLE + 0.5) AS past,
@@ -48,7 +48,7 @@ def feet_and_lines(spark, sf):
     prior = G.duration_prior(d)
     return numbers(spark, sf).select(
         "s_suppkey", foot["x"].alias("feet_x"), foot["y"].alias("feet_y"), G.line_x(c).alias("line"), G.in_field(a, d, 2.0).alias("inside"),
-        G.shifted(h, lit(3)).alias("shifted"),
+        *(F.get(G.shifted(h, lit(3)), k).alias(f"h{k}") for k in (0, 1, 2, 5)),
         F.when(prior == float("-inf"), -999.0).otherwise(prior).alias("prior"), told["yes"].alias("yes"), told["no"].alias("no"),
         G.projective([lit(2), lit(1), lit(0.1)], a).alias("projected"),
         G.past_sideline(d, a > 20).alias("past"), G.smoothstep(c / 100).alias("eased"), G.predicted_miss(end, start, lit(3)).alias("miss"))
@@ -476,10 +476,11 @@ def labels_redone(spark, sf):
 
 
 @query("q_median_cameras",
-    f"SELECT s_suppkey % 30 AS take, CASE WHEN count(*) >= 4 THEN [median(a), median(b), median(c)] END AS centre FROM {N_SQL} GROUP BY ALL")
+    f"SELECT s_suppkey % 30 AS take, CASE WHEN count(*) >= 4 THEN median(a) END AS x, CASE WHEN count(*) >= 4 THEN median(b) END AS y, CASE WHEN count(*) >= 4 THEN median(c) END AS z FROM {N_SQL} GROUP BY ALL")
 def median_cameras(spark, sf):
-    return tracks.median_cameras(numbers(spark, sf).select((F.col("s_suppkey") % 30).alias("take"), F.array("a", "b", "c").alias("centre")),
+    found = tracks.median_cameras(numbers(spark, sf).select((F.col("s_suppkey") % 30).alias("take"), F.array("a", "b", "c").alias("centre")),
         ["take"], least=4)
+    return found.select("take", *(F.get("centre", k).alias(n) for k, n in enumerate("xyz")))
 
 
 @query("q_club_of_team",
@@ -492,11 +493,11 @@ def club_of_team(spark, sf):
 
 
 @query("q_detections",
-    f"SELECT frame, list({{'label': label, 'score': score, 'x': x}} ORDER BY label, -score) AS boxes FROM (SELECT * FROM {BOXED} WHERE score > CASE label WHEN 'a' THEN 1000 ELSE 3000 END) GROUP BY frame")
+    f"SELECT frame, string_agg(label || CAST(x AS BIGINT), ' ' ORDER BY label, -score) AS boxes, sum(score) AS score FROM (SELECT * FROM {BOXED} WHERE score > CASE label WHEN 'a' THEN 1000 ELSE 3000 END) GROUP BY frame")
 def detections(spark, sf):
     made = boxes.detections_document(boxed(spark, sf), ["frame"], {"a": 1000.0, "b": 3000.0})
-    return made.select("frame",
-        F.transform("boxes", lambda b: F.struct(b["label"].alias("label"), b["score"].alias("score"), F.get(b["box"], 0).alias("x"))).alias("boxes"))
+    told = F.transform("boxes", lambda b: F.concat(b["label"], F.get(b["box"], 0).cast("long").cast("string")))
+    return made.select("frame", F.array_join(told, " ").alias("boxes"), F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["score"]).alias("score"))
 
 
 @query("q_plausible_balls", f"""WITH b AS (SELECT frame, box_id, CASE WHEN box_id % 5 = 0 THEN 'football' ELSE 'player' END AS label, x % 7 + 1 AS w,
@@ -527,18 +528,20 @@ def most_disputed(spark, sf):
 
 
 @query("q_review_lists",
-    "SELECT o_custkey, list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 0), [])) AS kept, list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 1), [])) AS flagged, list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 2), [])) AS dropped FROM orders GROUP BY o_custkey")
+    "SELECT o_custkey, array_to_string(list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 0), [])), ' ') AS kept, array_to_string(list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 1), [])), ' ') AS flagged, array_to_string(list_sort(coalesce(list(o_orderkey) FILTER (o_orderkey % 3 = 2), [])), ' ') AS dropped FROM orders GROUP BY o_custkey")
 def review_lists(spark, sf):
     decision = pick(("keep", "flag", "drop"), F.col("o_orderkey"))
-    return boxes.review_lists(read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("frame"), decision.alias("decision")),
+    made = boxes.review_lists(read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("frame"), decision.alias("decision")),
         ["o_custkey"])
+    return made.select("o_custkey", *(F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("kept", "flagged", "dropped")))
 
 
 @query("q_reviewed_boxes",
-    "SELECT frame, [b FOR b, i IN boxes IF i - 1 NOT IN (1, 3)] AS boxes FROM (SELECT s_nationkey AS frame, list(s_suppkey ORDER BY s_suppkey) AS boxes FROM supplier GROUP BY s_nationkey)")
+    "SELECT frame, array_to_string([b FOR b, i IN boxes IF i - 1 NOT IN (1, 3)], ' ') AS boxes FROM (SELECT s_nationkey AS frame, list(s_suppkey ORDER BY s_suppkey) AS boxes FROM supplier GROUP BY s_nationkey)")
 def reviewed_boxes(spark, sf):
     frames = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("frame")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("boxes"))
-    return boxes.reviewed_boxes(frames.withColumn("removed", F.array(F.lit(1), F.lit(3)))).select("frame", "boxes")
+    return boxes.reviewed_boxes(frames.withColumn("removed", F.array(F.lit(1), F.lit(3)))).select("frame",
+        F.array_join(F.col("boxes").cast("array<string>"), " ").alias("boxes"))
 
 
 @query("q_off_suggestions",
@@ -583,12 +586,13 @@ def tilt(spark, sf):
     return models.dominant_orientation(read(spark, sf, "events").withColumn("angle", F.col("value") % 180), ["event_type"], "angle", "value")
 
 
-@query("q_orientations",
-    "SELECT event_type, [coalesce(sum(value) FILTER (k = b), 0) / sum(value) FOR b IN [0]] AS h0, list_transform(range(0, 18), lambda b: 0) AS z FROM (SELECT event_type, value, floor(value % 180 / 10) AS k FROM events) GROUP BY event_type".replace(
-    "[coalesce(sum(value) FILTER (k = b), 0) / sum(value) FOR b IN [0]] AS h0, list_transform(range(0, 18), lambda b: 0) AS z",
-    "[" + ", ".join(f"coalesce(sum(value) FILTER (k = {b}), 0) / sum(value)" for b in range(18)) + "] AS histogram"))
+_BINS_SQL = ", ".join(f"coalesce(sum(value) FILTER (k = {b}), 0) / sum(value) AS h{b}" for b in range(18))
+
+
+@query("q_orientations", f"SELECT event_type, {_BINS_SQL} FROM (SELECT event_type, value, floor(value % 180 / 10) AS k FROM events) GROUP BY event_type")
 def orientations(spark, sf):
-    return models.orientation_histogram(read(spark, sf, "events").withColumn("angle", F.col("value") % 180), ["event_type"], "angle", "value")
+    found = models.orientation_histogram(read(spark, sf, "events").withColumn("angle", F.col("value") % 180), ["event_type"], "angle", "value")
+    return found.select("event_type", *(F.get("histogram", k).alias(f"h{k}") for k in range(18)))
 
 
 @query("q_block_means", "SELECT c_nationkey, c_custkey % 40 // 8 AS bx, c_custkey % 27 // 9 AS by, avg(c_acctbal) AS mean FROM customer GROUP BY ALL")

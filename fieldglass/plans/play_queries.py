@@ -163,7 +163,7 @@ def marks(spark, sf):
 
 
 @query("q_parsed_keys",
-    "SELECT c_custkey, 2000 + c_custkey % 20 AS season, c_nationkey + 1 AS week, upper(substr(c_mktsegment, 1, 3)) AS away, 'HOU' AS home FROM customer")
+    "SELECT c_custkey, 2000 + c_custkey % 20 AS season, CAST(c_nationkey + 1 AS BIGINT) AS week, upper(substr(c_mktsegment, 1, 3)) AS away, 'HOU' AS home FROM customer")
 def parsed_keys(spark, sf):
     key = P.game_key(2000 + F.col("c_custkey") % 20, F.col("c_nationkey") + 1, F.substring("c_mktsegment", 1, 3), F.lit("hou"))
     parsed = P.parse_game_key(key)
@@ -183,7 +183,7 @@ FRONTS_OF = ("4 DL, 3 LB, 4 DB", "2 DE, 1 NT, 4 OLB, 2 CB, 2 S", "1 EDGE, 2 ILB,
  '(\\d+)\\s+([A-Za-z]+)'), lambda t: [split_part(t, ' ', 1), split_part(t, ' ', 2)]) AS ot,
  list_transform(regexp_extract_all(d, '(\\d+)\\s+([A-Za-z]+)'), lambda t: [split_part(t, ' ', 1), split_part(t, ' ', 2)]) AS dt FROM s),
 n AS (SELECT p_partkey, known, known_d, {', '.join(f"coalesce(list_sum(list_transform(list_filter({t}, lambda p: p[2] IN {p}), lambda p: CAST(p[1] AS INTEGER))), 0) AS {k}" for k, t, p in (('rb', 'ot', "('RB', 'FB', 'HB')"), ('te', 'ot', "('TE', '')"), ('wr', 'ot', "('WR', '')"), ('dl', 'dt', "('DE', 'DT', 'NT', 'DL', 'EDGE')"), ('lb', 'dt', "('ILB', 'OLB', 'MLB', 'LB', 'WLB', 'SLB')"), ('db', 'dt', "('CB', 'FS', 'SS', 'S', 'DB', 'NB')")))} FROM x)
-SELECT p_partkey, CASE WHEN known THEN rb || '' || te END AS off_grouping, CASE WHEN known THEN wr END AS wr, CASE
+SELECT p_partkey, CASE WHEN known THEN rb || '' || te END AS off_grouping, CAST(CASE WHEN known THEN wr END AS BIGINT) AS wr, CASE
  WHEN known_d THEN dl || '-' || lb || '-' || db END AS def_front, CASE WHEN known_d THEN CASE WHEN db <= 4 THEN 'base' WHEN db = 5 THEN 'nickel'
  WHEN db = 6 THEN 'dime' ELSE 'quarter' END END AS def_package FROM n""".replace("\\\\", "\\"))
 def personnel_counts(spark, sf):
@@ -206,7 +206,7 @@ def ranked_groups(spark, sf):
 
 
 @query("q_aggregate_plays",
-    f"SELECT down, shotgun, {METRICS_SQL} FROM {PLAYS_SQL} WHERE play_type = 'N' AND ydstogo <= 30 GROUP BY ALL ORDER BY explosive_rate DESC, down, shotgun LIMIT 5")
+    f"SELECT down, CAST(shotgun AS DOUBLE) AS shotgun, {METRICS_SQL} FROM {PLAYS_SQL} WHERE play_type = 'N' AND ydstogo <= 30 GROUP BY ALL ORDER BY explosive_rate DESC, down, shotgun LIMIT 5")
 def aggregate_plays(spark, sf):
     plays = as_plays(spark, sf)
     told = play_query.aggregate_plays(plays,
