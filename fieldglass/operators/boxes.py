@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.functions.geometry import overlap
 
@@ -40,22 +43,62 @@ def plausible_balls(boxes: DataFrame, frame: Sequence[str], ball: str = "footbal
 
 def matched(found: DataFrame, truth: DataFrame, keys: Sequence[str], least: float = MATCH) -> DataFrame:
     """hit, wrong and missed boxes of each key (frame and label): found boxes, best score first, each take the free true box
-    that they overlap most, if by `least`. Both sides of a frame are folded in one expression; keys of one side only count too."""
+    that they overlap most, if by `least`. Boxes of a key are matched in one pass, equal true ones as one that may be taken several
+    times; keys of one side only count too."""
     f = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("box").alias("box")))).alias("_f"))
     t = truth.groupBy(*keys).agg(F.array_sort(F.collect_list("box")).alias("_t"))
-    start = F.struct(F.coalesce("_t", F.array().cast("array<array<double>>")).alias("free"), F.lit(0).alias("hit"))
-
-    def step(state: Column, e: Column) -> Column:
-        scored = F.transform(state["free"], lambda b, i: F.struct(overlap(_sides(e["box"]), _sides(b)).alias("s"), (-i).alias("i")))
-        best = F.array_max(scored)
-        taken = F.coalesce(best["s"] >= least, F.lit(False))
-        rest = F.filter(state["free"], lambda b, i: i != -best["i"])
-        return F.struct(F.when(taken, rest).otherwise(state["free"]).alias("free"), (state["hit"] + taken.cast("int")).alias("hit"))
-
-    none = F.array().cast("array<struct<o:double,box:array<double>>>")
-    both = f.join(t, list(keys), "full").withColumn("_m", F.aggregate(F.coalesce("_f", none), start, step))
-    return both.select(*keys, F.col("_m.hit").cast("long").alias("hit"),
-        (F.size(F.coalesce("_f", none)) - F.col("_m.hit")).cast("long").alias("wrong"), F.size("_m.free").cast("long").alias("missed"))
+    sides = lambda name, box: [F.coalesce(F.transform(name, lambda e: F.get(box(e), k)), F.array().cast("array<double>")).cast(
+        "array<double>").alias(f"{name}{k}") for k in range(4)]
+    both = f.join(t, list(keys), "full").select(*keys, *sides("_f", lambda e: e["box"]), *sides("_t", lambda e: e))
+    kinds = T.StructType([*(both.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("hit", "wrong", "missed"))])
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (f_at, f_all), (t_at, t_all) = (_matrix(batch.columns[i : i + 4]) for i in (n_keys, n_keys + 4))
+            hit = np.array([_hits(f_all[a:b], t_all[c:d], least) for a, b, c, d in zip(f_at[:-1], f_at[1:], t_at[:-1], t_at[1:], strict=True)],
+                np.int64)
+            counts = [pa.array(x) for x in (hit, np.diff(f_at) - hit, np.diff(t_at) - hit)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *counts], names=[*keys, "hit", "wrong", "missed"])
+
+    return both.mapInArrow(run, kinds)
+
+
+def _matrix(lists: Sequence[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's boxes begin, and the boxes of all rows; one with a missing side has none, so that it overlaps nothing."""
+    at = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = [x.flatten() for x in lists]
+    boxes = np.stack([x.to_numpy(zero_copy_only=False).astype(float) for x in flat], axis=1)
+    boxes[np.any([x.is_null().to_numpy(zero_copy_only=False) for x in flat], axis=0)] = 0.0
+    return at, boxes
+
+
+def _hits(found: np.ndarray, truth: np.ndarray, least: float) -> int:
+    """How many of the found boxes, in order, get a true box."""
+    if not len(found) or not len(truth):
+        return 0
+    new = np.append(True, (truth[1:] != truth[:-1]).any(axis=1))
+    free = np.diff(np.append(np.flatnonzero(new), len(truth)))
+    truth, hit = truth[new], 0
+    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    true_area = area(truth)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for box in found:
+            width = np.maximum(0.0, np.minimum(box[2], truth[:, 2]) - np.maximum(box[0], truth[:, 0]))
+            common = width * np.maximum(0.0, np.minimum(box[3], truth[:, 3]) - np.maximum(box[1], truth[:, 1]))
+            either = area(box) + true_area - common
+            share = np.where(either == 0, 0.0, common / either)
+            # As Spark orders numbers, NaN is the largest.
+            share[np.isnan(share)] = np.inf
+            best = int(np.argmax(share))
+            if share[best] >= least:
+                hit += 1
+                free[best] -= 1
+                if not free[best]:
+                    truth, true_area, free = (np.delete(x, best, axis=0) for x in (truth, true_area, free))
+                    if not len(free):
+                        break
+    return hit
 
 
 def scores(matches: DataFrame, by: Sequence[str]) -> DataFrame:
