@@ -115,6 +115,10 @@ def found_events(spark, sf):
 # --- the league's details
 
 
+#: A play's id is its line's number times this, plus its part's times 1000, plus its supplier's: so ids are in order of the three.
+LINE_IDS = 10**15
+
+
 def details(spark, sf) -> DataFrame:
     """Each order as the league's detail of a game, its line items as plays."""
     n, p = F.col("l_linenumber"), F.col("l_partkey")
@@ -124,7 +128,7 @@ def details(spark, sf) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("gsisPlayerId"), F.lit("A.B").alias("gsisPlayerName"),
         pick(JERSEYS, F.col("l_suppkey")).alias("gsisPlayerJerseyNumber"))
     play = F.struct(
-        F.when(p % 17 > 0, n * 200_000_000 + p * 1000 + F.col("l_suppkey") % 1000).cast("int").alias("playId"),
+        F.when(p % 17 > 0, n.cast("long") * LINE_IDS + p * 1000 + F.col("l_suppkey") % 1000).alias("playId"),
         (n % 4 + 1).cast("int").alias("quarter"), F.lit(None).cast("string").alias("clockTime"), (n % 3).cast("int").alias("driveSequence"),
         (F.col("l_suppkey") % 5).cast("int").alias("down"), F.lit(8).alias("yardsRemaining"),
         pick(SPOTS, p).alias("yardLine"), pick(CODES, fifth).alias("playType"),
@@ -181,7 +185,8 @@ def league(spark, sf) -> DataFrame:
  CAST(play_index AS BIGINT) AS play_index,
  l_partkey % 2 = 0 AND contains(d, 'touchdown') AS touchdown FROM p""")
 def league_plays(spark, sf):
-    rows = league(spark, sf)
+    play = F.expr(f"nfl_play_id div {LINE_IDS} * 200000000 + nfl_play_id % {LINE_IDS}")
+    rows = league(spark, sf).withColumn("nfl_play_id", play)
     whole = [F.col(c).cast("long").alias(n) for c,
         n in (("nfl_play_id", "play"), ("down", "down"), ("ydstogo", "ydstogo"), ("yardline_100", "yardline_100"), ("play_index", "play_index"))]
     return rows.select(*whole, "time", "posteam", "defteam", "play_type", "touchdown")

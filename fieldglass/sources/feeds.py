@@ -37,7 +37,7 @@ EVENT = f"struct<eventId:bigint,week:int,startDate:array<struct<full:string,date
 ENVELOPE = f"apiResults array<struct<league:struct<season:struct<season:int,eventType:array<struct<eventTypeId:int,name:string,events:array<{EVENT}>>>>>>>"
 DETAIL = (
     "id string, time string, homeTeam struct<id:string,currentLogo:string,fullName:string>, awayTeam struct<id:string,currentLogo:string,fullName:string>, externalIds array<struct<source:string,id:string>>, venue struct<name:string>, "
-    "driveChart struct<drives:array<struct<sequence:int,teamId:string>>,plays:array<struct<playId:int,quarter:int,clockTime:string,driveSequence:int,down:int,yardsRemaining:int,yardLine:string,playType:string,playDescription:string,yardsGained:int,playScored:boolean,playDeleted:boolean,"
+    "driveChart struct<drives:array<struct<sequence:int,teamId:string>>,plays:array<struct<playId:bigint,quarter:int,clockTime:string,driveSequence:int,down:int,yardsRemaining:int,yardLine:string,playType:string,playDescription:string,yardsGained:int,playScored:boolean,playDeleted:boolean,"
     "stats:array<struct<statType:int,teamId:string,yards:int,gsisPlayerId:string,gsisPlayerName:string,gsisPlayerJerseyNumber:string>>>>>"
 )
 

@@ -9,7 +9,7 @@ from fieldglass.functions import geometry as G
 from fieldglass.functions import nested as N
 from fieldglass.functions import plays as P
 from fieldglass.operators import film_room, formations, play_query
-from fieldglass.plans import records
+from fieldglass.plans import feed_queries, records, registry  # noqa: F401  feed_queries registers
 from fieldglass.sources import feeds, tables
 
 
@@ -249,3 +249,20 @@ def test_rosters_and_registries(spark):
 
 def test_environment():
     assert tables.read_environment("# x\nA=1\nexport B='two'\n\nnothing") == {"A": "1", "B": "two"}
+
+
+def test_large_play_ids(spark, tmp_path):
+    """Ids over 31 bits, and parts so high that they count for more than a line in an id that leaves them 200 million."""
+    play = {"playId": 3_000_000_007, "quarter": 1, "driveSequence": 1, "down": 1, "playType": "PASS", "playDescription": "A pass"}
+    detail = {"id": "x", "homeTeam": {"id": "h", "currentLogo": "u/logos/CHI"}, "awayTeam": {"id": "a", "currentLogo": "u/logos/LAR"},
+        "driveChart": {"drives": [], "plays": [play]}}
+    assert feeds.league_plays(spark.createDataFrame([detail], feeds.DETAIL), F.lit(2024), F.lit(3)).collect()[0].nfl_play_id == 3_000_000_007
+    lines = [(1, p, 1, n, 1.0) for n in (1, 2, 3, 4, 5, 6, 7) for p in range(2_500_000 - 300_000 * n, 2_500_010 - 300_000 * n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.QUERIES["q_league_plays"](spark, str(tmp_path)).collect()
+    assert {r.play for r in got} == {n * 200_000_000 + p * 1000 + 1 for _, p, _, n, _ in lines if p % 13 and p % 17}
+    places = {n * 200_000_000 + p * 1000 + 1: (n, p) for _, p, _, n, _ in lines}
+    film = sorted((r for r in got if r.play_index), key=lambda r: r.play_index)
+    assert len(film) > 9 and [places[r.play] for r in film] == sorted(places[r.play] for r in film)
