@@ -139,13 +139,13 @@ def reviewed_boxes(frames: DataFrame, boxes: str = "boxes", removed: str = "remo
     return frames.withColumn(boxes, F.filter(boxes, lambda b, i: ~F.array_contains(gone, i)))
 
 
-def detections_document(boxes: DataFrame, keys: Sequence[str], thresholds: dict[str, float]) -> DataFrame:
-    """Each frame's boxes above their label's threshold, best first within labels in order."""
+def detections_document(boxes: DataFrame, keys: Sequence[str], thresholds: dict[str, float], *more: str) -> DataFrame:
+    """Each frame's boxes above their label's threshold, best first within labels in order; `more` columns go with each box."""
     floor = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in thresholds.items()))
-    entry = F.struct("label", (-F.col("score")).alias("o"), "box", "score")
+    entry = F.struct("label", (-F.col("score")).alias("o"), "box", "score", *more)
     listed = F.array_sort(F.collect_list(entry))
     return boxes.filter(F.col("score") > floor).groupBy(*keys).agg(
-        F.transform(listed, lambda e: F.struct(e["label"].alias("label"), e["box"].alias("box"), e["score"].alias("score"))).alias("boxes"))
+        F.transform(listed, lambda e: F.struct(*(e[c].alias(c) for c in ("label", "box", "score", *more)))).alias("boxes"))
 
 
 def overlap_shares(boxes: DataFrame, frame: Sequence[str], id_col: str) -> DataFrame:

@@ -495,9 +495,11 @@ def club_of_team(spark, sf):
 @query("q_detections",
     f"SELECT frame, string_agg(label || CAST(x AS BIGINT), ' ' ORDER BY label, -score) AS boxes, sum(score) AS score FROM (SELECT * FROM {BOXED} WHERE score > CASE label WHEN 'a' THEN 1000 ELSE 3000 END) GROUP BY frame")
 def detections(spark, sf):
-    made = boxes.detections_document(boxed(spark, sf), ["frame"], {"a": 1000.0, "b": 3000.0})
+    made = boxes.detections_document(boxed(spark, sf), ["frame"], {"a": 1000.0, "b": 3000.0}, "box_id")
     told = F.transform("boxes", lambda b: F.concat(b["label"], F.get(b["box"], 0).cast("long").cast("string")))
-    return made.select("frame", F.array_join(told, " ").alias("boxes"), F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["score"]).alias("score"))
+    # Sums depend on the order of their terms: this is the table's, as in the SQL.
+    by_id = F.array_sort(F.transform("boxes", lambda b: F.struct(b["box_id"], b["score"].alias("score"))))
+    return made.select("frame", F.array_join(told, " ").alias("boxes"), F.aggregate(by_id, F.lit(0.0), lambda s, b: s + b["score"]).alias("score"))
 
 
 @query("q_plausible_balls", f"""WITH b AS (SELECT frame, box_id, CASE WHEN box_id % 5 = 0 THEN 'football' ELSE 'player' END AS label, x % 7 + 1 AS w,
