@@ -173,5 +173,6 @@ def read_schema(spark: SparkSession, path: str) -> T.StructType:
 
 
 def utc_stamp(at: Column) -> Column:
-    """A time as 2024-10-14T00:00:00Z; the session's time zone has to be UTC."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time as 2024-10-14T00:00:00Z, with what it has beyond whole seconds as 00.250000Z; the session's time zone has to be UTC."""
+    whole = F.date_trunc("second", at) == at
+    return F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))

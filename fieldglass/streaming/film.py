@@ -181,5 +181,5 @@ def match_in_order(detected: DataFrame, official: DataFrame, keys: Sequence[str]
 
 
 def since(records: DataFrame, stamp: str, column: str = "generated.at") -> DataFrame:
-    """Records made after a stamp."""
-    return records.filter(F.col(column) > F.lit(stamp))
+    """Records made after a stamp. Stamps are compared as times, as 00.5Z is after 00Z but sorts before it."""
+    return records.filter(F.col(column).try_cast("timestamp") > F.lit(stamp).cast("timestamp"))
