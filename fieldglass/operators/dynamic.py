@@ -28,15 +28,21 @@ def kernel_log_density(value: Column, points: Sequence[float], width: float = TI
     return F.log(total / (len(points) * width * math.sqrt(2 * math.pi)) + 1e-300)
 
 
-def most_likely_states(df: DataFrame, keys: Sequence[str], order: str, first: str, second: str, same: float = SAME_VIEW) -> DataFrame:
-    """The likeliest sequence of two states: keys, order, state (0 or 1). first and second are each row's log likelihoods; NULL
-    and NaN tell nothing. One pass over a group's rows keeps the best way into either state, one back reads it off."""
+def most_likely_states(df: DataFrame, keys: Sequence[str], order: str, first: str, second: str, same: float = SAME_VIEW,
+    logs: bool = True) -> DataFrame:
+    """The likeliest sequence of two states: keys, order, state (0 or 1). first and second are each row's log likelihoods, or without
+    `logs` likelihoods; NULL and NaN tell nothing, nor do likelihoods that aren't positive. One pass over a group's rows keeps the
+    best way into either state, one back reads it off. The logarithms of likelihoods are the C library's, as those of the chances of a
+    move are: the JVM's may differ in the last bit, which decides where two ways are as likely as each other."""
     stay, move = math.log(same), math.log(1 - same)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        told = np.nan_to_num(np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in (first, second)], axis=1), nan=0.0)
+        told = np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in (first, second)], axis=1)
+        if not logs:
+            told = np.array([math.log(x) if x > 0 else 0.0 for x in told.ravel().tolist()]).reshape(told.shape)
+        told = np.nan_to_num(told, nan=0.0)
         a, b, came = math.log(0.5) + told[0, 0], math.log(0.5) + told[0, 1], np.zeros((len(told), 2), np.int8)
         for i, (x, y) in enumerate(told[1:].tolist(), 1):
             came[i] = (0 if a + stay >= b + move else 1), (0 if a + move >= b + stay else 1)

@@ -389,9 +389,9 @@ p AS (SELECT v.user_id, v.i, CASE WHEN sa >= sb THEN 0 ELSE 1 END AS state, CASE
 SELECT r.user_id, r.event_id, p.state FROM p JOIN r USING (user_id, i)""")
 def viterbi(spark, sf):
     rows = events(spark,
-        sf).withColumns({"a": F.log(F.lit(0.02) + F.least(F.col("value") / 60, F.lit(0.96))),
-        "b": F.log(F.lit(0.98) - F.least(F.col("value") / 60, F.lit(0.96)))})
-    return dynamic.most_likely_states(rows, ["user_id"], "event_id", "a", "b")
+        sf).withColumns({"a": F.lit(0.02) + F.least(F.col("value") / 60, F.lit(0.96)),
+        "b": F.lit(0.98) - F.least(F.col("value") / 60, F.lit(0.96))})
+    return dynamic.most_likely_states(rows, ["user_id"], "event_id", "a", "b", logs=False)
 
 
 # --- tracks
