@@ -25,6 +25,8 @@ SIDE = LEAST_WORDS - GRAM
 GROUP = 512
 #: Windows of common grams that one task reads out of its texts, about.
 TASK_WINDOWS = 50_000
+#: Windows that go to one bucket by their hash, at most about.
+BUCKET_WINDOWS = 25_000
 #: Stands for a null id, which is larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -227,25 +229,102 @@ class _Common:
         self.row, self.start = i + text, start - x.first[text]
 
 
-def common_windows(texts: DataFrame, heavy: Heavy | None = None) -> DataFrame:
-    """(id, key, text, places) -> a row for each window whose minimiser is one of the places, but the heavy ones: hash (with the
-    gram's), id, key, start."""
+def common_windows(texts: DataFrame) -> DataFrame:
+    """(id, key, text, places) -> a row for each window whose minimiser is one of the places: hash (with the gram's), id, key, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.texts(batch.column(2))
             for i, j in W.chunks(at):
                 x = _Common(batch, data, at, i, j)
-                some = np.flatnonzero(heavy.find(x) < 0) if heavy else np.arange(len(x.row))
-                rows = pa.array(x.row[some])
-                pair = np.stack([x.gram[some], x.hash[some]], axis=1).view(np.uint8)
+                rows = pa.array(x.row)
+                pair = np.stack([x.gram, x.hash], axis=1).view(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [fixed(pair), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.start[some].astype(np.int32))],
+                    [fixed(pair), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.start.astype(np.int32))],
                     ["hash", "id", "key", "start"])
 
     return texts.mapInArrow(run, "hash binary, id long, key binary, start int")
 
 
+#: A window where it stands, or equal ones: how many, where the least stands by id, key and start, and the greatest id.
+_WINDOW = np.dtype([("gram", "u8"), ("hash", "u8"), ("id", "i8"), ("key", ">u8", 2), ("start", "i4"), ("n", "i8"), ("most", "i8")])
+
+
+def _in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by their hashes, equal ones by where they stand, and where those of each hash begin."""
+    x = x[np.lexsort((x["start"], x["key"][:, 1], x["key"][:, 0], x["id"], x["hash"], x["gram"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["hash"][1:] != x["hash"][:-1])
+    return x, np.flatnonzero(new)
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Equal windows as one."""
+    x, at = _in_order(x)
+    out = x[at]
+    if len(at):
+        out["n"], out["most"] = np.add.reduceat(x["n"], at), np.maximum.reduceat(x["most"], at)
+    return out
+
+
+def dealt_windows(texts: DataFrame, buckets: int, once: bool, heavy: Heavy | None = None) -> DataFrame:
+    """(id, key, text, places) -> the windows whose minimiser is one of the places, but the heavy ones, in buckets by their hash:
+    bucket, windows. Rows are blocks of what a task has for a bucket, `once` with equal windows as one."""
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        # Without the type, NumPy would make it one of native byte order.
+        x = np.concatenate(held, dtype=_WINDOW)
+        x = _once(x) if once else x
+        bucket = (((x["hash"] ^ x["gram"] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        own, at = np.unique(bucket[order], return_index=True)
+        ends = np.append(at, len(x)).astype(np.int64) * _WINDOW.itemsize
+        blocks = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x[order].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), blocks], ["bucket", "windows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            data, at = W.texts(batch.column(2))
+            keys, ids = W.texts(batch.column(1))[0].view(">u8").reshape(-1, 2), batch.column(0).to_numpy()
+            for i, j in W.chunks(at):
+                x = _Common(batch, data, at, i, j)
+                some = np.flatnonzero(heavy.find(x) < 0) if heavy else np.arange(len(x.row))
+                rows = np.empty(len(some), _WINDOW)
+                rows["gram"], rows["hash"], rows["start"], rows["n"] = x.gram[some], x.hash[some], x.start[some], 1
+                rows["id"], rows["key"] = ids[x.row[some]], keys[x.row[some]]
+                rows["most"] = rows["id"]
+                held.append(rows)
+                size += len(rows)
+                if size >= 2 * TASK_WINDOWS:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    blocks = texts.mapInArrow(run, "bucket long, windows binary")
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def _windows_of(table: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(W.texts(table.column(1))[0].tobytes(), _WINDOW)
+
+
+def _keys_of(x: np.ndarray) -> pa.Array:
+    return fixed(np.ascontiguousarray(x["key"]).view(np.uint8).reshape(len(x), 16))
+
+
+def _frequent(table: pa.RecordBatch, most: int) -> pa.RecordBatch | None:
+    """All windows of a bucket -> those that stand more than `most` times."""
+    x = _once(_windows_of(table))
+    x = x[x["n"] > most]
+    if not len(x):
+        return None
+    pair = np.stack([x["gram"], x["hash"]], axis=1).view(np.uint8)
+    columns = [fixed(pair), pa.array(x["n"].copy()), pa.array(x["id"].copy()), _keys_of(x), pa.array(x["start"].copy()), pa.array(x["most"].copy())]
+    return pa.RecordBatch.from_arrays(columns, ["hash", "n", "id", "key", "start", "most"])
+
+
 class Heavy:
     """Windows that stand more than GROUP times, where there are few of them: where each stands first, and the greatest id."""
 
@@ -290,7 +369,7 @@ def _joined(keys: pa.Array, row: np.ndarray, start: np.ndarray, other: np.ndarra
     return pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum.reduceat(other, at)), pa.array(first[at])], _SPAN)
 
 
-def _equal(table: pa.RecordBatch) -> pa.RecordBatch | None:
+def _equal_rows(table: pa.RecordBatch) -> pa.RecordBatch | None:
     """All windows of some hashes, sorted by hash, id, key and start -> spans of those that stand twice."""
     pair = W.texts(table.column(0))[0].view(np.uint64).reshape(-1, 2)
     new = np.ones(len(pair), bool)
@@ -303,25 +382,37 @@ def _equal(table: pa.RecordBatch) -> pa.RecordBatch | None:
     return _joined(table.column(2), twice, start[twice], other[twice], new[twice]) if len(twice) else None
 
 
+def _equal(table: pa.RecordBatch) -> pa.RecordBatch | None:
+    """All windows of a bucket -> spans of those that stand twice."""
+    x, at = _in_order(_windows_of(table))
+    times = np.diff(at, append=len(x))
+    ids, new = x["id"], np.zeros(len(x), bool)
+    new[at] = True
+    least, most, twice = np.repeat(ids[at], times), np.repeat(ids[at + times - 1], times), np.flatnonzero(np.repeat(times > 1, times))
+    other = np.where(least != ids, least, np.where(most != ids, most, NO_ID))
+    return _joined(_keys_of(x), twice, x["start"][twice], other[twice], new[twice]) if len(twice) else None
+
+
 def common_spans(texts: DataFrame, places: int) -> DataFrame:
     """(id, key, text, places) -> spans of the windows that stand twice and whose minimiser is one of the places, of which there
     are so many. Texts are dealt out evenly, as each has some windows for every place."""
     texts = texts.repartition(max(1, -(-places * SPREAD // (2 * TASK_WINDOWS))), "key")
-    windows = common_windows(texts)
-    least = F.min(F.struct("id", "key", "start")).alias("least")
-    heavy = written(windows.groupBy("hash").agg(F.count("*").alias("n"), least, F.max("id").alias("most")).filter(F.col("n") > GROUP), "windows")
+    buckets = max(1, -(-places * SPREAD // BUCKET_WINDOWS))
+    grouped = lambda df, work, schema: df.mapInArrow(lambda batches: _by_group(batches, work), schema)
+    most = GROUP
+    counted = grouped(dealt_windows(texts, buckets, once=True), lambda table: _frequent(table, most), "hash binary, n long, id long, key binary, start int, most long")
+    heavy = written(counted.select("hash", "n", F.struct("id", "key", "start").alias("least"), "most"), "windows")
     if heavy.count() <= BROADCAST_ROWS:
         table = Heavy(heavy.collect())
-        found, windows = table.spans(texts), common_windows(texts, table)
-    else:
-        joined = lookup(windows, heavy, "hash", "n", heavy.agg(F.sum("n")).first()[0], "inner")
-        other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
-        first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
-        found = joined.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
-        windows = lookup(windows, heavy.select("hash", "n", F.lit(True).alias("heavy")), "hash", "n",
-            heavy.agg(F.sum("n")).first()[0]).filter("heavy is null").drop("heavy")
-    ordered = windows.repartition("hash").sortWithinPartitions("hash", "id", "key", "start")
-    return found.union(ordered.mapInArrow(lambda batches: _by_group(batches, _equal), _SPANS))
+        return table.spans(texts).union(grouped(dealt_windows(texts, buckets, once=False, heavy=table), _equal, _SPANS))
+    windows, total = common_windows(texts), heavy.agg(F.sum("n")).first()[0]
+    joined = lookup(windows, heavy, "hash", "n", total, "inner")
+    other = F.when(F.col("least.id") != F.col("id"), F.col("least.id")).when(F.col("most") != F.col("id"), F.col("most")).otherwise(NO_ID)
+    first = (F.col("least.key") == F.col("key")) & (F.col("least.start") == F.col("start"))
+    found = joined.select("key", "start", (F.col("start") + LEAST_WORDS).alias("end"), other.alias("other"), first.alias("first"))
+    rest = lookup(windows, heavy.select("hash", "n", F.lit(True).alias("heavy")), "hash", "n", total).filter("heavy is null").drop("heavy")
+    ordered = rest.repartition("hash").sortWithinPartitions("hash", "id", "key", "start")
+    return found.union(grouped(ordered, _equal_rows, _SPANS))
 
 
 def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -257,6 +257,26 @@ def test_repeats_do_not_depend_on_the_partitions(spark, parts):
     assert len(found) == 420 and Counter((r.doc_id, r.start, r.end) for r in found) == repeats_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_windows_are_dealt_in_blocks(spark, once):
+    """A task makes a row for each bucket, however many windows its texts share; no window is lost."""
+    line = " ".join(f"w{k}" for k in range(90))
+    rows = repeats._keyed(table(spark, [(k, f"{line} own{k}", "en", "a") for k in range(300)]).repartition(2), "doc_id", "text")
+    places = repeats.anchored(rows.select("id", "key", "text")).select("key", "places")
+    texts = repeats.written(rows.join(places, "key").select("id", "key", "text", "places"), "texts").coalesce(2)
+    each = Counter(bytes(r.hash) for r in repeats.common_windows(texts).collect())
+    assert sum(each.values()) == 300 * 42 and max(each.values()) == 300
+    blocks = repeats.dealt_windows(texts, 5, once).collect()
+    assert len(blocks) <= 10 and {r.bucket for r in blocks} == set(range(5))
+    got, homes, keys = Counter(), defaultdict(set), {bytes(r.key) for r in rows.collect()}
+    for r in blocks:
+        assert {x.tobytes() for x in np.frombuffer(r.windows, repeats._WINDOW)["key"]} <= keys
+        for x in np.frombuffer(r.windows, repeats._WINDOW):
+            got[x["gram"].tobytes() + x["hash"].tobytes()] += int(x["n"])
+            homes[x["gram"].tobytes() + x["hash"].tobytes()].add(r.bucket)
+    assert got == each and {len(h) for h in homes.values()} == {1}
+
+
 def test_repeats_are_cut_but_in_the_first_text(spark):
     passage = prose(70, 20)
     rows = [(k, f"{prose(60, 600 + k)} {passage}", "en", "a") for k in range(3)]
